@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +33,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers that share this machine's paths import the package; elsewhere it is shipped with --py-files."""
+    environment = spark.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[1])
+    if root not in environment.get("PYTHONPATH", "").split(":"):
+        environment["PYTHONPATH"] = ":".join(filter(None, [root, environment.get("PYTHONPATH", "")]))
