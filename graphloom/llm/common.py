@@ -6,7 +6,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from graphloom.session import importable
 
 #: Rows of an Arrow batch; texts of 100 kB then make 25 MB.
 BATCH_ROWS = 256
@@ -25,7 +27,7 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 def map_batches(df: DataFrame, columns: list[str], function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """df.select(columns) through a function of record batches of at most BATCH_ROWS rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -34,6 +36,12 @@ def map_batches(df: DataFrame, columns: list[str], function: Callable[[pa.Record
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches hold at most BATCH_ROWS rows, so that very long texts fit a worker's memory."""
+    importable(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def alnum_words(text: str | None) -> list[bytes]:
     """The words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of a text with A-Z lower-cased, as UTF-8."""
     return (text or "").encode("utf-8", "surrogatepass").translate(ALNUM).split()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, license_scan, token_counts
+from graphloom.llm import decontaminate, license_scan, superminhash, token_counts
 
 VOCABULARY = "byte_bpe_50k"
 
@@ -31,9 +31,14 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op6_decontaminate": op6_decontaminate,
     "op7_license_scan": op7_license_scan,
+    "op9_superminhash": op9_superminhash,
 }
 ORACLES: dict[str, str] = {}
