@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, license_scan, superminhash, token_counts
+from graphloom.llm import chat_rotation, decontaminate, license_scan, mixing, superminhash, token_counts
 
 VOCABULARY = "byte_bpe_50k"
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("draws")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,14 +35,41 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op8_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_rotation.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
     "op4_token_counts": op4_token_counts,
     "op6_decontaminate": op6_decontaminate,
     "op7_license_scan": op7_license_scan,
+    "op8_chat_rotation": op8_chat_rotation,
     "op9_superminhash": op9_superminhash,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_chat_rotation": """
+        WITH turns AS (SELECT conv_id, turn, role, text, count(*) AS copies FROM conversations GROUP BY ALL),
+        speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role <> 'system'),
+        pieces AS (
+            SELECT t.conv_id, s.perspective, CAST(coalesce(floor(t.turn / 256), -1) AS BIGINT) AS segment, t.turn, t.role, t.text, t.copies,
+                coalesce(t.role = s.perspective, false) AS mine,
+                CASE WHEN t.role = s.perspective THEN '<|assistant|>' WHEN t.role = 'system' THEN '<|system|>'
+                    ELSE '<|user ' || regexp_replace(coalesce(t.role, 'unknown'), '[<|>\\s]+', '_', 'g') || '|>' END || chr(10) AS head,
+                replace(coalesce(t.text, ''), '<|', '< |') AS body
+            FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+        placed AS (
+            SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, segment
+                ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begin_at
+            FROM pieces)
+        SELECT conv_id, perspective, segment, CAST(0 AS BIGINT) AS part, count(*) AS n_turns, CAST(sum(copies) - count(*) AS BIGINT) AS n_repeats,
+            string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS text,
+            coalesce(string_agg(CAST(CAST(begin_at AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(begin_at + length(body) AS BIGINT) AS VARCHAR), ','
+                ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (WHERE mine), '') AS mask_spans
+        FROM placed GROUP BY conv_id, perspective, segment
+    """,
+}
