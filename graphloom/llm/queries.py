@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat_rotation, decontaminate, license_scan, mixing, superminhash, token_counts
+from graphloom.llm import chat_rotation, decontaminate, license_scan, mixing, superminhash, token_counts, toxicity
 
 VOCABULARY = "byte_bpe_50k"
 
@@ -19,6 +19,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("draws")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,6 +50,7 @@ def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
+    "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op6_decontaminate": op6_decontaminate,
     "op7_license_scan": op7_license_scan,
