@@ -36,6 +36,17 @@ def map_batches(df: DataFrame, columns: list[str], function: Callable[[pa.Record
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def filter_batches(df: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """The rows of df, with all their columns, whose place in keep(batch) is true."""
+    bound_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """From now on Arrow batches hold at most BATCH_ROWS rows, so that very long texts fit a worker's memory."""
     importable(spark)

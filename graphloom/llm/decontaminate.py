@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import alnum_words, map_batches
+from graphloom.llm.common import alnum_words, bound_batches, map_batches
 from graphloom.session import checkpointed
 
 #: Fixed value: the words of a text, once A-Z are lower-cased.
@@ -109,11 +109,10 @@ def item_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[s
 
 
 def scanned(docs: DataFrame, benchmark: DataFrame, window_words: int, block_chars: int) -> DataFrame:
-    """docs(doc_id, text) with spans (merged [first, last] words hit) and items; a pass over the rows for each block of items."""
+    """row (the columns of docs), spans (merged [first, last] words hit) and items; a pass over the rows for each block of items."""
     context = docs.sparkSession.sparkContext
-    state = docs.select(
-        "doc_id", "text", F.array().cast("array<struct<first:long,last:long>>").alias("spans"), F.array().cast("array<string>").alias("items")
-    )
+    spans, items = F.array().cast("array<struct<first:long,last:long>>"), F.array().cast("array<string>")
+    state = docs.select(F.struct("*").alias("row"), spans.alias("spans"), items.alias("items"))
     for number, block in enumerate(item_blocks(benchmark, block_chars)):
         if number:
             state = checkpointed(state)  # so that a worker holds one automaton at a time
@@ -122,17 +121,26 @@ def scanned(docs: DataFrame, benchmark: DataFrame, window_words: int, block_char
 
 
 def _pass(state: DataFrame, shared: Broadcast, key: str) -> DataFrame:
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(key, shared.value)
-        spans, items = [], []
-        for text, before, named in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "items")), strict=True):
-            more, ids = hits(automaton, alnum_words(text))
-            both = merged([(x["first"], x["last"]) for x in before] + more)
-            spans.append([{"first": a, "last": b} for a, b in both])
-            items.append(sorted({*named, *ids}))
-        return pa.record_batch([batch.column("doc_id"), batch.column("text"), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", "spans", "items"])
+        for batch in batches:
+            spans, items = [], []
+            texts = batch.column("row").field("text").to_pylist()
+            for text, before, named in zip(texts, batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
+                more, ids = hits(automaton, alnum_words(text))
+                both = merged([(x["first"], x["last"]) for x in before] + more)
+                spans.append([{"first": a, "last": b} for a, b in both])
+                items.append(sorted({*named, *ids}))
+            yield pa.record_batch([batch.column("row"), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], ["row", "spans", "items"])
+
+    bound_batches(state.sparkSession)
+    return state.mapInArrow(run, state.schema)
+
 
-    return map_batches(state, ["doc_id", "text", "spans", "items"], run, "doc_id long, text string, spans array<struct<first:long,last:long>>, items array<string>")
+def _hit() -> tuple[Column, Column]:
+    """Of a scanned row: its words, and how many are hit."""
+    n_words = F.regexp_count(F.coalesce("row.text", F.lit("")), F.lit(WORDS)).cast("long")
+    return n_words, F.aggregate("spans", F.lit(0).cast("long"), lambda sum, x: sum + x["last"] - x["first"] + 1)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window_words: int = 13, block_chars: int = 2_000_000) -> DataFrame:
@@ -140,11 +148,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window_words: int
 
     contaminated: n_hit > 0 and 20 * n_hit >= n_words.
     """
-    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORDS))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda sum, x: sum + x["last"] - x["first"] + 1)
-    counted = scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, window_words, block_chars).select(
-        "doc_id", n_words.cast("long").alias("n_words"), n_hit.alias("n_hit"), "items"
-    )
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    n_words, n_hit = _hit()
+    counted = scanned(docs, benchmark, window_words, block_chars).select("row.doc_id", n_words.alias("n_words"), n_hit.alias("n_hit"), "items")
     return counted.select(
         "doc_id",
         "n_words",
@@ -156,14 +162,22 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window_words: int
     )
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window_words: int = 13, block_chars: int = 2_000_000) -> DataFrame:
+    """The rows of docs, with all columns, that are not contaminated."""
+    n_words, n_hit = _hit()
+    rows = scanned(docs, benchmark, window_words, block_chars).withColumn("n_hit", n_hit)
+    return rows.where((F.col("n_hit") == 0) | (20 * F.col("n_hit") < n_words)).select("row.*")
+
+
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window_words: int = 13, block_chars: int = 2_000_000) -> DataFrame:
     """doc_id, begin, end: the characters of each hit passage in the original text, for removal or review."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for doc_id, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
+        for row, spans in zip(batch.column("row").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            doc_id, text = row["doc_id"], row["text"]
             if spans:
                 out += [{"doc_id": doc_id, "begin": a, "end": b} for a, b in characters(text, [(x["first"], x["last"]) for x in spans])]
         return pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())]))
 
-    return map_batches(scanned(docs, benchmark, window_words, block_chars), ["doc_id", "text", "spans"], run, "doc_id long, begin long, end long")
+    return map_batches(scanned(docs.select("doc_id", "text"), benchmark, window_words, block_chars), ["row", "spans"], run, "doc_id long, begin long, end long")

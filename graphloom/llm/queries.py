@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat_rotation, decontaminate, license_scan, mixing, superminhash, token_counts, toxicity
+from graphloom.llm import chat_rotation, decontaminate, license_scan, mixing, quality, superminhash, token_counts, toxicity
 
 VOCABULARY = "byte_bpe_50k"
 
@@ -48,6 +48,11 @@ def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_license_scan": op7_license_scan,
     "op8_chat_rotation": op8_chat_rotation,
     "op9_superminhash": op9_superminhash,
+    "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {
     "op8_chat_rotation": """

@@ -232,3 +232,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     )
+
+
+def without_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of docs, with all columns, less all but the first document of each group; of rows that share a doc_id one stays."""
+    extra = near_duplicates(docs, percent).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    left = docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if not repeated:
+        return left
+    return left.where("doc_id IS NULL").unionByName(left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import map_batches
+from graphloom.llm.common import filter_batches, map_batches
 from graphloom.session import checkpointed
 
 #: The closed word lists of the grammar, in four languages.
@@ -234,6 +234,11 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.3) -> DataFrame:
     return map_batches(docs, ["doc_id", "text"], run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, scorer: Scorer, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with all columns, that score below the threshold."""
+    return filter_batches(docs, lambda batch: scorer.score(batch.column("text").to_pylist()) < threshold)
+
+
 def flagged_clauses(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """doc_id, clause, state and weight of every matched clause, for review."""
 
