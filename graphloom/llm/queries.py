@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat_rotation, decontaminate, license_scan, mixing, quality, superminhash, token_counts, toxicity
+from graphloom.llm import chat_rotation, decontaminate, html_extract, license_scan, mixing, quality, superminhash, token_counts, toxicity
 
 VOCABULARY = "byte_bpe_50k"
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("draws")
 
@@ -54,6 +58,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extract": op1_html_extract,
     "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
