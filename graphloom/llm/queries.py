@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat_rotation, decontaminate, html_extract, license_scan, mixing, quality, superminhash, token_counts, toxicity
+from graphloom.llm import chat_rotation, decontaminate, embedding_links, html_extract, license_scan, mixing, quality, superminhash, token_counts, toxicity
 
 VOCABULARY = "byte_bpe_50k"
 
@@ -35,6 +35,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), encoder, limit=512)
 
 
+def op5_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links.link(table(spark, sf_dir, "embeddings"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("items")
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
+    "op5_embedding_links": op5_embedding_links,
     "op6_decontaminate": op6_decontaminate,
     "op7_license_scan": op7_license_scan,
     "op8_chat_rotation": op8_chat_rotation,
