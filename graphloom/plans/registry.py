@@ -2,5 +2,30 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from graphloom.sources.views import VIEWS
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, views: str = "", recursive: bool = False):
+    """Registers a query under a name; sql is over the views named and may begin with further common table expressions, ', name AS (...)'."""
+
+    def put(function):
+        QUERIES[name] = function
+        if sql is not None:
+            parts = ", ".join(f"{view} AS ({VIEWS[view]})" for view in views.split())
+            body = sql.strip()
+            if parts or body.startswith(","):
+                body = f"WITH {'RECURSIVE ' if recursive else ''}{parts}{body if parts else body[1:]}" if body.startswith(",") else f"WITH {parts} {body}"
+            ORACLES[name] = body
+        return function
+
+    return put
+
+
+from graphloom.plans import change_plans, file_plans, graph_plans, history_plans, storage_plans  # noqa: E402, F401
