@@ -88,40 +88,36 @@ def longest_paths(nodes: DataFrame, edges: DataFrame, dependents: bool = False)
     """
     known = nodes.select("id")
     inside = edges.join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi")
-    steps = checkpointed(_steps(inside, dependents))  # from `at` on to `next`
-    waiting = checkpointed(nodes.select("id", "weight"))
-    settled = None
-    while waiting.limit(1).count():
-        blocked = steps.join(waiting.select(F.col("id").alias("at")), "at", "left_semi").select(F.col("next").alias("id")).distinct()
+    steps = checkpointed(_steps(inside, not dependents))  # a chain goes from `at` on to `next`
+    all_nodes = checkpointed(nodes.select("id", "weight"))
+    settled = all_nodes.select("id", F.col("weight").alias("length"), F.lit(None).cast("long").alias("via"), F.lit(0).alias("level")).limit(0)
+    n, left, level = 0, all_nodes.count(), 0
+    while n < left:
+        waiting = all_nodes.join(settled, "id", "left_anti") if level else all_nodes
+        blocked = steps.join(waiting.select(F.col("id").alias("at")), "at", "left_semi").select(F.col("next").alias("id"))
         ready = waiting.join(blocked, "id", "left_anti")
-        if settled is None:
-            done = ready.select("id", F.col("weight").alias("length"), F.lit(None).cast("long").alias("via"), F.lit(0).alias("level"))
-        else:
-            before = steps.join(settled.select(F.col("id").alias("at"), "length", "level"), "at").join(ready.select(F.col("id").alias("next")), "next", "left_semi")
-            best = before.groupBy("next").agg(F.max(F.struct("length", (-F.col("at")).alias("order"))).alias("best"), F.max("level").alias("level"))
-            done = ready.join(best, ready.id == best["next"]).select("id", (F.col("weight") + F.col("best.length")).alias("length"), (-F.col("best.order")).alias("via"), (F.col("level") + 1).alias("level"))
-        done = checkpointed(done)
-        if not done.limit(1).count():
+        before = steps.join(settled.select(F.col("id").alias("at"), "length"), "at")
+        best = before.groupBy("next").agg(F.max(F.struct("length", (-F.col("at")).alias("order"))).alias("best"))
+        length, via = F.col("weight") + F.coalesce("best.length", F.lit(0)), -F.col("best.order")
+        done = checkpointed(ready.join(best, ready.id == best["next"], "left").select("id", length.alias("length"), via.alias("via"), F.lit(level).alias("level")))
+        more = done.count()
+        if not more:
             raise ValueError("the edges have a cycle")
-        settled = done if settled is None else checkpointed(settled.union(done))
-        waiting = checkpointed(waiting.join(done, "id", "left_anti"))
-    return settled if settled is not None else nodes.select("id", F.col("weight").alias("length"), F.lit(None).cast("long").alias("via"), F.lit(0).alias("level"))
+        n, level = n + more, level + 1
+        settled = done if level == 1 else settled.union(done)
+    return settled
 
 
 def critical_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """position, id, weight along the heaviest chain; of equal ones the first end by id, then the first neighbours. A part of weight 0 before the first weight is left out."""
     settled = checkpointed(longest_paths(nodes, edges))
-    last = settled.where("length > 0").orderBy(F.desc("length"), "id").limit(1).select("id", "length", "via")
-    frontier, path, position = checkpointed(last), None, 0
-    while frontier.limit(1).count():
-        here = frontier.select(F.lit(position).alias("back"), "id")
-        path = here if path is None else path.union(here)
-        up = settled.select(F.col("id").alias("up"), F.col("length").alias("up_length"), F.col("via").alias("up_via"))
-        frontier = checkpointed(frontier.join(up, frontier.via == up.up).where("up_length > 0").select(F.col("up").alias("id"), F.col("up_length").alias("length"), F.col("up_via").alias("via")))
-        position += 1
-    if path is None:
-        return nodes.select(F.lit(0).alias("position"), "id", "weight").limit(0)
-    return path.join(nodes, "id").select((F.lit(position - 1) - F.col("back")).alias("position"), "id", "weight")
+    step = settled.where("length > 0").orderBy(F.desc("length"), "id").first()
+    path: list[int] = []
+    while step is not None:  # a lookup a step: the path alone comes to the driver
+        path.append(step.id)
+        step = settled.where((F.col("id") == step.via) & (F.col("length") > 0)).first() if step.via is not None else None
+    places = nodes.sparkSession.createDataFrame([(k, x) for k, x in enumerate(reversed(path))], "position int, id long")
+    return places.join(nodes, "id").select("position", "id", "weight")
 
 
 def has_cycle(edges: DataFrame) -> bool:

@@ -12,7 +12,7 @@ from graphloom.streaming import watch
 
 GLOBS = ["*.example.com/en/**", "www.*/**/[0-9]*", "m.*/{de,fr}/*", "**/*.html"]
 #: The same, as regular expressions written by hand.
-REGEXES = ["^[^/]*[.]example[.]com/en/.+$", "^www[.][^/]*/([^/]+/)*[0-9][^/]*$", "^m[.][^/]*/(de|fr)/[^/]*$", "^([^/]+/)*[^/]*[.]html$"]
+REGEXES = ["^[^/]*[.]example[.]com/en/([^/]+/)*[^/]+$", "^www[.][^/]*/([^/]+/)*[0-9][^/]*$", "^m[.][^/]*/(de|fr)/[^/]*$", "^([^/]+/)*[^/]*[.]html$"]
 MATCHED = " UNION ALL ".join(f"SELECT '{g}' AS pattern, path FROM paths WHERE regexp_matches(path, '{r}')" for g, r in zip(GLOBS, REGEXES, strict=True))
 
 
@@ -255,7 +255,7 @@ def d1(spark, sf_dir):
     "t1_session_gap",
     """, gaps AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
     numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS batch FROM gaps)
-    SELECT user_id, epoch_ms(min(ts)) AS first_ms, count(*) AS n FROM numbered GROUP BY user_id, batch""",
+    SELECT user_id, epoch_us(min(ts)) // 1000 AS first_ms, count(*) AS n FROM numbered GROUP BY user_id, batch""",
 )
 def t1(spark, sf_dir):
     """The batch twin of the watch stream: paths of a user within an hour of each other are one batch."""
@@ -271,7 +271,7 @@ def t1_capped(spark, sf_dir):
 
 @query(
     "t3_samples",
-    """SELECT user_id, epoch_ms(time_bucket(INTERVAL 6 HOUR, ts)) AS window_ms, max(value) AS peak FROM events GROUP BY ALL""",
+    """SELECT user_id, epoch_us(time_bucket(INTERVAL 6 HOUR, ts)) // 1000 AS window_ms, max(value) AS peak FROM events GROUP BY ALL""",
 )
 def t3(spark, sf_dir):
     """Peaks of samples in tumbling windows."""

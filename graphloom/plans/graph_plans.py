@@ -10,8 +10,8 @@ from graphloom.sources import views
 
 UP = """, reach(id) AS (SELECT id FROM nodes WHERE id IN (7, 11) UNION SELECT e.source FROM reach r JOIN edges e ON e.target = r.id)"""
 #: As SQL: every chain that ends in a part, with its weight, from its end down.
-CHAINS = """, chains(start, at, total, chain) AS (SELECT id, id, weight, [id] FROM nodes
-    UNION ALL SELECT c.start, n.id, c.total + n.weight, list_append(c.chain, n.id) FROM chains c JOIN edges e ON e.{near} = c.at JOIN nodes n ON n.id = e.{far})"""
+CHAINS = """, chains(start, here, total, chain) AS (SELECT id, id, weight, [id] FROM nodes
+    UNION ALL SELECT c.start, n.id, c.total + n.weight, list_append(c.chain, n.id) FROM chains c JOIN edges e ON e.{near} = c.here JOIN nodes n ON n.id = e.{far})"""
 TOUCHED = "id % 97 = 5"
 
 
@@ -22,7 +22,7 @@ def seeds(spark, sf_dir, condition="id IN (7, 11)"):
 @query(
     "g1_dependents",
     """, reach(id, depth) AS (SELECT id, 0 FROM nodes WHERE id IN (7, 11) UNION SELECT e.source, r.depth + 1 FROM reach r JOIN edges e ON e.target = r.id)
-    SELECT id, min(depth) AS depth FROM reach GROUP BY id""",
+    SELECT id, CAST(min(depth) AS BIGINT) AS depth FROM reach GROUP BY id""",
     "nodes edges",
     recursive=True,
 )

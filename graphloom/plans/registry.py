@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.sources.views import VIEWS
 
@@ -13,10 +15,15 @@ ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None, views: str = "", recursive: bool = False):
-    """Registers a query under a name; sql is over the views named and may begin with further common table expressions, ', name AS (...)'."""
+    """Registers a query under a name; its int columns come out as long, as both engines then agree. sql is over the views named and may begin with further common table expressions, ', name AS (...)'."""
 
     def put(function):
-        QUERIES[name] = function
+        @wraps(function)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            found = function(spark, sf_dir)
+            return found.withColumns({c: F.col(c).cast("long") for c, kind in found.dtypes if kind == "int"})
+
+        QUERIES[name] = run
         if sql is not None:
             parts = ", ".join(f"{view} AS ({VIEWS[view]})" for view in views.split())
             body = sql.strip()

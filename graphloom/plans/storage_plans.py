@@ -40,7 +40,7 @@ LIMIT, UNUSED = 6_000_000, "1996-03-01"
     total AS (SELECT (SELECT sum(size) FROM entries) + (SELECT sum(size) FROM blobs WHERE blob IN (SELECT blob FROM entry_blobs)) AS total),
     running AS (SELECT f.*, sum(freed) OVER (ORDER BY rank) AS so_far FROM freeing f)
     SELECT entry, rank, CAST(freed AS BIGINT) AS freed FROM running, total
-    WHERE NOT (total - so_far + freed <= CASE WHEN total > {LIMIT} THEN {LIMIT} - {LIMIT} // 10 ELSE {LIMIT} END AND used >= epoch_ms(TIMESTAMP '{UNUSED}'))""",
+    WHERE NOT (total - so_far + freed <= CASE WHEN total > {LIMIT} THEN {LIMIT} - {LIMIT} // 10 ELSE {LIMIT} END AND used >= epoch_us(TIMESTAMP '{UNUSED}') // 1000)""",
     "entries entry_blobs blobs",
 )
 def w7(spark, sf_dir):
@@ -51,8 +51,8 @@ def w7(spark, sf_dir):
 @query(
     "w9_prefetch_order",
     """, members AS (SELECT run, max(started) OVER (PARTITION BY run) AS time, row_number() OVER (PARTITION BY run ORDER BY started, execution) AS pos, key AS member FROM exec_log WHERE key IS NOT NULL),
-    at AS (SELECT run, time, min(pos) AS at FROM members WHERE member = '42' GROUP BY run, time ORDER BY time DESC, run DESC LIMIT 3),
-    found AS (SELECT m.member, -a.time AS t, -a.run AS r, m.pos < a.at AS before, abs(m.pos - a.at) AS far FROM members m JOIN at a ON m.run = a.run WHERE m.pos <> a.at AND m.member <> '42'),
+    hit AS (SELECT run, time, min(pos) AS place FROM members WHERE member = '42' GROUP BY run, time ORDER BY time DESC, run DESC LIMIT 3),
+    found AS (SELECT m.member, -a.time AS t, -a.run AS r, m.pos < a.place AS before, abs(m.pos - a.place) AS far FROM members m JOIN hit a ON m.run = a.run WHERE m.pos <> a.place AND m.member <> '42'),
     first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY member ORDER BY t, r, before, far) AS n FROM found) WHERE n = 1)
     SELECT member, row_number() OVER (ORDER BY t, r, before, far) AS place FROM first""",
     "exec_log",

@@ -17,7 +17,7 @@ VIEWS = {
         SELECT event_id AS execution, user_id AS run, event_type || ':' || CAST(event_id % 8 AS VARCHAR) AS task, event_type AS target,
             CASE WHEN value < 10 THEN 'failure' ELSE 'success' END AS status,
             CASE event_id % 4 WHEN 0 THEN 'local-hit' WHEN 1 THEN 'remote-hit' WHEN 2 THEN 'miss' ELSE 'uncached' END AS cache,
-            json_extract_string(props, '$.k') AS key, epoch_ms(ts) AS started, CAST(floor(value * 100) AS BIGINT) AS millis,
+            json_extract_string(props, '$.k') AS key, epoch_us(ts) // 1000 AS started, CAST(floor(value * 100) AS BIGINT) AS millis,
             CASE WHEN event_id % 5 = 0 THEN NULL ELSE (event_id * 7919) % 1000003 END AS memory, 1 + event_id % 4 AS cores,
             event_id % 3 = 0 AS warm, (event_id * 31) % (1 + 4 * CAST(floor(value * 100) AS BIGINT)) AS cpu
         FROM events""",
@@ -35,7 +35,7 @@ VIEWS = {
         SELECT DISTINCT root FROM (SELECT array_to_string(parts[1:n], '/') AS root FROM (SELECT string_split(path, '/') AS parts FROM (
             SELECT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages)), generate_series(1, 9) AS s(n) WHERE n < len(parts))
         WHERE length(root) % 2 = 0""",
-    "entries": "SELECT o_orderkey AS entry, epoch_ms(o_orderdate) AS used, 100 + o_orderkey % 900 AS size FROM orders",
+    "entries": "SELECT o_orderkey AS entry, epoch_us(o_orderdate) // 1000 AS used, 100 + o_orderkey % 900 AS size FROM orders",
     "entry_blobs": "SELECT DISTINCT l_orderkey AS entry, l_partkey AS blob FROM lineitem",
     "blobs": "SELECT p_partkey AS blob, CAST(p_size AS BIGINT) * 1000 AS size FROM part",
     "accesses": """
