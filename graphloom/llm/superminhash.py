@@ -28,10 +28,12 @@ from graphloom.session import checkpointed
 WIDTH = 5
 BANDS, ROWS = 21, 6
 SLOTS = BANDS * ROWS
-#: Pairs of a bucket are confirmed on full sets if so many of the 126 signature bytes agree: 5 deviations below 0.85.
+#: Left-over pairs of a bucket are confirmed on full sets if so many of the 126 signature bytes agree: 5 deviations below 0.85.
 ALIKE = 86
-#: Up to so many pairs, the ids of two longs each are broadcast.
-FEW = 50_000
+#: Up to so many ids, 8 bytes each, are broadcast.
+FEW = 100_000
+#: A component with more candidate pairs than this is compared in blocks, without a row for each pair.
+MANY = 4096
 #: Rows of a block of a bucket.
 BLOCK = 2048
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -134,17 +136,15 @@ def describe(docs: DataFrame) -> DataFrame:
     return map_batches(docs, ["doc_id", "text"], _described, "doc_id long, n long, d1 long, d2 long, bands array<long>, bytes binary")
 
 
-def restricted(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """docs without rows that no pair names, where the ids named are few enough to broadcast; else docs, and the joins sort that out."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    if pairs.count() > FEW:
-        return docs
-    return docs.join(F.broadcast(ids), "doc_id", "left_semi")
+def restricted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs(doc_id, text) as id, text, of the distinct ids(id) alone; these are broadcast if FEW or less, joined by shuffle if not."""
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    few = ids.limit(FEW + 1).count() <= FEW
+    return texts.join(F.broadcast(ids) if few else ids.hint("merge"), "id", "left_semi")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs(a, b) of ids, those whose full sets have 100 * intersection >= percent * union."""
-    texts = restricted(docs, pairs).select(F.col("doc_id").alias("id"), "text")
+def confirm(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs(a, b) of ids, those whose full sets have 100 * intersection >= percent * union; texts(id, text)."""
     left = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
     both = left.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
 
@@ -164,22 +164,23 @@ def confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _left_over(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a visitor and a member of a block, of different components, whose signatures and sizes allow a link."""
+    """For each visitor of a block and each other component, the members whose signatures and sizes allow a link; two visitors pair once."""
     mine, others = group[~group.visits], group[group.visits]
-    signature = np.array([np.frombuffer(x, np.uint8) for x in mine["bytes"]])
-    found = []
-    for row in others.itertuples():
-        if not len(mine):
-            break
-        alike = (signature == np.frombuffer(row.bytes, np.uint8)).sum(axis=1)
-        small, large = np.minimum(mine.n, row.n), np.maximum(mine.n, row.n)
-        take = mine.id[(alike >= ALIKE) & (mine.component != row.component).to_numpy() & (small * 100 >= large * row.percent).to_numpy()]
-        found.append(pd.DataFrame({"a": np.minimum(take, row.id), "b": np.maximum(take, row.id)}))
-    return pd.concat(found).astype("int64") if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    out = []
+    if len(mine):
+        signature = np.array([np.frombuffer(x, np.uint8) for x in mine["bytes"]])
+        ids, sizes, component, roams = (mine[c].to_numpy() for c in ("id", "n", "component", "roams"))
+        for row in others.itertuples():
+            alike = (signature == np.frombuffer(row.bytes, np.uint8)).sum(axis=1)
+            small, large = np.minimum(sizes, row.n), np.maximum(sizes, row.n)
+            take = (alike >= ALIKE) & (component != row.component) & (small * 100 >= large * row.percent) & (~roams | (ids > row.id))
+            for c in np.unique(component[take]):
+                out.append((row.id, int(c), ids[take & (component == c)].tolist()))
+    return pd.DataFrame(out, columns=["x", "component", "others"])
 
 
 def unresolved(members: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) across components that a bucket of members(band, key, id, n) still holds.
+    """x, component, others: members of another component that x may link with, of what buckets of members(band, key, id, n, bytes) still hold.
 
     A bucket's rows are in blocks; those outside the component of its smallest id visit every block.
     """
@@ -188,15 +189,56 @@ def unresolved(members: DataFrame, components: DataFrame, percent: int) -> DataF
         F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "id").alias("main")
     )
     split = buckets.where("low <> high").drop("low", "high")
-    rows = known.join(split, ["band", "key"])
-    visitors = rows.where("component <> main").groupBy("band", "key").agg(F.count("*").alias("n_visitors"))
+    rows = known.join(split, ["band", "key"]).withColumn("roams", F.col("component") != F.col("main"))
+    visitors = rows.where("roams").groupBy("band", "key").agg(F.count("*").alias("n_visitors"))
     rows = rows.join(visitors, ["band", "key"])
     blocks, groups = F.ceil(F.col("rows") / BLOCK).cast("int"), F.ceil(F.col("n_visitors") / BLOCK).cast("int")
     home, away = F.pmod(F.xxhash64("id"), blocks).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), groups).cast("int")
     at_home = rows.select("*", F.lit(False).alias("visits"), home.alias("block"), F.explode(F.sequence(F.lit(0), groups - 1)).alias("part"))
-    visiting = rows.where("component <> main").select("*", F.lit(True).alias("visits"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), away.alias("part"))
-    both = at_home.unionByName(visiting).select("band", "key", "block", "part", "visits", "id", "n", "component", "bytes", F.lit(percent).alias("percent"))
-    return both.groupBy("band", "key", "block", "part").applyInPandas(_left_over, "a long, b long").distinct()
+    visiting = rows.where("roams").select("*", F.lit(True).alias("visits"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), away.alias("part"))
+    columns = ["band", "key", "block", "part", "visits", "roams", "id", "n", "component", "bytes", F.lit(percent).alias("percent")]
+    found = at_home.unionByName(visiting).select(columns).groupBy("band", "key", "block", "part").applyInPandas(_left_over, "x long, component long, others array<long>")
+    return found.groupBy("x", "component").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+
+
+def _first_links(percent: int):
+    """Of each x of a block of a component, one link with the members it lists, if any."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        sets = dict(zip(group["id"], shingle_sets([(t or "").encode() for t in group["text"]]), strict=True))
+        out = []
+        for row in group[group.visits].itertuples():
+            x = sets[row.id]
+            for other in row.others:
+                y = sets.get(other)
+                if y is None:
+                    continue
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * shared >= percent * (len(x) + len(y) - shared):
+                    out.append((row.id, other))
+                    break
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def confirm_blocks(docs: DataFrame, rest: DataFrame, components: DataFrame, percent: int) -> DataFrame:
+    """A link (a, b) for each x of rest(x, component, others) that links with any of its others, block by block of the component's members."""
+    parts = rest.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    cells = components.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cells"))
+    plan = parts.join(cells, "component")
+    cell = F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")
+    members = components.join(plan, "component").select(
+        "component", cell.alias("cell"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("visits"), "id", F.array().cast("array<long>").alias("others")
+    )
+    visits = rest.join(plan, "component").select("*", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
+    here = F.filter("others", lambda y: F.pmod(F.xxhash64(y), F.col("cells")) == F.col("cell"))
+    visits = visits.select(
+        "component", "cell", F.pmod(F.xxhash64("x", F.lit(1)), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("visits"), F.col("x").alias("id"), here.alias("others")
+    )
+    rows = members.unionByName(visits.where(F.size("others") > 0))
+    texts = restricted(docs, rows.select("id").distinct())
+    return rows.join(texts, "id").groupBy("component", "cell", "part").applyInPandas(_first_links(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -219,13 +261,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     buckets = checkpointed(in_bands.join(leaders.drop("rows"), ["band", "key"]))
     fits = F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent
     pairs = checkpointed(buckets.where(fits & (F.col("id") != F.col("lead.id"))).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct())
-    links = checkpointed(confirm(docs, pairs, percent))
+    links = checkpointed(confirm(docs.select(F.col("doc_id").alias("id"), "text"), pairs, percent))
     components = smallest_reachable(links)
-    signature = classes.select("id", "bytes")
-    rest = checkpointed(unresolved(buckets.drop("lead").join(signature, "id"), components, percent))
-    more = checkpointed(confirm(docs, rest, percent))
-    if more.limit(1).count():
-        components = smallest_reachable(links.union(more))
+    rest = checkpointed(unresolved(buckets.drop("lead").join(classes.select("id", "bytes"), "id"), components, percent))
+    if rest.limit(1).count():
+        crowded = rest.groupBy("component").agg(F.sum(F.size("others")).alias("pairs")).where(F.col("pairs") > MANY).select("component")
+        few = checkpointed(rest.join(crowded, "component", "left_anti").select(F.col("x").alias("a"), F.explode("others").alias("b")).distinct())
+        ids = few.select(F.col("a").alias("id")).union(few.select("b")).distinct()
+        more = confirm(restricted(docs, ids), few, percent).union(confirm_blocks(docs, rest.join(crowded, "component", "left_semi"), components, percent))
+        components = smallest_reachable(links.union(checkpointed(more)))
     of_class = classes.join(components, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("class_component"), F.lit(1).alias("size"))
     found = described.select("doc_id", "n", "d1", "d2").join(of_class, ["d1", "d2"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class_component")).otherwise(F.col("doc_id"))
