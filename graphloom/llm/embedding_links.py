@@ -1,9 +1,9 @@
 """Near-duplicate embeddings by randomised-rotation binary codes.
 
 A vector is rotated at random several times; the signs are its code. With each code goes its correction
-factor, the inner product of the vector and its code, so that two codes give an unbiased estimate of the
-cosine with a known deviation: pairs whose upper confidence bound is below the threshold are dropped, the
-others are recomputed exactly in double precision.
+factor, the inner product of the vector and its code, so that two codes give an estimate of the cosine with
+a known deviation, unbiased for distant vectors and never too low for near ones: pairs whose upper
+confidence bound is below the threshold are dropped, the others are recomputed exactly in double precision.
 
 Bits of the codes are also the keys of hash tables in which near vectors meet, as many as a pair at the
 threshold needs to meet with RECALL. Tight groups never list their pairs: a vector joins a ball around the
@@ -60,7 +60,8 @@ def may_reach(left: str, right: str, degrees: Column) -> Column:
     """Whether the upper confidence bound of the cosine of two rows with code and factor allows an angle of so many degrees.
 
     The share of equal bits less that of unequal ones, over both correction factors, estimates the cosine
-    without bias and with a deviation of 1 / (both factors * sqrt(CODE_BITS)).
+    with a deviation of 1 / (both factors * sqrt(CODE_BITS)); its mean is the arc sine of the cosine, which
+    is the cosine itself for distant vectors and above it for near ones, so no bound is too low.
     """
     apart = sum((F.bit_count(F.col(f"{left}.code")[k].bitwiseXOR(F.col(f"{right}.code")[k])) for k in range(CODE_BITS // 64)), F.lit(0))
     scale = F.col(f"{left}.factor") * F.col(f"{right}.factor")

@@ -49,6 +49,8 @@ PARTS = {
     "form": "form search login searchbox",
     "hidden": "hidden sr visually invisible",
 }
+#: Elements that tell the part of what they hold.
+_TELLING = set("article main nav aside header footer form dialog".split())
 _PART_OF = {word: part for part, words in PARTS.items() for word in words.split()}
 
 
@@ -159,9 +161,13 @@ class Page:
         for k in range(n - 1, 0, -1):
             whole[self.parents[k]] += whole[k]
             all_linked[self.parents[k]] += all_linked[k]
-        out = []
+        out, within = [], [frozenset()] * n
         for k in range(n):
-            names = [f"tag {self.tags[k]}", *(f"part {p}" for p in sorted(self.parts[k]))]
+            parent = self.parents[k]
+            if k:
+                told = {self.tags[parent]} & _TELLING | self.parts[parent]
+                within[k] = within[parent] | told if told else within[parent]
+            names = [f"tag {self.tags[k]}", *(f"part {p}" for p in sorted(self.parts[k])), *(f"in {p}" for p in sorted(within[k]))]
             if own[k]:
                 names.append("text " + ("short" if own[k] < 30 else "middle" if own[k] < 120 else "long"))
                 if marks[k]:
@@ -252,7 +258,7 @@ def fit(pages: list[str], rounds: int = 120, rate: float = 0.5, decay: float = 2
     return model
 
 
-def labelled_pages(n: int = 90, seed: int = 5) -> list[str]:
+def labelled_pages(n: int = 120, seed: int = 5) -> list[str]:
     """Pages of many layouts whose elements are labelled; the words are filler, only the layouts matter."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice(("la", "te", "ron", "mi", "sa", "vel")) for _ in range(rng.randint(1, 4)))
@@ -295,7 +301,7 @@ def labelled_pages(n: int = 90, seed: int = 5) -> list[str]:
         inside = rng.sample([k for k in kinds if k not in ("header", "footer", "plain footer", "nav")], rng.randint(0, 2)) if rng.random() < 0.4 else []
         for kind in inside:
             blocks.insert(rng.randint(1, len(blocks)), noise(kind))
-        root = rng.choice(("article", "article", "article", "main", "div", "section"))
+        root = rng.choice(("article", "article", "main", "main", "div", "section"))
         mark = "" if root in ("article", "main") and rng.random() < 0.7 else f" {name('content')}"
         content = f'<{root} data-content="1"{mark}>{"".join(blocks)}</{root}>'
         if rng.random() < 0.3:

@@ -15,17 +15,20 @@ names a weight for each, and these, not the documents, are what the driver holds
 
 from __future__ import annotations
 
+import itertools
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import bound_batches
+from graphloom.llm.common import bound_batches, map_batches
 from graphloom.session import checkpointed
 
 MAX_SOURCES = 100_000
@@ -33,6 +36,7 @@ MAX_SOURCES = 100_000
 BLOCK_DOCS, GROUP_BLOCKS = 256, 1024
 #: Fixed value: the words of a text.
 WORDS = "[^\\x20\\x09-\\x0D]+"
+_WORD = re.compile(WORDS)
 
 
 def targets(sizes: list[int], weights: list[float], share: float, most: float) -> list[float]:
@@ -161,7 +165,15 @@ def _deal(spark, sources: list[tuple[int, int]], quotas: list[int], shards: int,
 def shard_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """shard, place, doc_id, words and text, a row for each draw, each shard in its shuffled order; the text of a part is cut after its words."""
     draws = mixed.select("doc_id", F.explode("draws").alias("draw")).select("doc_id", "draw.*")
-    prefix = F.expr(f"regexp_extract(text, concat('^[\\\\x20\\\\x09-\\\\x0D]*(?:[^\\\\x20\\\\x09-\\\\x0D]+[\\\\x20\\\\x09-\\\\x0D]*){{', words, '}}'), 0)")
-    whole = F.regexp_count("text", F.lit(WORDS)) == F.col("words")
-    rows = draws.join(docs.select("doc_id", "text"), "doc_id").withColumn("text", F.when(whole, F.col("text")).otherwise(prefix))
+    rows = draws.join(docs.select("doc_id", "text"), "doc_id").select("shard", "place", "doc_id", "words", "text")
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = []
+        for text, n in zip(batch.column("text").to_pylist(), batch.column("words").to_pylist(), strict=True):
+            ends = itertools.islice(_WORD.finditer(text or ""), n - 1, n + 1)
+            last, more = next(ends, None), next(ends, None)
+            texts.append(text if more is None else text[: last.end()])
+        return batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+
+    rows = map_batches(rows, rows.columns, cut, "shard int, place long, doc_id long, words long, text string")
     return rows.repartition("shard").sortWithinPartitions("shard", "place").select("shard", "place", "doc_id", "words", "text")
