@@ -21,7 +21,7 @@ from graphloom.llm.common import encoded, filter_batches, hash_words, map_batche
 
 #: Weights of the linear scorer; rows it is trained on.
 WEIGHTS, TRAIN_ROWS = 4096, 8_000
-#: How often a bad vote is right beforehand; this weighs as much as the votes cast.
+#: How often a detection is right beforehand; this weighs as much as the detections.
 PRIOR = 0.97
 #: Frequent words of four languages.
 FREQUENT = (
@@ -117,19 +117,22 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
 
     Whether a labeller votes bad depends on the true label alone. A detector's silence is its good vote;
     the other labellers abstain where a text is too short to judge, which says nothing. It starts from
-    every bad vote being right, and bad votes are taken to be right PRIOR of the time beforehand; this
-    fixes which of the two labels is the bad one.
+    every detection being right, and detections are taken to be right PRIOR of the time beforehand; this
+    fixes which of the two labels is the bad one. Nothing is assumed of the other labellers, so what they
+    vote in a corpus of another language or style tells little unless it goes with detections.
     """
-    judged = (patterns != 0) | (np.arange(patterns.shape[1]) < DETECTORS)
+    detector = np.arange(patterns.shape[1]) < DETECTORS
+    judged = (patterns != 0) | detector
     bad_vote = patterns < 0
-    posterior = np.where(bad_vote.any(axis=1), 0.02, 0.98)
+    posterior = np.where(bad_vote[:, detector].any(axis=1), 0.02, 0.98)
     weight = counts / max(1, counts.sum())
     share = 0.5
     for _ in range(rounds):
         before = posterior
         share = float(np.clip((weight * posterior).sum(), 1e-3, 1 - 1e-3))
         cast = (bad_vote * weight[:, None]).sum(axis=0) + 1e-6
-        of_good = ((bad_vote * (weight * posterior)[:, None]).sum(axis=0) + (1 - PRIOR) * cast) / 2
+        of_good = (bad_vote * (weight * posterior)[:, None]).sum(axis=0) + 1e-7
+        of_good = np.where(detector, (of_good + (1 - PRIOR) * cast) / 2, of_good)
         at_good, at_bad = ((judged * (weight * x)[:, None]).sum(axis=0) + 1e-6 for x in (posterior, 1 - posterior))
         good = np.clip(of_good / at_good, 1e-6, 1 - 1e-3)
         bad = np.clip((cast - of_good) / at_bad, 1e-6, 1 - 1e-3)
