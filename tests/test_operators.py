@@ -152,3 +152,46 @@ def test_watch_stream_puts_out_what_the_batch_form_does(spark, tmp_path):
     run()
     found = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").where("watcher < 3").collect())
     assert found == wanted
+
+
+def test_sizes_durations_and_environment(spark):
+    from graphloom.functions import formats
+
+    rows = spark.createDataFrame([("12.5GB", 950), ("1k", 12_345), ("7", 245_000), ("x", 0)], "s string, m long")
+    assert [tuple(r) for r in rows.select(formats.size_bytes("s"), formats.duration_text("m")).collect()] == [(13421772800, "950ms"), (1024, "12.3s"), (7, "4m 5s"), (None, "0ms")]
+    kept = spark.range(1).select(formats.redacted(formats.environment(F.create_map(F.lit("A_X"), F.lit("1"), F.lit("B"), F.lit(None)), ["A_*", "B"])).alias("m")).first().m
+    assert kept == {"A_X": "<redacted>", "B": None}
+
+
+def test_dotenv_expands_in_order():
+    from graphloom.sources.logs import dotenv
+
+    text = "A=1\nexport B=\"x $A\\n\" # note\nC='$A'\nD=${B}y\n# E=2\nF = plain value # c\nG=$H"
+    assert dotenv(text, {"H": "h"}) == {"A": "1", "B": "x 1\n", "C": "$A", "D": "x 1\ny", "F": "plain value", "G": "h"}
+
+
+def test_history_store_replaces_runs_and_reads_older_versions(spark, tmp_path):
+    from graphloom.sources import history_store
+
+    path = f"{tmp_path}/history"
+    run = lambda r, n: spark.createDataFrame([(r, f"t{k}", 10 * k) for k in range(n)], "run string, task string, started long")
+    history_store.write_run(run("a", 3), path)
+    history_store.write_run(run("b", 2), path)
+    history_store.write_run(run("a", 1).withColumn("cores", F.lit(4)), path)
+    found = history_store.read_history(spark, path)
+    assert sorted((r.run, r.task, r.cores) for r in found.collect()) == [("a", "t0", 4), ("b", "t0", None), ("b", "t1", None)]
+    assert [r.run for r in history_store.stale_runs(found, 1).collect()] == ["a"]
+    spark.createDataFrame([("c", "t", 1, 99)], "run string, task string, started long, schema_version int").write.mode("append").partitionBy("run").parquet(path)
+    with pytest.raises(ValueError):
+        history_store.read_history(spark, path)
+
+
+def test_task_plans_look_through_projects_without_the_target(spark):
+    from graphloom.operators import affected
+
+    graph = spark.createDataFrame([("app", "empty"), ("empty", "lib"), ("app", "lib2"), ("lib", "app")], "source string, target string")
+    has = spark.createDataFrame([("app", "build"), ("app", "prepare"), ("lib", "build"), ("lib2", "test")], "project string, target string")
+    rules = spark.createDataFrame([("build", "build", True), ("build", "prepare", False), ("prepare", "prepare", False)], "target string, on_target string, upstream boolean")
+    tasks, links = affected.plan_tasks(spark.createDataFrame([("app", "build"), ("lib2", "build")], "project string, target string"), has, rules, graph)
+    assert sorted(map(tuple, tasks.collect())) == [("app", "build"), ("app", "prepare"), ("lib", "build")]
+    assert sorted(map(tuple, links.select("project", "target", "on_project", "on_target").collect())) == [("app", "build", "app", "prepare"), ("app", "build", "lib", "build"), ("lib", "build", "app", "build")]
