@@ -73,7 +73,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_superminhash": op9_superminhash,
     "op10_quality": op10_quality,
 }
+#: As SQL: a text with A-Z alone lower-cased.
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES: dict[str, str] = {
+    "op6_decontaminate": f"""
+        WITH words AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWERED}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+        items AS (SELECT *, least(13, len(w)) AS size FROM (SELECT item_id, regexp_extract_all({LOWERED}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM benchmark) WHERE len(w) > 0),
+        item_windows AS (SELECT DISTINCT item_id, size, array_to_string(w[k:k + size - 1], ' ') AS found FROM (SELECT *, unnest(generate_series(1, len(w) - size + 1)) AS k FROM items)),
+        windows AS (SELECT r, k, size, array_to_string(w[k:k + size - 1], ' ') AS found FROM (
+            SELECT r, w, size, unnest(generate_series(1, len(w) - size + 1)) AS k FROM words, (SELECT DISTINCT size FROM items) WHERE len(w) >= size)),
+        hits AS (SELECT r, k, size, item_id FROM windows JOIN item_windows USING (size, found)),
+        counts AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(k, k + size - 1)) AS p FROM hits) GROUP BY r),
+        named AS (SELECT r, count(*) AS n_items, sha256(string_agg(i, ',' ORDER BY i)) AS digest FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(digest, sha256('')) AS items_sha256,
+            coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM words LEFT JOIN counts USING (r) LEFT JOIN named USING (r)
+    """,
+    "op9_superminhash": f"""
+        WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        shingles AS (SELECT DISTINCT doc_id, hash(array_to_string(w[k:k + 4], ' ')) AS s FROM (SELECT *, unnest(generate_series(1, greatest(1, len(w) - 4))) AS k FROM words WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 85 * (x.n + y.n - shared.n)),
+        reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+        groups AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN groups USING (doc_id) LEFT JOIN sizes USING (doc_id)
+    """,
     "op8_chat_rotation": """
         WITH turns AS (SELECT conv_id, turn, role, text, count(*) AS copies FROM conversations GROUP BY ALL),
         speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role <> 'system'),
