@@ -18,7 +18,7 @@ def _steps(edges: DataFrame, dependents: bool) -> DataFrame:
 
 def reachable(seeds: DataFrame, edges: DataFrame, dependents: bool = True) -> DataFrame:
     """id, depth of the seeds(id) and all they reach, with the fewest steps; cycles are safe."""
-    steps = _steps(edges, dependents)
+    steps = checkpointed(_steps(edges, dependents))
     seen = frontier = checkpointed(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     level = 0
     while frontier.limit(1).count():
@@ -51,7 +51,7 @@ def reachable_by_doubling(seeds: DataFrame, edges: DataFrame, dependents: bool =
 
 def reachable_pairs(seeds: DataFrame, edges: DataFrame, dependents: bool = False) -> DataFrame:
     """group, id reached within each group of seeds(group, id), seeds included."""
-    steps = _steps(edges, dependents)
+    steps = checkpointed(_steps(edges, dependents))
     seen = frontier = checkpointed(seeds.select("group", "id").distinct())
     while frontier.limit(1).count():
         ahead = frontier.join(steps, frontier.id == steps["at"]).select("group", F.col("next").alias("id")).distinct()
@@ -67,7 +67,7 @@ def explained(touched: DataFrame, edges: DataFrame) -> DataFrame:
     chains, the first in order of ids, which is the order a queue started with sorted ids visits them in.
     also: the other affected dependencies of an id that isn't touched itself.
     """
-    steps = _steps(edges, True)
+    steps = checkpointed(_steps(edges, True))
     seen = frontier = checkpointed(touched.select("id").distinct().withColumn("chain", F.array("id")))
     while frontier.limit(1).count():
         ahead = frontier.join(steps, frontier.id == steps["at"]).groupBy(F.col("next").alias("id")).agg(F.min("chain").alias("via"))
