@@ -5,9 +5,11 @@ sums learned weights of its tag, class and id words, links and text. Sum-product
 once down the tree, give each element's exact probability of being content; blocks of text whose
 element is content are the main text. All weights come from labelled pages by exact-gradient ascent.
 
-Defined results: null, empty and unparsable html give an empty text; unclosed tags, quotes and comments
-end with the page. Character references are decoded, white space within a block becomes one space, and
-blocks are joined in page order by two newlines. Repeated rows each give a row; other columns are ignored.
+Defined results: null and empty html give an empty text. No html is refused: unclosed elements, quotes,
+comments, scripts and styles end with the page, other silent elements that are never closed hide nothing,
+closing tags without an opening one are ignored. Labels are read from pages by the trainer alone, never
+from the pages extracted. Character references are decoded, white space within a block becomes one space,
+and blocks are joined in page order by two newlines. Repeated rows each give a row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import html as references
 import math
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -31,7 +34,9 @@ BLOCKS = set(
     "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption nav header footer aside form fieldset figure figcaption "
     "blockquote pre address details summary dialog hgroup search center button select option label".split()
 )
-SILENT = set("script style title textarea noscript template iframe object svg math head".split())
+SILENT = set("script style title textarea noscript template iframe object svg math".split())
+#: Of these, what is text to the end of the page if never closed; and what a slash in the tag closes.
+RAW, SELF_CLOSED = set("script style textarea".split()), set("svg math".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LISTS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
@@ -51,20 +56,24 @@ PARTS = {
 }
 #: Elements that tell the part of what they hold.
 _TELLING = set("article main nav aside header footer form dialog".split())
+#: The attribute in which labelled pages say what is content.
+LABEL = "data-content"
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in SILENT}
 _PART_OF = {word: part for part, words in PARTS.items() for word in words.split()}
 
 
 class Page:
-    """Block elements in page order, and the runs of text directly in them."""
+    """Block elements in page order, and the runs of text directly in them; labels are what the attribute label_name holds, if one is named."""
 
-    def __init__(self, html: str):
-        self.tags, self.parents, self.parts, self.labels = ["html"], [-1], [frozenset()], [None]
+    def __init__(self, html: str, label_name: str | None = None):
+        self.tags, self.parents, self.parts, self.labels = ["html", "body"], [-1, 0], [frozenset()] * 2, [None] * 2  # tags of these two may be left out
         self.runs: list[tuple[int, str, int]] = []  # element, text, characters of it in links
-        self._stack, self._pieces, self._linked, self._link = [0], [], 0, None
+        self._stack, self._pieces, self._linked, self._link = [0, 1], [], 0, None
+        self._opened, self._label_name = Counter(), label_name
         self._parse(html)
 
     def _parse(self, html: str) -> None:
-        at, lower = 0, None
+        at, unclosed = 0, set()
         while at < len(html):
             m = _TOKEN.search(html, at)
             self._text(html[at : m.start() if m else len(html)])
@@ -77,19 +86,22 @@ class Page:
             if m[1] or m[4]:
                 self._close(tag)
             elif tag in SILENT:
-                lower = lower if lower is not None else html.lower()
-                end = lower.find(f"</{tag}", at)
-                if tag == "head":
-                    body = lower.find("<body", at)
-                    end = body if 0 <= body < (end if end >= 0 else len(html)) else end
-                at = len(html) if end < 0 else end
+                if tag in unclosed or (tag in SELF_CLOSED and (m[3] or m[6] or "").endswith("/")):
+                    continue
+                end = _ENDS[tag].search(html, at)
+                if end:
+                    at = end.start()
+                elif tag in RAW:
+                    at = len(html)
+                else:
+                    unclosed.add(tag)
             elif tag == "a":
                 self._link = self._stack[-1]
             elif tag in ("br", "hr", "img", "input"):
                 self._pieces.append(" ")
                 if tag == "hr":
                     self._end_run()
-            elif tag in BLOCKS:
+            elif tag in BLOCKS and tag not in ("html", "body"):
                 self._open(tag, m[3] or m[6] or "")
         self._end_run()
 
@@ -111,15 +123,16 @@ class Page:
         self._end_run()
         if self._link in self._stack[depth:]:
             self._link = None
+        self._opened.subtract(self.tags[k] for k in self._stack[depth:])
         del self._stack[depth:]
 
     def _open(self, tag: str, attributes: str) -> None:
         self._end_run()
-        if tag in ("html", "body") and tag in (self.tags[k] for k in self._stack):
-            return
-        for depth in range(len(self._stack) - 1, 0, -1):
+        ends = CLOSES.get(tag, ())
+        reach = 1 if any(self._opened[x] for x in ends) else max(1, len(self._stack) - 2)
+        for depth in range(len(self._stack) - 1, reach, -1):
             open_tag = self.tags[self._stack[depth]]
-            if open_tag == "p" or open_tag in CLOSES.get(tag, ()):
+            if open_tag == "p" or open_tag in ends:
                 self._pop(depth)
                 if open_tag != "p":
                     break
@@ -132,19 +145,20 @@ class Page:
                 parts |= {_PART_OF[w] for w in _PART.findall(value.lower()) if w in _PART_OF}
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
                 parts.add("hidden")
-            elif name == "data-content":
+            if name == self._label_name:
                 label = int(value)
         self.tags.append(tag)
         self.parents.append(self._stack[-1])
         self.parts.append(frozenset(parts))
         self.labels.append(label)
+        self._opened[tag] += 1
         self._stack.append(len(self.tags) - 1)
 
     def _close(self, tag: str) -> None:
         if tag == "a":
             self._link = None
-        elif tag in BLOCKS:
-            for depth in range(len(self._stack) - 1, 0, -1):
+        elif tag in BLOCKS and self._opened[tag]:
+            for depth in range(len(self._stack) - 1, 1, -1):
                 if self.tags[self._stack[depth]] == tag:
                     self._pop(depth)
                     return
@@ -220,10 +234,10 @@ def _log_ratio(a: float, b: float, c: float, d: float, x: float) -> float:
 
 
 def fit(pages: list[str], rounds: int = 120, rate: float = 0.5, decay: float = 2e-3) -> Model:
-    """Maximises the likelihood of pages whose block elements carry data-content="1" or "0"; one without takes its parent's, the root 0."""
+    """Maximises the likelihood of pages whose block elements carry LABEL="1" or "0"; one without takes its parent's, the root 0."""
     model, parsed = Model({}, [[1.0, -1.0], [-1.0, 1.0]]), []
     for html in pages:
-        page = Page(html)
+        page = Page(html, LABEL)
         labels = [0]
         for k in range(1, len(page.tags)):
             labels.append(labels[page.parents[k]] if page.labels[k] is None else page.labels[k])
@@ -273,7 +287,7 @@ def labelled_pages(n: int = 120, seed: int = 5) -> list[str]:
         either = rng.choice((lines, prose(3, 30), f"<ul>{links(4)}</ul>"))
         return {
             "nav": lambda: box(rng.choice(("nav", "div", "ul")), rng.choice(("", " " + name("menu"))) if rng.random() < 0.5 else f" {name('menu')}", f"<ul>{links(rng.randint(3, 9))}</ul>"),
-            "header": lambda: box("header", rng.choice(("", f" {name('head')}")), f"<div>{words(1, 3)}</div>" + rng.choice(("", f"<nav><ul>{links(4)}</ul></nav>"))),
+            "header": lambda: box("header", rng.choice(("", f" {name('head')}")), rng.choice((f"<div>{words(1, 3)}</div>", f"<div>{words(1, 3)}</div>", words(1, 4))) + rng.choice(("", f"<nav><ul>{links(4)}</ul></nav>"))),
             "footer": lambda: box(rng.choice(("footer", "footer", "div")), f" {name('foot')}", rng.choice((f"&copy; {words(1, 3)} &middot; {prose(3, 9)}", f"<p>{prose(4, 20)}</p><ul>{links(3)}</ul>"))),
             "plain footer": lambda: box("footer", "", rng.choice((f"&copy; {words(1, 3)} &middot; {prose(3, 20)}", f"<p>{prose(4, 20)}</p>"))),
             "aside": lambda: box("aside", rng.choice(("", f" {name('side')}")), rng.choice((f"<h3>{words(1, 3)}</h3>{either}", either))),

@@ -5,6 +5,9 @@ from __future__ import annotations
 import itertools
 import math
 import os
+import re
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -101,7 +104,7 @@ def test_main_text_of_pages():
 def test_element_accuracy_on_other_pages():
     model, right, total = html_extract.default_model(), 0, 0
     for html in html_extract.labelled_pages(40, seed=123):
-        page = html_extract.Page(html)
+        page = html_extract.Page(html, html_extract.LABEL)
         labels = [0]
         for k in range(1, len(page.tags)):
             labels.append(labels[page.parents[k]] if page.labels[k] is None else page.labels[k])
@@ -110,6 +113,75 @@ def test_element_accuracy_on_other_pages():
     assert right / total > 0.97
 
 
+ODD = [
+    ('<article><p data-content="tooltip text">One paragraph, long enough to be read.</p><p data-content="0">Another, which is content as well.</p></article>', "One paragraph, long enough to be read.\n\nAnother, which is content as well."),
+    ("<article><p>First one, with an icon. <svg/></p><p>Second one, after the icon.</p></article>", "First one, with an icon.\n\nSecond one, after the icon."),
+    ("<article><p>First one, with a drawing. <svg><text>axis</text></svg></p><p>Second one, after it.</p></article>", "First one, with a drawing.\n\nSecond one, after it."),
+    ("<html><head><title>No</title><meta charset=utf-8><header>Site</header><article><p>An article, in a page of open tags.</p></article>", "An article, in a page of open tags."),
+    ("<article><object><p>Text in an element, never closed.</p></article>", "Text in an element, never closed."),
+    ("<article><p>Before it, a <iframe/> frame.</p><p>And then, more text.</p></article>", "Before it, a frame.\n\nAnd then, more text."),
+]
+
+
+def test_odd_markup_loses_nothing():
+    model = html_extract.default_model()
+    for html, wanted in ODD:
+        assert model.text(html) == wanted
+
+
+@pytest.mark.parametrize("html", ["<div>" * 20_000 + "</p>" * 20_000, "<div>" * 20_000 + "<li></li>" * 20_000, "<svg>" * 20_000 + "x", "<html>" * 20_000, "</div>" * 20_000, "<p><b>" * 20_000])
+def test_deep_and_unmatched_markup_is_linear(html):
+    model, begin = html_extract.default_model(), time.process_time()
+    model.text(html)
+    assert time.process_time() - begin < 3
+
+
+class Reader(HTMLParser):
+    """A plain reader of labelled pages: the text of block elements whose nearest label is 1."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.blocks, self.piece, self.hidden = [("html", "0")], [], "", 0
+
+    def cut(self):
+        line = " ".join(self.piece.split())
+        if line and self.stack[-1][1] == "1":
+            self.blocks.append(line)
+        self.piece = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("title", "script", "style"):
+            self.hidden += 1
+        elif tag in ("br", "input", "img"):
+            self.piece += " "
+        elif tag in html_extract.BLOCKS:
+            self.cut()
+            while self.stack[-1][0] == "p":
+                self.stack.pop()
+            self.stack.append((tag, dict(attrs).get(html_extract.LABEL) or self.stack[-1][1]))
+
+    def handle_endtag(self, tag):
+        if tag in ("title", "script", "style"):
+            self.hidden -= 1
+        elif tag in html_extract.BLOCKS:
+            self.cut()
+            while tag in [t for t, _ in self.stack] and self.stack.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        self.piece += "" if self.hidden else data
+
+
+def test_texts_equal_what_a_plain_reader_of_the_labels_takes():
+    model, same, pages = html_extract.default_model(), 0, html_extract.labelled_pages(150, seed=77)
+    for html in pages:
+        reader = Reader()
+        reader.feed(html)
+        reader.close()
+        same += model.text(re.sub(r' data-content="[01]"', "", html)) == "\n\n".join(reader.blocks)
+    assert same >= 0.9 * len(pages)
+
+
 def test_messages_give_exact_marginals():
     rng = np.random.default_rng(0)
     parents, scores = [-1, 0, 0, 1, 1, 4, 2], rng.standard_normal(7).tolist()
