@@ -31,7 +31,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    encoder = token_counts.Encoder(public_tokenizers.path(f"{VOCABULARY}.json"), public_tokenizers.path(f"{VOCABULARY}.tiktoken"), public_tokenizers.PATTERN)
+    encoder = token_counts.Encoder(public_tokenizers.path(f"{VOCABULARY}.json"))
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), encoder, limit=512)
 
 
@@ -100,23 +100,24 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN groups USING (doc_id) LEFT JOIN sizes USING (doc_id)
     """,
     "op8_chat_rotation": """
-        WITH turns AS (SELECT conv_id, turn, role, text, count(*) AS copies FROM conversations GROUP BY ALL),
+        WITH grouped AS (SELECT conv_id, turn, role, text, count(*) AS copies, CAST(coalesce(floor(turn / 256), -1) AS BIGINT) AS segment FROM conversations GROUP BY ALL),
+        turns AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, segment ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1) // 512 AS part FROM grouped),
         speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role <> 'system'),
         pieces AS (
-            SELECT t.conv_id, s.perspective, CAST(coalesce(floor(t.turn / 256), -1) AS BIGINT) AS segment, t.turn, t.role, t.text, t.copies,
+            SELECT t.conv_id, s.perspective, t.segment, t.part, t.turn, t.role, t.text, t.copies,
                 coalesce(t.role = s.perspective, false) AS mine,
                 CASE WHEN t.role = s.perspective THEN '<|assistant|>' WHEN t.role = 'system' THEN '<|system|>'
                     ELSE '<|user ' || regexp_replace(coalesce(t.role, 'unknown'), '[<|>\\s]+', '_', 'g') || '|>' END || chr(10) AS head,
                 replace(coalesce(t.text, ''), '<|', '< |') AS body
             FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
         placed AS (
-            SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, segment
+            SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, segment, part
                 ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begin_at
             FROM pieces)
-        SELECT conv_id, perspective, segment, CAST(0 AS BIGINT) AS part, count(*) AS n_turns, CAST(sum(copies) - count(*) AS BIGINT) AS n_repeats,
+        SELECT conv_id, perspective, segment, part, count(*) AS n_turns, CAST(sum(copies) - count(*) AS BIGINT) AS n_repeats,
             string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS text,
             coalesce(string_agg(CAST(CAST(begin_at AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(begin_at + length(body) AS BIGINT) AS VARCHAR), ','
                 ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (WHERE mine), '') AS mask_spans
-        FROM placed GROUP BY conv_id, perspective, segment
+        FROM placed GROUP BY conv_id, perspective, segment, part
     """,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import public_tokenizers
 import pytest
@@ -19,9 +20,8 @@ def words(value: str | None) -> list[str]:
     return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), value or ""))
 
 
-def encoder(chunk: int, overlap: int, ranks: bool = True) -> token_counts.Encoder:
-    path = public_tokenizers.path
-    return token_counts.Encoder(path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken") if ranks else None, public_tokenizers.PATTERN, chunk, overlap)
+def encoder(chunk: int, overlap: int) -> token_counts.Encoder:
+    return token_counts.Encoder(public_tokenizers.path("byte_bpe_50k.json"), chunk, overlap)
 
 
 def library_count(value: str | None) -> int:
@@ -49,7 +49,14 @@ def test_chunks_splice_where_the_whole_text_would_break(seed):
     for chunk, overlap in ((100, 40), (257, 33), (1000, 64)):
         assert encoder(chunk, overlap).long(value)[0] == library_count(value)
     assert encoder(50, 33).long("y" * 1000 + " z")[0] == library_count("y" * 1000 + " z")
-    assert encoder(64, 32, ranks=False).count([value]) == [(library_count(value), encoder(64, 32).long(value)[1])]
+    assert encoder(64, 32).count([value]) == [(library_count(value), encoder(64, 32).long(value)[1])]
+
+
+@pytest.mark.parametrize("run", ["y" * 1_000_000, " " * 1_000_000, "ab1!" * 250_000, "\n" * 500_000 + "z" * 500_000])
+def test_unbroken_runs_take_time_in_proportion(run):
+    begin = time.process_time()
+    found = token_counts.Encoder(public_tokenizers.path("byte_bpe_50k.json")).long(run)[0]
+    assert time.process_time() - begin < 6 and found == library_count(run)
 
 
 def brute_contamination(value: str | None, items: list[tuple[str | None, str | None]]):

@@ -6,11 +6,13 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from graphloom.llm import chat_rotation, decontaminate, mixing, quality, superminhash, toxicity
+from graphloom.llm.queries import ORACLES
 from tests.llm.fixtures import documents, empty, text
 
 
@@ -105,6 +107,19 @@ def test_rotation_matches_a_plain_version(spark):
     assert chat_rotation.rotate(frame.limit(0)).count() == 0
 
 
+def test_crowded_segments_keep_their_order_as_in_sql(spark):
+    rows = [(1, k // 3, ("ann", "bob", "system")[k % 3], f"m{k:04}") for k in range(700)] + [(1, 400, "ann", "later")] + [(None, None, "cy", f"n{k:04}") for k in range(1100)] + [(2, 5, "ann", "short")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    found = chat_rotation.rotate(frame).collect()
+    connection = duckdb.connect()
+    conversations = frame.toArrow()  # noqa: F841
+    cursor = connection.execute(ORACLES["op8_chat_rotation"])
+    names = [d[0] for d in cursor.description]
+    assert sorted((str(r[c]) for c in names) and tuple(str(r[c]) for c in names) for r in found) == sorted(tuple(map(str, r)) for r in cursor.fetchall())
+    parts = sorted((r for r in found if r.conv_id == 1 and r.perspective == "ann"), key=lambda r: (r.segment, r.part))
+    assert len(parts) == 3 and re.findall(r"m\d+", "".join(r.text for r in parts)) == [f"m{k:04}" for k in sorted(range(700), key=lambda k: (k // 3, k % 3))]
+
+
 def test_long_conversations_come_in_segments(spark):
     rows = [(1, t, f"p{t % 2}", f"word{t}") for t in range(100)] + [(2, 0, "a", f"crowd{k}") for k in range(60)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
