@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.session import importable
 
@@ -19,6 +20,9 @@ ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 #: Bytes hashed at a time.
 HASH_BYTES = 1 << 20
 
+#: A key with more rows than HOT doesn't meet its rows in one task; up to FEW such keys are broadcast.
+HOT, FEW = 2048, 100_000
+
 _PRIME = np.uint64(0x9E3779B97F4A7C15 | 1)
 _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 _BLANK = np.zeros(256, bool)
@@ -119,3 +123,21 @@ def pieces(raw: bytes) -> Iterator[bytes]:
 def encoded(column: pa.Array) -> list[bytes]:
     """A string column's values as UTF-8, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def join_hot(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """rows.join(lookup, keys) for a lookup of one row a key, whose column weight (dropped) is about how many of rows have the key.
+
+    Keys of over HOT rows are broadcast, the others joined by shuffle. Should over FEW keys be hot, all are
+    joined by shuffle and adaptive execution splits what is skewed.
+    """
+    hot = lookup.where(F.col(weight) > HOT)
+    if not 0 < hot.limit(FEW + 1).count() <= FEW:
+        return rows.join(lookup.drop(weight), keys)
+    cold = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(lookup.where(F.col(weight) <= HOT).drop(weight), keys)
+    return rows.join(F.broadcast(hot.drop(weight)), keys).unionByName(cold)
+
+
+def with_few(rows: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
+    """rows.join(lookup, keys, "left") for a lookup that is small as a rule: broadcast if it is (FEW rows), joined by shuffle if not."""
+    return rows.join(F.broadcast(lookup) if lookup.limit(FEW + 1).count() <= FEW else lookup, keys, "left")

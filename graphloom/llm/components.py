@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import join_hot
 from graphloom.session import checkpointed
 
 
@@ -12,16 +13,19 @@ def smallest_reachable(links: DataFrame) -> DataFrame:
     """id, component for every id in links(a, b); component is the smallest id it reaches.
 
     Each round every id takes the smallest label among its neighbours, then its label's label, so
-    chains shorten by doubling; hubs are merged by partial aggregation before the shuffle. Ends when
+    chains shorten by doubling; hubs are merged by partial aggregation before the shuffle, and the labels
+    of ids with many neighbours, and of labels that many ids bear, are broadcast if they are few. Ends when
     a round changes nothing. Self-links and repeated links do no harm; no links give no rows.
     """
     both = checkpointed(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    labels = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("component"), F.count("*").alias("degree")).withColumnRenamed("a", "id"))
     while True:
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("near"))
-        taken = labels.join(near, labels.id == near.a).select("id", F.least("component", "near").alias("now"), F.col("component").alias("was"))
-        up = labels.select(F.col("id").alias("at"), F.col("component").alias("above"))
-        jumped = checkpointed(taken.join(up, taken.now == up["at"], "left").select("id", F.least("now", "above").alias("component"), "was"))
+        near = join_hot(both, labels.withColumnRenamed("id", "b"), ["b"], "degree").groupBy("a").agg(F.min("component").alias("near"))
+        taken = labels.join(near, labels.id == near.a).select("id", F.least("component", "near").alias("now"), F.col("component").alias("was"), "degree")
+        taken = checkpointed(taken)
+        borne = taken.groupBy("now").agg(F.count("*").alias("bearers"))
+        up = borne.join(labels.select(F.col("id").alias("now"), F.col("component").alias("above")), "now")
+        jumped = checkpointed(join_hot(taken, checkpointed(up), ["now"], "bearers").select("id", F.least("now", "above").alias("component"), "was", "degree"))
         if not jumped.where("component <> was").limit(1).count():
             return jumped.select("id", "component")
-        labels = jumped.select("id", "component")
+        labels = jumped.drop("was")

@@ -5,7 +5,9 @@ share a band are candidates; links are confirmed on the full shingle sets; union
 
 No pairs are listed within a bucket. Documents with one set are one class. In each bucket every class
 is compared with the bucket's smallest; then only classes that a bucket still holds in different
-components are compared, in blocks, by signature first and by full sets after.
+components are compared, in blocks, by signature first and by full sets after; what a class is still to be
+compared with is listed by blocks of the other component. Hot buckets, leaders, components and classes
+are not joined on their key alone.
 
 Defined results: null and empty texts have an empty set, link with nothing and are kept. A text of
 fewer words than a shingle is one shingle. Repeated rows are exact copies of each other and each gives
@@ -21,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import LOWER, encoded, grouped_hashes, map_batches, mix
+from graphloom.llm.common import FEW, HOT, LOWER, encoded, grouped_hashes, join_hot, map_batches, mix, with_few
 from graphloom.llm.components import smallest_reachable
+from graphloom.operators.storage import ranked
 from graphloom.session import checkpointed
 
 WIDTH = 5
@@ -30,12 +33,10 @@ BANDS, ROWS = 21, 6
 SLOTS = BANDS * ROWS
 #: Left-over pairs of a bucket are confirmed on full sets if so many of the 126 signature bytes agree: 5 deviations below 0.85.
 ALIKE = 86
-#: Up to so many ids, 8 bytes each, are broadcast.
-FEW = 100_000
 #: A component with more candidate pairs than this is compared in blocks, without a row for each pair.
 MANY = 4096
-#: Rows of a block of a bucket.
-BLOCK = 2048
+#: Rows of a block of a bucket, which have signatures; rows of a block of a component, which have texts.
+BLOCK, CELL = 2048, 1024
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
@@ -145,7 +146,10 @@ def restricted(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def confirm(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Of pairs(a, b) of ids, those whose full sets have 100 * intersection >= percent * union; texts(id, text)."""
-    left = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
+    hot = checkpointed(pairs.groupBy("a").agg(F.ceil(F.count("*") / HOT).cast("int").alias("salts")).where("salts > 1"))
+    salts = lambda rows: with_few(rows, hot, ["a"]).withColumn("salts", F.coalesce("salts", F.lit(1)))
+    of_leads = salts(texts.withColumnsRenamed({"id": "a", "text": "text_a"})).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    left = salts(pairs).withColumn("salt", F.pmod(F.xxhash64("b"), "salts").cast("int")).drop("salts").join(of_leads, ["a", "salt"])
     both = left.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -164,41 +168,61 @@ def confirm(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _left_over(group: pd.DataFrame) -> pd.DataFrame:
-    """For each visitor of a block and each other component, the members whose signatures and sizes allow a link; two visitors pair once."""
+    """For each visitor of a block and each other component's cell, the members whose signatures and sizes allow a link; two visitors pair once."""
     mine, others = group[~group.visits], group[group.visits]
     out = []
     if len(mine):
         signature = np.array([np.frombuffer(x, np.uint8) for x in mine["bytes"]])
-        ids, sizes, component, roams = (mine[c].to_numpy() for c in ("id", "n", "component", "roams"))
+        ids, sizes, component, cells, roams = (mine[c].to_numpy() for c in ("id", "n", "component", "cell", "roams"))
         for row in others.itertuples():
             alike = (signature == np.frombuffer(row.bytes, np.uint8)).sum(axis=1)
             small, large = np.minimum(sizes, row.n), np.maximum(sizes, row.n)
-            take = (alike >= ALIKE) & (component != row.component) & (small * 100 >= large * row.percent) & (~roams | (ids > row.id))
-            for c in np.unique(component[take]):
-                out.append((row.id, int(c), ids[take & (component == c)].tolist()))
-    return pd.DataFrame(out, columns=["x", "component", "others"])
+            take = np.flatnonzero((alike >= ALIKE) & (component != row.component) & (small * 100 >= large * row.percent) & (~roams | (ids > row.id)))
+            for c, cell in sorted(set(zip(component[take].tolist(), cells[take].tolist(), strict=True))):
+                here = take[(component[take] == c) & (cells[take] == cell)]
+                out.append((row.id, c, cell, ids[here].tolist()))
+    return pd.DataFrame(out, columns=["x", "component", "cell", "others"])
 
 
-def unresolved(members: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """x, component, others: members of another component that x may link with, of what buckets of members(band, key, id, n, bytes) still hold.
+def membership(classes: DataFrame, components: DataFrame) -> DataFrame:
+    """id, component and cell of every class; a component's classes are in cells of about CELL, by a hash."""
+    known = classes.select("id").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    large = checkpointed(components.groupBy("component").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells")).where("cells > 1"))
+    cell = F.pmod(F.xxhash64("id"), F.coalesce("cells", F.lit(1))).cast("int")
+    return checkpointed(with_few(known, large, ["component"]).select("id", "component", cell.alias("cell")))
 
-    A bucket's rows are in blocks; those outside the component of its smallest id visit every block.
+
+def unresolved(members: DataFrame, known: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """x, component, cell, others: members of another component that x may link with, of what buckets of members(band, key, id, n) still hold.
+
+    known(id, component, cell) and signed(id, bytes) tell of ids. A bucket's rows are in blocks; those outside the component of its
+    smallest id visit every block. No list is longer than a cell.
     """
-    known = members.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    buckets = known.groupBy("band", "key").agg(
+    placed = checkpointed(members.join(known, "id"))
+    buckets = placed.groupBy("band", "key").agg(
         F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "id").alias("main")
     )
-    split = buckets.where("low <> high").drop("low", "high")
-    rows = known.join(split, ["band", "key"]).withColumn("roams", F.col("component") != F.col("main"))
-    visitors = rows.where("roams").groupBy("band", "key").agg(F.count("*").alias("n_visitors"))
-    rows = rows.join(visitors, ["band", "key"])
+    split = checkpointed(buckets.where("low <> high").drop("low", "high").withColumn("weight", F.col("rows")))
+    rows = checkpointed(join_hot(placed, split, ["band", "key"], "weight").withColumn("roams", F.col("component") != F.col("main")).drop("main"))
+    visitors = checkpointed(rows.where("roams").groupBy("band", "key").agg(F.count("*").alias("n_visitors")).join(split.select("band", "key", "weight"), ["band", "key"]))
+    work = visitors.agg(F.sum(F.ceil(F.col("weight") / BLOCK) * F.ceil(F.col("n_visitors") / BLOCK)).alias("blocks"), F.sum(F.col("weight") * F.col("n_visitors")).alias("pairs")).first()
+    if not work.blocks:
+        return rows.select(F.col("id").alias("x"), "component", "cell", F.array("id").alias("others")).limit(0)
+    rows = join_hot(rows, visitors, ["band", "key"], "weight").join(signed, "id")
     blocks, groups = F.ceil(F.col("rows") / BLOCK).cast("int"), F.ceil(F.col("n_visitors") / BLOCK).cast("int")
     home, away = F.pmod(F.xxhash64("id"), blocks).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), groups).cast("int")
     at_home = rows.select("*", F.lit(False).alias("visits"), home.alias("block"), F.explode(F.sequence(F.lit(0), groups - 1)).alias("part"))
     visiting = rows.where("roams").select("*", F.lit(True).alias("visits"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), away.alias("part"))
-    columns = ["band", "key", "block", "part", "visits", "roams", "id", "n", "component", "bytes", F.lit(percent).alias("percent")]
-    found = at_home.unionByName(visiting).select(columns).groupBy("band", "key", "block", "part").applyInPandas(_left_over, "x long, component long, others array<long>")
-    return found.groupBy("x", "component").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    keys = ["band", "key", "block", "part"]
+    both = at_home.unionByName(visiting).select(*keys, "visits", "roams", "id", "n", "component", "cell", "bytes", F.lit(percent).alias("percent"))
+    found = _dealt(both, keys, work.blocks + work.pairs // BLOCK**2).groupBy(keys).applyInPandas(_left_over, "x long, component long, cell int, others array<long>")
+    return found.groupBy("x", "component", "cell").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+
+
+def _dealt(rows: DataFrame, keys: list[str], groups: int) -> DataFrame:
+    """rows by keys over as many tasks as there are groups or more cores can use: adaptive execution would merge them by size alone."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(4 * cores, min(50_000, groups // 4)), *keys)
 
 
 def _first_links(percent: int):
@@ -222,23 +246,19 @@ def _first_links(percent: int):
     return run
 
 
-def confirm_blocks(docs: DataFrame, rest: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """A link (a, b) for each x of rest(x, component, others) that links with any of its others, block by block of the component's members."""
-    parts = rest.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    cells = components.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cells"))
-    plan = parts.join(cells, "component")
-    cell = F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")
-    members = components.join(plan, "component").select(
-        "component", cell.alias("cell"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("visits"), "id", F.array().cast("array<long>").alias("others")
+def confirm_blocks(docs: DataFrame, rest: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """A link (a, b) for each x of rest(x, component, cell, others) that links with any of its others, cell by cell of known(id, component, cell)."""
+    keys = ["component", "cell"]
+    parts = checkpointed(rest.groupBy(keys).agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"), F.count("*").alias("weight")))
+    members = known.join(parts.drop("weight"), keys).select(
+        *keys, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("visits"), "id", F.array().cast("array<long>").alias("others")
     )
-    visits = rest.join(plan, "component").select("*", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
-    here = F.filter("others", lambda y: F.pmod(F.xxhash64(y), F.col("cells")) == F.col("cell"))
-    visits = visits.select(
-        "component", "cell", F.pmod(F.xxhash64("x", F.lit(1)), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("visits"), F.col("x").alias("id"), here.alias("others")
-    )
-    rows = members.unionByName(visits.where(F.size("others") > 0))
+    part = F.pmod(F.xxhash64("x", F.lit(1)), F.col("parts")).cast("int")
+    visits = join_hot(rest, parts, keys, "weight").select(*keys, part.alias("part"), F.lit(True).alias("visits"), F.col("x").alias("id"), "others")
+    rows = members.unionByName(visits)
     texts = restricted(docs, rows.select("id").distinct())
-    return rows.join(texts, "id").groupBy("component", "cell", "part").applyInPandas(_first_links(percent), "a long, b long")
+    groups = parts.agg(F.sum("parts")).first()[0] or 0
+    return _dealt(rows.join(texts, "id"), [*keys, "part"], 4 * groups).groupBy(*keys, "part").applyInPandas(_first_links(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -252,37 +272,50 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = (
         described.where("n > 0 AND doc_id IS NOT NULL")
         .groupBy("d1", "d2")
-        .agg(F.min(F.struct("doc_id", "n", "bands", "bytes")).alias("least"))
-        .select("d1", "d2", F.col("least.doc_id").alias("id"), "least.n", "least.bands", "least.bytes")
+        .agg(F.min(F.struct("doc_id", "n", "bands", "bytes")).alias("least"), F.count("*").alias("copies"))
+        .select("d1", "d2", F.col("least.doc_id").alias("id"), "least.n", "least.bands", "least.bytes", "copies")
     )
     classes = checkpointed(classes)
     in_bands = classes.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    leaders = in_bands.groupBy("band", "key").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("rows")).where("rows > 1")
-    buckets = checkpointed(in_bands.join(leaders.drop("rows"), ["band", "key"]))
+    leaders = checkpointed(in_bands.groupBy("band", "key").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("rows")).where("rows > 1"))
+    buckets = checkpointed(join_hot(in_bands, leaders, ["band", "key"], "rows"))
     fits = F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent
     pairs = checkpointed(buckets.where(fits & (F.col("id") != F.col("lead.id"))).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct())
     links = checkpointed(confirm(docs.select(F.col("doc_id").alias("id"), "text"), pairs, percent))
     components = smallest_reachable(links)
-    rest = checkpointed(unresolved(buckets.drop("lead").join(classes.select("id", "bytes"), "id"), components, percent))
+    known = membership(classes, components)
+    rest = checkpointed(unresolved(buckets.drop("lead"), known, classes.select("id", "bytes"), percent))
     if rest.limit(1).count():
-        crowded = rest.groupBy("component").agg(F.sum(F.size("others")).alias("pairs")).where(F.col("pairs") > MANY).select("component")
-        few = checkpointed(rest.join(crowded, "component", "left_anti").select(F.col("x").alias("a"), F.explode("others").alias("b")).distinct())
+        crowded = rest.groupBy("component").agg(F.sum(F.size("others")).alias("pairs")).where(F.col("pairs") > MANY)
+        crowded = checkpointed(crowded.select("component", F.lit(True).alias("crowded")))
+        rest = checkpointed(with_few(rest, crowded, ["component"]))
+        few = checkpointed(rest.where("crowded IS NULL").select(F.col("x").alias("a"), F.explode("others").alias("b")).distinct())
         ids = few.select(F.col("a").alias("id")).union(few.select("b")).distinct()
-        more = confirm(restricted(docs, ids), few, percent).union(confirm_blocks(docs, rest.join(crowded, "component", "left_semi"), components, percent))
+        more = confirm(restricted(docs, ids), few, percent).union(confirm_blocks(docs, rest.where("crowded").drop("crowded"), known, percent))
         components = smallest_reachable(links.union(checkpointed(more)))
-    of_class = classes.join(components, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("class_component"), F.lit(1).alias("size"))
-    found = described.select("doc_id", "n", "d1", "d2").join(of_class, ["d1", "d2"], "left")
-    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class_component")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
+    of_class = classes.join(components, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("class_component"), "copies")
+    some = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    found = join_hot(described.where(some).select("doc_id", "n", "d1", "d2"), of_class, ["d1", "d2"], "copies").select("doc_id", "n", F.col("class_component").alias("component_id"))
+    lone = described.where(~some).select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return found.unionByName(lone).select("doc_id", F.col("n").alias("n_shingles"), "component_id").withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     )
 
 
 def without_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The rows of docs, with all columns, less all but the first document of each group; of rows that share a doc_id one stays."""
-    extra = near_duplicates(docs, percent).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    left = docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs, with all columns, less all but the first document of each group.
+
+    Rows that share a doc_id and a text are one document, of which one row stays; rows that share a doc_id
+    and differ in text are documents of their own, in order of a hash of their texts. Rows without a doc_id stay.
+    """
     repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
     if not repeated:
-        return left
-    return left.where("doc_id IS NULL").unionByName(left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+        extra = near_duplicates(docs, percent).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+        return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+    keys = ["doc_id", "h1", "h2"]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.where("doc_id IS NOT NULL").select(F.struct("*").alias("row"), "doc_id", F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2"))
+    rows = checkpointed(rows.groupBy(keys).agg(F.min_by("row", F.struct(F.xxhash64(F.to_json("row")), F.to_json("row"))).alias("row")))
+    numbered = checkpointed(rows.join(ranked(rows.select(keys), *keys), keys).select(F.col("rank").alias("number"), "row"))
+    kept = near_duplicates(numbered.select(F.col("number").alias("doc_id"), "row.text"), percent).where("kept").select(F.col("doc_id").alias("number"))
+    return numbered.join(kept, "number", "left_semi").select("row.*").unionByName(docs.where("doc_id IS NULL"))

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from graphloom.llm import embedding_links, superminhash
+from graphloom.llm import common, embedding_links, superminhash
 from graphloom.llm.components import smallest_reachable
 from tests.llm.fixtures import documents, empty, text
 
@@ -61,6 +61,9 @@ def test_families_of_near_copies_match_brute_force(spark, monkeypatch, many):
     """A base text with copies from hardly to heavily changed, so that links chain; with many = 0 every component is compared in blocks."""
     monkeypatch.setattr(superminhash, "MANY", many)
     monkeypatch.setattr(superminhash, "BLOCK", 16)
+    monkeypatch.setattr(superminhash, "CELL", 8)
+    for module in (common, superminhash):
+        monkeypatch.setattr(module, "HOT", 5)
     rng = random.Random(many)
     base = text(rng, 160).split()
     rows = []
@@ -104,6 +107,18 @@ def test_without_copies_keeps_one_of_each_group(spark):
     assert sorted(k for k in kept if k is not None) == sorted(k for k, (_, c) in wanted.items() if k == c) and kept.count(None) == 1
 
 
+def test_without_copies_keeps_every_text_of_a_repeated_id(spark):
+    rng = random.Random(6)
+    one, two, three = (text(rng, 60) for _ in range(3))
+    rows = [(1, one, "x"), (1, two, "y"), (1, three, "z"), (1, one, "w"), (2, one + " tail", "v"), (3, None, "n"), (3, "", "e"), (None, one, "u"), (None, one, "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h1 string").selectExpr("*", "1 AS number", "2 AS rank")
+    for some in (docs, docs.repartition(5)):
+        found = superminhash.without_copies(some)
+        assert found.columns == docs.columns
+        kept = sorted(((r.doc_id or 0), r.text or "") for r in found.collect())
+        assert kept == sorted([(0, one), (0, one), (1, one), (1, two), (1, three), (3, "")])
+
+
 def vectors(rng: np.random.Generator) -> list[tuple]:
     rows, dim = [], 16
     for k in range(60):
