@@ -29,11 +29,14 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from graphloom.llm.common import bound_batches, map_batches
+from graphloom.llm.common import mix as scramble
 from graphloom.session import checkpointed
 
 MAX_SOURCES = 100_000
 #: Documents of a block on average; blocks of a prefix-sum group.
 BLOCK_DOCS, GROUP_BLOCKS = 256, 1024
+#: Rounds of the network that permutes a source's blocks.
+ROUNDS = 6
 #: Fixed value: the words of a text.
 WORDS = "[^\\x20\\x09-\\x0D]+"
 _WORD = re.compile(WORDS)
@@ -72,12 +75,19 @@ def shard_quotas(quotas: np.ndarray, shards: int, shard: int, seed: int) -> tupl
     return first, number
 
 
-def _permuted(index: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """The places index of a permutation of range(n)."""
-    step = max(1, int(n * 0.6180339887))
-    while math.gcd(step, n) != 1:
-        step += 1
-    return (index * step + seed * 7919) % n
+def permuted(index: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """The values at some places of a seeded random permutation of range(n): a Feistel network over the least square of a power of two that holds n, walked until inside."""
+    half = np.uint64(max(1, -(-(max(n, 2) - 1).bit_length() // 2)))
+    low = np.uint64((1 << int(half)) - 1)
+    keys = scramble(np.arange(1, ROUNDS + 1, dtype=np.uint64) + scramble(np.array([seed], np.uint64)))
+    out, walking = np.asarray(index, np.uint64).copy(), np.arange(len(index))
+    while len(walking):
+        left, right = out[walking] >> half, out[walking] & low
+        for key in keys:
+            left, right = right, left ^ (scramble(right + key) & low)
+        out[walking] = left << half | right
+        walking = walking[out[walking] >= n]
+    return out.astype(np.int64)
 
 
 def mix(
@@ -85,13 +95,15 @@ def mix(
     weights: tuple[float, ...] = (5.0, 2.0, 1.0),
     share: float = 1.5,
     most: float = 2.0,
-    shard_words: int = 50_000_000,
+    shard_words: int = 20_000_000,
+    least_shards: int = 16,
     seed: int = 42,
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken and draws of each row of docs(doc_id, text, source).
 
-    draws: epoch, shard, place (the order within a shard) and words of each time the document is taken;
-    taken is the sum of its words. Sources in code-point order take the weights in turn, over and over.
+    draws: epoch, shard, block, place (the order within a shard) and words of each time the document is taken,
+    as the shards draw its block; taken is the sum of their words. Sources in code-point order take the weights
+    in turn, over and over. There is a shard, in a power of two, for each shard_words, and least_shards at least.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -113,25 +125,25 @@ def mix(
     blocks = checkpointed(_with_words_before(placed.groupBy("number", "block").agg(F.sum("size").alias("words"))))
     partly = {r.number: r.n for r in blocks.join(F.broadcast(plan), "number").where("before < rest").groupBy("number").agg((F.max("block") + 1).alias("n")).collect()}
     quotas = [epochs * n + partly.get(k, 0) for k, _, _, _, n, epochs, _ in sources]
-    shards = 1 << max(0, math.ceil(math.log2(max(1.0, sum(found) / shard_words))))
+    shards = 1 << math.ceil(math.log2(max(1.0, least_shards, sum(found) / shard_words)))
     dealt = _deal(spark, [(n, epochs) for _, _, _, _, n, epochs, _ in sources], quotas, shards, seed)
     per_block = blocks.join(dealt, ["number", "block"])
     drawn = placed.join(per_block, ["number", "block"], "left").join(F.broadcast(plan.drop("source")), "number")
     cut = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest"))
     in_order = Window.partitionBy("number", "block").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    columns = ["doc_id", "size", "source_size", "target", "epochs", "rest", "shards", "part"]
+    columns = ["doc_id", "size", "source_size", "target", "epochs", "rest", "block", "shards", "part"]
     sure = drawn.where(~F.coalesce(cut, F.lit(False))).withColumn("part", F.when(F.col("before") < F.col("rest"), F.col("size")).otherwise(0)).select(columns)
     earlier = F.col("before") + F.coalesce(F.sum("size").over(in_order), F.lit(0))
     torn = drawn.where(cut).withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("rest") - earlier))).select(columns)
     words = lambda x: F.when(x["epoch"] < F.col("epochs"), F.col("size")).otherwise(F.col("part")).cast("long")
     place = lambda x: F.xxhash64("doc_id", x["epoch"], x["shard"], F.lit(seed))
-    draws = F.transform("shards", lambda x: F.struct(x["epoch"].alias("epoch"), x["shard"].alias("shard"), place(x).alias("place"), words(x).alias("words")))
+    draws = F.transform("shards", lambda x: F.struct(x["epoch"].alias("epoch"), x["shard"].alias("shard"), F.col("block").alias("block"), place(x).alias("place"), words(x).alias("words")))
     rows = sure.unionByName(torn).withColumn("draws", F.coalesce(F.filter(draws, lambda x: x["words"] > 0), F.array().cast(DRAWS)))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda total, x: total + x["words"])
     return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "draws")
 
 
-DRAWS = T.ArrayType(T.StructType([T.StructField("epoch", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("place", T.LongType()), T.StructField("words", T.LongType())]))
+DRAWS = T.ArrayType(T.StructType([T.StructField("epoch", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("place", T.LongType()), T.StructField("words", T.LongType())]))
 
 
 def _with_words_before(blocks: DataFrame) -> DataFrame:
@@ -154,7 +166,7 @@ def _deal(spark, sources: list[tuple[int, int]], quotas: list[int], shards: int,
                 first, number = shard_quotas(vector, shards, int(shard), seed)
                 for k in np.flatnonzero(number):
                     n, epochs = sources[k]
-                    place = _permuted(np.arange(first[k], first[k] + number[k]), int(vector[k]), seed + int(k))
+                    place = permuted(np.arange(first[k], first[k] + number[k]), int(vector[k]), seed + int(k))
                     yield pd.DataFrame({"number": np.int32(k), "block": place % n, "epoch": (place // n).astype(np.int32), "shard": np.int32(shard)})
 
     parts = min(shards, spark.sparkContext.defaultParallelism * 4)
@@ -176,4 +188,4 @@ def shard_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
         return batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
     rows = map_batches(rows, rows.columns, cut, "shard int, place long, doc_id long, words long, text string")
-    return rows.repartition("shard").sortWithinPartitions("shard", "place").select("shard", "place", "doc_id", "words", "text")
+    return rows.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place").select("shard", "place", "doc_id", "words", "text")

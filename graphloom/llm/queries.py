@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.llm import chat_rotation, decontaminate, embedding_links, html_extract, license_scan, mixing, quality, superminhash, token_counts, toxicity
 
@@ -20,7 +21,10 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("draws")
+    """n_draws and draws (shard:place of each, in order of epochs) tell where the splitting tree put what it takes."""
+    place = F.transform("draws", lambda x: F.concat_ws(":", x["shard"].cast("string"), x["place"].cast("string")))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("draws").alias("n_draws"), F.array_join(place, ",").alias("draws"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

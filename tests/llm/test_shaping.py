@@ -71,7 +71,35 @@ def test_splitting_tree_deals_every_block_once():
         taken = sorted(x for first, n in parts for x in range(first[k], first[k] + n[k]))
         assert taken == list(range(q))
     for n in (1, 2, 9, 64, 1000):
-        assert sorted(mixing._permuted(np.arange(n), n, 3)) == list(range(n))
+        assert sorted(mixing.permuted(np.arange(n), n, 3)) == list(range(n))
+    a, b = (mixing.permuted(np.arange(1000), 1000, seed) for seed in (3, 4))
+    assert (a == b).mean() < 0.02 and len(set(np.diff(a).tolist())) > 300 and (mixing.permuted(np.arange(40, 60), 1000, 3) == a[40:60]).all()
+
+
+def test_shards_draw_what_the_tree_deals_them(spark):
+    """Block by block: each shard's blocks of each source are its quota, in the source's permuted order, and each (epoch, block) is dealt once."""
+    sources, quotas, shards, seed = [(10, 2), (7, 0), (3, 1)], [23, 5, 3], 8, 42
+    found = mixing._deal(spark, sources, quotas, shards, seed).collect()
+    dealt = sorted((r.number, x.epoch, r.block, x.shard) for r in found for x in r.shards)
+    wanted = []
+    for shard in range(shards):
+        first, number = mixing.shard_quotas(np.array(quotas), shards, shard, seed)
+        for k, (n, _) in enumerate(sources):
+            order = mixing.permuted(np.arange(quotas[k]), quotas[k], seed + k)[first[k] : first[k] + number[k]]
+            wanted += [(k, int(x) // n, int(x) % n, shard) for x in order]
+    assert dealt == sorted(wanted) and len({x[:3] for x in dealt}) == sum(quotas)
+
+
+def test_taken_words_are_those_of_the_blocks_drawn(spark):
+    """On documents all of one size, a source's draws are whole blocks: which ones follows from the tree, and taken from them."""
+    rows = [(k, "word " * 10, f"s{k % 2}") for k in range(4000)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    blocks = {}
+    for r in mixed:
+        assert r.taken == sum(d.words for d in r.draws)
+        for d in r.draws:
+            blocks.setdefault((r.doc_id % 2, d.epoch, d.block), set()).add(d.shard)
+    assert all(len(s) == 1 for s in blocks.values()) and len({min(s) for s in blocks.values()}) == 16
 
 
 def rotate_plainly(rows: list[tuple]) -> dict:
