@@ -21,14 +21,55 @@ needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables
 
 def test_grammar_reads_clauses():
     grammar = toxicity.Grammar({"idiot": 4.0, "blockh*": 3.0})
-    assert grammar.run("you are an idiot") == {"targeted": 4.0}
-    assert grammar.run("what an idiot") == {"plain": 4.0}
-    assert grammar.run("that is not an idiot") == {"negated": 4.0}
-    assert grammar.run("mary said what an idiot") == {"reported": 4.0}
-    assert grammar.run("a blockhead in a blockhouse") == {"plain": 6.0}
-    assert grammar.run("i will kill you") == {"threat": 1.0}
+    assert grammar.run("you are an idiot") == grammar.run("an idiot is what you are") == {"targeted": 6.0}
+    assert grammar.run("what an idiot") == {"plain": 2.0}
+    assert grammar.run("an idiot and then six or seven more words about you") == {"plain": 2.0}
+    assert grammar.run("that is not an idiot") == grammar.run("you are not an idiot") == {"negated": 2.0}
+    assert grammar.run("mary said what an idiot") == {"reported": 2.0}
+    assert grammar.run("a blockhead in a blockhouse") == {"plain": 1.5, "piled": 3.0}
+    assert grammar.run("i will kill you") == {"threat": 4.5}
+    assert grammar.run("i will kill time") == grammar.run("i will not kill you") == grammar.run("she said kill you") == {}
     assert grammar.clauses("fine. an idiot, yes! idiotic sidiot") == [" an idiot, yes", " idiotic sidiot"]
-    assert grammar.features(None) == grammar.features("") == [0.0] * 9
+    assert grammar.features(None) == grammar.features("") == [0.0] * 10
+
+
+def paths(transducer: toxicity.Transducer, symbols: list[str]):
+    """Every (symbols written, factors) that a transducer accepts symbols with."""
+    found = [(transducer.start, (), ())]
+    for x in symbols:
+        found = [(after, (*out, written), (*factors, factor)) for state, out, factors in found for written, factor, after in transducer.arcs.get((state, x), ())]
+    return [(out, factors) for state, out, factors in found if state in transducer.finals]
+
+
+def test_composition_equals_every_path_of_the_cascade():
+    rng, cascade = np.random.default_rng(8), [toxicity.negation(), toxicity.reported_speech(), toxicity.target(), toxicity.threat(), toxicity.insult()]
+    for _ in range(300):
+        marks = rng.choice(toxicity.MARKS, rng.integers(0, 9), p=[0.4, 0.12, 0.1, 0.08, 0.18, 0.12]).tolist()
+        weights = [float(rng.integers(1, 5)) if m in toxicity.WEIGHTED else 0.0 for m in marks]
+        readings = [(tuple(marks), (1.0,) * len(marks))]
+        for transducer in cascade:
+            readings = [(out, tuple(np.multiply(before, factors).tolist())) for symbols, before in readings for out, factors in paths(transducer, list(symbols))]
+        best, values = None, set()
+        for out, factors in readings:
+            total = sum(f * w for f, w in zip(factors, weights, strict=True))
+            if best is None or total > best + 1e-9:
+                best, values = total, set()
+            if abs(total - best) < 1e-9:
+                sums = {}
+                for symbol, f, w in zip(out, factors, weights, strict=True):
+                    if f * w:
+                        sums[symbol] = sums.get(symbol, 0.0) + f * w
+                values.add(tuple(sorted(sums.items())))
+        found = toxicity.composed().best(marks, weights)
+        assert abs(sum(found.values()) - best) < 1e-9 and tuple(sorted(found.items())) in values
+
+
+def test_training_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(1, f"text {k % 40}") for k in range(400)] + [(3, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (3, 0), (1, 0)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels, 7).collect()
+    assert len(rows) == 7 and len({(r.doc_id, r.text) for r in rows}) == 7
+    assert len(toxicity.training_rows(docs, labels).collect()) == 41
 
 
 @needs_data
