@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.session import importable
+from graphloom.session import checkpointed, importable
 
 #: Rows of an Arrow batch; texts of 100 kB then make 25 MB.
 BATCH_ROWS = 256
@@ -141,3 +141,11 @@ def join_hot(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str) -
 def with_few(rows: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
     """rows.join(lookup, keys, "left") for a lookup that is small as a rule: broadcast if it is (FEW rows), joined by shuffle if not."""
     return rows.join(F.broadcast(lookup) if lookup.limit(FEW + 1).count() <= FEW else lookup, keys, "left")
+
+
+def join_spread(rows: DataFrame, lookup: DataFrame, key: str, other: str) -> DataFrame:
+    """rows.join(lookup, key) for a lookup of one row a key: a key that over HOT rows have meets them in as many tasks as that takes, dealt by a hash of their column other."""
+    hot = checkpointed(rows.groupBy(key).agg(F.ceil(F.count("*") / HOT).cast("int").alias("salts")).where("salts > 1"))
+    salted = lambda df: with_few(df, hot, [key]).withColumn("salts", F.coalesce("salts", F.lit(1)))
+    copies = salted(lookup).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return salted(rows).withColumn("salt", F.pmod(F.xxhash64(other), "salts").cast("int")).drop("salts").join(copies, [key, "salt"]).drop("salt")

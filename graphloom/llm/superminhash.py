@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import FEW, HOT, LOWER, encoded, grouped_hashes, join_hot, map_batches, mix, with_few
+from graphloom.llm.common import FEW, LOWER, encoded, grouped_hashes, join_hot, join_spread, map_batches, mix, with_few
 from graphloom.llm.components import smallest_reachable
 from graphloom.operators.storage import ranked
 from graphloom.session import checkpointed
@@ -146,10 +146,7 @@ def restricted(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def confirm(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Of pairs(a, b) of ids, those whose full sets have 100 * intersection >= percent * union; texts(id, text)."""
-    hot = checkpointed(pairs.groupBy("a").agg(F.ceil(F.count("*") / HOT).cast("int").alias("salts")).where("salts > 1"))
-    salts = lambda rows: with_few(rows, hot, ["a"]).withColumn("salts", F.coalesce("salts", F.lit(1)))
-    of_leads = salts(texts.withColumnsRenamed({"id": "a", "text": "text_a"})).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    left = salts(pairs).withColumn("salt", F.pmod(F.xxhash64("b"), "salts").cast("int")).drop("salts").join(of_leads, ["a", "salt"])
+    left = join_spread(pairs, texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a", "b")
     both = left.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

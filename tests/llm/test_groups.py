@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphloom.llm import common, embedding_links, superminhash
@@ -62,8 +64,7 @@ def test_families_of_near_copies_match_brute_force(spark, monkeypatch, many):
     monkeypatch.setattr(superminhash, "MANY", many)
     monkeypatch.setattr(superminhash, "BLOCK", 16)
     monkeypatch.setattr(superminhash, "CELL", 8)
-    for module in (common, superminhash):
-        monkeypatch.setattr(module, "HOT", 5)
+    monkeypatch.setattr(common, "HOT", 5)
     rng = random.Random(many)
     base = text(rng, 160).split()
     rows = []
@@ -159,17 +160,48 @@ def test_embeddings_match_brute_force(spark, seed):
     assert embedding_links.link(frame.limit(0)).count() == 0
 
 
-def test_estimates_are_unbiased():
-    rng = np.random.default_rng(5)
-    pairs = [(x / np.linalg.norm(x), y / np.linalg.norm(y)) for x, y in rng.standard_normal((300, 2, 64))]
-    near = [(x, (v := x + 0.3 * y) / np.linalg.norm(v)) for x, y in pairs]
-    for some in (pairs, near):
-        a, b = np.array([x for x, _ in some]), np.array([y for _, y in some])
-        code_a, f_a = embedding_links.bits(a, embedding_links.CODE_BITS, 1)
-        code_b, f_b = embedding_links.bits(b, embedding_links.CODE_BITS, 1)
-        value = (1 - 2 * (code_a != code_b).mean(axis=1)) / (f_a * f_b)
-        true = np.einsum("ij,ij->i", a, b)
-        slack = embedding_links.DEVIATIONS / (f_a * f_b * np.sqrt(embedding_links.CODE_BITS))
-        assert ((value + slack) >= true).all()
-        if some is pairs:
-            assert abs((value - true).mean()) < 0.02
+@pytest.mark.parametrize("dim", [24, 64, 300])
+def test_estimates_are_unbiased(dim):
+    """Over random rotations, of far pairs and near ones alike; the bound holds, and the share of unequal bits estimates the angle."""
+    rng, n = np.random.default_rng(5), 1000
+    units = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    x, y = units(rng.standard_normal((n, dim))), units(rng.standard_normal((n, dim)))
+    y = units(y - np.einsum("ij,ij->i", x, y)[:, None] * x)
+    for cosine in (0.0, 0.3, 0.7, 0.9, 0.97, 0.999):
+        z, errors, apart = cosine * x + math.sqrt(1 - cosine**2) * y, [], []
+        for seed in range(0, 600, 100):
+            signs, factor = embedding_links.codes(z, seed)
+            value, deviation = embedding_links.estimates(x, signs, factor, seed)
+            errors.append(value - cosine)
+            assert (np.abs(value - cosine) <= embedding_links.DEVIATIONS * deviation * math.sqrt(1 - cosine**2) + 1e-9).all()
+            mine = embedding_links.codes(x, seed)[0]
+            apart.append((mine != signs)[:, : embedding_links.KEPT_BITS].mean(axis=1))
+        errors, apart = np.concatenate(errors), np.concatenate(apart)
+        assert abs(errors.mean()) < 4 * errors.std() / math.sqrt(len(errors)) + 1e-12
+        assert abs(apart.mean() - math.acos(cosine) / math.pi) < 4 * apart.std() / math.sqrt(len(apart)) + 1e-12
+
+
+def test_recall_on_planted_pairs(spark):
+    """12,000 vectors, half of them partners of others at a cosine from 0.9 to 0.93, against all pairs."""
+    rng, n = np.random.default_rng(2), 6000
+    units = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    x, y = units(rng.standard_normal((n, 64))), rng.standard_normal((n, 64))
+    y = units(y - np.einsum("ij,ij->i", x, y)[:, None] * x)
+    cosine = rng.uniform(0.9001, 0.93, n)[:, None]
+    rows = np.concatenate((x, cosine * x + np.sqrt(1 - cosine**2) * y))
+    frame = spark.createDataFrame(pa.table({"vec_id": np.arange(2 * n), "embedding": list(rows)}))
+    found = {r.vec_id: r.n_links for r in embedding_links.link(frame).collect()}
+    wanted = np.concatenate([((rows[k : k + 2000] @ rows.T) >= 0.9).sum(axis=1) - 1 for k in range(0, 2 * n, 2000)])
+    assert wanted.sum() >= 2 * n and all(found[k] <= wanted[k] for k in found)
+    assert sum(found.values()) >= 0.99 * wanted.sum()
+
+
+def test_a_dense_cone_is_linked_whole(spark):
+    """Vectors around 25 degrees from each other, none in another's ball, against all pairs."""
+    rng, n = np.random.default_rng(3), 1200
+    center = rng.standard_normal(64)
+    rows = center / np.linalg.norm(center) + 0.04 * rng.standard_normal((n, 64))
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    found = embedding_links.link(spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": list(rows)}))).collect()
+    wanted = (rows @ rows.T >= 0.9).sum(axis=1) - 1
+    assert sum(r.n_links for r in found) >= 0.995 * wanted.sum() > 0 and all(r.n_links <= wanted[r.vec_id] for r in found)
