@@ -36,7 +36,7 @@ ALIKE = 86
 #: A component with more candidate pairs than this is compared in blocks, without a row for each pair.
 MANY = 4096
 #: Rows of a block of a bucket, which have signatures; rows of a block of a component, which have texts.
-BLOCK, CELL = 2048, 1024
+BLOCK, CELL = 1024, 1024
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
@@ -177,7 +177,7 @@ def _left_over(group: pd.DataFrame) -> pd.DataFrame:
             take = np.flatnonzero((alike >= ALIKE) & (component != row.component) & (small * 100 >= large * row.percent) & (~roams | (ids > row.id)))
             for c, cell in sorted(set(zip(component[take].tolist(), cells[take].tolist(), strict=True))):
                 here = take[(component[take] == c) & (cells[take] == cell)]
-                out.append((row.id, c, cell, ids[here].tolist()))
+                out.append((row.id, c, cell, ids[here]))
     return pd.DataFrame(out, columns=["x", "component", "cell", "others"])
 
 
@@ -212,14 +212,14 @@ def unresolved(members: DataFrame, known: DataFrame, signed: DataFrame, percent:
     visiting = rows.where("roams").select("*", F.lit(True).alias("visits"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), away.alias("part"))
     keys = ["band", "key", "block", "part"]
     both = at_home.unionByName(visiting).select(*keys, "visits", "roams", "id", "n", "component", "cell", "bytes", F.lit(percent).alias("percent"))
-    found = _dealt(both, keys, work.blocks + work.pairs // BLOCK**2).groupBy(keys).applyInPandas(_left_over, "x long, component long, cell int, others array<long>")
+    found = _dealt(both, keys, 0.002 * work.blocks + 0.3 * (work.pairs / BLOCK**2)).groupBy(keys).applyInPandas(_left_over, "x long, component long, cell int, others array<long>")
     return found.groupBy("x", "component", "cell").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
 
 
-def _dealt(rows: DataFrame, keys: list[str], groups: int) -> DataFrame:
-    """rows by keys over as many tasks as there are groups or more cores can use: adaptive execution would merge them by size alone."""
+def _dealt(rows: DataFrame, keys: list[str], seconds: float) -> DataFrame:
+    """rows by keys over as many tasks as take about five of the seconds each, or two a core if that is more: adaptive execution would merge them by size alone."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(max(4 * cores, min(50_000, groups // 4)), *keys)
+    return rows.repartition(int(max(2 * cores, min(100_000, seconds / 5))), *keys)
 
 
 def _first_links(percent: int):
@@ -255,7 +255,7 @@ def confirm_blocks(docs: DataFrame, rest: DataFrame, known: DataFrame, percent:
     rows = members.unionByName(visits)
     texts = restricted(docs, rows.select("id").distinct())
     groups = parts.agg(F.sum("parts")).first()[0] or 0
-    return _dealt(rows.join(texts, "id"), [*keys, "part"], 4 * groups).groupBy(*keys, "part").applyInPandas(_first_links(percent), "a long, b long")
+    return _dealt(rows.join(texts, "id"), [*keys, "part"], 5 * groups).groupBy(*keys, "part").applyInPandas(_first_links(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
