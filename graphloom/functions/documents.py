@@ -31,21 +31,30 @@ def plain_json(text: str) -> str:
     return _JSONC.sub(lambda m: m[1] or "", text)
 
 
-def changes(before: object, after: object, path: tuple[str, ...] = ()) -> Iterator[tuple[str, tuple[str, ...], object, object]]:
-    """(kind, path, before, after) of every difference; a changed leaf's ancestors are Modified too, arrays go by index."""
-    keys = lambda x: {k: x[k] for k in x} if isinstance(x, dict) else {str(k): v for k, v in enumerate(x)} if isinstance(x, list) else None
-    old, new = keys(before), keys(after)
-    if old is None or new is None or isinstance(before, dict) != isinstance(after, dict):
-        return
-    for key in sorted({*old, *new}):
-        here = (*path, key)
-        if key not in new:
-            yield "Deleted", here, old[key], None
-        elif key not in old:
-            yield "Added", here, None, new[key]
-        elif json.dumps(old[key], sort_keys=True) != json.dumps(new[key], sort_keys=True):
-            yield "Modified", here, old[key], new[key]
-            yield from changes(old[key], new[key], here)
+def _children(value: object) -> dict | None:
+    return value if isinstance(value, dict) else {str(k): v for k, v in enumerate(value)} if isinstance(value, list) else None
+
+
+def changes(before: object, after: object) -> Iterator[tuple[str, tuple[str, ...], object, object]]:
+    """(kind, path, before, after) of every difference, depth first; a changed leaf's ancestors are Modified too, arrays go by index."""
+    waiting = [((), before, after)]
+    while waiting:
+        path, before, after = waiting.pop()
+        if path:
+            yield "Modified", path, before, after
+        old, new = _children(before), _children(after)
+        if old is None or new is None or isinstance(before, dict) != isinstance(after, dict):
+            continue
+        deeper = []
+        for key in sorted({*old, *new}):
+            here = (*path, key)
+            if key not in new:
+                yield "Deleted", here, old[key], None
+            elif key not in old:
+                yield "Added", here, None, new[key]
+            elif json.dumps(old[key], sort_keys=True) != json.dumps(new[key], sort_keys=True):
+                deeper.append((here, old[key], new[key]))
+        waiting += reversed(deeper)
 
 
 @F.udtf(returnType="kind string, path string, before string, after string")
@@ -57,3 +66,119 @@ class JsonDiff:
         show = lambda value: json.dumps(value, sort_keys=True, separators=(",", ":"))
         for kind, path, old, new in changes(parse(before), parse(after)):
             yield kind, ".".join(path), None if kind == "Added" else show(old), None if kind == "Deleted" else show(new)
+
+
+#: Manifest fields that mean nothing to dependents, what a lockfile stands for, and settings that no key holds.
+DEPENDENT_IGNORED = "version scripts description keywords author contributors maintainers license homepage repository bugs funding private publishConfig".split()
+DECLARATIONS = "dependencies devDependencies peerDependencies peerDependenciesMeta optionalDependencies dependenciesMeta".split()
+RESOLUTION_KEYS = "catalog catalogs dedupePeerDependents dedupePeers minimumReleaseAge minimumReleaseAgeExclude overrides patchedDependencies peerDependencyRules resolutionMode".split()
+UNKEYED_SETTINGS = (
+    "targetDefaults namedInputs $schema extends defaultBase affected parallel tui cli generators release sync s3 nxCloudId nxCloudAccessToken nxCloudUrl "
+    "nxCloudEncryptionKey neverConnectToCloud defaultProject"
+).split()
+UNKEYED_PROJECT = "name targets namedInputs tags implicitDependencies sourceRoot metadata projectType $schema generators release".split()
+
+
+def uncommented(text: str | Column) -> Column:
+    """JSON of a text with comments and trailing commas; what stands in strings stays."""
+    pattern = r'("(?:[^"\\]|\\.)*")|//[^\n]*|/\*(?s:.*?)\*/|,(?=\s*[}\]])'
+    return F.regexp_replace(text, pattern, "$1")
+
+
+def entries(text: str | Column) -> Column:
+    """The top-level fields of a JSON object as a map of variants; null for anything else."""
+    return F.when(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.from_json(text, "map<string,variant>"))
+
+
+def without_fields(text: str | Column, names: list[str]) -> Column:
+    """A JSON object in canonical form without some of its fields."""
+    kept = F.map_filter(entries(text), lambda k, v: ~k.isin(*names))
+    return canonical(F.to_json(kept))
+
+
+def manifest_for_dependents(text: str | Column, lockfile: bool) -> Column:
+    """A manifest as dependents read it: without metadata and, where a lockfile records what is installed, without declarations."""
+    return without_fields(text, DEPENDENT_IGNORED + (DECLARATIONS if lockfile else []))
+
+
+def keyed_settings(text: str | Column, own: list[str] = ()) -> Column:
+    """Workspace settings that keys hold: of `cli` its packageManager alone; own are further names of a tool that no key holds."""
+    manager = F.try_variant_get(F.try_parse_json(text), "$.cli.packageManager", "variant")
+    kept = F.map_filter(entries(text), lambda k, v: ~k.isin(*UNKEYED_SETTINGS, *own))
+    with_manager = F.map_concat(kept, F.map_from_arrays(F.array(F.lit("cli")), F.array(F.parse_json(F.concat(F.lit('{"packageManager":'), F.to_json(manager), F.lit("}"))))))
+    return canonical(F.to_json(F.when(manager.isNotNull(), with_manager).otherwise(kept)))
+
+
+def keyed_definition(text: str | Column, own: list[str] = ()) -> Column:
+    """A target's definition as its key holds it: without what only describes it, and without further names (own) that change no result."""
+    return without_fields(text, ["metadata", *own])
+
+
+def projection(path: str, text: str, fields: list[str] | None, exclude: list[str]) -> str | None:
+    """Some dotted fields of a JSON or YAML text as canonical JSON, less excluded ones; null if it can't be read."""
+    try:
+        if path.endswith((".yaml", ".yml")):
+            import yaml
+
+            value = yaml.safe_load(text)
+        else:
+            value = json.loads(plain_json(text))
+    except Exception:  # whatever a parser raises on a text that isn't its own
+        return None
+    if fields is not None:
+        kept: dict = {}
+        for field in fields:
+            found, known = value, True
+            for part in field.split("."):
+                known = known and isinstance(found, dict) and part in found
+                found = found[part] if known else None
+            if known:
+                *parents, last = field.split(".")
+                at = kept
+                for part in parents:
+                    at = at.setdefault(part, {})
+                    if not isinstance(at, dict):
+                        break
+                if isinstance(at, dict):
+                    at[last] = found
+        value = kept
+    for field in exclude:
+        *parents, last = field.split(".")
+        at = value
+        for part in parents:
+            at = at.get(part) if isinstance(at, dict) else None
+        if isinstance(at, dict):
+            at.pop(last, None)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str)
+
+
+def projected(path: str | Column, text: str | Column, fields: list[str] | None = None, exclude: list[str] = ()) -> Column:
+    """As projection, of columns, in Arrow batches."""
+    import pandas as pd
+
+    exclude = list(exclude)
+
+    @F.pandas_udf("string")
+    def run(paths: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else projection(p or "", t, fields, exclude) for p, t in zip(paths, texts, strict=True)], dtype=object)
+
+    return run(path, text)
+
+
+def tsconfig_parts(text: str | Column) -> Column:
+    """A tsconfig as a struct: rest (canonical JSON), paths (mapping to targets) and references (normalised); references that aren't all plain paths stay in rest."""
+    from graphloom.functions.names import posix_join
+
+    plain = uncommented(text)
+    fields = entries(plain)
+    options = F.from_json(F.to_json(fields["compilerOptions"]), "map<string,variant>")
+    paths = F.from_json(F.to_json(options["paths"]), "map<string,array<string>>")
+    listed = F.from_json(F.to_json(fields["references"]), "array<map<string,string>>")
+    simple = listed.isNotNull() & ~F.exists(listed, lambda x: (F.size(x) != 1) | x["path"].isNull())
+    rest_options = F.to_json(F.map_filter(options, lambda k, v: k != "paths"))
+    rest = F.map_filter(fields, lambda k, v: ~((k == "references") & simple) & (k != "compilerOptions"))
+    rest = F.when(options.isNotNull(), F.map_concat(rest, F.map_from_arrays(F.array(F.lit("compilerOptions")), F.array(F.try_parse_json(rest_options))))).otherwise(
+        F.map_filter(fields, lambda k, v: ~((k == "references") & simple))
+    )
+    references = F.when(simple, F.array_sort(F.array_distinct(F.transform(listed, lambda x: F.regexp_replace(posix_join(F.lit(""), x["path"]), "(.)/$", "$1")))))
+    return F.struct(canonical(F.to_json(rest)).alias("rest"), F.coalesce(paths, F.create_map().cast("map<string,array<string>>")).alias("paths"), F.coalesce(references, F.array().cast("array<string>")).alias("references"))

@@ -1,12 +1,14 @@
 """Recursion over edges(source, target), where source depends on target: closures, explained breadth-first
-search and longest paths. Each loop keeps only its frontier's new rows in play and cuts lineage by checkpoint.
+search, longest paths and cycles. Each loop keeps only its frontier's new rows in play and cuts lineage by
+checkpoint; what follows one pointer an id (parents, unbranched chains) goes by doubling.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.storage import ranked
 from graphloom.session import checkpointed
 
 
@@ -60,72 +62,207 @@ def reachable_pairs(seeds: DataFrame, edges: DataFrame, dependents: bool = False
     return seen
 
 
-def explained(touched: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, chain, also: what touched(id) ids affect, breadth first.
+#: Rows of three numbers that one task may order.
+FEW = 100_000
+
 
-    chain leads from the touched id to this one over each step's first discoverer: among the shortest
-    chains, the first in order of ids, which is the order a queue started with sorted ids visits them in.
-    also: the other affected dependencies of an id that isn't touched itself.
+def discovered(touched: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, depth, parent, rank: what touched(id) ids affect, breadth first, with each id's first discoverer.
+
+    Ranks are places within a depth: a queue that starts with the touched ids in order visits ids in the
+    order of their parents' ranks, then of ids. Rows don't grow with the depth; chains() unrolls them.
     """
     steps = checkpointed(_steps(edges, True))
-    seen = frontier = checkpointed(touched.select("id").distinct().withColumn("chain", F.array("id")))
+    start = ranked(touched.select("id").distinct(), "id")
+    seen = frontier = checkpointed(start.select("id", F.lit(0).alias("depth"), F.lit(None).cast(start.schema["id"].dataType).alias("parent"), "rank"))
+    depth = 0
     while frontier.limit(1).count():
-        ahead = frontier.join(steps, frontier.id == steps["at"]).groupBy(F.col("next").alias("id")).agg(F.min("chain").alias("via"))
-        frontier = checkpointed(ahead.join(seen, "id", "left_anti").select("id", F.concat("via", F.array("id")).alias("chain")))
-        seen = checkpointed(seen.union(frontier))
+        depth += 1
+        ahead = frontier.join(steps, frontier.id == steps["at"]).groupBy(F.col("next").alias("id")).agg(F.min(F.struct("rank", F.col("at").alias("parent"))).alias("via"))
+        found = checkpointed(ahead.join(seen, "id", "left_anti").select("id", F.lit(depth).alias("depth"), "via.parent", F.col("via.rank").alias("before")))
+        if found.limit(FEW + 1).count() <= FEW:  # few enough for one task to order
+            frontier = found.withColumn("rank", F.row_number().over(Window.orderBy("before", "id")).cast("long"))
+        else:
+            frontier = ranked(found, "before", "id")
+        frontier = frontier.select("id", "depth", "parent", "rank")
+        seen = checkpointed(seen.union(frontier)) if depth % 4 == 0 else seen.union(frontier)
+    return seen
+
+
+def above(pointers: DataFrame, starts: DataFrame) -> DataFrame:
+    """start, id, steps: for each of starts(id), itself and all that pointers(id, parent), one an id, lead to; a cycle is gone round once.
+
+    Rounds double the pointers' reach, which keep one row an id, so there are about log2 of the longest way.
+    """
+    jump = checkpointed(pointers.where("parent IS NOT NULL").select("id", "parent"))
+    found = checkpointed(starts.select(F.col("id").alias("start"), "id", F.lit(0).cast("long").alias("steps")).distinct())
+    length, before = 1, -1
+    while True:
+        ahead = found.join(jump, "id").select("start", F.col("parent").alias("id"), (F.col("steps") + length).alias("steps"))
+        found = checkpointed(found.union(ahead).groupBy("start", "id").agg(F.min("steps").alias("steps")))
+        now = found.count()
+        if now == before:
+            return found
+        before, length = now, 2 * length
+        further = jump.select(F.col("id").alias("parent"), F.col("parent").alias("further"))
+        jump = checkpointed(jump.join(further, "parent").select("id", F.col("further").alias("parent")))
+
+
+def chains(found: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """id, chain: the ids from the touched one to each of wanted(id), or of all that discovered() found."""
+    starts = found.select("id") if wanted is None else wanted
+    rows = above(found.select("id", "parent"), starts)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("steps")).alias("place"), "id"))), lambda x: x["id"])
+    return rows.groupBy("start").agg(listed.alias("chain")).withColumnRenamed("start", "id")
+
+
+def explained(touched: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, chain, also: what touched(id) ids affect, breadth first.
+
+    chain leads from the touched id to this one over each step's first discoverer. also: the other affected
+    dependencies of an id that isn't touched itself.
+    """
+    seen = checkpointed(discovered(touched, edges))
     direct = edges.select("source", "target").distinct().join(seen.select(F.col("id").alias("target")), "target")
-    others = seen.join(direct, seen.id == direct.source).where((F.size("chain") > 1) & (F.col("target") != F.element_at("chain", -2)))
+    others = seen.join(direct, seen.id == direct.source).where(F.col("parent").isNotNull() & (F.col("target") != F.col("parent")))
     also = others.groupBy("id").agg(F.array_sort(F.collect_set("target")).alias("also"))
-    return seen.join(also, "id", "left").withColumn("also", F.coalesce("also", F.array().cast("array<long>")))
+    none = F.array().cast(also.schema["also"].dataType)
+    return chains(seen).join(also, "id", "left").withColumn("also", F.coalesce("also", none))
 
 
 def longest_paths(nodes: DataFrame, edges: DataFrame, dependents: bool = False) -> DataFrame:
     """id, length, via: the heaviest sum of weights of a chain ending at id of nodes(id, weight), and the
     neighbour it comes through, the first of those with most (null where a chain begins).
 
-    Chains run up the dependencies, or with dependents up what depends on them. A level is settled when all
-    its neighbours are: as many rounds as the graph is deep. A cycle never settles and raises ValueError.
+    Chains run up the dependencies, or with dependents up what depends on them. Unbranched stretches, where
+    each id leads to one other and that one comes from no other, are summed by doubling and stand as one; what
+    is left is settled level by level, a level when all its neighbours are, and settled rows leave the loop. A
+    cycle never settles and raises ValueError.
     """
     known = nodes.select("id")
     inside = edges.join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi")
     steps = checkpointed(_steps(inside, not dependents))  # a chain goes from `at` on to `next`
-    all_nodes = checkpointed(nodes.select("id", "weight"))
-    settled = all_nodes.select("id", F.col("weight").alias("length"), F.lit(None).cast("long").alias("via"), F.lit(0).alias("level")).limit(0)
-    n, left, level = 0, all_nodes.count(), 0
-    while n < left:
-        waiting = all_nodes.join(settled, "id", "left_anti") if level else all_nodes
-        blocked = steps.join(waiting.select(F.col("id").alias("at")), "at", "left_semi").select(F.col("next").alias("id"))
-        ready = waiting.join(blocked, "id", "left_anti")
-        before = steps.join(settled.select(F.col("id").alias("at"), "length"), "at")
-        best = before.groupBy("next").agg(F.max(F.struct("length", (-F.col("at")).alias("order"))).alias("best"))
-        length, via = F.col("weight") + F.coalesce("best.length", F.lit(0)), -F.col("best.order")
-        done = checkpointed(ready.join(best, ready.id == best["next"], "left").select("id", length.alias("length"), via.alias("via"), F.lit(level).alias("level")))
-        more = done.count()
-        if not more:
+    ways, comes = steps.groupBy("at").agg(F.count("*").alias("ways")), steps.groupBy("next").agg(F.count("*").alias("comes"))
+    tight = steps.join(ways.where("ways = 1"), "at").join(comes.where("comes = 1"), "next").select(F.col("next").alias("id"), F.col("at").alias("parent"))
+    stretch = _stretches(nodes, checkpointed(tight))
+    heads = stretch.groupBy("head").agg(F.max("so_far").alias("weight"), F.max_by("id", "place").alias("tail"))
+    loose = steps.join(tight.select(F.col("id").alias("next"), F.col("parent").alias("at")), ["at", "next"], "left_anti")
+    of_tail = checkpointed(heads)
+    between = loose.join(of_tail.select(F.col("tail").alias("at"), F.col("head").alias("from")), "at").select("from", "at", F.col("next").alias("to"))
+    settled = _levels(of_tail.select(F.col("head").alias("id"), "weight"), checkpointed(between))
+    rows = stretch.join(settled.withColumnRenamed("id", "head"), "head")
+    via = F.when(F.col("id") == F.col("head"), F.col("via")).otherwise(F.col("before"))
+    return rows.select("id", (F.col("base") + F.col("so_far")).alias("length"), via.alias("via"))
+
+
+def _stretches(nodes: DataFrame, tight: DataFrame) -> DataFrame:
+    """id, head, place, so_far, before: where each id stands in its stretch of tight(id, parent) links, and the weights up to it."""
+    rows = nodes.select("id", "weight").join(tight, "id", "left")
+    state = checkpointed(rows.select("id", "weight", F.col("parent").alias("before"), F.coalesce("parent", "id").alias("up"), F.col("weight").alias("sum"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("place"), F.col("parent").isNull().alias("done")))
+    limit = state.count()
+    reach = 1
+    while state.where("NOT done").limit(1).count():
+        if reach > 2 * limit:
+            raise ValueError("the edges have a cycle")
+        top = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("place").alias("place2"), F.col("done").alias("done2"))
+        done, open_rows = state.where("done"), state.where("NOT done").join(top, "up")
+        # a finished one above is a head or hangs on its head: its sum counts from there
+        moved = open_rows.select("id", "weight", "before", F.col("up2").alias("up"), (F.col("sum") + F.col("sum2")).alias("sum"), (F.col("place") + F.col("place2")).alias("place"), F.col("done2").alias("done"))
+        state = checkpointed(done.unionByName(moved))
+        reach *= 2
+    return state.select("id", F.col("up").alias("head"), "place", F.col("sum").alias("so_far"), "before")
+
+
+def _levels(nodes: DataFrame, steps: DataFrame) -> DataFrame:
+    """id, base, via of nodes(id, weight): the heaviest sum before each over steps(from, at, to), where `at` is the last id of `from`'s stretch."""
+    waiting = checkpointed(nodes.select("id", "weight", F.lit(None).cast("struct<length:long,order:long>").alias("best")))
+    out, rounds = None, 0
+    while waiting.limit(1).count():
+        ready = checkpointed(waiting.join(steps.select(F.col("to").alias("id")).distinct(), "id", "left_anti"))
+        if not ready.limit(1).count():
             raise ValueError("the edges have a cycle")
-        n, level = n + more, level + 1
-        settled = done if level == 1 else settled.union(done)
-    return settled
+        done = ready.select("id", F.coalesce("best.length", F.lit(0)).cast("long").alias("base"), (-F.col("best.order")).alias("via"))
+        out = done if out is None else out.union(done)
+        rounds += 1
+        if rounds % 8 == 0:
+            out = checkpointed(out)
+        lengths = ready.select(F.col("id").alias("from"), (F.coalesce("best.length", F.lit(0)) + F.col("weight")).alias("length"))
+        offered = steps.join(lengths, "from").groupBy(F.col("to").alias("id")).agg(F.max(F.struct("length", (-F.col("at")).alias("order"))).alias("more"))
+        left = waiting.join(ready.select("id"), "id", "left_anti").join(offered, "id", "left")
+        waiting = checkpointed(left.select("id", "weight", F.greatest("best", "more").alias("best")))
+        steps = checkpointed(steps.join(ready.select(F.col("id").alias("from")), "from", "left_anti"))
+    return out if out is not None else nodes.select("id", F.lit(0).cast("long").alias("base"), F.lit(None).cast("long").alias("via"))
 
 
 def critical_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """position, id, weight along the heaviest chain; of equal ones the first end by id, then the first neighbours. A part of weight 0 before the first weight is left out."""
-    settled = checkpointed(longest_paths(nodes, edges))
-    step = settled.where("length > 0").orderBy(F.desc("length"), "id").first()
-    path: list[int] = []
-    while step is not None:  # a lookup a step: the path alone comes to the driver
-        path.append(step.id)
-        step = settled.where((F.col("id") == step.via) & (F.col("length") > 0)).first() if step.via is not None else None
-    places = nodes.sparkSession.createDataFrame([(k, x) for k, x in enumerate(reversed(path))], "position int, id long")
-    return places.join(nodes, "id").select("position", "id", "weight")
+    settled = checkpointed(longest_paths(nodes, edges).where("length > 0"))
+    end = settled.orderBy(F.desc("length"), "id").limit(1).select("id")
+    path = above(settled.select("id", F.col("via").alias("parent")), end).join(settled.select("id"), "id")
+    most = F.max("steps").over(Window.partitionBy("start"))
+    return path.withColumn("position", (most - F.col("steps")).cast("int")).join(nodes, "id").select("position", "id", "weight")
 
 
-def has_cycle(edges: DataFrame) -> bool:
-    """Whether some id reaches itself: what is left after ids without dependencies are taken away, round by round."""
+def cyclic_part(edges: DataFrame) -> DataFrame:
+    """source, target of the edges that lead to a cycle: what is left after ids without dependencies are taken away, round by round."""
     left = checkpointed(edges.select("source", "target").distinct())
+    n = left.count()
     while True:
-        n = left.count()
         held = checkpointed(left.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
-        if held.count() == n:
-            return n > 0
-        left = held
+        now = held.count()
+        if now == n:
+            return held
+        left, n = held, now
+
+
+def has_cycle(edges: DataFrame) -> bool:
+    """Whether some id reaches itself."""
+    return bool(cyclic_part(edges).limit(1).count())
+
+
+def cycle(edges: DataFrame) -> DataFrame:
+    """place, id of one cycle, from its smallest id on: the one that the smallest id leads to over everyone's smallest dependency that leads to one; no rows without a cycle."""
+    first = checkpointed(cyclic_part(edges).groupBy(F.col("source").alias("id")).agg(F.min("target").alias("parent")))
+    start = first.agg(F.min("id").alias("id")).where("id IS NOT NULL")
+    end = above(first, start).orderBy(F.desc("steps")).limit(1).select("id")  # the last one new on the way is on the cycle
+    round_ = checkpointed(above(first, end))
+    least = round_.agg(F.min("id").alias("id")).where("id IS NOT NULL")
+    return above(first, least).select(F.col("steps").alias("place"), "id")
+
+
+#: Edges of the part that leads to cycles, which a depth-first search, a sequence by nature, takes to the driver.
+MOST_CYCLIC = 1_000_000
+
+
+def acyclic(edges: DataFrame) -> DataFrame:
+    """edges without those that close a cycle in a depth-first search in order of ids.
+
+    Only edges that lead to cycles can be on such a search's way to a cycle; these come to the driver, at most
+    MOST_CYCLIC of them (ValueError beyond), the others stay where they are.
+    """
+    part = cyclic_part(edges).limit(MOST_CYCLIC + 1).collect()
+    if len(part) > MOST_CYCLIC:
+        raise ValueError(f"over {MOST_CYCLIC} edges lead to cycles")
+    after: dict = {}
+    for r in part:
+        after.setdefault(r.source, []).append(r.target)
+    closing, visited = [], set()
+    for root in sorted(after):
+        if root in visited:
+            continue
+        visited.add(root)
+        on_path, stack = {root}, [(root, iter(sorted(after[root])))]
+        while stack:
+            here, ahead = stack[-1]
+            target = next(ahead, None)
+            if target is None:
+                stack.pop()
+                on_path.discard(here)
+            elif target in on_path:
+                closing.append((here, target))
+            elif target not in visited:
+                visited.add(target)
+                on_path.add(target)
+                stack.append((target, iter(sorted(after.get(target, ())))))
+    kind = edges.select("source", "target").schema
+    return edges.join(edges.sparkSession.createDataFrame(closing, kind), ["source", "target"], "left_anti")

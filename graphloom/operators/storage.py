@@ -19,12 +19,12 @@ def ranked(rows: DataFrame, *order: str) -> DataFrame:
 
     A range sort leaves each partition its share in order; ranks count on from the earlier partitions' sizes.
     """
-    placed = checkpointed(rows.orderBy(*order).select("*", F.monotonically_increasing_id().alias("at")))
-    part, local = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
-    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("part", before.alias("before"))
-    return placed.withColumn("part", part).withColumn("local", local).join(F.broadcast(offsets), "part").withColumn("rank", F.col("before") + F.col("local") + 1).drop("part", "local", "before", "at")
+    placed = checkpointed(rows.orderBy(*order).select("*", F.monotonically_increasing_id().alias("_at")))
+    part, local = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))  # a row for each partition
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", before.alias("_before"))
+    return placed.withColumn("_part", part).withColumn("rank", local).join(F.broadcast(offsets), "_part").withColumn("rank", F.col("_before") + F.col("rank") + 1).select(*rows.columns, "rank")
 
 
 def _running(rows: DataFrame, value: str, name: str, width: int = 4096) -> DataFrame:
