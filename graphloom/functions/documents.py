@@ -6,6 +6,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -154,8 +155,6 @@ def projection(path: str, text: str, fields: list[str] | None, exclude: list[str
 
 def projected(path: str | Column, text: str | Column, fields: list[str] | None = None, exclude: list[str] = ()) -> Column:
     """As projection, of columns, in Arrow batches."""
-    import pandas as pd
-
     exclude = list(exclude)
 
     @F.pandas_udf("string")

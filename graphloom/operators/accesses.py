@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 READS = ("read", "metadata", "list")
 
 
-def _written_before():
-    """Whether the task wrote the path at an earlier event."""
-    earlier = Window.partitionBy("task", "path").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.max(F.col("operation") == "write").over(earlier), F.lit(False))
+def with_written_before(accesses: DataFrame) -> DataFrame:
+    """accesses with own: whether the task wrote the path at an earlier event, by its first write of each path."""
+    first = accesses.where("operation = 'write'").groupBy("task", "path").agg(F.min("seq").alias("_first"))
+    return accesses.join(first, ["task", "path"], "left").withColumn("own", F.coalesce(F.col("_first") < F.col("seq"), F.lit(False))).drop("_first")
 
 
 def outside_reads(accesses: DataFrame) -> DataFrame:
     """task, path, n: reads of paths that the task hadn't written by then."""
-    return accesses.withColumn("own", _written_before()).where((F.col("operation") == "read") & ~F.col("own")).groupBy("task", "path").agg(F.count("*").alias("n"))
+    return with_written_before(accesses).where((F.col("operation") == "read") & ~F.col("own")).groupBy("task", "path").agg(F.count("*").alias("n"))
 
 
 def generated(accesses: DataFrame) -> DataFrame:
     """Events that read what their task wrote earlier."""
-    return accesses.withColumn("own", _written_before()).where(F.col("operation").isin(*READS) & F.col("own")).select("seq", "task", "path")
+    return with_written_before(accesses).where(F.col("operation").isin(*READS) & F.col("own")).select("seq", "task", "path")
 
 
 def package_paths(accesses: DataFrame, package) -> DataFrame:
@@ -33,7 +33,7 @@ def categories(accesses: DataFrame, declared: DataFrame, produced: DataFrame) ->
     """category of each event: what a task generated itself, a dependency's output (produced(path)), a declared(task, path) input,
     discovery (listing, metadata), a failed lookup, or uncovered."""
     flags = (
-        accesses.withColumn("own", _written_before())
+        with_written_before(accesses)
         .join(declared.select("task", "path").distinct().withColumn("declared", F.lit(True)), ["task", "path"], "left")
         .join(produced.select("path").distinct().withColumn("produced", F.lit(True)), "path", "left")
     )

@@ -64,11 +64,26 @@ def config_differences(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("project", "field", kind.alias("kind"))
 
 
-def merge_base(commits: DataFrame, left: int, right: int) -> DataFrame:
-    """id: the latest (highest) common ancestor of two of commits(source, target = parent)."""
-    spark = commits.sparkSession
-    of = lambda x: reachable(spark.createDataFrame([(x,)], "id long"), commits, dependents=False).select("id")
-    return of(left).join(of(right), "id", "left_semi").agg(F.max("id").alias("id"))
+def merge_bases(commits: DataFrame, left, right) -> DataFrame:
+    """id: the common ancestors of two of commits(source, target = parent) that no other common ancestor descends from."""
+    spark, kind = commits.sparkSession, commits.schema["source"].dataType.simpleString()
+    of = lambda x: reachable(spark.createDataFrame([(x,)], f"id {kind}"), commits, dependents=False).select("id")
+    common = checkpointed(of(left).join(of(right), "id", "left_semi"))
+    below = commits.join(common.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id"))
+    return common.join(below, "id", "left_anti")
+
+
+def merge_base(commits: DataFrame, left, right, upstream=None) -> DataFrame:
+    """id: the base of two commits, the first of several by id; where the branch's upstream has another base with right that descends from it, that one."""
+    spark, kind = commits.sparkSession, commits.schema["source"].dataType.simpleString()
+    local = checkpointed(merge_bases(commits, left, right).agg(F.min("id").alias("id")))
+    if upstream is None:
+        return local
+    remote = checkpointed(merge_bases(commits, upstream, right).agg(F.min("id").alias("id")))
+    found, base = remote.first()[0], local.first()[0]
+    older = reachable(spark.createDataFrame([(found,)], f"id {kind}"), commits, dependents=False) if found is not None else local.limit(0)
+    later = found is not None and found != base and (base is None or bool(older.where(F.col("id") == base).limit(1).count()))
+    return remote if later else local
 
 
 def landed(commits: DataFrame, base: int, head: int, branch: int) -> DataFrame:

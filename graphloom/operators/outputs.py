@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,12 +13,12 @@ from graphloom.operators.tasks import with_self
 
 
 @F.pandas_udf("string")
-def _regex(globs):
+def _regex(globs: pd.Series) -> pd.Series:
     return globs.map(extended_regex)
 
 
 @F.pandas_udf("string")
-def _folder(globs):
+def _folder(globs: pd.Series) -> pd.Series:
     return globs.map(literal_folder)
 
 
@@ -30,7 +31,7 @@ def _compiled(patterns: DataFrame) -> DataFrame:
 def _matches(paths: DataFrame, patterns: DataFrame) -> DataFrame:
     """path joined to every row of compiled patterns that matches it or a folder above it; meets by the patterns' literal folders."""
     places = paths.select("path").distinct().withColumn("anchor", F.explode(F.concat(F.array(F.lit(".")), with_self("path"))))
-    return places.join(patterns, "anchor").where(F.exists(with_self("path"), lambda x: x.rlike(F.col("regex"))))
+    return places.join(patterns, "anchor").where(F.exists(with_self("path"), lambda x: F.rlike(x, F.col("regex"))))
 
 
 def output_matches(paths: DataFrame, outputs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,11 +69,53 @@ def prefetch_order(members: DataFrame, hit: str, runs: int = 3) -> DataFrame:
     follows = members.drop("time").join(F.broadcast(newest), "run").where("pos <> at")
     order = F.struct((-F.col("time")).alias("time"), (-F.col("run")).alias("run"), (F.col("pos") < F.col("at")).alias("before"), F.abs(F.col("pos") - F.col("at")).alias("far"))
     first = follows.where(F.col("member") != hit).groupBy("member").agg(F.min(order).alias("order"))
-    return first.select("member", F.row_number().over(Window.orderBy("order")).alias("place"))
+    return ranked(first, "order").select("member", F.col("rank").alias("place"))
+
+
+def unique_prefixes(keys: DataFrame, length: int = 16) -> DataFrame:
+    """prefix, key of the keys(key) whose first `length` characters are no other's; ambiguous ones are left out."""
+    return keys.select("key").distinct().groupBy(F.substring("key", 1, length).alias("prefix")).agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1").select("prefix", "key")
+
+
+def followed(members: DataFrame, keys: DataFrame, length: int = 16) -> DataFrame:
+    """members(run, member) of the runs with the whole key each prefix names, where it names one."""
+    return members.join(unique_prefixes(keys, length), members.member == F.col("prefix")).drop("prefix")
+
 
+#: Fixed values of the filter's form: positions a key, and the share of false positives it is sized for.
+BLOOM_KEYS, BLOOM_RATE = 7, 0.01
 
-def bloom_positions(keys: DataFrame, bits: int, hashes: int = 7) -> DataFrame:
-    """Distinct bit positions of a Bloom filter of keys(key), by double hashing."""
-    a, b = F.xxhash64("key"), F.xxhash64("key", F.lit(1)).bitwiseOR(F.lit(1))
-    at = F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda k: F.pmod(F.shiftright(a, 1) + k * F.shiftright(b, 8), F.lit(bits)))
-    return keys.select(F.explode(at).alias("position")).distinct()
+
+def bloom_bits(n: int, rate: float = BLOOM_RATE) -> int:
+    """Bits of a filter of n keys: 64 at least."""
+    return max(64, math.ceil(-max(1, n) * math.log(rate) / math.log(2) ** 2))
+
+
+def bloom_filter(keys: DataFrame, bits: int | None = None, hashes: int = BLOOM_KEYS) -> DataFrame:
+    """byte, value: the non-zero bytes of a Bloom filter of keys(key: hex digits, 32 at least), bit p in byte p div 8 at p mod 8.
+
+    Position i is (h1 + i * h2) mod 2^64 mod bits; h1 and h2, made odd, are the first 8 bytes of the key and the next, the lowest first.
+    """
+    bits = bits or bloom_bits(keys.select("key").distinct().count())
+    little = lambda at: F.concat(*(F.substring("key", at + 14 - 2 * k, 2) for k in range(8)))
+    number = lambda at: F.conv(little(at), 16, 10).cast("decimal(38,0)")
+    whole = F.lit(str(2**64)).cast("decimal(38,0)")
+    h1, low = number(1), number(17)
+    h2 = low + (1 - low % 2)
+    at = [(((h1 + (h2 * k).cast("decimal(38,0)")) % whole).cast("decimal(38,0)") % bits).cast("long") for k in range(hashes)]
+    positions = keys.select("key").distinct().select(F.explode(F.array(*at)).alias("p")).distinct()
+    bytes_ = positions.groupBy(F.floor(F.col("p") / 8).alias("byte")).agg(F.sum(F.pow(F.lit(2.0), F.col("p") % 8)).alias("value"))
+    return bytes_.select(F.col("byte").cast("long").alias("byte"), F.col("value").cast("long").alias("value"))
+
+
+def warm_choice(records: DataFrame, wanted: DataFrame) -> DataFrame:
+    """task, record of records(task, record, key, worktree, portable, behind, started) to start each of wanted(task, key, worktree) from: the best key match
+    (equal, then a beginning), then its own worktree (others if portable), then the fewest commits behind (null last), then the newest."""
+    from graphloom.operators.verdicts import key_match
+
+    rows = records.join(wanted.select("task", F.col("key").alias("current"), F.col("worktree").alias("own")), "task")
+    quality = key_match(F.col("current"), F.col("key"))
+    other = F.col("worktree") != F.col("own")
+    rank = F.struct(quality.alias("quality"), other.alias("other"), F.col("behind").isNull().alias("unknown"), "behind", (-F.col("started")).alias("age"), "record")
+    fit = rows.withColumn("rank", rank).where(F.col("rank.quality").isNotNull() & (~F.col("rank.other") | F.col("portable")))
+    return fit.groupBy("task").agg(F.min("rank").alias("rank")).select("task", "rank.record")

@@ -37,14 +37,14 @@ def a23(spark, sf_dir):
 @query(
     "u6_substitution",
     CHANGED
-    + """ SELECT DISTINCT path FROM (SELECT path FROM (SELECT DISTINCT key AS path FROM changes WHERE importer < 10) WHERE path % 3 <> 0
+    + """ SELECT DISTINCT path FROM (SELECT path FROM (SELECT DISTINCT key AS path FROM changes) WHERE path % 3 <> 0
     UNION ALL SELECT p_partkey FROM part WHERE p_partkey % 3 = 0 AND p_size % 2 <> p_partkey % 2)""",
     "installs_before installs_after",
 )
 def u6(spark, sf_dir):
     part = views.table(spark, sf_dir, "part").where("p_partkey % 3 = 0")
     artifacts = part.select(F.col("p_partkey").alias("path"), (F.col("p_size") % 2).cast("long").alias("before"), (F.col("p_partkey") % 2).alias("after"))
-    changed = changes(spark, sf_dir).where("importer < 10").select(F.col("key").alias("path")).distinct()
+    changed = changes(spark, sf_dir).select(F.col("key").alias("path")).distinct()
     return locate.substituted(changed, part.select(F.col("p_partkey").alias("path")), artifacts)
 
 
@@ -61,7 +61,7 @@ def u2(spark, sf_dir):
 
 @query(
     "u1_reasons",
-    """, r AS (SELECT root AS project, 0 AS place, 'path' AS reason, name AS detail FROM catalog WHERE tag = 'SMALL' AND name LIKE '1%' UNION SELECT root, 1, 'manifest', tag FROM catalog WHERE name LIKE '2%'
+    """, r AS (SELECT root AS project, 0 AS place, 'path' AS reason, name AS detail FROM catalog WHERE tag = 'SMALL' UNION SELECT root, 1, 'manifest', tag FROM catalog WHERE name LIKE '2%'
         UNION SELECT root, 2, 'lockfile', tag FROM catalog WHERE tag IN ('LARGE', 'PROMO'))
     SELECT project, string_agg(reason || ':' || detail, ';' ORDER BY place, detail) AS reasons FROM r GROUP BY project""",
     "catalog",
@@ -70,7 +70,7 @@ def u1(spark, sf_dir):
     catalog = views.catalog(spark, sf_dir).withColumn("project", F.col("root"))
     return locate.reasons(
         [
-            ("path", catalog.where("tag = 'SMALL' AND name LIKE '1%'").withColumn("detail", F.col("name"))),
+            ("path", catalog.where("tag = 'SMALL'").withColumn("detail", F.col("name"))),
             ("manifest", catalog.where("name LIKE '2%'").withColumn("detail", F.col("tag"))),
             ("lockfile", catalog.where("tag IN ('LARGE', 'PROMO')").withColumn("detail", F.col("tag"))),
         ]

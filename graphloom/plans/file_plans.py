@@ -234,7 +234,7 @@ def s1(spark, sf_dir):
 
 @query(
     "d1_json_diff",
-    """, d AS (SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS t FROM events WHERE event_id % 20 = 0)
+    """, d AS (SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS t FROM events)
     SELECT event_id, 'Modified' AS kind, 'k' AS path, k AS before, CAST(CAST(k AS INT) + 1 AS VARCHAR) AS after FROM d
     UNION ALL SELECT event_id, 'Added', 'more', NULL, '[1,"' || t || '"]' FROM d
     UNION ALL SELECT event_id, 'Modified', 'in', '{"a":1,"b":2}', '{"a":1,"b":3}' FROM d UNION ALL SELECT event_id, 'Modified', 'in.b', '2', '3' FROM d""",
@@ -243,7 +243,7 @@ def d1(spark, sf_dir):
     from graphloom.session import importable
 
     importable(spark)
-    events = views.table(spark, sf_dir, "events").where("event_id % 20 = 0")
+    events = views.table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k")
     before = F.concat(F.lit('{"in": {"a": 1, "b": 2}, "k": '), k, F.lit("}"))
     after = F.concat(F.lit('{"k": '), (k.cast("int") + 1).cast("string"), F.lit(', "in": {"b": 3, "a": 1}, "more": [1, "'), "event_type", F.lit('"]}'))
@@ -262,7 +262,17 @@ def t1(spark, sf_dir):
     return watch.session_batches(views.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "1 hour")
 
 
-@query("t1_capped_batches")
+@query(
+    "t1_capped_batches",
+    """, e AS (SELECT user_id AS watcher, json_extract_string(props, '$.k') AS path, epoch_us(ts) // 1000 AS t0, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, json_extract_string(props, '$.k')) AS n FROM events),
+    s(watcher, n, first, deadline, paths, batch) AS (SELECT watcher, n, t0, t0 + 3600000, [path], 1 FROM e WHERE n = 1
+        UNION ALL SELECT e.watcher, e.n, CASE WHEN e.t0 >= s.deadline THEN e.t0 ELSE s.first END,
+            CASE WHEN e.t0 >= s.deadline THEN e.t0 + 3600000 WHEN list_contains(s.paths, e.path) THEN s.deadline ELSE least(e.t0 + 3600000, s.first + 21600000) END,
+            CASE WHEN e.t0 >= s.deadline THEN [e.path] WHEN list_contains(s.paths, e.path) THEN s.paths ELSE list_append(s.paths, e.path) END, s.batch + CASE WHEN e.t0 >= s.deadline THEN 1 ELSE 0 END
+        FROM s JOIN e ON e.watcher = s.watcher AND e.n = s.n + 1)
+    SELECT watcher, first, max(len(paths)) AS paths FROM s GROUP BY watcher, batch, first""",
+    recursive=True,
+)
 def t1_capped(spark, sf_dir):
     """Batches that only a new path extends and that end after six hours at most; the same state machine as the stream's."""
     events = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("watcher"), F.get_json_object("props", "$.k").alias("path"), views.millis("ts").alias("at"))

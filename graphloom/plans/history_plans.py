@@ -98,14 +98,14 @@ def a20(spark, sf_dir):
 @query(
     "a22_parallel_verdict",
     """, w AS (SELECT run, sum(CASE WHEN warm THEN cores * 100 ELSE 0 END) AS waited, max(started + millis) - min(started) AS wall,
-        round(avg(CASE WHEN execution % 4 = 0 THEN CAST(cpu AS DOUBLE) / (1 + 4 * millis) END), 6) AS busy FROM exec_log WHERE run % 2 = 0 OR execution % 50 = 0 GROUP BY run)
+        round(avg(CASE WHEN execution % 4 = 0 THEN CAST(cpu AS DOUBLE) / (1 + 4 * millis) END), 6) AS busy FROM exec_log GROUP BY run)
     SELECT run, CAST(waited AS BIGINT) AS waited, CASE WHEN waited < 200 OR waited < (wall // 100000) * 0.05 THEN 'no-wait' WHEN busy IS NULL THEN 'waited'
         WHEN busy >= 0.85 THEN 'machine-bound' ELSE 'more-slots' END AS verdict FROM w""",
     "exec_log",
 )
 def a22(spark, sf_dir):
     """Waits, walls and load samples are stand-ins by key arithmetic."""
-    log = views.exec_log(spark, sf_dir).where("run % 2 = 0 OR execution % 50 = 0")
+    log = views.exec_log(spark, sf_dir)
     waits = log.select("run", F.when(F.col("warm"), F.col("cores") * 100).otherwise(0).alias("wait"))
     walls = log.groupBy("run").agg(F.expr("(max(started + millis) - min(started)) div 100000").alias("wall"))
     load = log.select("run", (F.col("cpu") / (1 + 4 * F.col("millis"))).alias("load"), (F.col("execution") % 4 == 0).alias("waiting"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import closure, inputs
+from graphloom.operators import inputs, tasks
 from graphloom.plans.registry import query
 from graphloom.sources import views
 
@@ -70,13 +70,26 @@ def g23(spark, sf_dir):
     return inputs.process_totals(nodes.where("id BETWEEN 2 AND 9").select("id"), processes)
 
 
-@query(
-    "g19_servers",
-    """, reach(id) AS (SELECT CAST(180 AS BIGINT) UNION SELECT e.target FROM reach r JOIN edges e ON e.source = r.id WHERE (e.source + e.target) % 3 <> 0) SELECT id FROM reach WHERE id <> 180""",
-    "edges",
-    recursive=True,
-)
+SERVERS = """, reach(start, id) AS (SELECT id, id FROM nodes WHERE id % 50 = 23 UNION SELECT r.start, e.target FROM reach r JOIN edges e ON e.source = r.id WHERE {counting}) SELECT start AS task, id AS dependency FROM reach WHERE id <> start"""
+
+
+@query("g18_closures", SERVERS.format(counting="true"), "nodes edges", recursive=True)
+def g18(spark, sf_dir):
+    """All that some tasks depend on, themselves left out."""
+    starts = views.nodes(spark, sf_dir).where("id % 50 = 23").select(F.col("id").alias("task"))
+    edges = views.edges(spark, sf_dir).select(F.col("source").alias("task"), F.col("target").alias("dependency"))
+    return tasks.output_dependencies(starts, edges, transitive=True)
+
+
+@query("g19_servers", SERVERS.format(counting="(e.source + e.target) % 3 <> 1"), "nodes edges", recursive=True)
 def g19(spark, sf_dir):
-    """The closure over edges that count as inputs, itself left out."""
-    counting = views.edges(spark, sf_dir).where("(source + target) % 3 <> 0")
-    return closure.reachable(spark.createDataFrame([(180,)], "id long"), counting, dependents=False).where("id <> 180").select("id")
+    """The same over edges that count as inputs alone."""
+    starts = views.nodes(spark, sf_dir).where("id % 50 = 23").select(F.col("id").alias("task"))
+    counting = views.edges(spark, sf_dir).where("(source + target) % 3 <> 1").select(F.col("source").alias("task"), F.col("target").alias("dependency"))
+    return tasks.output_dependencies(starts, counting, transitive=True)
+
+
+@query("g9_direct_outputs", "SELECT e.source AS task, e.target AS dependency FROM edges e WHERE e.source % 50 = 23", "edges")
+def g9(spark, sf_dir):
+    starts = views.nodes(spark, sf_dir).where("id % 50 = 23").select(F.col("id").alias("task"))
+    return tasks.output_dependencies(starts, views.edges(spark, sf_dir).select(F.col("source").alias("task"), F.col("target").alias("dependency")), transitive=False)

@@ -68,19 +68,26 @@ def w9(spark, sf_dir):
 
 @query(
     "j20_prefix_join",
-    """, hashed AS (SELECT p_partkey, left(sha256(CAST(p_partkey AS VARCHAR)), 2) AS prefix FROM part), single AS (SELECT prefix, max(p_partkey) AS key FROM hashed GROUP BY prefix HAVING count(*) = 1 OR max(p_partkey) % 2 = 0)
-    SELECT s.key, count(*) AS n FROM lineitem l JOIN single s ON left(sha256(CAST(l.l_partkey AS VARCHAR)), 2) = s.prefix GROUP BY s.key""",
+    """, keys AS (SELECT sha256(CAST(p_partkey AS VARCHAR)) AS key FROM part UNION ALL SELECT left(sha256(CAST(p_partkey AS VARCHAR)), 16) || repeat('0', 48) FROM part WHERE p_partkey % 3 = 0),
+    single AS (SELECT left(key, 16) AS prefix, min(key) AS key FROM keys GROUP BY 1 HAVING count(DISTINCT key) = 1)
+    SELECT s.key, count(*) AS n FROM lineitem l JOIN single s ON left(sha256(CAST(l.l_partkey AS VARCHAR)), 16) = s.prefix GROUP BY s.key""",
 )
 def j20(spark, sf_dir):
-    """Members named by a short prefix of a digest, joined to the keys that a rule keeps unambiguous; digests are of part keys."""
-    prefix = lambda c: F.substring(F.sha2(F.col(c).cast("string"), 256), 1, 2)
-    keys = views.table(spark, sf_dir, "part").groupBy(prefix("p_partkey").alias("prefix")).agg(F.count("*").alias("c"), F.max("p_partkey").alias("key"))
-    single = keys.where("c = 1 OR key % 2 = 0")
-    named = views.table(spark, sf_dir, "lineitem").groupBy(prefix("l_partkey").alias("prefix")).agg(F.count("*").alias("n"))
-    return named.join(single, "prefix").select("key", "n")
+    """Members named by 16 digits of a key; a prefix that two keys share names neither."""
+    digest = lambda c: F.sha2(F.col(c).cast("string"), 256)
+    part = views.table(spark, sf_dir, "part")
+    twins = part.where("p_partkey % 3 = 0").select(F.concat(F.substring(digest("p_partkey"), 1, 16), F.lit("0" * 48)))
+    members = views.table(spark, sf_dir, "lineitem").select("l_orderkey", F.substring(digest("l_partkey"), 1, 16).alias("member"))
+    return storage.followed(members, part.select(digest("p_partkey").alias("key")).union(twins)).groupBy("key").agg(F.count("*").alias("n"))
 
 
-@query("a15_bloom_positions")
+@query(
+    "a15_bloom_filter",
+    """, keys AS (SELECT DISTINCT sha256(CAST(p_partkey AS VARCHAR)) AS key FROM part), size AS (SELECT greatest(64, CAST(ceil(-count(*) * ln(0.01) / (ln(2) * ln(2))) AS BIGINT)) AS bits FROM keys),
+    swapped AS (SELECT key, CAST('0x' || array_to_string(list_transform(range(8), lambda i: substr(key, 15 - 2 * i, 2)), '') AS UHUGEINT) AS a, CAST('0x' || array_to_string(list_transform(range(8), lambda i: substr(key, 31 - 2 * i, 2)), '') AS UHUGEINT) AS b FROM keys),
+    positions AS (SELECT DISTINCT CAST((a + i * (b + 1 - b % 2)) % CAST('18446744073709551616' AS UHUGEINT) % bits AS BIGINT) AS p FROM swapped, size, range(7) r(i))
+    SELECT p // 8 AS byte, CAST(sum(1 << (p % 8)) AS BIGINT) AS value FROM positions GROUP BY 1""",
+)
 def a15(spark, sf_dir):
-    """Bits of a Bloom filter over part keys; its hash is Spark's, so there is no SQL twin."""
-    return storage.bloom_positions(views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key")), 1 << 16)
+    """A filter over digests of part keys, sized for one false positive in a hundred."""
+    return storage.bloom_filter(views.table(spark, sf_dir, "part").select(F.sha2(F.col("p_partkey").cast("string"), 256).alias("key")))

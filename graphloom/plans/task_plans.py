@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import formats
@@ -58,11 +57,33 @@ def j12(spark, sf_dir):
 ANCESTORS = """, a(id) AS (SELECT CAST(190 AS BIGINT) UNION SELECT e.target FROM a JOIN edges e ON e.source = a.id), b(id) AS (SELECT CAST(142 AS BIGINT) UNION SELECT e.target FROM b JOIN edges e ON e.source = b.id)"""
 
 
-@query("s12_merge_base", ANCESTORS + " SELECT max(id) AS id FROM a WHERE id IN (SELECT id FROM b)", "edges", recursive=True)
+@query(
+    "s12_merge_base",
+    ANCESTORS + """, common AS (SELECT id FROM a WHERE id IN (SELECT id FROM b)), bases AS (SELECT id FROM common c WHERE NOT EXISTS (SELECT 1 FROM common d JOIN edges e ON e.source = d.id WHERE e.target = c.id))
+    SELECT min(id) AS id FROM bases""",
+    "edges",
+    recursive=True,
+)
 def s12(spark, sf_dir):
     return affected.merge_base(views.edges(spark, sf_dir), 190, 142)
 
 
+@query(
+    "s12_upstream_base",
+    """, h(id) AS (SELECT CAST(190 AS BIGINT) UNION SELECT e.target FROM h JOIN edges e ON e.source = h.id), l(id) AS (SELECT CAST(3 AS BIGINT) UNION SELECT e.target FROM l JOIN edges e ON e.source = l.id),
+    u(id) AS (SELECT CAST(95 AS BIGINT) UNION SELECT e.target FROM u JOIN edges e ON e.source = u.id), near AS (SELECT id FROM h WHERE id IN (SELECT id FROM l)), far AS (SELECT id FROM h WHERE id IN (SELECT id FROM u)),
+    one AS (SELECT min(id) AS id FROM near n WHERE NOT EXISTS (SELECT 1 FROM near d JOIN edges e ON e.source = d.id WHERE e.target = n.id)),
+    two AS (SELECT min(id) AS id FROM far n WHERE NOT EXISTS (SELECT 1 FROM far d JOIN edges e ON e.source = d.id WHERE e.target = n.id)),
+    older(id) AS (SELECT id FROM two UNION SELECT e.target FROM older o JOIN edges e ON e.source = o.id)
+    SELECT CASE WHEN two.id <> one.id AND one.id IN (SELECT id FROM older) THEN two.id ELSE one.id END AS id FROM one, two""",
+    "edges",
+    recursive=True,
+)
+def s12_upstream(spark, sf_dir):
+    """A stale branch: its upstream's base with the head is later and counts."""
+    return affected.merge_base(views.edges(spark, sf_dir), 3, 190, upstream=95)
+
+
 @query(
     "s13_landed",
     ANCESTORS + ", c(id) AS (SELECT CAST(95 AS BIGINT) UNION SELECT e.target FROM c JOIN edges e ON e.source = c.id) SELECT count(*) AS n FROM a WHERE id NOT IN (SELECT id FROM b) AND id IN (SELECT id FROM c)",
@@ -73,20 +94,20 @@ def s13(spark, sf_dir):
     return affected.landed(views.edges(spark, sf_dir), 142, 190, 95)
 
 
-@query("l1_by_path", "SELECT DISTINCT owner AS project, path AS detail FROM (SELECT p.path, (SELECT root FROM roots r WHERE p.path = r.root OR starts_with(p.path, r.root || '/') ORDER BY length(root) DESC LIMIT 1) AS owner FROM paths p WHERE page_id % 3 = 0) WHERE owner IS NOT NULL", "paths roots")
+@query("l1_by_path", "SELECT DISTINCT owner AS project, path AS detail FROM (SELECT p.path, (SELECT root FROM roots r WHERE p.path = r.root OR starts_with(p.path, r.root || '/') ORDER BY length(root) DESC LIMIT 1) AS owner FROM paths p) WHERE owner IS NOT NULL", "paths roots")
 def l1(spark, sf_dir):
-    return affected.touched_by_path(views.paths(spark, sf_dir).where("page_id % 3 = 0"), views.roots(spark, sf_dir))
+    return affected.touched_by_path(views.paths(spark, sf_dir), views.roots(spark, sf_dir))
 
 
 @query(
     "l6_lockfile_touched",
-    """SELECT DISTINCT coalesce(a.importer, b.importer) AS importer FROM (SELECT * FROM installs_before WHERE key < 40) b FULL JOIN (SELECT * FROM installs_after WHERE key < 40) a USING (importer, key) WHERE a.fingerprint IS DISTINCT FROM b.fingerprint""",
+    """SELECT DISTINCT coalesce(a.importer, b.importer) AS importer FROM installs_before b FULL JOIN installs_after a USING (importer, key) WHERE a.fingerprint IS DISTINCT FROM b.fingerprint""",
     "installs_before installs_after",
 )
 def l6(spark, sf_dir):
     from graphloom.operators.locate import install_changes
 
-    before, after = (views.installs(spark, sf_dir, s).where("key < 40") for s in "OF")
+    before, after = (views.installs(spark, sf_dir, s) for s in "OF")
     return install_changes(before, after).select("importer").distinct()
 
 
@@ -144,9 +165,9 @@ def c5(spark, sf_dir):
     return verdicts.lookup_verdicts(found)
 
 
-@query("c11_run_outcome", "SELECT run, CAST(CASE WHEN bool_or(status = 'failure') THEN 1 ELSE 0 END AS BIGINT) AS code FROM (SELECT * FROM exec_log WHERE execution % 40 = 0) GROUP BY run", "exec_log")
+@query("c11_run_outcome", "SELECT run, CAST(CASE WHEN bool_or(status = 'failure') THEN 1 ELSE 0 END AS BIGINT) AS code FROM exec_log GROUP BY run", "exec_log")
 def c11(spark, sf_dir):
-    return verdicts.run_outcome(views.exec_log(spark, sf_dir).where("execution % 40 = 0"))
+    return verdicts.run_outcome(views.exec_log(spark, sf_dir))
 
 
 @query(
@@ -234,14 +255,42 @@ def f24(spark, sf_dir):
     return views.table(spark, sf_dir, "part").select(formats.package_of(key).alias("package")).distinct()
 
 
-@query("j21_warm_choice", """SELECT task, execution FROM (SELECT task, execution, row_number() OVER (PARTITION BY task ORDER BY cores % 2, CASE WHEN warm THEN 0 ELSE 1 END, started DESC, execution) AS place FROM exec_log WHERE status = 'success') WHERE place = 1""", "exec_log")
+@query(
+    "j21_warm_choice",
+    """, r AS (SELECT task, execution, cores, warm, started, CASE WHEN cores = 1 THEN 0 WHEN cores IN (2, 3) THEN 1 END AS quality, run % 3 <> 0 AS other, CASE WHEN execution % 4 > 0 THEN execution % 4 END AS behind FROM exec_log WHERE status = 'success')
+    SELECT task, execution AS record FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY quality, other, behind NULLS LAST, started DESC, execution) AS place FROM r WHERE quality IS NOT NULL AND (NOT other OR warm)) WHERE place = 1""",
+    "exec_log",
+)
 def j21(spark, sf_dir):
-    """The record to start each task from: best key match, then own worktree, then newest; cores and warm stand in."""
-    order = Window.partitionBy("task").orderBy(F.col("cores") % 2, F.when(F.col("warm"), 0).otherwise(1), F.desc("started"), "execution")
-    return views.exec_log(spark, sf_dir).where("status = 'success'").withColumn("place", F.row_number().over(order)).where("place = 1").select("task", "execution")
+    """The record to start each task from; keys are of one to four parts by cores, worktrees by run."""
+    log = views.exec_log(spark, sf_dir)
+    key = F.when(F.col("cores") == 4, F.array(F.lit("other"))).otherwise(F.concat(F.array(F.lit("a"), F.lit("b")), F.array_repeat(F.lit("c"), (F.col("cores") - 1).cast("int"))))
+    records = log.where("status = 'success'").select(
+        "task", F.col("execution").alias("record"), key.alias("key"), F.when(F.col("run") % 3 == 0, "own").otherwise("else").alias("worktree"), F.col("warm").alias("portable"),
+        F.when(F.col("execution") % 4 > 0, F.col("execution") % 4).alias("behind"), "started",
+    )
+    wanted = log.select("task").distinct().select("task", F.array(F.lit("a"), F.lit("b")).alias("key"), F.lit("own").alias("worktree"))
+    return storage.warm_choice(records, wanted)
 
 
-@query("a21_longest_steps", None)
+@query(
+    "c10_key_match",
+    "SELECT execution, CAST(CASE cores WHEN 1 THEN 0 WHEN 4 THEN NULL ELSE 1 END AS BIGINT) AS match FROM exec_log",
+    "exec_log",
+)
+def c10(spark, sf_dir):
+    key = F.when(F.col("cores") == 4, F.array(F.lit("other"))).otherwise(F.concat(F.array(F.lit("a"), F.lit("b")), F.array_repeat(F.lit("c"), (F.col("cores") - 1).cast("int"))))
+    return views.exec_log(spark, sf_dir).select("execution", verdicts.key_match(F.array(F.lit("a"), F.lit("b")), key).cast("long").alias("match"))
+
+
+@query(
+    "a21_longest_steps",
+    """, chains(start, here, total, chain) AS (SELECT id, id, weight, [id] FROM nodes UNION ALL SELECT c.start, n.id, c.total + n.weight, list_append(c.chain, n.id) FROM chains c JOIN edges e ON e.source = c.here JOIN nodes n ON n.id = e.target),
+    best AS (SELECT chain FROM chains ORDER BY total DESC, chain LIMIT 1), back AS (SELECT unnest(list_reverse(chain)) AS id, generate_subscripts(chain, 1) - 1 AS position FROM best)
+    SELECT CAST(position AS BIGINT) AS position, id, weight FROM back JOIN nodes USING (id) WHERE weight >= 30 ORDER BY weight DESC, position LIMIT 3""",
+    "nodes edges",
+    recursive=True,
+)
 def a21(spark, sf_dir):
     """The three heaviest steps of the critical path, in its order."""
     from graphloom.operators.closure import critical_path

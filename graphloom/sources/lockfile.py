@@ -20,7 +20,7 @@ def _rows(text: str) -> Iterator[tuple[str, str | None, str | None, str | None]]
     import yaml
 
     main = None
-    for document in yaml.safe_load_all(text):
+    for document in yaml.load_all(text, getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
         importers = (document or {}).get("importers") or {}
         if importers and all("configDependencies" in x or "packageManagerDependencies" in x for x in importers.values()):
             yield "environment", None, None, json.dumps(document, sort_keys=True, separators=(",", ":"), default=str)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +40,12 @@ def dotenv(text: str, known: dict[str, str] | None = None) -> dict[str, str]:
         value = re.sub(r"\\(.)", lambda e: {"n": "\n", "t": "\t"}.get(e[1], e[1]), m[3]) if m[3] is not None else m[4]
         out[m[1]] = re.sub(r"\$\{?([A-Za-z_]\w*)\}?", lambda v: out.get(v[1], (known or {}).get(v[1], "")), value)
     return out
+
+
+def dotenv_pairs(text: str):
+    """A column of dotenv texts as arrays of name and value, in order."""
+    @F.pandas_udf("array<struct<name:string,value:string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"name": k, "value": v} for k, v in dotenv(t or "").items()])
+
+    return run(text)

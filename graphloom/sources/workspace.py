@@ -6,6 +6,7 @@ other files (at_revision). Texts that can't be parsed are left out of what is pa
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ def ignore_rules(files: DataFrame) -> DataFrame:
     placed = F.when(inner.contains("/"), F.regexp_replace(inner, "^/", "")).otherwise(F.concat(F.lit("**/"), inner))
 
     @F.pandas_udf("string")
-    def regex(globs):
+    def regex(globs: pd.Series) -> pd.Series:
         return globs.map(to_regex)
 
     return rules.select("base", (F.col("file") * 1_000_000 + F.col("line")).alias("place"), F.col("rule").startswith("!").alias("negated"), bare.endswith("/").alias("folder"), regex(placed).alias("pattern"))
@@ -57,7 +58,7 @@ def ignored(paths: DataFrame, rules: DataFrame) -> DataFrame:
     entries = above.union(whole.select(F.col("path").alias("entry"), F.lit(False)))
     based = entries.withColumn("base", F.explode(F.concat(F.array(F.lit(".")), ancestors("entry"))))
     below = F.when(F.col("base") == ".", F.col("entry")).otherwise(F.expr("substring(entry, length(base) + 2)"))
-    hits = based.join(rules, "base").where(below.rlike(F.col("pattern")) & (F.col("is_folder") | ~F.col("folder")))
+    hits = based.join(rules, "base").where(F.rlike(below, F.col("pattern")) & (F.col("is_folder") | ~F.col("folder")))
     depth = F.when(F.col("base") == ".", 0).otherwise(F.size(F.split("base", "/")))
     last = hits.groupBy("entry").agg(F.max_by("negated", F.struct(depth.alias("depth"), "place")).alias("negated"))
     out = last.where("NOT negated").select("entry")

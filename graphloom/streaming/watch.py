@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -51,17 +51,56 @@ class Debounce:
 
 
 def capped_batches(events: DataFrame, gap: int, cap: int) -> DataFrame:
-    """watcher, first, paths of every batch of events(watcher, path, at), one watcher's events in a group."""
-    importable(events.sparkSession)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        state, out = Debounce(gap, cap), []
-        for at, path in group.sort_values(["at", "path"])[["at", "path"]].itertuples(index=False):
-            out.append(state.add(at, path))
-        out.append(state.close())
-        return pd.DataFrame([(group["watcher"].iloc[0], *x) for x in out if x], columns=["watcher", "first", "paths"])
+    """watcher, first, paths of every batch of events(watcher, path, at).
 
-    return events.groupBy("watcher").applyInPandas(run, "watcher long, first long, paths long")
+    A pause of gap ends a batch for sure, so that events are grouped between pauses first; the state machine runs over one such stretch.
+    """
+    importable(events.sparkSession)
+    timed = events.withColumn("ts", F.timestamp_millis("at"))
+    stretches = timed.groupBy("watcher", F.session_window("ts", f"{gap} milliseconds").alias("stretch")).agg(F.array_sort(F.collect_list(F.struct("at", "path"))).alias("events"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for watcher, rows in zip(frame["watcher"], frame["events"], strict=True):
+                state = Debounce(gap, cap)
+                found = [state.add(int(x["at"]), x["path"]) for x in rows] + [state.close()]
+                out += [(watcher, *x) for x in found if x]
+            yield pd.DataFrame(out, columns=["watcher", "first", "paths"])
+
+    return stretches.select("watcher", "events").mapInPandas(run, "watcher long, first long, paths long")
+
+
+def carried_batches(batches: DataFrame) -> DataFrame:
+    """watcher, first, paths, loads of batches(watcher, first, paths: array, loaded): what a failed load leaves is merged into the next batch, up to one that loads; a last run of failures stays as one, not loaded."""
+    earlier = Window.partitionBy("watcher").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    turn = F.coalesce(F.sum(F.col("loaded").cast("int")).over(earlier), F.lit(0))
+    merged = batches.withColumn("turn", turn).groupBy("watcher", "turn")
+    return merged.agg(F.min("first").alias("first"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("paths")))).alias("paths"), F.count("*").alias("loads"), F.bool_or("loaded").alias("loaded")).drop("turn")
+
+
+def first_accesses(accesses: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
+    """(task, path, operation, result, seq of the first copies of accesses, at most budget a task; task, dropped of tasks beyond it)."""
+    first = accesses.groupBy("task", "path", "operation", "result").agg(F.min("seq").alias("seq"))
+    place = F.row_number().over(Window.partitionBy("task").orderBy("seq", "path", "operation", "result"))
+    kept = first.withColumn("place", place).where(F.col("place") <= budget).drop("place")
+    over = first.groupBy("task").agg((F.count("*") - budget).alias("dropped")).where("dropped > 0")
+    return kept, over
+
+
+#: Terminal control sequences, which no pattern is looked for in.
+_ESCAPES = "\x1b(?:\\[[^@-~]*[@-~]|[\\]PX^_][^\x07\x1b]*(?:\x07|\x1b\\\\)|.)"
+
+
+def readiness(chunks: DataFrame, patterns: DataFrame) -> DataFrame:
+    """task, seq: the chunk of chunks(task, stream, seq, text) by which each of a task's texts of patterns(task, pattern) has appeared in one of its streams; it may begin in earlier chunks."""
+    keep = max(0, (patterns.agg(F.max(F.length("pattern"))).first()[0] or 1) - 1)
+    order = Window.partitionBy("task", "stream").orderBy("seq").rowsBetween(-keep, 0)  # each chunk before holds a character at least
+    text = F.array_join(F.collect_list(F.regexp_replace("text", _ESCAPES, "")).over(order), "")
+    asked = patterns.select("task", "pattern").distinct()
+    seen = chunks.where("text <> ''").select("task", "seq", text.alias("text")).join(asked, "task").where(F.contains("text", "pattern")).groupBy("task", "pattern").agg(F.min("seq").alias("seq"))
+    wanted = asked.groupBy("task").agg(F.count("*").alias("wanted"))
+    return seen.groupBy("task").agg(F.max("seq").alias("seq"), F.count("*").alias("n")).join(wanted, "task").where("n = wanted").select("task", "seq")
 
 
 def capped_stream(events: DataFrame, gap: int, cap: int, late: str = "0 seconds") -> DataFrame:
