@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from graphloom.functions.globs import extended_regex, literal_folder
 from graphloom.functions.names import workspace_path
@@ -12,12 +13,12 @@ from graphloom.functions.paths import ancestors
 from graphloom.operators.tasks import with_self
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _regex(globs: pd.Series) -> pd.Series:
     return globs.map(extended_regex)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _folder(globs: pd.Series) -> pd.Series:
     return globs.map(literal_folder)
 

@@ -85,7 +85,7 @@ def j20(spark, sf_dir):
     "a15_bloom_filter",
     """, keys AS (SELECT DISTINCT sha256(CAST(p_partkey AS VARCHAR)) AS key FROM part), size AS (SELECT greatest(64, CAST(ceil(-count(*) * ln(0.01) / (ln(2) * ln(2))) AS BIGINT)) AS bits FROM keys),
     swapped AS (SELECT key, CAST('0x' || array_to_string(list_transform(range(8), lambda i: substr(key, 15 - 2 * i, 2)), '') AS UHUGEINT) AS a, CAST('0x' || array_to_string(list_transform(range(8), lambda i: substr(key, 31 - 2 * i, 2)), '') AS UHUGEINT) AS b FROM keys),
-    positions AS (SELECT DISTINCT CAST((a + i * (b + 1 - b % 2)) % CAST('18446744073709551616' AS UHUGEINT) % bits AS BIGINT) AS p FROM swapped, size, range(7) r(i))
+    positions AS (SELECT DISTINCT CAST((a + CAST(i AS UHUGEINT) * (b + CAST(1 AS UHUGEINT) - b % CAST(2 AS UHUGEINT))) % CAST('18446744073709551616' AS UHUGEINT) % CAST(bits AS UHUGEINT) AS BIGINT) AS p FROM swapped, size, range(7) r(i))
     SELECT p // 8 AS byte, CAST(sum(1 << (p % 8)) AS BIGINT) AS value FROM positions GROUP BY 1""",
 )
 def a15(spark, sf_dir):

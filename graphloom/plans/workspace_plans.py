@@ -89,7 +89,7 @@ def s6_deps(spark, sf_dir):
 @query(
     "s6_targets",
     f"""SELECT 'p' || {K} AS project, 'build' AS target, 'run' AS executor FROM part WHERE p_partkey % 2 = 0
-    UNION ALL SELECT CASE WHEN p_partkey % 2 = 0 THEN 'p' ELSE '@w/p' END || {K}, 'lint', 'run-script' FROM part WHERE p_partkey % 3 <> 0 AND p_partkey <> 7""",
+    UNION ALL SELECT CASE WHEN p_partkey % 2 = 0 THEN 'p' ELSE '@w/p' END || {K}, 'lint', 'nx:run-script' FROM part WHERE p_partkey % 3 <> 0 AND p_partkey <> 7""",
 )
 def s6_targets(spark, sf_dir):
     found = files(spark, sf_dir)

@@ -174,6 +174,6 @@ def targets(files: DataFrame, found: DataFrame) -> DataFrame:
     declared = found.select(F.col("name").alias("project"), F.explode(F.from_json(F.get_json_object("document", "$.targets"), "map<string,variant>")).alias("target", "value"))
     declared = declared.select("project", "target", F.to_json("value").alias("definition"))
     scripts = json_files(files, "package.json").select("root", F.explode(F.from_json(F.get_json_object("document", "$.scripts"), "map<string,string>")).alias("target", "command"))
-    script = F.to_json(F.struct(F.lit("run-script").alias("executor"), F.struct(F.col("target").alias("script")).alias("options")))
+    script = F.to_json(F.struct(F.lit("nx:run-script").alias("executor"), F.struct(F.col("target").alias("script")).alias("options")))
     more = found.select("root", F.col("name").alias("project")).join(scripts, "root").select("project", "target", script.alias("definition"))
     return declared.unionByName(more.join(declared, ["project", "target"], "left_anti"))

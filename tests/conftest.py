@@ -10,6 +10,6 @@ from graphloom.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(app="graphloom-tests")
+    session = local_session(shuffle_partitions=3, app="graphloom-tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
