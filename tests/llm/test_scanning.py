@@ -117,6 +117,41 @@ def test_licences_match_brute_force(spark):
     assert license_scan.scan_licenses(empty(spark)).count() == 0
 
 
+def brute_chains(nodes, length):
+    """The most words, less NEW_CHAIN a chain, over every order-keeping choice of nodes cut in chains."""
+    best = 0
+    for take in range(1 << len(nodes)):
+        chosen = [x for k, x in enumerate(nodes) if take >> k & 1]
+        for cuts in range(1 << max(0, len(chosen) - 1)):
+            value, fine = 0, True
+            for k, (last, first, end) in enumerate(chosen):
+                if k == 0 or cuts >> (k - 1) & 1:
+                    fine = fine and (k == 0 or first > chosen[k - 1][0])
+                    value += min(last - first + 1, end + 1) - license_scan.NEW_CHAIN
+                else:
+                    more = license_scan.gain(chosen[k - 1], chosen[k], length)
+                    fine, value = fine and more > 0, value + more
+            best = max(best, value if fine else 0)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_chains_are_the_best(seed):
+    rng = random.Random(seed)
+    nodes = sorted({(last := rng.randint(2, 40), max(0, last - rng.randint(2, 8)), rng.randint(2, 15)) for _ in range(rng.randint(1, 6))})
+    found = license_scan.best_chains(nodes, 16)
+    assert sum(words - license_scan.NEW_CHAIN for _, _, words in found) == brute_chains(nodes, 16)
+    assert all(a[1] < b[0] for a, b in zip(found, found[1:]))
+
+
+def test_short_phrases_and_torn_notices(spark):
+    docs = spark.createDataFrame([(1, "see isc terms"), (2, "Redistribution and use in source and binary forms, with or WITHOUT any modification, are permitted provided that these following conditions are met"), (3, "with or without fee")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in license_scan.scan_licenses(docs, phrases={"isc terms": "isc", "gpl": "gpl"}).collect()}
+    assert (rows[1].n_base, rows[1].base_labels, rows[1].first_word) == (1, "isc", 1)
+    assert rows[2].labels == "bsd" and len([s for s in rows[2].spans if s.label == "bsd" and s.coverage > 0.6]) == 1
+    assert rows[3].labels == ""
+
+
 def test_matching_statistics_match_brute_force():
     rng = random.Random(2)
     sequences = [[rng.randint(1, 3) for _ in range(rng.randint(1, 25))] for _ in range(6)]
