@@ -21,8 +21,8 @@ from graphloom.llm.common import encoded, filter_batches, hash_words, map_batche
 
 #: Weights of the linear scorer; rows it is trained on.
 WEIGHTS, TRAIN_ROWS = 4096, 8_000
-#: How often a detection is right beforehand; this weighs as much as the detections.
-PRIOR = 0.97
+#: How often a detection is right beforehand, and how much this weighs beside the detections.
+PRIOR, PRIOR_WEIGHT = 0.97, 1.0
 #: Frequent words of four languages.
 FREQUENT = (
     "the of and to in that is for it as with was on be at by this have from are not or an but which you he they his her "
@@ -112,7 +112,7 @@ def features(raw: bytes, m: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((found, tenths)), np.concatenate((np.sqrt(counts / max(1, len(places))), np.full(len(tenths), 0.5)))
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, prior_weight: float = PRIOR_WEIGHT) -> tuple[np.ndarray, np.ndarray, float]:
     """(posterior of good per pattern, accuracy per labeller, share of good) from votes per pattern and how many documents cast it.
 
     Whether a labeller votes bad depends on the true label alone. A detector's silence is its good vote;
@@ -132,7 +132,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
         share = float(np.clip((weight * posterior).sum(), 1e-3, 1 - 1e-3))
         cast = (bad_vote * weight[:, None]).sum(axis=0) + 1e-6
         of_good = (bad_vote * (weight * posterior)[:, None]).sum(axis=0) + 1e-7
-        of_good = np.where(detector, (of_good + (1 - PRIOR) * cast) / 2, of_good)
+        of_good = np.where(detector, (of_good + prior_weight * (1 - PRIOR) * cast) / (1 + prior_weight), of_good)
         at_good, at_bad = ((judged * (weight * x)[:, None]).sum(axis=0) + 1e-6 for x in (posterior, 1 - posterior))
         good = np.clip(of_good / at_good, 1e-6, 1 - 1e-3)
         bad = np.clip((cast - of_good) / at_bad, 1e-6, 1 - 1e-3)
@@ -177,14 +177,14 @@ def vote_table(docs: DataFrame) -> DataFrame:
     return map_batches(docs, ["text"], run, "votes array<int>")
 
 
-def fit(docs: DataFrame, most: int = TRAIN_ROWS) -> Scorer:
+def fit(docs: DataFrame, most: int = TRAIN_ROWS, prior_weight: float = PRIOR_WEIGHT) -> Scorer:
     """Votes are counted over all documents; the scorer is trained on at most `most` distinct texts, the first by a hash of them."""
     counted = vote_table(docs).groupBy("votes").agg(F.count("*").alias("n")).collect()  # at most 3 ** len(LABELLERS) rows
     if not counted:
         return Scorer(np.zeros(WEIGHTS), 0.0, {})
     counted.sort(key=lambda r: r.votes)
     patterns, counts = np.array([r.votes for r in counted]), np.array([r.n for r in counted], float)
-    posterior, accuracy, _ = expectation_maximisation(patterns, counts)
+    posterior, accuracy, _ = expectation_maximisation(patterns, counts, prior_weight=prior_weight)
     belief = {tuple(p): b for p, b in zip(patterns.tolist(), posterior, strict=True)}
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     chosen = docs.select(key.alias("key")).distinct().orderBy("key").limit(most)

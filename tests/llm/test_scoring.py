@@ -120,6 +120,8 @@ def test_quality_agrees_with_labels_it_never_saw(spark):
     found = quality.score(docs, scorer).join(labels, "doc_id").collect()
     assert np.mean([r.good == bool(r.quality) for r in found]) > 0.95
     assert np.mean([r.good for r in found if r.quality]) > 0.98
+    freer = quality.score(docs, quality.fit(docs, prior_weight=0.1)).join(labels, "doc_id").collect()
+    assert np.mean([r.good == bool(r.quality) for r in freer]) > 0.95  # the prior only tells which of the two labels is the bad one
     rows = documents(spark)
     assert quality.score(rows, scorer).count() == rows.count()
     kept = quality.without_poor(rows, scorer)
