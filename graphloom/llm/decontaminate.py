@@ -3,8 +3,9 @@ scans every text once; word positions map back to characters of the original.
 
 A window is window_words consecutive words of an item, or all words of a shorter item. A text word
 inside any occurrence of a window is hit. The benchmark is read in blocks of at most block_chars
-characters, each with its own automaton, so no broadcast exceeds that bound: an ordinary benchmark
-is one block, and further blocks scan the same rows again, adding to their hits.
+characters, each with its own automaton, so no broadcast exceeds that bound (a longer item is cut into
+pieces that share all but one of a window's words): an ordinary benchmark is one block, and further
+blocks scan the same rows again, adding to their hits.
 
 Defined results: null or empty texts have no words and no hits; items that are null or have no words
 have no windows; windows of an item without an id count as hits but name no item; an item_id on
@@ -95,10 +96,34 @@ def characters(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]
     return [(at[first][0], at[last][1]) for first, last in spans]
 
 
-def item_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str | None, str | None]]]:
-    """The items in blocks of at most block_chars characters, or one item if that is longer; one partition is at the driver at a time."""
+def item_pieces(text: str | None, window_words: int, block_chars: int) -> list[str | None]:
+    """A text, or if it is over block_chars long, pieces of it of about that size that share window_words - 1 words, so that each window is whole in one."""
+    if text is None or len(text) <= block_chars:
+        return [text]
+    words = [m.span() for m in _WORD.finditer(text)]
+    out, begin = [], 0
+    while begin < len(words):
+        end = begin + window_words
+        while end < len(words) and words[end][1] - words[begin][0] <= block_chars:
+            end += 1
+        out.append(text[words[begin][0] : words[min(end, len(words)) - 1][1]])
+        if end >= len(words):
+            break
+        begin = end - window_words + 1
+    return out or [None]
+
+
+def item_blocks(benchmark: DataFrame, window_words: int, block_chars: int) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The items, long ones in pieces, in blocks of at most block_chars characters; one partition is at the driver at a time."""
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        both = zip(batch.column("i").to_pylist(), batch.column("t").to_pylist(), strict=True)
+        rows = [(i, piece) for i, t in both for piece in item_pieces(t, window_words, block_chars)]
+        return pa.record_batch([pa.array([i for i, _ in rows], pa.string()), pa.array([t for _, t in rows], pa.string())], ["i", "t"])
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t"))
     block, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).toLocalIterator():
+    for row in map_batches(items, ["i", "t"], cut, "i string, t string").toLocalIterator():
         if block and size + len(row.t or "") > block_chars:
             yield block
             block, size = [], 0
@@ -113,10 +138,13 @@ def scanned(docs: DataFrame, benchmark: DataFrame, window_words: int, block_char
     context = docs.sparkSession.sparkContext
     spans, items = F.array().cast("array<struct<first:long,last:long>>"), F.array().cast("array<string>")
     state = docs.select(F.struct("*").alias("row"), spans.alias("spans"), items.alias("items"))
-    for number, block in enumerate(item_blocks(benchmark, block_chars)):
-        if number:
+    shared = None
+    for block in item_blocks(benchmark, window_words, block_chars):
+        if shared is not None:
             state = checkpointed(state)  # so that a worker holds one automaton at a time
-        state = _pass(state, context.broadcast(windows(block, window_words)), uuid.uuid4().hex)
+            shared.destroy()
+        shared = context.broadcast(windows(block, window_words))
+        state = _pass(state, shared, uuid.uuid4().hex)
     return state
 
 

@@ -74,7 +74,7 @@ def brute_contamination(value: str | None, items: list[tuple[str | None, str | N
     return len(mine), len(hit), len(named), digest, bool(hit) and 20 * len(hit) >= len(mine)
 
 
-@pytest.mark.parametrize("block", [2_000_000, 300])
+@pytest.mark.parametrize("block", [2_000_000, 300, 90])
 def test_contamination_matches_brute_force(spark, block):
     rng = random.Random(4)
     items = [(k, text(rng, n)) for k, n in enumerate((20, 13, 5, 30, 1, 14))] + [(90, None), (91, " .,"), (None, text(rng, 15)), (2, text(rng, 16))]
