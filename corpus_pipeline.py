@@ -1,7 +1,10 @@
 """A corpus from raw documents to a mix: toxic and poor ones go, one of each group of near copies stays,
 contaminated ones go, and the rest is mixed to target weights. Each stage takes (spark, docs, sf_dir).
 
-Null texts pass every stage; rows without a doc_id are never near copies.
+Null and empty texts pass every stage, very long ones are read whole. Rows without a doc_id are never near
+copies; rows that share a doc_id and a text are one document, of which one row stays; rows that share a doc_id
+and differ in text are documents of their own. Of a group of near copies the first by doc_id stays. Further
+columns, whatever their names, stay with their rows up to the mix, which returns its own. Empty tables give no rows.
 """
 
 from __future__ import annotations

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.storage import sums_before
+
 #: How many executions an expectation is made of; runs and tasks that are kept.
 RECENT, KEPT_RUNS, KEPT_TASKS = 5, 200, 10_000
 
@@ -98,10 +100,18 @@ def newest_runs(log: DataFrame, n: int) -> DataFrame:
     return starts.orderBy(F.desc("started"), F.desc("run")).limit(n)
 
 
-def previous_keys(log: DataFrame) -> DataFrame:
-    """The key each execution's task had before it, of the executions that have one."""
-    order = Window.partitionBy("task").orderBy("started", "execution")
-    return log.where("key IS NOT NULL").select("execution", "task", "key", F.lag("key").over(order).alias("previous_key"))
+def previous_keys(log: DataFrame, width: int = 7 * 86_400_000) -> DataFrame:
+    """The key each execution's task had before it, of the executions that have one.
+
+    Windows are of a task's ranges of width milliseconds; a range's first execution looks at the last of the range before.
+    """
+    rows = log.where("key IS NOT NULL").select("execution", "task", "key", "started", F.floor(F.col("started") / width).alias("range"))
+    lasts = rows.groupBy("task", "range").agg(F.max_by("key", F.struct("started", "execution")).alias("last"))
+    carried = lasts.select("task", "range", F.lag("last").over(Window.partitionBy("task").orderBy("range")).alias("carried"))
+    order = Window.partitionBy("task", "range").orderBy("started", "execution")
+    here = rows.withColumn("place", F.row_number().over(order)).withColumn("before", F.lag("key").over(order))
+    both = here.join(carried, here.task.eqNullSafe(carried.task) & here.range.eqNullSafe(carried.range)).drop(carried.task, carried.range)
+    return both.select("execution", "task", "key", F.when(F.col("place") == 1, F.col("carried")).otherwise(F.col("before")).alias("previous_key"))
 
 
 def retained_logs(logs: DataFrame, budget: int) -> DataFrame:
@@ -111,8 +121,7 @@ def retained_logs(logs: DataFrame, budget: int) -> DataFrame:
     """
     width = 4096
     ranges = logs.withColumn("range", F.floor(F.col("id") / width))
-    later = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
-    before = ranges.groupBy("range").agg(F.sum("length").alias("total")).withColumn("before", F.coalesce(F.sum("total").over(later), F.lit(0)))
+    before = sums_before(ranges.groupBy("range").agg(F.sum("length").alias("total")), "range", "total", descending=True)
     within = Window.partitionBy("range").orderBy(F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
     running = ranges.withColumn("here", F.sum("length").over(within)).join(before.drop("total"), "range")
     return running.select("id", "length", (F.col("before") + F.col("here") <= budget).alias("kept"))

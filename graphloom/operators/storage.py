@@ -29,11 +29,20 @@ def ranked(rows: DataFrame, *order: str) -> DataFrame:
     return placed.withColumn("_part", part).withColumn("rank", local).join(F.broadcast(offsets), "_part").withColumn("rank", F.col("_before") + F.col("rank") + 1).select(*rows.columns, "rank")
 
 
+def sums_before(rows: DataFrame, key: str, value: str, width: int = 4096, descending: bool = False) -> DataFrame:
+    """rows(key, value), keys being numbers in use once, with before: the sum of earlier keys' values; sums of ranges of keys come first, so that a task orders one range or one row for each."""
+    wide = rows.withColumn("_wide", F.floor(F.col(key) / width))
+    order = lambda c: F.desc(c) if descending else F.asc(c)
+    earlier = Window.orderBy(order("_wide")).rowsBetween(Window.unboundedPreceding, -1)
+    tops = wide.groupBy("_wide").agg(F.sum(value).alias("_sum")).select("_wide", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_wide").orderBy(order(key)).rowsBetween(Window.unboundedPreceding, -1)
+    return wide.withColumn("_here", F.coalesce(F.sum(value).over(within), F.lit(0))).join(tops, "_wide").withColumn("before", F.col("_before") + F.col("_here")).drop("_wide", "_here", "_before")
+
+
 def _running(rows: DataFrame, value: str, name: str, width: int = 4096) -> DataFrame:
     """rows(rank, value) with the sum up to each rank, by sums of ranges of ranks first."""
     ranges = rows.withColumn("range", F.floor((F.col("rank") - 1) / width))
-    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    before = ranges.groupBy("range").agg(F.sum(value).alias("total")).select("range", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("before"))
+    before = sums_before(ranges.groupBy("range").agg(F.sum(value).alias("total")), "range", "total").select("range", "before")
     within = Window.partitionBy("range").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     return ranges.withColumn("here", F.sum(value).over(within)).join(before, "range").withColumn(name, F.col("before") + F.col("here")).drop("range", "here", "before")
 

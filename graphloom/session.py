@@ -26,11 +26,14 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of df through the folder of spark.checkpoint.dir.
 
-    Only where that setting is absent (tests on one machine) is a folder of our own taken.
+    Only on one machine, such as in tests, is a folder of our own taken where that setting is absent; a
+    cluster without it raises ValueError, as its executors share no local folder.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
     return df.checkpoint(eager=True)
 
