@@ -28,6 +28,19 @@ def flaky(log: DataFrame) -> DataFrame:
     return counted.agg(count("success").alias("successes"), count("failure").alias("failures"), F.max("started").alias("last_started")).where("successes > 0 AND failures > 0")
 
 
+def flaky_order(found: DataFrame) -> DataFrame:
+    """flaky() rows with place: the last started first, then by task and key."""
+    from graphloom.operators.storage import ranked
+
+    rows = found.withColumn("order", -F.col("last_started"))
+    return ranked(rows, "order", "task", "key").drop("order").withColumnRenamed("rank", "place")
+
+
+def logged(tasks: DataFrame, logs: DataFrame, runs: DataFrame) -> DataFrame:
+    """tasks(run, task, ...) that have one of logs(run, task, length), with it and what runs(run, worktree) says of their run."""
+    return tasks.join(logs, ["run", "task"]).join(runs, "run")
+
+
 def expected(log: DataFrame, recent: int = RECENT) -> DataFrame:
     """task, millis, cores, memory: the upper median of the last executions with its cores, and their largest memory.
 
@@ -69,6 +82,7 @@ def run_summary(log: DataFrame) -> DataFrame:
     return log.groupBy("run").agg(
         F.count_if(F.col("status") == "success").alias("succeeded"),
         F.count_if(F.col("status") == "failure").alias("failed"),
+        F.count_if(F.col("status") == "skipped").alias("skipped"),
         F.count_if(cached).alias("cached"),
         (F.max(ended) - F.min("started")).alias("wall_millis"),
     )

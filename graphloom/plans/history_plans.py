@@ -77,7 +77,7 @@ def a7(spark, sf_dir):
 
 @query(
     "a19_run_summary",
-    """SELECT run, count(*) FILTER (WHERE status = 'success') AS succeeded, count(*) FILTER (WHERE status = 'failure') AS failed,
+    """SELECT run, count(*) FILTER (WHERE status = 'success') AS succeeded, count(*) FILTER (WHERE status = 'failure') AS failed, count(*) FILTER (WHERE status = 'skipped') AS skipped,
     count(*) FILTER (WHERE cache IN ('local-hit', 'remote-hit')) AS cached, max(started + millis) - min(started) AS wall_millis FROM exec_log GROUP BY run""",
     "exec_log",
 )
@@ -207,3 +207,25 @@ def o2(spark, sf_dir):
     """Task records of each run, newest first, ones without a start last."""
     order = Window.partitionBy("run").orderBy(F.desc_nulls_last("started"), "task", "execution")
     return views.exec_log(spark, sf_dir).select("execution", "task", F.row_number().over(order).alias("place"))
+
+
+FLAKY = """, f AS (SELECT task, key, count(*) FILTER (WHERE status = 'success') AS successes, count(*) FILTER (WHERE status = 'failure') AS failures, max(started) AS last_started FROM exec_log
+    WHERE cache IN ('miss', 'uncached') AND key IS NOT NULL GROUP BY task, key)"""
+
+
+@query("o3_flaky_order", FLAKY + " SELECT *, row_number() OVER (ORDER BY last_started DESC, task, key) AS place FROM f WHERE successes > 0 AND failures > 0", "exec_log")
+def o3(spark, sf_dir):
+    return history.flaky_order(history.flaky(views.exec_log(spark, sf_dir)))
+
+
+@query(
+    "j15_logged_tasks",
+    """, t AS (SELECT DISTINCT run, task FROM exec_log WHERE status = 'failure'), l AS (SELECT run, task, sum(millis) AS length FROM exec_log WHERE warm GROUP BY ALL), r AS (SELECT run, max(started) AS started, run % 3 AS worktree FROM exec_log GROUP BY run HAVING run % 4 <> 1)
+    SELECT t.run, t.task, CAST(length AS BIGINT) AS length, started, worktree FROM t JOIN l USING (run, task) JOIN r USING (run)""",
+    "exec_log",
+)
+def j15(spark, sf_dir):
+    """Tasks, their logs and their runs as tables of their own; some runs are gone."""
+    log = views.exec_log(spark, sf_dir)
+    runs = log.where("run % 4 <> 1").groupBy("run").agg(F.max("started").alias("started")).withColumn("worktree", F.col("run") % 3)
+    return history.logged(log.where("status = 'failure'").select("run", "task").distinct(), log.where("warm").groupBy("run", "task").agg(F.sum("millis").alias("length")), runs)

@@ -373,3 +373,26 @@ def s20(spark, sf_dir):
 def s24(spark, sf_dir):
     report = F.when(F.col("k") % 4 == 0, "no report").otherwise(text('{{"task": "t{k % 9}", "context": {{"root": "x"}}, "observed": ["a", "b{k}"]}}'))
     return history_store.parsed_reports(parts(spark, sf_dir).select(text("r{k}").alias("path"), F.try_parse_json(report).alias("report")))
+
+
+@query(
+    "o5_candidate_order",
+    """, above AS (SELECT page_id, path, array_to_string(parts[1:n], '/') AS directory, n FROM (SELECT *, string_split(path, '/') AS parts FROM paths), generate_series(1, 9) s(n) WHERE n < len(parts)),
+    occupied AS (SELECT DISTINCT directory FROM above WHERE page_id % 4 = 0), found AS (SELECT directory, count(*) AS files FROM (SELECT path, min_by(directory, n) AS directory FROM above WHERE page_id % 4 <> 0 AND directory NOT IN (SELECT directory FROM occupied) GROUP BY path) GROUP BY directory)
+    SELECT *, row_number() OVER (ORDER BY files DESC, directory) AS place FROM found""",
+    "paths",
+)
+def o5(spark, sf_dir):
+    from graphloom import api
+
+    paths = views.paths(spark, sf_dir)
+    return api.warm_candidates(paths.where("page_id % 4 <> 0").select("path"), paths.where("page_id % 4 = 0").select("path"))
+
+
+@query("f17_redacted", f"SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN '{{\"A\":\"<redacted>\",\"B\":null}}' ELSE '{{\"A\":\"<redacted>\",\"B\":\"<redacted>\"}}' END AS shown FROM part")
+def f17(spark, sf_dir):
+    """Values are hidden, absent ones stay absent."""
+    from graphloom.functions.formats import redacted
+
+    variables = F.map_from_arrays(F.array(F.lit("A"), F.lit("B")), F.array(F.col("label"), F.when(F.col("k") % 3 != 0, F.col("kind"))))
+    return parts(spark, sf_dir).select("k", F.to_json(redacted(variables)).alias("shown"))
