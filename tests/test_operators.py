@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import documents, globs, semver
-from graphloom.operators import accesses, closure, history, locate, selection, storage
+from graphloom.operators import accesses, closure, history, locate, schedule, selection, storage
 from graphloom.streaming import watch
 
 
@@ -46,8 +46,9 @@ def test_explanations_follow_the_queue(spark):
 def test_longest_paths_break_ties_by_order(spark):
     nodes = spark.createDataFrame([(1, 5), (2, 5), (3, 2), (4, 0), (9, 0)], "id long, weight long")
     graph = edges(spark, [(3, 2), (3, 1), (4, 3), (3, 77)])
-    found = {r.id: (r.length, r.via, r.level) for r in closure.longest_paths(nodes, graph).collect()}
-    assert found == {1: (5, None, 0), 2: (5, None, 0), 3: (7, 1, 1), 4: (7, 3, 2), 9: (0, None, 0)}
+    found = {r.id: (r.length, r.via) for r in closure.longest_paths(nodes, graph).collect()}
+    assert found == {1: (5, None), 2: (5, None), 3: (7, 1), 4: (7, 3), 9: (0, None)}
+    assert {r.id: r.wave for r in schedule.waves(nodes, graph).collect()} == {1: 0, 2: 0, 3: 1, 4: 2, 9: 0}
     assert [r.id for r in closure.critical_path(nodes, graph).orderBy("position").collect()] == [1, 3]
     assert closure.critical_path(nodes.where("weight = 0"), graph).count() == 0
     with pytest.raises(ValueError):
