@@ -13,6 +13,7 @@ Other columns of the input are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 from functools import lru_cache
 
 import pyarrow as pa
@@ -27,6 +28,7 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_chunks
 
 @lru_cache(maxsize=4)
 def _library(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
