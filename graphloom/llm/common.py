@@ -125,16 +125,16 @@ def encoded(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def join_hot(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """rows.join(lookup, keys) for a lookup of one row a key, whose column weight (dropped) is about how many of rows have the key.
+def join_hot(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """rows.join(lookup, keys, how) for a lookup of one row a key, whose column weight (dropped) is about how many of rows have the key; how is inner or left.
 
     Keys of over HOT rows are broadcast, the others joined by shuffle. Should over FEW keys be hot, all are
     joined by shuffle and adaptive execution splits what is skewed.
     """
     hot = lookup.where(F.col(weight) > HOT)
     if not 0 < hot.limit(FEW + 1).count() <= FEW:
-        return rows.join(lookup.drop(weight), keys)
-    cold = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(lookup.where(F.col(weight) <= HOT).drop(weight), keys)
+        return rows.join(lookup.drop(weight), keys, how)
+    cold = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(lookup.where(F.col(weight) <= HOT).drop(weight), keys, how)
     return rows.join(F.broadcast(hot.drop(weight)), keys).unionByName(cold)
 
 

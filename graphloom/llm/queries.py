@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat_rotation, decontaminate, embedding_links, html_extract, license_scan, mixing, quality, superminhash, token_counts, toxicity
+from graphloom.llm import (
+    chat_rotation,
+    decontaminate,
+    embedding_links,
+    filter_audit,
+    html_extract,
+    importance,
+    license_scan,
+    mixing,
+    quality,
+    substring_dedup,
+    superminhash,
+    token_counts,
+    toxicity,
+)
 
 VOCABULARY = "byte_bpe_50k"
 
@@ -65,6 +79,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = filter_audit.failures(table(spark, sf_dir, "documents"), F.col("lang"))
+    return filter_audit.audit(filter_audit.labelled(failed, table(spark, sf_dir, "labels")))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedupe(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_mixing": op2_mixing,
@@ -76,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_rotation": op8_chat_rotation,
     "op9_superminhash": op9_superminhash,
     "op10_quality": op10_quality,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_importance": op12_importance,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 #: As SQL: a text with A-Z alone lower-cased.
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -103,6 +134,51 @@ ORACLES: dict[str, str] = {
         groups AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
         SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN groups USING (doc_id) LEFT JOIN sizes USING (doc_id)
     """,
+    "op11_filter_audit": """
+        WITH RECURSIVE docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+        words AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS smallest FROM docs),
+        marked AS (SELECT doc_id, part, CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT) + 4 * CAST(100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) AS INT)
+            + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > smallest, false) AS INT) AS mask FROM words),
+        known AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY doc_id),
+        masks AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE bad) AS bad FROM marked LEFT JOIN known USING (doc_id) GROUP BY part, mask),
+        orders(o, n) AS (SELECT '', 0 UNION ALL SELECT o || f, n + 1 FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE n < 5 AND NOT contains(o, f)),
+        steps AS (SELECT o, CAST(s AS INT) AS step, 1 << (ascii(o[s]) - 65) AS bit, list_sum([1 << (ascii(o[i]) - 65) FOR i IN range(1, s)]) AS earlier
+            FROM (SELECT o, unnest([1, 2, 3, 4, 5]) AS s FROM orders WHERE n = 5)),
+        counted AS (SELECT part, o, step, bit, coalesce(sum(n) FILTER (WHERE alone), 0) AS removed, coalesce(sum(n) FILTER (WHERE fails AND NOT alone), 0) AS redundant,
+                coalesce(sum(n) FILTER (WHERE mask = bit), 0) AS unique_fails, coalesce(sum(good) FILTER (WHERE alone), 0) AS good_lost, coalesce(sum(bad) FILTER (WHERE alone), 0) AS toxic_lost, sum(n) AS total
+            FROM (SELECT *, (mask & bit) > 0 AS fails, (mask & bit) > 0 AND (mask & CAST(coalesce(earlier, 0) AS BIGINT)) = 0 AS alone FROM masks, steps) GROUP BY part, o, step, bit)
+        SELECT part, o AS filter_order, step, CAST(total - sum(removed) OVER (PARTITION BY part, o ORDER BY step) AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+            CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+        FROM counted
+    """,
+    "op12_importance": f"""
+        WITH crc AS (SELECT list(list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY k) AS steps FROM (SELECT unnest(generate_series(0, 255)) AS k)),
+        words AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWERED}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+        wanted AS (SELECT unnest(regexp_extract_all({LOWERED}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) AS word FROM benchmark),
+        mine AS (SELECT r, unnest(w) AS word FROM words),
+        vocabulary AS (SELECT word, xor(list_reduce(list_prepend(4294967295, [CAST('0x' || h[2 * i - 1:2 * i] AS BIGINT) FOR i IN generate_series(1, length(h) // 2)]),
+                lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+            FROM (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM mine UNION SELECT word FROM wanted)), crc),
+        s AS (SELECT bucket, count(*) AS n FROM mine JOIN vocabulary USING (word) GROUP BY bucket),
+        t AS (SELECT bucket, count(*) AS n FROM wanted JOIN vocabulary USING (word) GROUP BY bucket),
+        gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t.n, 0) + 1) * ((SELECT count(*) FROM mine) + 10000) AS DOUBLE) / CAST((coalesce(s.n, 0) + 1) * ((SELECT count(*) FROM wanted) + 10000) AS DOUBLE))) AS BIGINT) AS g
+            FROM s FULL JOIN t USING (bucket)),
+        weights AS (SELECT r, sum(g) AS weight FROM mine JOIN vocabulary USING (word) JOIN gain USING (bucket) GROUP BY r),
+        scored AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+                CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+            FROM words LEFT JOIN weights USING (r)),
+        placed AS (SELECT *, n_features >= 20 AS able, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= (SELECT count(*) FROM placed WHERE able) * 10 // 100 THEN place END AS rank FROM placed
+    """,
+    "op13_substring_dedup": """
+        WITH words AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        windows AS (SELECT r, doc_id, k, hash(array_to_string(w[k:k + 49], ' ')) AS found FROM (SELECT *, unnest(generate_series(1, len(w) - 49)) AS k FROM words WHERE len(w) >= 50)),
+        smallest AS (SELECT found, min(doc_id) AS doc_id FROM windows GROUP BY found),
+        gone AS (SELECT DISTINCT r, unnest(generate_series(k, k + 49)) AS place FROM windows JOIN smallest USING (found) WHERE windows.doc_id > smallest.doc_id),
+        cut AS (SELECT r, count(*) AS n FROM gone GROUP BY r),
+        kept AS (SELECT r, string_agg(w[place], ' ' ORDER BY place) AS text FROM (SELECT r, w, unnest(generate_series(1, len(w))) AS place FROM words WHERE len(w) > 0) ANTI JOIN gone USING (r, place) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM words LEFT JOIN cut USING (r) LEFT JOIN kept USING (r)
+    """,
     "op8_chat_rotation": """
         WITH grouped AS (SELECT conv_id, turn, role, text, count(*) AS copies, CAST(coalesce(floor(turn / 256), -1) AS BIGINT) AS segment FROM conversations GROUP BY ALL),
         turns AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, segment ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1) // 512 AS part FROM grouped),
