@@ -5,17 +5,22 @@ A workspace is files(path, text); history is tasks(run, task, ...) as sources.hi
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.documents import canonical
 from graphloom.operators import affected as planning
 from graphloom.operators import closure, findings, history, locate, locators, outputs, selection, storage, tasks
 from graphloom.session import checkpointed
-from graphloom.sources import history_store, workspace
+from graphloom.sources import history_store, lockfile, workspace
 from graphloom.streaming import watch
 
 #: Executors that the doctor accepts.
 EXECUTORS = ["nx:run-commands", "nx:run-script", "nx:noop"]
+#: Project files, which are compared by what they come to.
+PROJECT_FILES = r"(^|/)project(\.local)?\.json$"
 
 
 def projects(files: DataFrame, patterns: list[str] | None = None, exclude: list[str] = (), kind: str | None = None, with_targets: list[str] = (), native: bool = False) -> DataFrame:
@@ -30,15 +35,15 @@ def projects(files: DataFrame, patterns: list[str] | None = None, exclude: list[
 
 
 def dependency_edges(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """source, target, kind of the project graph: declared dependencies that resolve to workspace packages, implicit ones, less excluded ones."""
+    """source, target, kind of the project graph: declared dependencies that resolve to workspace packages, and what implicit ones select, less what they exclude."""
     found = workspace.load(files) if found is None else found
     of = found.select("name", "root")
     declared = workspace.package_deps(files).withColumnRenamed("name", "dependency").join(of, "root").select(F.col("name").alias("project"), "section", F.col("dependency").alias("name"), F.regexp_replace("range", "^workspace:", "").alias("range"))
     declared = declared.withColumn("range", F.when(F.col("range").isin("", "^", "~"), "*").otherwise(F.col("range")))
     packages = workspace.packages(files).withColumnRenamed("name", "package").join(of, "root").select(F.col("package").alias("name"), F.col("name").alias("project"), "path", F.coalesce("version", F.lit("0.0.0")).alias("version"))
     static = locate.resolved_links(declared, packages).select("source", "target")
-    implicit = found.select(F.col("name").alias("source"), F.explode("implicit_dependencies").alias("pattern"))
-    return selection.edges_with_implicit(static, implicit)
+    implicit = found.select(F.col("name").alias("source"), F.posexplode("implicit_dependencies").alias("turn", "pattern"))
+    return selection.edges_with_implicit(static, implicit, found.select("name", "root", "tags"))
 
 
 def graph(files: DataFrame, focus: str | None = None, exclude: list[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -62,28 +67,83 @@ def target(files: DataFrame, name: str, target_name: str) -> DataFrame:
     return workspace.targets(files, project(files, name)).where(F.col("target") == target_name)
 
 
+def _document(files: DataFrame, path: str) -> DataFrame:
+    """document: the text of one file without comments, {} if it is missing; one row."""
+    empty = files.sparkSession.createDataFrame([("{}",)], "document string")
+    return files.where(F.col("path") == path).select(workspace.uncommented("text").alias("document")).unionByName(empty).limit(1)
+
+
+def lockfile_mode(files: DataFrame) -> str | list[str]:
+    """What the workspace's settings make of a changed lockfile: "auto", selectors of projects, or "all"."""
+    text = files.where(F.col("path") == "nx.json").select(F.try_variant_get(F.try_parse_json(workspace.uncommented("text")), "$.pluginsConfig['@nx/js'].projectsAffectedByDependencyUpdates", "variant").alias("v")).select(F.to_json("v").alias("t")).first()
+    found = json.loads(text.t) if text is not None and text.t is not None else "all"
+    return found if isinstance(found, list) or found == "auto" else "all"
+
+
+def installations(files: DataFrame) -> DataFrame:
+    """importer, key, fingerprint of what the lockfile's importers install, directly or not."""
+    entries = checkpointed(lockfile.scan(files.where(F.col("path") == "pnpm-lock.yaml")))
+    resolution = entries.where("kind = 'resolution'").select(F.col("owner").alias("package"), "reference")
+    rows = lockfile.installed(entries).withColumn("package", F.substring_index("key", "(", 1))
+    return rows.join(resolution, "package", "left").select("importer", "key", F.coalesce("reference", F.lit("")).alias("fingerprint"))
+
+
+def _by_lockfile(files: DataFrame, base_files: DataFrame, found: DataFrame, changed: list[str]) -> DataFrame:
+    roots, mode = found.select(F.col("name").alias("project"), "root"), lockfile_mode(files)
+    if isinstance(mode, list):
+        chosen = selection.select_projects(found.withColumn("tag", F.explode_outer("tags")), mode)
+        return chosen.select(F.col("name").alias("project"), F.lit("listed").alias("detail")).distinct()
+    if mode == "all" or changed != ["pnpm-lock.yaml"]:
+        return locators.by_lockfile(None, None, roots, "all")
+    moves = locate.install_changes(installations(base_files), installations(files))
+    return locators.by_lockfile(moves, roots.select(F.col("root").alias("importer"), "project"), roots)
+
+
+def _manifests_before(files: DataFrame, base_files: DataFrame) -> DataFrame:
+    """The files of now with the project files of before."""
+    project = F.col("path").rlike(PROJECT_FILES)
+    return files.where(~project).unionByName(base_files.where(project).select("path", "text"))
+
+
 def touched(files: DataFrame, changes: DataFrame) -> DataFrame:
-    """project, reasons: what changes(path, before, after) touch by path, manifests, workspace settings, removed projects, the root manifest and the root tsconfig."""
-    base_files, found = checkpointed(workspace.at_revision(files, changes)), checkpointed(workspace.load(files))
-    base = checkpointed(workspace.projects(base_files))
+    """project, reasons: what changes(path, before, after) touch, by every rule that they call for: by path, resolved configuration, workspace settings, inputs from the workspace's root, removed
+    projects, the lockfile, the root manifest and the root tsconfig.
+
+    One pass over the changes' paths tells which rules those are. Configuration is compared as it resolves: what project files changed under the settings of now, and what
+    settings changed over the project files of now.
+    """
+    project = F.col("path").rlike(PROJECT_FILES)
+    both = F.col("before").isNotNull() & F.col("after").isNotNull()
+    at = lambda path: F.coalesce(F.bool_or(F.col("path") == path), F.lit(False)).alias(path)
+    calls = changes.agg(
+        F.coalesce(F.bool_or(project & both), F.lit(False)).alias("manifests"), F.coalesce(F.bool_or(F.col("path").rlike(r"(^|/)(package|project)\.json$") & F.col("after").isNull()), F.lit(False)).alias("deleted"),
+        *map(at, ("nx.json", "package.json", "tsconfig.base.json")), F.array_sort(F.collect_set(F.when(F.col("path").isin(*locators.LOCKFILES), F.col("path")))).alias("locks"),
+    ).first()
+    base_files, found = checkpointed(workspace.at_revision(files, changes)), workspace.load(files)
     roots = found.select(F.col("name").alias("project"), "root")
-    names = found.select(F.col("name").alias("project"))
-    fields = lambda rows: rows.select(F.col("name").alias("project"), F.lit("configuration").alias("field"), F.col("document"))
-    compared = changes.where("before IS NOT NULL AND after IS NOT NULL").where(F.col("path").rlike(r"(^|/)project\.json$")).select("path")
-    document = lambda rows, path: rows.where(F.col("path") == path).select(workspace.uncommented("text").alias("document"))
-    one = lambda rows, path: document(rows, path).unionByName(files.sparkSession.createDataFrame([("{}",)], "document string")).limit(1)
-    text = lambda rows: one(rows, "tsconfig.base.json").withColumnRenamed("document", "text")
-    deleted = changes.where("after IS NULL").select("path")
-    base_edges, edges = checkpointed(dependency_edges(base_files, base)), checkpointed(dependency_edges(files, found))
-    installed = workspace.package_deps(files).withColumnRenamed("name", "package").join(found.select("root", F.col("name").alias("project")), "root").select("project", "package").distinct()
-    return locators.touched({
-        "file": locators.by_path(changes, roots, compared),
-        "project-configuration": locators.by_manifests(fields(base), fields(found)),
-        "nx-json": locators.by_settings(one(base_files, "nx.json"), one(files, "nx.json"), names, fields(base), fields(found)),
-        "removed": locators.by_removed(base.select(F.col("name").alias("project"), "root"), names, base_edges, edges, deleted),
-        "root-package": locators.by_root_package(locators.root_package_changes(one(base_files, "package.json"), one(files, "package.json")), installed, names),
-        "tsconfig": locators.by_tsconfig(text(base_files), text(files), roots),
-    })
+    names = roots.select("project")
+    rules = {"file": locators.by_path(changes, roots, changes.where(project & both).select("path")), "implicit": locators.by_workspace_inputs(workspace.target_inputs(files, found), changes)}
+    if calls["manifests"] or calls["nx.json"]:
+        now = checkpointed(workspace.resolved_fields(files, found))
+    if calls["manifests"]:
+        older = _manifests_before(files, base_files)
+        rules["project-configuration"] = locators.by_manifests(workspace.resolved_fields(older, workspace.projects(older)), now)
+    if calls["nx.json"]:
+        settings = files.where("path <> 'nx.json'").unionByName(base_files.where("path = 'nx.json'").select("path", "text"))
+        rules["nx-json"] = locators.by_settings(_document(base_files, "nx.json"), _document(files, "nx.json"), names, workspace.resolved_fields(settings, found), now)
+    if calls["deleted"]:
+        base = checkpointed(workspace.projects(base_files))
+        deleted = changes.where("after IS NULL").select("path")
+        rules["removed"] = locators.by_removed(base.select(F.col("name").alias("project"), "root"), names, dependency_edges(base_files, base), dependency_edges(files, found), deleted)
+    if calls["locks"]:
+        rules["lockfile"] = _by_lockfile(files, base_files, found, calls["locks"])
+    if calls["package.json"]:
+        installed = workspace.package_deps(files).withColumnRenamed("name", "package").join(found.select("root", F.col("name").alias("project")), "root").select("project", "package").distinct()
+        rules["root-package"] = locators.by_root_package(locators.root_package_changes(_document(base_files, "package.json"), _document(files, "package.json")), installed, names)
+    if calls["tsconfig.base.json"]:
+        text = lambda rows: _document(rows, "tsconfig.base.json").withColumnRenamed("document", "text")
+        rules["tsconfig"] = locators.by_tsconfig(text(base_files), text(files), roots)
+    return locators.touched(rules)
 
 
 def explain_affected(files: DataFrame, changes: DataFrame) -> DataFrame:
@@ -98,13 +158,42 @@ def plan_tasks(files: DataFrame, requests: DataFrame, rules: DataFrame) -> tuple
     return planning.plan_tasks(requests, workspace.targets(files, workspace.load(files)), rules, dependency_edges(files))
 
 
-def affected_tasks(files: DataFrame, changes: DataFrame, requests: DataFrame, rules: DataFrame) -> DataFrame:
-    """project, target, pass, via of planned tasks whose project is touched, or that depend on one such."""
-    plan, edges = plan_tasks(files, requests, rules)
+def task_touched(files: DataFrame, changes: DataFrame) -> DataFrame:
+    """project, target, reason, detail: why changes(path, before, after) touch targets of their own: a file among their inputs ("!" patterns take files away), what they resolve to, and
+    what touches every task of their project: workspace settings, installations, the root manifest, the root tsconfig and removed projects."""
+    found = workspace.load(files)
+    own = checkpointed(workspace.target_inputs(files, found))
+    root = F.col("root").eqNullSafe(".")
+    placed = own.join(found.select(F.col("name").alias("project"), "root"), "project").withColumn("away", F.col("pattern").startswith("!")).withColumn("glob", F.regexp_replace("pattern", r"^!?\{[^}]*\}/", ""))
+    within = F.col("pattern").contains("{projectRoot}")
+    placed = placed.withColumn("glob", F.when(within & ~root, F.concat_ws("/", "root", "glob")).otherwise(F.col("glob")))
+    met = selection.glob_join(selection.read_globs(placed), changes.select(F.col("path").alias("value"))).withColumnRenamed("value", "path")
+    hits = placed.join(met, "glob").groupBy("project", "target", "path").agg(F.bool_or("away").alias("away")).where("NOT away")
+    compared = changes.where(F.col("path").rlike(PROJECT_FILES) & F.col("before").isNotNull() & F.col("after").isNotNull()).select("path")
+    direct = hits.join(compared, "path", "left_anti").select("project", "target", F.lit("input").alias("reason"), F.col("path").alias("detail"))
+    before = workspace.at_revision(files, changes)
+    old = workspace.targets(before, workspace.projects(before)).select("project", "target", canonical("definition").alias("value"))
+    new = workspace.targets(files, found).select("project", "target", canonical("definition").alias("value"))
+    changed = new.join(old.withColumnRenamed("value", "old"), ["project", "target"], "left").where(~F.col("old").eqNullSafe(F.col("value")))
+    changed = changed.select("project", "target", F.lit("configuration").alias("reason"), F.when(F.col("old").isNull(), "added").otherwise("definition").alias("detail"))
+    wide = touched(files, changes).select("project", F.explode(F.split("reasons", ";")).alias("r")).select("project", F.substring_index("r", ":", 1).alias("reason"), F.expr("substring(r, instr(r, ':') + 1)").alias("detail"))
+    settings = (F.col("reason") == "nx-json") & F.col("detail").startswith("changed ")
+    wide = wide.where(settings | F.col("reason").isin("lockfile", "root-package", "tsconfig", "removed"))
+    return direct.unionByName(changed).unionByName(wide.join(new.select("project", "target"), "project").select("project", "target", "reason", "detail")).distinct()
+
+
+def affected_tasks(files: DataFrame, changes: DataFrame, requests: DataFrame, rules: DataFrame, granularity: str = "tasks") -> DataFrame:
+    """project, target, pass, via, reasons of planned tasks that changes touch, or that depend on one such; with the granularity "projects" every task of a touched project counts as touched."""
+    plan, edges = map(checkpointed, plan_tasks(files, requests, rules))
     name = lambda a, b: F.concat_ws(":", a, b)
-    hit = plan.join(touched(files, changes).select("project"), "project", "left_semi").select(name("project", "target").alias("task"))
-    found = tasks.propagated(hit, edges.select(name("project", "target").alias("task"), name("on_project", "on_target").alias("producer")))
-    return plan.withColumn("task", name("project", "target")).join(found, "task").select("project", "target", "pass", "via")
+    if granularity == "projects":
+        hit = plan.join(touched(files, changes), "project")
+    else:
+        listed = F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "reason", "detail"))), ";")
+        hit = plan.join(task_touched(files, changes).groupBy("project", "target").agg(listed.alias("reasons")), ["project", "target"])
+    hit = checkpointed(hit.select(name("project", "target").alias("task"), "reasons"))
+    found = tasks.propagated(hit.select("task"), edges.select(name("project", "target").alias("task"), name("on_project", "on_target").alias("producer")))
+    return plan.withColumn("task", name("project", "target")).join(found, "task").join(hit, "task", "left").select("project", "target", "pass", "via", "reasons")
 
 
 def runs(log: DataFrame, n: int = 20) -> DataFrame:

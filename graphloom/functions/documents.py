@@ -37,25 +37,22 @@ def _children(value: object) -> dict | None:
 
 
 def changes(before: object, after: object) -> Iterator[tuple[str, tuple[str, ...], object, object]]:
-    """(kind, path, before, after) of every difference, depth first; a changed leaf's ancestors are Modified too, arrays go by index."""
-    waiting = [((), before, after)]
+    """(kind, path, before, after) of every difference, depth first in the order of keys; a changed leaf's ancestors are Modified too, arrays go by index."""
+    waiting = [("Modified", (), before, after)]
     while waiting:
-        path, before, after = waiting.pop()
+        kind, path, before, after = waiting.pop()
         if path:
-            yield "Modified", path, before, after
+            yield kind, path, before, after
         old, new = _children(before), _children(after)
-        if old is None or new is None or isinstance(before, dict) != isinstance(after, dict):
+        if kind != "Modified" or old is None or new is None or isinstance(before, dict) != isinstance(after, dict):
             continue
-        deeper = []
-        for key in sorted({*old, *new}):
-            here = (*path, key)
+        for key in sorted({*old, *new}, reverse=True):
             if key not in new:
-                yield "Deleted", here, old[key], None
+                waiting.append(("Deleted", (*path, key), old[key], None))
             elif key not in old:
-                yield "Added", here, None, new[key]
+                waiting.append(("Added", (*path, key), None, new[key]))
             elif json.dumps(old[key], sort_keys=True) != json.dumps(new[key], sort_keys=True):
-                deeper.append((here, old[key], new[key]))
-        waiting += reversed(deeper)
+                waiting.append(("Modified", (*path, key), old[key], new[key]))
 
 
 @F.udtf(returnType="kind string, path string, before string, after string")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.documents import UNKEYED_SETTINGS, canonical, entries, tsconfig_parts
+from graphloom.functions.paths import ancestors
 from graphloom.operators.locate import owners, reasons
 
 TYPES = "@types/"
@@ -36,15 +37,17 @@ def _every(projects: DataFrame, detail: DataFrame) -> DataFrame:
     return projects.select("project").distinct().join(F.broadcast(detail.select("detail").limit(1)))
 
 
-def by_settings(before: DataFrame, after: DataFrame, projects: DataFrame, resolved_before: DataFrame, resolved_after: DataFrame) -> DataFrame:
+def by_settings(before: DataFrame, after: DataFrame, projects: DataFrame, resolved_before: DataFrame | None, resolved_after: DataFrame | None) -> DataFrame:
     """Of workspace settings before(document) and after(document), a row each: all projects if what every key holds differs, with the names; else, if
-    targetDefaults or namedInputs do, the projects whose resolved(project, field, document) targets and inputs differ."""
+    targetDefaults or namedInputs do, the projects whose resolved(project, field, document) targets and inputs differ (none given: none do)."""
     names = lambda rows: rows.select(F.explode(F.map_entries(F.map_filter(entries("document"), lambda k, v: ~k.isin(*UNKEYED_SETTINGS) | k.isin("targetDefaults", "namedInputs", "cli")))).alias("e"))
     value = F.when(F.col("e.key") == "cli", F.to_json(F.try_variant_get("e.value", "$.packageManager", "variant"))).otherwise(F.to_json("e.value"))
     fields = lambda rows, name: names(rows).select(F.col("e.key").alias("key"), canonical(value).alias(name))
     both = fields(before, "old").join(fields(after, "new"), "key", "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
     resolving = F.col("key").isin("targetDefaults", "namedInputs")
     keyed = both.where(~resolving).agg(F.array_join(F.array_sort(F.collect_list("key")), ", ").alias("keys")).where("keys <> ''").select(F.concat(F.lit("changed "), "keys").alias("detail"))
+    if resolved_before is None or resolved_after is None:
+        return _every(projects, keyed)
     only = both.agg(F.bool_and(resolving).alias("only")).where("only").select("only")
     narrow = by_manifests(resolved_before, resolved_after).join(F.broadcast(only)).select("project", "detail")
     return _every(projects, keyed).unionByName(narrow)
@@ -72,6 +75,21 @@ def by_lockfile(changes: DataFrame, importers: DataFrame, projects: DataFrame, m
     return projects.select("project", F.lit("all").alias("detail")).distinct()
 
 
+def by_workspace_inputs(inputs: DataFrame, changes: DataFrame) -> DataFrame:
+    """Projects of inputs(project, pattern) that name files from the workspace's root, of which one changed: the first in order is the detail. A pattern without wildcards names a file or all below it."""
+    from graphloom.operators.selection import glob_join, read_globs
+
+    root = "{workspaceRoot}/"
+    named = inputs.where(F.col("pattern").startswith(root))
+    trimmed = F.regexp_replace(F.regexp_replace(F.expr(f"substring(pattern, {len(root) + 1})"), "/+", "/"), "(.)/$", "$1")
+    globs = named.select("project", trimmed.alias("glob")).distinct()
+    paths = changes.select("path").distinct()
+    inside = paths.select("path", F.explode(ancestors("path")).alias("glob")).join(globs.select("glob").distinct(), "glob")
+    found = glob_join(read_globs(globs), paths.select(F.col("path").alias("value"))).select("glob", F.col("value").alias("path")).unionByName(inside.select("glob", "path"))
+    first = found.groupBy("glob").agg(F.min("path").alias("path"))
+    return globs.join(first, "glob").select("project", F.col("path").alias("detail")).distinct()
+
+
 def override_package(selector: str | Column) -> Column:
     """The package that an override's selector names: past a 'parent>' prefix, the last name or @scope/name, without its range."""
     inner = F.regexp_replace(selector, r"^.*[^ |@]>", "")
@@ -101,9 +119,9 @@ def by_root_package(changes: DataFrame, installed: DataFrame, projects: DataFram
     known = installed.select("package").distinct()
     rows = rows.join(known.withColumn("known", F.lit(True)), "package", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     total = (
-        F.when(declared & (F.col("kind") == "Deleted"), F.concat(F.lit("removed "), "path"))
-        .when(F.col("known") & F.col("package").isin(*global_packages), F.concat(F.lit("changed "), "path", F.lit(", which is global")))
-        .when(~declared & ~F.col("known"), F.concat(F.lit("changed "), "path", F.lit(", which nothing names directly")))
+        F.when(declared & (F.col("kind") == "Deleted"), F.concat("path", F.lit(" is gone")))
+        .when(F.col("known") & F.col("package").isin(*global_packages), F.concat("path", F.lit(" is used everywhere")))
+        .when(~declared & ~F.col("known"), F.concat("path", F.lit(" overrides a package that no project installs itself")))
     )
     everything = rows.select("path", total.alias("detail")).where("detail IS NOT NULL").agg(F.min_by("detail", "path").alias("detail")).where("detail IS NOT NULL")
     named = rows.where("known").select("package", F.col("path").alias("detail"))
@@ -139,6 +157,8 @@ def by_tsconfig(before: DataFrame, after: DataFrame, roots: DataFrame) -> DataFr
 
 #: The rules' names, in the order their reasons are listed.
 ORDER = ("file", "project-configuration", "nx-json", "implicit", "removed", "lockfile", "root-package", "tsconfig")
+#: Files that record installations; only the first can be read.
+LOCKFILES = ("pnpm-lock.yaml", "package-lock.json", "yarn.lock", "bun.lock", "bun.lockb", "npm-shrinkwrap.json")
 
 
 def touched(found: dict[str, DataFrame]) -> DataFrame:

@@ -172,7 +172,7 @@ def key_groups(before: DataFrame, after: DataFrame) -> DataFrame:
     )
     label = (
         F.when(section == "settings", F.concat(F.lit("nx.json "), name)).when(section == "project", F.concat(F.lit("project "), name))
-        .when(section == "workspace file", "pnpm-workspace.yaml outside its resolution keys").when(section == "manifest", F.concat(name, F.lit(" as dependents read it"))).otherwise(name)
+        .when(section == "workspace file", "pnpm-workspace.yaml, keys that choose no versions").when(section == "manifest", F.concat(name, F.lit(", what others read of it"))).otherwise(name)
     )
     change = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed").otherwise("changed")
     return both.select("key", group.alias("group"), label.alias("name"), change.alias("change"))

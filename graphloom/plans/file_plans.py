@@ -93,35 +93,49 @@ def o4(spark, sf_dir):
     return selection.by_specificity(targets, ["S*", "SMALL", "STAND*", "Brand#7"])
 
 
-IMPLICIT = """, implicit AS (SELECT s_suppkey AS source, CASE WHEN s_suppkey % 3 = 0 THEN '!' ELSE '' END || CAST(s_suppkey // 2 AS VARCHAR) AS pattern FROM supplier),
-    static AS (SELECT source, CAST(target AS VARCHAR) AS target FROM ring)"""
+MEMBERS = """, members AS (SELECT CAST(s_suppkey AS VARCHAR) AS name, 'area' || s_suppkey % 3 || '/m' || s_suppkey AS root, 't' || s_suppkey % 4 AS tag, s_suppkey AS k FROM supplier),
+    selectors AS (SELECT CAST(s_suppkey AS VARCHAR) AS source, CASE s_suppkey % 6 WHEN 0 THEN ['tag:t1', '!' || (s_suppkey + 1)] WHEN 1 THEN ['area1/*'] WHEN 2 THEN ['!tag:t2', CAST(s_suppkey // 2 AS VARCHAR)]
+        WHEN 3 THEN ['directory:area2/m?', 'nothing*'] WHEN 4 THEN ['*', '!area0/m*'] ELSE [CAST(s_suppkey + 1000 AS VARCHAR)] END AS patterns FROM supplier),
+    rules AS (SELECT *, source::BIGINT % 6 AS kind, source::BIGINT AS n FROM selectors)"""
 
 
-def implicit(spark, sf_dir):
-    bang = F.when(F.col("s_suppkey") % 3 == 0, "!").otherwise("")
-    return views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source"), F.concat(bang, F.expr("cast(s_suppkey div 2 as string)")).alias("pattern"))
+def members(spark, sf_dir):
+    k = F.col("s_suppkey")
+    text = lambda c: c.cast("string")
+    return views.table(spark, sf_dir, "supplier").select(text(k).alias("name"), F.concat(F.lit("area"), text(k % 3), F.lit("/m"), text(k)).alias("root"), F.array(F.concat(F.lit("t"), text(k % 4))).alias("tags"), k.alias("k"))
+
+
+def selectors(spark, sf_dir):
+    n, text = F.col("s_suppkey"), lambda c: c.cast("string")
+    lists = [(F.lit("tag:t1"), F.concat(F.lit("!"), text(n + 1))), (F.lit("area1/*"),), (F.lit("!tag:t2"), F.expr("cast(s_suppkey div 2 as string)")), (F.lit("directory:area2/m?"), F.lit("nothing*")), (F.lit("*"), F.lit("!area0/m*")), (text(n + 1000),)]
+    chosen = F.coalesce(*(F.when(n % 6 == k, F.array(*found)) for k, found in enumerate(lists)))
+    return views.table(spark, sf_dir, "supplier").select(text(n).alias("source"), F.posexplode(chosen).alias("turn", "pattern"))
 
 
 @query(
     "j3_edges_minus_excluded",
-    IMPLICIT
-    + """ SELECT * FROM (SELECT source, target, 'static' AS kind FROM static UNION SELECT source, pattern, 'implicit' FROM implicit WHERE NOT starts_with(pattern, '!')) e
-    WHERE NOT EXISTS (SELECT 1 FROM implicit i WHERE i.source = e.source AND i.pattern = '!' || e.target)""",
+    MEMBERS
+    + """, picked AS (SELECT source, name AS target FROM rules, members WHERE CASE kind WHEN 0 THEN tag = 't1' AND k <> n + 1 WHEN 1 THEN starts_with(root, 'area1/') WHEN 2 THEN k = n // 2 AND tag <> 't2'
+            WHEN 3 THEN regexp_matches(root, '^area2/m.$') WHEN 4 THEN NOT starts_with(root, 'area0/') ELSE k = n + 1000 END),
+        out AS (SELECT source, name AS target FROM rules, members WHERE CASE kind WHEN 0 THEN k = n + 1 WHEN 2 THEN tag = 't2' WHEN 4 THEN starts_with(root, 'area0/') ELSE false END)
+    SELECT * FROM (SELECT CAST(source AS VARCHAR) AS source, CAST(target AS VARCHAR) AS target, 'static' AS kind FROM ring UNION SELECT source, target, 'implicit' FROM picked WHERE source <> target) ANTI JOIN out USING (source, target)""",
     "ring",
 )
 def j3(spark, sf_dir):
-    static = views.ring(spark, sf_dir).select("source", F.col("target").cast("string").alias("target"))
-    return selection.edges_with_implicit(static, implicit(spark, sf_dir))
+    """Selectors by tag, name, directory and of everything, some of which take away."""
+    static = views.ring(spark, sf_dir).select(F.col("source").cast("string"), F.col("target").cast("string"))
+    return selection.edges_with_implicit(static, selectors(spark, sf_dir), members(spark, sf_dir))
 
 
 @query(
     "j4_missing",
-    IMPLICIT + " SELECT source, ltrim(pattern, '!') AS target FROM implicit WHERE ltrim(pattern, '!') NOT IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_suppkey % 5 <> 0)",
-    "ring",
+    MEMBERS
+    + """, most AS (SELECT * FROM members WHERE k % 5 <> 0), each AS (SELECT source, ltrim(unnest(patterns), '!') AS target FROM selectors)
+    SELECT source, target FROM each WHERE target = 'nothing*' OR (regexp_matches(target, '^[0-9]+$') AND target NOT IN (SELECT name FROM most)) OR (starts_with(target, 'tag:') AND target NOT IN (SELECT 'tag:' || tag FROM most))
+        OR (target = 'directory:area2/m?' AND NOT EXISTS (SELECT 1 FROM most WHERE regexp_matches(root, '^area2/m.$'))) OR (regexp_matches(target, '^area') AND NOT EXISTS (SELECT 1 FROM most WHERE starts_with(root, target[:5])))""",
 )
 def j4(spark, sf_dir):
-    projects = views.table(spark, sf_dir, "supplier").where("s_suppkey % 5 <> 0").select(F.col("s_suppkey").cast("string").alias("name"))
-    return selection.unknown_names(implicit(spark, sf_dir), projects)
+    return selection.unknown_names(selectors(spark, sf_dir), members(spark, sf_dir).where("k % 5 <> 0"))
 
 
 OWN = "coalesce(max(CASE WHEN operation = 'write' THEN 1 ELSE 0 END) OVER (PARTITION BY task, path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS own"

@@ -148,7 +148,7 @@ def u7(spark, sf_dir):
     """, s AS (SELECT p_partkey AS key, unnest(['file', 'inferred file', 'value', 'value', 'value', 'lockfile', 'settings', 'project', 'manifest', 'dependency', 'args']) AS section, unnest(['a.ts', 'b.json', 'env:X', 'runtime:node', 'externalDependencies', 'dep', 'plugins', 'root', 'p/package.json', 'lib:build', 'args']) AS name, generate_subscripts(range(11), 1) AS place FROM part),
     v AS (SELECT *, CASE WHEN (key + place) % 5 = 0 THEN NULL ELSE key % 3 END AS was, CASE WHEN (key + place) % 7 = 0 THEN NULL ELSE (key + place) % 3 END AS now FROM s)
     SELECT key, CASE section WHEN 'file' THEN 'files' WHEN 'value' THEN CASE name WHEN 'env:X' THEN 'env' WHEN 'runtime:node' THEN 'runtime' ELSE 'lockfile' END WHEN 'lockfile' THEN 'lockfile' WHEN 'dependency' THEN 'dependencies' WHEN 'args' THEN 'args' ELSE 'configuration' END AS "group",
-        CASE section WHEN 'settings' THEN 'nx.json plugins' WHEN 'project' THEN 'project root' WHEN 'manifest' THEN 'p/package.json as dependents read it' ELSE name END AS name,
+        CASE section WHEN 'settings' THEN 'nx.json plugins' WHEN 'project' THEN 'project root' WHEN 'manifest' THEN 'p/package.json, what others read of it' ELSE name END AS name,
         CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'removed' ELSE 'changed' END AS change FROM v WHERE was IS DISTINCT FROM now""",
 )
 def k2_groups(spark, sf_dir):
@@ -336,7 +336,7 @@ def l7(spark, sf_dir):
     return locators.by_root_package(locators.root_package_changes(before, after), installed, rows)
 
 
-@query("l7_root_package_all", "SELECT 'p' || s_suppkey AS project, 'removed dependencies.b' AS detail FROM supplier")
+@query("l7_root_package_all", "SELECT 'p' || s_suppkey AS project, 'dependencies.b is gone' AS detail FROM supplier")
 def l7_all(spark, sf_dir):
     before = spark.createDataFrame([('{"dependencies": {"a": "1", "b": "1"}}',)], "document string")
     after = spark.createDataFrame([('{"dependencies": {"a": "2"}}',)], "document string")

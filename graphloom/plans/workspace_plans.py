@@ -96,6 +96,44 @@ def s6_targets(spark, sf_dir):
     return workspace.targets(found, workspace.projects(found)).select("project", "target", F.get_json_object("definition", "$.executor").alias("executor"))
 
 
+def layered(spark, sf_dir):
+    """A project for each part with a target in up to four layers over defaults by executor, by name and by glob."""
+    part = parts(spark, sf_dir)
+    root = text("mods/m{k}/")
+    manifest = text('{{"name": "m{k}", "scripts": {{"lint": "l"}}, "nx": {{"targets": {{"pack": {{"executor": "x:{k % 3}", "inputs": ["a", "..."], "options": {{"depth": {n}, "keep": [1, "..."]}}}}}}}}}}')
+    own = text('{{"targets": {{"pack": {{"options": {{"depth": 0, "...": true, "late": "{kind}"}}, "outputs": ["out", "..."]}}, "lint": {{"cache": true}}, "test-{k div 2 % 2}": {{"executor": "t"}}}}}}')
+    local = text('{{"targets": {{"pack": {{"executor": "{if(k % 8 = 0, \'other\', \'\')}", "inputs": ["...", "z"]}}}}}}')
+    settings = """{"targetDefaults": {"test-*": {"executor": "t", "cache": false}, "test-1": {"cache": true}, "lint": {"inputs": ["lints"]},
+        "x:1": [{"filter": {"projects": ["m1*"]}, "outputs": ["dist"], "options": {"keep": [9], "base": 1}}, {"outputs": ["...", "more"]}], "pack": {"inputs": ["named"], "options": {"keep": [8]}}}}"""
+    rows = part.select(F.concat(root, F.lit("package.json")).alias("path"), manifest.alias("text"))
+    rows = rows.union(part.where("k % 2 = 0").select(F.concat(root, F.lit("project.json")), own)).union(part.where("k % 4 = 0").select(F.concat(root, F.lit("project.local.json")), local))
+    return rows.union(spark.createDataFrame([("nx.json", settings), ("package.json", '{"workspaces": ["mods/*"]}')], "path string, text string"))
+
+
+@query(
+    "s3_resolved_targets",
+    """WITH m AS (SELECT p_partkey AS k, p_size AS n, p_type AS kind, p_partkey % 2 = 0 AS own, p_partkey % 4 = 0 AS local, p_partkey % 8 = 0 AS other FROM part),
+    d AS (SELECT *, CASE WHEN local THEN ['named'] WHEN k % 3 = 1 THEN [] ELSE ['named'] END AS base_inputs, CASE WHEN local OR k % 3 <> 1 THEN [8] WHEN starts_with(CAST(k AS VARCHAR), '1') THEN [9] ELSE [] END AS base_keep,
+        CASE WHEN local OR k % 3 <> 1 THEN [] WHEN starts_with(CAST(k AS VARCHAR), '1') THEN ['dist', 'more'] ELSE ['more'] END AS base_outputs, NOT local AND k % 3 = 1 AND starts_with(CAST(k AS VARCHAR), '1') AS based FROM m)
+    SELECT 'm' || k AS project, 'pack' AS target, CASE WHEN other THEN 'other' WHEN local THEN '' ELSE 'x:' || k % 3 END AS executor,
+        array_to_string(list_concat(CASE WHEN other THEN base_inputs ELSE list_concat(['a'], base_inputs) END, CASE WHEN local THEN ['z'] ELSE [] END), ',') AS inputs,
+        CASE WHEN other THEN NULL ELSE n END AS depth, array_to_string(CASE WHEN other THEN base_keep ELSE list_concat([1], base_keep) END, ',') AS keep, CASE WHEN own AND NOT other THEN kind END AS late,
+        CASE WHEN own AND NOT other THEN array_to_string(list_concat(['out'], base_outputs), ',') WHEN len(base_outputs) > 0 THEN array_to_string(base_outputs, ',') ELSE '' END AS outputs, based, NULL AS cache FROM d
+    UNION ALL SELECT 'm' || k, 'lint', 'nx:run-script', 'lints', NULL, '', NULL, '', false, CASE WHEN own THEN 'true' END FROM m
+    UNION ALL SELECT 'm' || k, 'test-' || k // 2 % 2, 't', '', NULL, '', NULL, '', false, CASE k // 2 % 2 WHEN 1 THEN 'true' ELSE 'false' END FROM m WHERE own""",
+)
+def s3_resolved(spark, sf_dir):
+    """What four layers, with spreads in arrays and objects and a layer that runs something else, come to over defaults of which some ask for projects."""
+    files_ = layered(spark, sf_dir)
+    rows = workspace.targets(files_, workspace.projects(files_))
+    read = lambda path: F.get_json_object("definition", path)
+    listed = lambda path: F.coalesce(F.array_join(F.from_json(read(path), "array<string>"), ","), F.lit(""))
+    return rows.select(
+        "project", "target", read("$.executor").alias("executor"), listed("$.inputs").alias("inputs"), read("$.options.depth").cast("int").alias("depth"),
+        listed("$.options.keep").alias("keep"), read("$.options.late").alias("late"), listed("$.outputs").alias("outputs"), read("$.options.base").isNotNull().alias("based"), read("$.cache").alias("cache"),
+    )
+
+
 @query("s7_yaml_fields", f"""SELECT p_partkey AS k, '{{"a":' || {K} || ',"b":{{"c":"' || p_type || '"}}}}' AS kept, '{{"a":' || {K} || ',"b":{{"c":"' || p_type || '"}},"list":["x"]}}' AS rest FROM part""")
 def s7(spark, sf_dir):
     rows = parts(spark, sf_dir).withColumn("t", text("a: {k}\nb:\n  c: '{kind}'\n  d: [1, 2]\nlist:\n- x\n"))

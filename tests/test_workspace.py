@@ -1,4 +1,4 @@
-"""A small repository: projects, what depends on what, and what changes touch, with results derived by hand."""
+"""A small repository of a harbour: projects, what depends on what, and what changes touch, with results derived by hand from the rules."""
 
 from __future__ import annotations
 
@@ -7,29 +7,72 @@ import json
 import pytest
 
 from graphloom import api
-from graphloom.operators import closure, locators
+from graphloom.functions import layers
+from graphloom.operators import closure, locators, selection
 from graphloom.sources import lockfile, workspace
 
-
-def base(**changed):
-    """Three projects: app depends on lib by its manifest and implicitly on tool; README lies outside."""
+ROOT = {"name": "harbour", "workspaces": ["front/*", "services/*", "shared/*"], "dependencies": {"chart": "3", "tide": "1"}}
+SETTINGS = {"targetDefaults": {"pack": {"cache": True}, "x:ship": {"outputs": ["hold"]}}, "namedInputs": {"policy": ["{workspaceRoot}/rules/*.md", "{workspaceRoot}/licence"]}, "pluginsConfig": {"@nx/js": {"projectsAffectedByDependencyUpdates": "auto"}}}
+LOCK = """lockfileVersion: '9.0'
+importers:
+  front/crane:
+    dependencies:
+      chart:
+        specifier: '3'
+        version: {chart}
+  services/ledger:
+    dependencies:
+      tide:
+        specifier: '1'
+        version: 1.0.0
+packages:
+  chart@3.0.0: {{resolution: {{integrity: c0}}}}
+  chart@3.1.0: {{resolution: {{integrity: c1}}}}
+  knot@2.0.0: {{resolution: {{integrity: {knot}}}}}
+  tide@1.0.0: {{resolution: {{integrity: t}}}}
+snapshots:
+  chart@3.0.0: {{}}
+  chart@3.1.0: {{}}
+  knot@2.0.0: {{}}
+  tide@1.0.0: {{dependencies: {{knot: 2.0.0}}}}
+"""
+
+
+def dumped(base: dict, **changed) -> str:
+    return json.dumps({k: v for k, v in (base | changed).items() if v is not None})
+
+
+def harbour(**changed):
+    """Five projects: crane (a front end) reads ledger and gauge by its manifest and whatever is tagged core; ledger reads tariff; gauge and tariff read nothing; pier
+    leaves crane out of all it would depend on."""
     files = {
-        "package.json": json.dumps({"name": "root", "workspaces": ["apps/*", "libs/*", "tools/*"], "dependencies": {"left": "1", "right": "1"}}),
-        "nx.json": json.dumps({"targetDefaults": {"build": {"cache": True}}}),
-        "tsconfig.base.json": '{"compilerOptions": {"strict": true, "paths": {"@lib": ["libs/lib/index.ts"]}}, /* none */ "references": [{"path": "./libs/lib"}],}',
-        "apps/app/package.json": json.dumps({"name": "@w/app", "dependencies": {"@w/lib": "workspace:*", "left": "1"}}),
-        "apps/app/project.json": '{"name": "app", "projectType": "application", // mine\n "tags": ["ui"], "implicitDependencies": ["tool"], "targets": {"build": {"executor": "nx:run-commands"}}}',
-        "apps/app/main.ts": "x",
-        "libs/lib/package.json": json.dumps({"name": "@w/lib", "version": "1.0.0", "main": "index.ts", "scripts": {"test": "t"}}),
-        "libs/lib/project.json": '{"name": "lib", "projectType": "library", "targets": {"build": {"executor": "other:own"}}}',
-        "libs/lib/index.ts": "y",
-        "tools/tool/project.json": '{"name": "tool", "targets": {}}',
-        "README.md": "r",
+        "package.json": dumped(ROOT),
+        "nx.json": dumped(SETTINGS),
+        "pnpm-lock.yaml": LOCK.format(chart="3.0.0", knot="k0"),
+        "tsconfig.base.json": '{"compilerOptions": {"strict": true, "paths": {"@harbour/gauge": ["shared/gauge/src/index.ts"]}}, /* none */ "references": [{"path": "./shared/tariff"}],}',
+        "rules/safety.md": "s",
+        "licence": "l",
+        "docs/readme.txt": "r",
+        "front/crane/package.json": json.dumps({"name": "@harbour/crane", "dependencies": {"@harbour/ledger": "workspace:*", "@harbour/gauge": "^1.0.0", "chart": "3"}, "nx": {"tags": ["npm"], "targets": {"ship": {"executor": "x:ship"}}}}),
+        "front/crane/project.json": '{"name": "crane", "projectType": "application", // hoists\n "tags": ["ui"], "implicitDependencies": ["tag:core"], "targets": {"pack": {"executor": "x:pack", "inputs": ["policy"]}}}',
+        "front/crane/main.ts": "m",
+        "services/ledger/package.json": json.dumps({"name": "@harbour/ledger", "version": "1.0.0", "main": "a.js", "dependencies": {"@harbour/tariff": "*", "tide": "1"}, "scripts": {"audit": "a"}}),
+        "services/ledger/project.json": '{"name": "ledger", "tags": ["core"], "targets": {"pack": {"executor": "x:pack"}}}',
+        "services/ledger/book.ts": "b",
+        "services/pier/project.json": '{"name": "pier", "implicitDependencies": ["front/*", "shared/*", "!crane"], "targets": {}}',
+        "shared/gauge/package.json": json.dumps({"name": "@harbour/gauge", "version": "1.2.0", "main": "a.js"}),
+        "shared/gauge/src/index.ts": "g",
+        "shared/tariff/package.json": json.dumps({"name": "@harbour/tariff", "version": "0.1.0", "main": "a.js"}),
+        "shared/tariff/project.json": '{"name": "tariff", "tags": ["core"], "targets": {"pack": {"executor": "other:pack"}}}',
+        "shared/tariff/rates.ts": "t",
     }
     files.update(changed)
     return {k: v for k, v in files.items() if v is not None}
 
 
+ALL = ("crane", "ledger", "pier", "@harbour/gauge", "tariff")
+
+
 def table(spark, files: dict):
     return spark.createDataFrame(list(files.items()), "path string, text string")
 
@@ -39,59 +82,160 @@ def change(spark, before: dict, after: dict):
     return spark.createDataFrame(rows, "path string, before string, after string")
 
 
+def touched(spark, after: dict, before: dict | None = None):
+    rows = api.touched(table(spark, after), change(spark, harbour() if before is None else before, after)).collect()
+    return {r.project: r.reasons for r in rows}
+
+
 def test_projects_and_edges(spark):
-    files = table(spark, base())
-    assert sorted((r.name, r.root, r.project_type) for r in api.projects(files).collect()) == [("app", "apps/app", "application"), ("lib", "libs/lib", "library"), ("tool", "tools/tool", None)]
-    assert {(r.source, r.target, r.kind) for r in api.dependency_edges(files).collect()} == {("app", "lib", "static"), ("app", "tool", "implicit")}
-    assert [r.name for r in api.projects(files, ["tag:ui"]).collect()] == ["app"]
-    assert sorted(r.name for r in api.projects(files, exclude=["app"]).collect()) == ["lib", "tool"]
-    assert sorted(r.name for r in api.projects(files, with_targets=["test"]).collect()) == ["lib"]
-    nodes, edges = api.graph(files, focus="lib")
-    assert sorted(r.name for r in nodes.collect()) == ["app", "lib"] and edges.count() == 2
-    assert api.target(files, "lib", "build").count() == 1 and api.project(files, "tool").count() == 1
-    assert [(r.code, r.location) for r in api.doctor(files).collect()] == [("unsupported-executor", "lib:build")]
+    files = table(spark, harbour())
+    assert sorted((r.name, r.root, r.project_type, tuple(r.tags)) for r in api.projects(files).collect()) == [
+        ("@harbour/gauge", "shared/gauge", None, ()), ("crane", "front/crane", "application", ("npm", "ui")), ("ledger", "services/ledger", None, ("core",)), ("pier", "services/pier", None, ()), ("tariff", "shared/tariff", None, ("core",)),
+    ]
+    assert {(r.source, r.target, r.kind) for r in api.dependency_edges(files).collect()} == {
+        ("crane", "ledger", "static"), ("crane", "@harbour/gauge", "static"), ("ledger", "tariff", "static"), ("crane", "ledger", "implicit"), ("crane", "tariff", "implicit"), ("pier", "@harbour/gauge", "implicit"), ("pier", "tariff", "implicit"),
+    }
+    assert [r.name for r in api.projects(files, ["tag:ui"]).collect()] == ["crane"]
+    assert sorted(r.name for r in api.projects(files, exclude=["tag:core"]).collect()) == ["@harbour/gauge", "crane", "pier"]
+    assert sorted(r.name for r in api.projects(files, with_targets=["audit"]).collect()) == ["ledger"]
+    nodes, edges = api.graph(files, focus="ledger")
+    assert sorted(r.name for r in nodes.collect()) == ["crane", "ledger", "tariff"] and edges.count() == 5
+    assert api.target(files, "crane", "ship").count() == 1 and api.project(files, "pier").count() == 1
+    assert {(r.code, r.location) for r in api.doctor(files).collect()} == {("unsupported-executor", f"{x}:pack") for x in ("crane", "ledger", "tariff")} | {("unsupported-executor", "crane:ship")}
+
+
+def test_targets_of_all_layers(spark):
+    """A package's targets stay beside project.json's; a local file is above both; defaults are beneath, by executor before name."""
+    files = harbour(**{"front/crane/project.local.json": '{"targets": {"ship": {"outputs": ["deck", "..."]}, "pack": {"cache": false}}}'})
+    rows = {(r.project, r.target): json.loads(r.definition) for r in workspace.targets(table(spark, files), workspace.load(table(spark, files))).collect()}
+    assert rows == {
+        ("crane", "ship"): {"executor": "x:ship", "outputs": ["deck", "hold"]},
+        ("crane", "pack"): {"executor": "x:pack", "inputs": ["policy"], "cache": False},
+        ("ledger", "pack"): {"executor": "x:pack", "cache": True},
+        ("ledger", "audit"): {"executor": "nx:run-script", "options": {"script": "audit"}},
+        ("tariff", "pack"): {"executor": "other:pack", "cache": True},
+    }
+    inputs = {(r.project, r.target, r.pattern) for r in workspace.target_inputs(table(spark, files), workspace.load(table(spark, files))).collect()}
+    assert {x[2] for x in inputs if x[:2] == ("crane", "pack")} == {"{workspaceRoot}/rules/*.md", "{workspaceRoot}/licence"}
+    assert {x[2] for x in inputs if x[:2] == ("ledger", "pack")} == {"{projectRoot}/**/*"}
 
 
 def test_duplicates_are_refused(spark):
-    files = table(spark, base(**{"tools/tool/project.json": '{"name": "lib"}'}))
-    with pytest.raises(ValueError, match="2 projects with the name lib"):
+    files = table(spark, harbour(**{"services/pier/project.json": '{"name": "ledger"}'}))
+    with pytest.raises(ValueError, match="2 projects with the name ledger"):
         workspace.load(files)
 
 
 CASES = {
-    "a file touches its project": ({"libs/lib/index.ts": "z"}, {"lib": "file:libs/lib/index.ts"}),
-    "a file outside touches none": ({"README.md": "s"}, {}),
-    "a manifest's target touches its project": ({"libs/lib/project.json": '{"name": "lib", "projectType": "library", "targets": {"build": {"executor": "other:new"}}}'}, {"lib": "project-configuration:configuration"}),
-    "a manifest's spelling touches none": ({"libs/lib/project.json": '{"projectType": "library", "name": "lib", "targets": {"build": {"executor": "other:own"}}}'}, {}),
-    "settings that keys hold touch all": ({"nx.json": json.dumps({"targetDefaults": {"build": {"cache": True}}, "plugins": ["x"]})}, dict.fromkeys(("app", "lib", "tool"), "nx-json:changed plugins")),
-    "settings that no key holds touch none": ({"nx.json": json.dumps({"targetDefaults": {"build": {"cache": True}}, "parallel": 9})}, {}),
-    "a root dependency touches who installs it": ({"package.json": json.dumps({"name": "root", "workspaces": ["apps/*", "libs/*", "tools/*"], "dependencies": {"left": "2", "right": "1"}})}, {"app": "root-package:dependencies.left"}),
-    "a removed root dependency touches all": ({"package.json": json.dumps({"name": "root", "workspaces": ["apps/*", "libs/*", "tools/*"], "dependencies": {"left": "1"}})}, dict.fromkeys(("app", "lib", "tool"), "root-package:removed dependencies.right")),
-    "a path mapping touches what it points at": ({"tsconfig.base.json": '{"compilerOptions": {"strict": true, "paths": {"@lib": ["libs/lib/other.ts"]}}, "references": [{"path": "libs/lib"}]}'}, {"lib": "tsconfig:path:@lib:libs/lib/index.ts;tsconfig:path:@lib:libs/lib/other.ts"}),
-    "other compiler options touch all": ({"tsconfig.base.json": '{"compilerOptions": {"strict": false}}'}, dict.fromkeys(("app", "lib", "tool"), "tsconfig:tsconfig")),
+    "a file, one outside, and those that inputs name from the root": ({"shared/tariff/rates.ts": "u", "docs/readme.txt": "s", "rules/safety.md": "t", "licence/full.txt": "t"}, {"tariff": "file:shared/tariff/rates.ts", "crane": "implicit:licence/full.txt;implicit:rules/safety.md"}),
+    "a target changed in a project file": ({"shared/tariff/project.json": '{"name": "tariff", "tags": ["core"], "targets": {"pack": {"executor": "other:two"}}}'}, {"tariff": "project-configuration:targets.pack"}),
+    "a project file spelt otherwise, with what a default says already, and settings that no key holds": ({"nx.json": dumped(SETTINGS, parallel=9), "shared/tariff/project.json": '{"tags": ["core"], "name": "tariff", "targets": {"pack": {"executor": "other:pack", "cache": true}}}'}, {}),
+    "a default touches the targets it reaches, by executor or by name": ({"nx.json": dumped(SETTINGS, targetDefaults={"pack": {"cache": False}, "x:ship": {"outputs": ["deck"]}})}, {"crane": "nx-json:targets.pack;nx-json:targets.ship", "ledger": "nx-json:targets.pack", "tariff": "nx-json:targets.pack"}),
+    "settings that keys hold touch all": ({"nx.json": dumped(SETTINGS, plugins=["x"])}, dict.fromkeys(ALL, "nx-json:changed plugins")),
+    "a lockfile touches who installs what moved, directly or through others": ({"pnpm-lock.yaml": LOCK.format(chart="3.1.0", knot="k1")}, {"crane": "lockfile:chart@3.0.0;lockfile:chart@3.1.0", "ledger": "lockfile:knot@2.0.0"}),
+    "a root dependency touches who installs it": ({"package.json": dumped(ROOT, dependencies={"chart": "4", "tide": "1"})}, {"crane": "root-package:dependencies.chart"}),
+    "one that is gone touches all": ({"package.json": dumped(ROOT, dependencies={"chart": "3"})}, dict.fromkeys(ALL, "root-package:dependencies.tide is gone")),
+    "a path mapping touches what it points at": ({"tsconfig.base.json": '{"compilerOptions": {"strict": true, "paths": {"@harbour/gauge": ["shared/gauge/src/new.ts"]}}, "references": [{"path": "shared/tariff"}]}'}, {"@harbour/gauge": "tsconfig:path:@harbour/gauge:shared/gauge/src/index.ts;tsconfig:path:@harbour/gauge:shared/gauge/src/new.ts"}),
+    "other compiler options touch all": ({"tsconfig.base.json": '{"compilerOptions": {"strict": false}}'}, dict.fromkeys(ALL, "tsconfig:tsconfig")),
 }
 
 
 @pytest.mark.parametrize("case", CASES)
 def test_what_changes_touch(spark, case):
     changed, wanted = CASES[case]
-    after = base(**changed)
-    assert {r.project: r.reasons for r in api.touched(table(spark, after), change(spark, base(), after)).collect()} == wanted
+    assert touched(spark, harbour(**changed)) == wanted
+
+
+def test_lockfile_modes(spark):
+    """Without a mode a lockfile touches all; a list names projects by selectors; a lockfile of another tool can't be read."""
+    of = lambda mode: {"nx.json": dumped(SETTINGS, pluginsConfig={"@nx/js": {"projectsAffectedByDependencyUpdates": mode}} if mode else None)}
+    moved = {"pnpm-lock.yaml": LOCK.format(chart="3.1.0", knot="k0")}
+    assert touched(spark, harbour(**of(None), **moved), harbour(**of(None))) == dict.fromkeys(ALL, "lockfile:all")
+    assert touched(spark, harbour(**of(["tag:core"]), **moved), harbour(**of(["tag:core"]))) == dict.fromkeys(("ledger", "tariff"), "lockfile:listed")
+    assert touched(spark, harbour(**{"yarn.lock": "x"})) == dict.fromkeys(ALL, "lockfile:all")
 
 
 def test_removed_project_touches_its_dependents(spark):
-    after = base(**{p: None for p in ("libs/lib/package.json", "libs/lib/project.json", "libs/lib/index.ts")})
-    assert {r.project: r.reasons for r in api.touched(table(spark, after), change(spark, base(), after)).collect()} == {"app": "removed:lib"}
+    after = harbour(**{p: None for p in harbour() if p.startswith("shared/tariff/")})
+    assert touched(spark, after) == {"crane": "removed:tariff", "ledger": "removed:tariff", "pier": "removed:tariff"}
 
 
 def test_affected_with_chain(spark):
-    after = base(**{"libs/lib/index.ts": "z"})
-    found = {r.id: (r.chain, r.reasons) for r in api.explain_affected(table(spark, after), change(spark, base(), after)).collect()}
-    assert found == {"lib": (["lib"], "file:libs/lib/index.ts"), "app": (["lib", "app"], "file:libs/lib/index.ts")}
-    requests = spark.createDataFrame([("app", "build")], "project string, target string")
-    rules = spark.createDataFrame([("build", "build", True)], "target string, on_target string, upstream boolean")
-    rows = api.affected_tasks(table(spark, after), change(spark, base(), after), requests, rules).collect()
-    assert sorted((r.project, r.target, r.via) for r in rows) == [("app", "build", "lib:build"), ("lib", "build", None)]
+    after = harbour(**{"shared/gauge/src/index.ts": "h"})
+    found = {r.id: (r.chain, r.reasons) for r in api.explain_affected(table(spark, after), change(spark, harbour(), after)).collect()}
+    cause = "file:shared/gauge/src/index.ts"
+    assert found == {"@harbour/gauge": (["@harbour/gauge"], cause), "crane": (["@harbour/gauge", "crane"], cause), "pier": (["@harbour/gauge", "pier"], cause)}
+
+
+def test_affected_tasks(spark):
+    """A file of ledger is no input of crane's pack, which reads policies alone, but ledger's pack comes before it."""
+    rules = spark.createDataFrame([("pack", "pack", True)], "target string, on_target string, upstream boolean")
+    requests = spark.createDataFrame([("crane", "pack")], "project string, target string")
+
+    def tasks(granularity="tasks", **changed):
+        after = harbour(**changed)
+        rows = api.affected_tasks(table(spark, after), change(spark, harbour(), after), requests, rules, granularity).collect()
+        return {(r.project, r.via, r.reasons) for r in rows}
+
+    assert tasks(**{"services/ledger/book.ts": "c"}) == {("ledger", None, "input:services/ledger/book.ts"), ("crane", "ledger:pack", None)}
+    assert tasks(**{"front/crane/main.ts": "n"}) == set()
+    assert tasks("projects", **{"front/crane/main.ts": "n"}) == {("crane", None, "file:front/crane/main.ts")}
+    assert tasks(**{"rules/safety.md": "n"}) == {("crane", None, "input:rules/safety.md")}
+    assert tasks(**{"nx.json": dumped(SETTINGS, targetDefaults={"pack": {"cache": True}, "x:pack": {"cache": False}, "x:ship": {"outputs": ["hold"]}})}) == {("ledger", None, "configuration:definition"), ("crane", None, "configuration:definition")}
+
+
+def test_implicit_selectors(spark):
+    """Selectors that take away count after all that add; a word in a name, a folder, and what selects nothing."""
+    projects = spark.createDataFrame([("a", "x/a", ["t"]), ("b/core", "x/b", []), ("c", "y/c", ["t", "u"])], "name string, root string, tags array<string>")
+    implicit = spark.createDataFrame([("c", 0, "!tag:u"), ("c", 1, "x/*"), ("a", 0, "core"), ("a", 1, "gone"), ("b/core", 0, "!a"), ("b/core", 1, "tag:t")], "source string, turn int, pattern string")
+    static = spark.createDataFrame([("b/core", "a"), ("a", "c")], "source string, target string")
+    found = selection.edges_with_implicit(static, implicit, projects)
+    assert {tuple(r) for r in found.collect()} == {("a", "c", "static"), ("c", "a", "implicit"), ("c", "b/core", "implicit"), ("a", "b/core", "implicit"), ("b/core", "c", "implicit")}
+    assert [tuple(r) for r in selection.unknown_names(implicit, projects).collect()] == [("a", "gone")]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_selectors_in_rows_match_lists(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    pool = ["p1", "area1/*", "!p2", "tag:t1", "!tag:t0", "*", "directory:area0/**", "name:p*", "core", "!*/m1?", "nothing", "!directory:area2/m2"]
+    projects = [(f"p{k}" if k % 3 else f"x-core{'' if k % 2 else 's'}/{k}", f"area{k % 3}/m{k}", [f"t{k % 2}", f"u{k}"]) for k in range(24)]
+    frame = spark.createDataFrame(projects, "name string, root string, tags array<string>")
+    lists = {f"o{k}": [rng.choice(pool) for _ in range(rng.randint(1, 4))] for k in range(6)}
+    rows = spark.createDataFrame([(o, turn, p) for o, ps in lists.items() for turn, p in enumerate(ps)], "owner string, turn int, pattern string")
+    found = {o: set() for o in lists}
+    for r in selection.matching(rows, frame).collect():
+        found[r.owner].add(r.name)
+    one = frame.select("name", "root", frame.tags[0].alias("tag"))
+    assert found == {o: {r.name for r in selection.select_projects(one, ps).collect()} for o, ps in lists.items()}
+
+
+MERGES = [
+    ([1, 2], ["...", 3], [1, 2, 3]),
+    (None, ["a", "..."], ["a"]),
+    ({"a": 1, "b": 2}, {"a": 9, "...": True, "b": 8}, {"a": 1, "b": 8}),
+    ({"a": 1}, {"b": 2}, {"b": 2}),
+    ({"a": 1}, None, None),
+]
+
+
+@pytest.mark.parametrize("base, new, wanted", MERGES)
+def test_values_merge(base, new, wanted):
+    assert layers.overlaid(base, new) == wanted
+
+
+def test_targets_merge():
+    base = {"executor": "e", "cache": True, "inputs": ["a"], "options": {"x": 1, "y": [1]}, "configurations": {"dev": {"p": 1}, "ci": {"q": 2}}}
+    assert layers.merged(base, {"inputs": ["...", "b"], "options": {"y": ["...", 2]}, "configurations": {"dev": {"r": 3}}}) == {
+        "executor": "e", "cache": True, "inputs": ["a", "b"], "options": {"x": 1, "y": [1, 2]}, "configurations": {"dev": {"p": 1, "r": 3}, "ci": {"q": 2}},
+    }
+    assert layers.merged(base, {"cache": False, "...": True, "inputs": []}) == base | {"inputs": []}
+    assert layers.merged(base, {"executor": "other", "cache": False}) == {"executor": "other", "cache": False}
+    one, two = ({"executor": "nx:run-commands", "options": {"command": c}} for c in "ab")
+    assert not layers.compatible(one, two) and layers.compatible(one, {"options": {}}) and layers.compatible(one, {"executor": "nx:run-commands"})
+    assert layers.resolved([{"command": "go", "cache": False}], [{"outputs": ["o"], "options": {"command": "no", "cwd": "."}}]) == {"outputs": ["o"], "options": {"cwd": ".", "command": "go"}, "executor": "nx:run-commands", "cache": False}
+    assert layers.resolved([{"executor": "a"}], [{"executor": "b", "cache": True}]) == {"executor": "a"}
 
 
 def test_not_compared_and_modes(spark):
