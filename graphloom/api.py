@@ -146,11 +146,15 @@ def touched(files: DataFrame, changes: DataFrame) -> DataFrame:
     return locators.touched(rules)
 
 
-def explain_affected(files: DataFrame, changes: DataFrame) -> DataFrame:
-    """id, chain, also, reasons: affected projects, each with the way from a touched one and why that one is."""
+def explain_affected(files: DataFrame, changes: DataFrame, chains_of: list[str] = ()) -> DataFrame:
+    """id, depth, parent, first, also, reasons, chain: affected projects, each with whom it is affected through, the touched one where that begins and why that one is; chain
+    is the whole way to projects asked for, null for others."""
     found = checkpointed(touched(files, changes))
-    chains = closure.explained(found.select(F.col("project").alias("id")), dependency_edges(files))
-    return chains.join(found.select(F.col("project").alias("first"), "reasons"), F.element_at("chain", 1) == F.col("first")).drop("first")
+    rows = checkpointed(closure.explained(found.select(F.col("project").alias("id")), dependency_edges(files)).drop("rank"))
+    rows = rows.join(found.select(F.col("project").alias("first"), "reasons"), "first")
+    if not chains_of:
+        return rows.withColumn("chain", F.lit(None).cast("array<string>"))
+    return rows.join(closure.chains(rows, rows.where(F.col("id").isin(*chains_of)).select("id")), "id", "left")
 
 
 def plan_tasks(files: DataFrame, requests: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -102,6 +102,7 @@ def default_for(entry: dict, target: dict) -> dict | None:
 
 def resolved(layers: list[dict], defaults: list[dict]) -> dict:
     """A target of its files' layers, lowest first, over the defaults chosen for it; a layer that runs something else than those before it starts from the defaults anew."""
+    layers = [plain(x) for x in layers]
     staged = reduce(merged, layers, {})
     beneath = reduce(merged, [d for d in (default_for(x, staged) for x in defaults) if d is not None], {})
     found = beneath

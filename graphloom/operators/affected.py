@@ -23,7 +23,7 @@ def nearest_with_target(starts: DataFrame, edges: DataFrame, targets: DataFrame)
         through = ahead.join(has, ["project", "target"], "left_anti").select("start", "target", F.col("project").alias("at"))
         through = through if seen is None else through.join(seen, ["start", "target", "at"], "left_anti")
         frontier = checkpointed(through)
-        found = here if found is None else found.union(here)
+        found = here if found is None else checkpointed(found.union(here))
         seen = frontier if seen is None else checkpointed(seen.union(frontier))
     return found.distinct() if found is not None else starts.select("start", "target", F.col("start").alias("project")).limit(0)
 
@@ -48,8 +48,7 @@ def plan_tasks(requests: DataFrame, targets: DataFrame, rules: DataFrame, edges:
     while frontier.limit(1).count():
         ahead = frontier.join(links, ["project", "target"]).select(F.col("on_project").alias("project"), F.col("on_target").alias("target")).distinct()
         frontier = checkpointed(ahead.join(tasks, ["project", "target"], "left_anti"))
-        tasks = tasks.union(frontier)
-    tasks = checkpointed(tasks)
+        tasks = checkpointed(tasks.union(frontier))
     return tasks, links.join(tasks, ["project", "target"], "left_semi")
 
 

@@ -5,6 +5,7 @@ checkpoint; what follows one pointer an id (parents, unbranched chains) goes by
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,24 +71,24 @@ FEW = 100_000
 
 
 def discovered(touched: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, depth, parent, rank: what touched(id) ids affect, breadth first, with each id's first discoverer.
+    """id, depth, parent, first, rank: what touched(id) ids affect, breadth first, with each id's first discoverer and the touched id where that way begins.
 
     Ranks are places within a depth: a queue that starts with the touched ids in order visits ids in the
     order of their parents' ranks, then of ids. Rows don't grow with the depth; chains() unrolls them.
     """
     steps = checkpointed(_steps(edges, True))
     start = ranked(touched.select("id").distinct(), "id")
-    seen = frontier = checkpointed(start.select("id", F.lit(0).alias("depth"), F.lit(None).cast(start.schema["id"].dataType).alias("parent"), "rank"))
+    seen = frontier = checkpointed(start.select("id", F.lit(0).alias("depth"), F.lit(None).cast(start.schema["id"].dataType).alias("parent"), F.col("id").alias("first"), "rank"))
     depth = 0
     while frontier.limit(1).count():
         depth += 1
-        ahead = frontier.join(steps, frontier.id == steps["at"]).groupBy(F.col("next").alias("id")).agg(F.min(F.struct("rank", F.col("at").alias("parent"))).alias("via"))
-        found = checkpointed(ahead.join(seen, "id", "left_anti").select("id", F.lit(depth).alias("depth"), "via.parent", F.col("via.rank").alias("before")))
+        ahead = frontier.join(steps, frontier.id == steps["at"]).groupBy(F.col("next").alias("id")).agg(F.min(F.struct("rank", F.col("at").alias("parent"), "first")).alias("via"))
+        found = checkpointed(ahead.join(seen, "id", "left_anti").select("id", F.lit(depth).alias("depth"), "via.parent", "via.first", F.col("via.rank").alias("before")))
         if found.limit(FEW + 1).count() <= FEW:  # few enough for one task to order
             frontier = found.withColumn("rank", F.row_number().over(Window.orderBy("before", "id")).cast("long"))
         else:
             frontier = ranked(found, "before", "id")
-        frontier = frontier.select("id", "depth", "parent", "rank")
+        frontier = frontier.select("id", "depth", "parent", "first", "rank")
         seen = checkpointed(seen.union(frontier)) if depth % 4 == 0 else seen.union(frontier)
     return seen
 
@@ -120,9 +121,9 @@ def chains(found: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
 
 
 def explained(touched: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, chain, also: what touched(id) ids affect, breadth first.
+    """id, depth, parent, first, also, rank: what touched(id) ids affect, breadth first.
 
-    chain leads from the touched id to this one over each step's first discoverer. also: the other affected
+    parent is the first discoverer, first the touched id at the chain's begin; chains() unrolls whole chains of ids asked for. also: the other affected
     dependencies of an id that isn't touched itself.
     """
     seen = checkpointed(discovered(touched, edges))
@@ -130,7 +131,117 @@ def explained(touched: DataFrame, edges: DataFrame) -> DataFrame:
     others = seen.join(direct, seen.id == direct.source).where(F.col("parent").isNotNull() & (F.col("target") != F.col("parent")))
     also = others.groupBy("id").agg(F.array_sort(F.collect_set("target")).alias("also"))
     none = F.array().cast(also.schema["also"].dataType)
-    return chains(seen).join(also, "id", "left").withColumn("also", F.coalesce("also", none))
+    return seen.join(also, "id", "left").withColumn("also", F.coalesce("also", none))
+
+
+#: Edges of what contraction leaves that one task may settle; rounds of levels that come before contraction.
+SMALL, LEVELS = 100_000, 8
+
+
+class Cyclic(ValueError):
+    """Edges have a cycle where none may be."""
+
+    def __init__(self) -> None:
+        super().__init__("the edges have a cycle")
+
+
+def _core(links: pd.DataFrame, nodes: pd.DataFrame, mark: bool) -> pd.DataFrame:
+    """id, value of a small graph's nodes, by one pass in topological order; what a cycle holds up has null, or 1 if loops are marked."""
+    ahead: dict = {}
+    held = dict.fromkeys(nodes["id"].tolist(), 0)
+    for near, far, cost in zip(links["near"].tolist(), links["far"].tolist(), links["cost"].tolist(), strict=True):
+        ahead.setdefault(near, []).append((far, cost))
+        held[far] += 1
+    value = {k: None if f != f or f is None else int(f) for k, f in zip(nodes["id"].tolist(), nodes["floor"].tolist(), strict=True)}
+    ready, out = [k for k, n in held.items() if not n], {}
+    while ready:
+        here = ready.pop()
+        out[here] = value[here] or 0
+        for far, cost in ahead.get(here, ()):
+            value[far] = max(out[here] + cost, value[far]) if value[far] is not None else out[here] + cost
+            held[far] -= 1
+            if not held[far]:
+                ready.append(far)
+    ids = nodes["id"].tolist()
+    return pd.DataFrame({"id": ids, "value": pd.array([out.get(k, 1 if mark else None) for k in ids], "Int64")})
+
+
+def settled(nodes: DataFrame, links: DataFrame, mark: bool = False) -> DataFrame:
+    """id, value of nodes(id, floor) over links(near, far, cost): the most of an id's floor and of value + cost of what is near to it; 0 for an id with neither.
+
+    A few levels are settled from their beginnings. What is left is contracted: each round takes out ids of few links, no two of them neighbours, and links what came before them
+    to what comes after, at the greatest sum of costs; ids taken out are settled from their neighbours once those are, the last first. A deep graph of bounded width so takes
+    rounds in the logarithm of its depth. What contraction leaves goes to one task if it has at most SMALL links, or on by levels where ids have many links each.
+    An id that comes to be linked to itself is on a cycle: with mark it has the value 1 and what it leads to too (costs being 0), without Cyclic is raised.
+    """
+    kind = nodes.schema["id"].dataType.simpleString()
+    waiting, links = checkpointed(nodes.select("id", F.col("floor").cast("long").alias("floor"))), links.groupBy("near", "far").agg(F.max(F.col("cost").cast("long")).alias("cost"))
+    done: list[DataFrame] = []
+    records: list[tuple[DataFrame, DataFrame]] = []
+    turn, n, levels, contracted = 0, None, LEVELS, False
+    while True:
+        loops = checkpointed(links)
+        looped = loops.where("near = far").select(F.col("near").alias("id"))
+        if looped.limit(1).count():
+            if not mark:
+                raise Cyclic
+            waiting = checkpointed(waiting.join(looped.withColumn("loop", F.lit(1).cast("long")), "id", "left").select("id", F.greatest("floor", "loop").alias("floor")))
+        links, before = loops.where("near <> far"), n
+        n = links.count()
+        if n <= SMALL:
+            break
+        if contracted and n > 0.98 * before:  # too many links an id: levels again
+            levels = max(1, LEVELS)
+        if levels:
+            levels, contracted = levels - 1, False
+            ready = checkpointed(waiting.join(links.select(F.col("far").alias("id")).distinct(), "id", "left_anti").select("id", F.coalesce("floor", F.lit(0)).cast("long").alias("value")))
+            if not ready.limit(1).count():
+                if not mark:
+                    raise Cyclic
+                # everything left comes after something, so all of it is on a cycle or after one
+                return _resubstituted([*done, waiting.select("id", F.lit(1).cast("long").alias("value"))], records)
+            done.append(ready)
+            gone, pushed = ready.select("id"), links.join(ready, links.near == ready.id).select(F.col("far").alias("id"), (F.col("value") + F.col("cost")).alias("more"))
+            links = links.join(gone.withColumnRenamed("id", "near"), "near", "left_anti")
+        else:
+            contracted = True
+            degrees = links.select(F.col("near").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(links.select(F.col("far").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i"))).groupBy("id").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
+            able = checkpointed(degrees.where("i * o <= 2 * (i + o)").select("id", F.xxhash64("id", F.lit(turn)).alias("draw")))
+            of = lambda end: able.select(F.col("id").alias(end), F.struct("draw", "id").alias(f"{end}_draw"))
+            pairs = links.join(of("near"), "near").join(of("far"), "far")
+            losers = pairs.select(F.when(F.col("near_draw") > F.col("far_draw"), F.col("near")).otherwise(F.col("far")).alias("id")).distinct()
+            gone = checkpointed(able.select("id").join(losers, "id", "left_anti"))
+            into, out_of = checkpointed(links.join(gone.withColumnRenamed("id", "far"), "far")), links.join(gone.withColumnRenamed("id", "near"), "near")
+            taken = checkpointed(gone.join(waiting, "id").join(into.select(F.col("far").alias("id"), F.lit(True).alias("fed")).distinct(), "id", "left"))
+            records.append((taken.select("id", "floor"), into))
+            own = F.when(F.col("fed").isNull(), F.coalesce("floor", F.lit(0))).otherwise(F.col("floor"))
+            pushed = out_of.join(taken.select(F.col("id").alias("near"), own.alias("value")), "near").where("value IS NOT NULL").select(F.col("far").alias("id"), (F.col("value") + F.col("cost")).alias("more"))
+            over = into.select(F.col("near").alias("begin"), F.col("far").alias("mid"), F.col("cost").alias("first")).join(out_of.select(F.col("near").alias("mid"), "far", "cost"), "mid")
+            rest = links.join(gone.withColumnRenamed("id", "far"), "far", "left_anti").join(gone.withColumnRenamed("id", "near"), "near", "left_anti")
+            links = rest.select("near", "far", "cost").unionByName(over.select(F.col("begin").alias("near"), "far", (F.col("first") + F.col("cost")).alias("cost"))).groupBy("near", "far").agg(F.max("cost").alias("cost"))
+        best = pushed.groupBy("id").agg(F.max("more").alias("more"))
+        waiting = checkpointed(waiting.join(gone, "id", "left_anti").join(best, "id", "left").select("id", F.greatest("floor", "more").alias("floor")))
+        turn += 1
+    linked = links.select(F.col("near").alias("id")).union(links.select("far")).distinct()
+    done.append(waiting.join(linked, "id", "left_anti").select("id", F.coalesce("floor", F.lit(0)).cast("long").alias("value")))
+    inside = waiting.join(linked, "id", "left_semi").groupBy(F.lit(0).alias("one"))
+    solved = links.groupBy(F.lit(0).alias("one")).cogroup(inside).applyInPandas(lambda a, b: _core(a, b, mark), f"id {kind}, value long")
+    solved = checkpointed(solved)
+    if solved.where("value IS NULL").limit(1).count():
+        raise Cyclic
+    return _resubstituted(done + [solved], records)
+
+
+def _resubstituted(done: list[DataFrame], records: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """The values of done, and of ids taken out in records, the last first, from their neighbours' then."""
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    found = checkpointed(found)
+    for taken, into in reversed(records):
+        best = into.join(found.withColumnRenamed("id", "near"), "near").groupBy(F.col("far").alias("id")).agg(F.max(F.col("value") + F.col("cost")).alias("more"))
+        found = checkpointed(found.unionByName(taken.join(best, "id", "left").select("id", F.coalesce(F.greatest("floor", "more"), F.lit(0)).cast("long").alias("value"))))
+    return found
 
 
 def longest_paths(nodes: DataFrame, edges: DataFrame, dependents: bool = False) -> DataFrame:
@@ -138,63 +249,40 @@ def longest_paths(nodes: DataFrame, edges: DataFrame, dependents: bool = False)
     neighbour it comes through, the first of those with most (null where a chain begins).
 
     Chains run up the dependencies, or with dependents up what depends on them. Unbranched stretches, where
-    each id leads to one other and that one comes from no other, are summed by doubling and stand as one; what
-    is left is settled level by level, a level when all its neighbours are, and settled rows leave the loop. A
-    cycle never settles and raises ValueError.
+    each id leads to one other and that one comes from no other, are summed by doubling and stand as one; the
+    rest is contracted as settled() says. A cycle raises ValueError.
     """
     known = nodes.select("id")
     inside = edges.join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi")
     steps = checkpointed(_steps(inside, not dependents))  # a chain goes from `at` on to `next`
     ways, comes = steps.groupBy("at").agg(F.count("*").alias("ways")), steps.groupBy("next").agg(F.count("*").alias("comes"))
     tight = steps.join(ways.where("ways = 1"), "at").join(comes.where("comes = 1"), "next").select(F.col("next").alias("id"), F.col("at").alias("parent"))
-    stretch = _stretches(nodes, checkpointed(tight))
-    heads = stretch.groupBy("head").agg(F.max("so_far").alias("weight"), F.max_by("id", "place").alias("tail"))
+    stretch = checkpointed(_stretches(nodes, checkpointed(tight)))
+    heads = checkpointed(stretch.groupBy("head").agg(F.max("so_far").alias("weight"), F.max_by("id", "place").alias("tail")))
     loose = steps.join(tight.select(F.col("id").alias("next"), F.col("parent").alias("at")), ["at", "next"], "left_anti")
-    of_tail = checkpointed(heads)
-    between = loose.join(of_tail.select(F.col("tail").alias("at"), F.col("head").alias("from")), "at").select("from", "at", F.col("next").alias("to"))
-    settled = _levels(of_tail.select(F.col("head").alias("id"), "weight"), checkpointed(between))
-    rows = stretch.join(settled.withColumnRenamed("id", "head"), "head")
-    via = F.when(F.col("id") == F.col("head"), F.col("via")).otherwise(F.col("before"))
-    return rows.select("id", (F.col("base") + F.col("so_far")).alias("length"), via.alias("via"))
+    between = loose.join(heads.select(F.col("tail").alias("at"), F.col("head").alias("near"), F.col("weight").alias("cost")), "at").select("near", F.col("next").alias("far"), "cost")
+    bases = settled(heads.select(F.col("head").alias("id"), F.lit(None).cast("long").alias("floor")), between)
+    lengths = checkpointed(stretch.join(bases.withColumnRenamed("id", "head"), "head").select("id", (F.col("value") + F.col("so_far")).alias("length"), "weight"))
+    best = steps.join(lengths.select(F.col("id").alias("at"), F.col("length").alias("before")), "at").groupBy(F.col("next").alias("id")).agg(F.min_by("at", F.struct(-F.col("before"), "at")).alias("via"))
+    return lengths.select("id", "length").join(best, "id", "left")
 
 
 def _stretches(nodes: DataFrame, tight: DataFrame) -> DataFrame:
-    """id, head, place, so_far, before: where each id stands in its stretch of tight(id, parent) links, and the weights up to it."""
+    """id, weight, head, place, so_far: where each id stands in its stretch of tight(id, parent) links, and the weights up to it."""
     rows = nodes.select("id", "weight").join(tight, "id", "left")
     state = checkpointed(rows.select("id", "weight", F.col("parent").alias("before"), F.coalesce("parent", "id").alias("up"), F.col("weight").alias("sum"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("place"), F.col("parent").isNull().alias("done")))
     limit = state.count()
     reach = 1
     while state.where("NOT done").limit(1).count():
         if reach > 2 * limit:
-            raise ValueError("the edges have a cycle")
+            raise Cyclic
         top = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("place").alias("place2"), F.col("done").alias("done2"))
         done, open_rows = state.where("done"), state.where("NOT done").join(top, "up")
         # a finished one above is a head or hangs on its head: its sum counts from there
         moved = open_rows.select("id", "weight", "before", F.col("up2").alias("up"), (F.col("sum") + F.col("sum2")).alias("sum"), (F.col("place") + F.col("place2")).alias("place"), F.col("done2").alias("done"))
         state = checkpointed(done.unionByName(moved))
         reach *= 2
-    return state.select("id", F.col("up").alias("head"), "place", F.col("sum").alias("so_far"), "before")
-
-
-def _levels(nodes: DataFrame, steps: DataFrame) -> DataFrame:
-    """id, base, via of nodes(id, weight): the heaviest sum before each over steps(from, at, to), where `at` is the last id of `from`'s stretch."""
-    waiting = checkpointed(nodes.select("id", "weight", F.lit(None).cast("struct<length:long,order:long>").alias("best")))
-    out, rounds = None, 0
-    while waiting.limit(1).count():
-        ready = checkpointed(waiting.join(steps.select(F.col("to").alias("id")).distinct(), "id", "left_anti"))
-        if not ready.limit(1).count():
-            raise ValueError("the edges have a cycle")
-        done = ready.select("id", F.coalesce("best.length", F.lit(0)).cast("long").alias("base"), (-F.col("best.order")).alias("via"))
-        out = done if out is None else out.union(done)
-        rounds += 1
-        if rounds % 8 == 0:
-            out = checkpointed(out)
-        lengths = ready.select(F.col("id").alias("from"), (F.coalesce("best.length", F.lit(0)) + F.col("weight")).alias("length"))
-        offered = steps.join(lengths, "from").groupBy(F.col("to").alias("id")).agg(F.max(F.struct("length", (-F.col("at")).alias("order"))).alias("more"))
-        left = waiting.join(ready.select("id"), "id", "left_anti").join(offered, "id", "left")
-        waiting = checkpointed(left.select("id", "weight", F.greatest("best", "more").alias("best")))
-        steps = checkpointed(steps.join(ready.select(F.col("id").alias("from")), "from", "left_anti"))
-    return out if out is not None else nodes.select("id", F.lit(0).cast("long").alias("base"), F.lit(None).cast("long").alias("via"))
+    return state.select("id", "weight", F.col("up").alias("head"), "place", F.col("sum").alias("so_far"))
 
 
 def critical_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -206,16 +294,16 @@ def critical_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return path.withColumn("position", (most - F.col("steps")).cast("int")).join(nodes, "id").select("position", "id", "weight")
 
 
+def _ends(edges: DataFrame) -> DataFrame:
+    """id, floor (null) of all that edges name, as settled() takes nodes."""
+    return edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct().withColumn("floor", F.lit(None).cast("long"))
+
+
 def cyclic_part(edges: DataFrame) -> DataFrame:
-    """source, target of the edges that lead to a cycle: what is left after ids without dependencies are taken away, round by round."""
-    left = checkpointed(edges.select("source", "target").distinct())
-    n = left.count()
-    while True:
-        held = checkpointed(left.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
-        now = held.count()
-        if now == n:
-            return held
-        left, n = held, now
+    """source, target of the edges that lead to a cycle."""
+    each = checkpointed(edges.select("source", "target").distinct())
+    leads = settled(_ends(each), each.select(F.col("target").alias("near"), F.col("source").alias("far"), F.lit(0).alias("cost")), mark=True).where("value > 0")
+    return checkpointed(each.join(leads.select(F.col("id").alias("target")), "target", "left_semi").select("source", "target"))
 
 
 def has_cycle(edges: DataFrame) -> bool:

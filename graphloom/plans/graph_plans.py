@@ -60,23 +60,33 @@ def g3(spark, sf_dir):
     return views.edges(spark, sf_dir).join(kept, "source", "left_semi")
 
 
+AFFECTED = f""", chains(id, chain) AS (SELECT id, [id] FROM nodes WHERE {TOUCHED} UNION ALL
+        SELECT e.source, list_append(chain, e.source) FROM chains c JOIN edges e ON e.target = c.id WHERE NOT (e.source % 97 = 5)),
+    best AS (SELECT id, chain FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY len(chain), chain) AS place FROM chains) WHERE place = 1)"""
+
+
 @query(
     "g4_affected_cause",
-    f""", chains(id, chain) AS (SELECT id, [id] FROM nodes WHERE {TOUCHED} UNION ALL
-        SELECT e.source, list_append(chain, e.source) FROM chains c JOIN edges e ON e.target = c.id WHERE NOT (e.source % 97 = 5)),
-    best AS (SELECT id, chain FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY len(chain), chain) AS place FROM chains) WHERE place = 1),
-    others AS (SELECT b.id, string_agg(CAST(e.target AS VARCHAR), ',' ORDER BY e.target) AS also FROM best b JOIN edges e ON e.source = b.id
+    AFFECTED
+    + """, others AS (SELECT b.id, string_agg(CAST(e.target AS VARCHAR), ',' ORDER BY e.target) AS also FROM best b JOIN edges e ON e.source = b.id
         WHERE len(b.chain) > 1 AND e.target IN (SELECT id FROM best) AND e.target <> b.chain[-2] GROUP BY b.id)
-    SELECT b.id, array_to_string(chain, '>') AS chain, CASE WHEN len(chain) = 1 THEN 'touched' ELSE 'depends-on' END AS cause, coalesce(also, '') AS also
+    SELECT b.id, len(chain) - 1 AS depth, chain[1] AS first, CASE WHEN len(chain) > 1 THEN chain[-2] END AS parent, CASE WHEN len(chain) = 1 THEN 'touched' ELSE 'depends-on' END AS cause, coalesce(also, '') AS also
     FROM best b LEFT JOIN others o ON o.id = b.id""",
     "nodes edges",
     recursive=True,
 )
 def g4(spark, sf_dir):
+    """Every affected node with why: the touched one its way begins at, and whom it is affected through."""
+    found = closure.explained(seeds(spark, sf_dir, TOUCHED), views.edges(spark, sf_dir))
+    cause = F.when(F.col("parent").isNull(), "touched").otherwise("depends-on")
+    return found.select("id", "depth", "first", "parent", cause.alias("cause"), F.array_join(F.transform("also", lambda x: x.cast("string")), ",").alias("also"))
+
+
+@query("g5_chain", AFFECTED + " SELECT id, array_to_string(chain, '>') AS chain FROM best WHERE id % 13 = 4", "nodes edges", recursive=True)
+def g5(spark, sf_dir):
+    """The whole ways to the nodes that were asked for."""
     found = closure.explained(seeds(spark, sf_dir, TOUCHED), views.edges(spark, sf_dir))
-    cause = F.when(F.size("chain") == 1, "touched").otherwise("depends-on")
-    join = lambda c, by: F.array_join(F.transform(c, lambda x: x.cast("string")), by)
-    return found.select("id", join("chain", ">").alias("chain"), cause.alias("cause"), join("also", ",").alias("also"))
+    return closure.chains(found, found.where("id % 13 = 4").select("id")).select("id", F.array_join(F.transform("chain", lambda x: x.cast("string")), ">").alias("chain"))
 
 
 DIRECT = "SELECT DISTINCT l_suppkey AS importer, l_partkey AS id FROM lineitem"

@@ -39,8 +39,10 @@ def test_doubling_gives_shortest_depths(spark):
 
 def test_explanations_follow_the_queue(spark):
     found = {r.id: r for r in closure.explained(spark.createDataFrame([(1,), (2,)], "id long"), edges(spark, [(5, 2), (5, 1), (6, 5), (6, 2), (7, 6), (7, 5), (2, 1)])).collect()}
-    assert found[2].chain == [2] and found[5].chain == [1, 5] and found[5].also == [2]
-    assert found[6].chain == [2, 6] and found[7].chain == [1, 5, 7] and found[7].also == [6]
+    assert (found[2].parent, found[2].first) == (None, 2) and (found[5].parent, found[5].first, found[5].also) == (1, 1, [2])
+    assert (found[6].parent, found[6].first) == (2, 2) and (found[7].parent, found[7].first, found[7].also) == (5, 1, [6])
+    rows = spark.createDataFrame(list(found.values()), "id long, depth int, parent long, first long, rank long, also array<long>")
+    assert {r.id: r.chain for r in closure.chains(rows, rows.where("id >= 6").select("id")).collect()} == {6: [2, 6], 7: [1, 5, 7]}
 
 
 def test_longest_paths_break_ties_by_order(spark):

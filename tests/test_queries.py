@@ -46,5 +46,5 @@ def test_query_without_sql_runs(spark, name):
 def test_entry(spark):
     import __spark_entry__
 
-    assert {"id", "chain", "cause", "also"} == set(__spark_entry__.entry(spark).columns)
+    assert {"id", "depth", "first", "parent", "cause", "also"} == set(__spark_entry__.entry(spark).columns)
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

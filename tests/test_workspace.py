@@ -162,9 +162,9 @@ def test_removed_project_touches_its_dependents(spark):
 
 def test_affected_with_chain(spark):
     after = harbour(**{"shared/gauge/src/index.ts": "h"})
-    found = {r.id: (r.chain, r.reasons) for r in api.explain_affected(table(spark, after), change(spark, harbour(), after)).collect()}
-    cause = "file:shared/gauge/src/index.ts"
-    assert found == {"@harbour/gauge": (["@harbour/gauge"], cause), "crane": (["@harbour/gauge", "crane"], cause), "pier": (["@harbour/gauge", "pier"], cause)}
+    found = {r.id: (r.parent, r.first, r.reasons, r.chain) for r in api.explain_affected(table(spark, after), change(spark, harbour(), after), ["crane"]).collect()}
+    gauge, cause = "@harbour/gauge", "file:shared/gauge/src/index.ts"
+    assert found == {gauge: (None, gauge, cause, None), "crane": (gauge, gauge, cause, [gauge, "crane"]), "pier": (gauge, gauge, cause, None)}
 
 
 def test_affected_tasks(spark):
@@ -288,16 +288,48 @@ def test_cycles_are_broken_as_a_depth_first_search_breaks_them(spark, seed):
         closure.longest_paths(spark.range(15).selectExpr("id", "1L AS weight"), frame).count()
 
 
-def test_longest_paths_match_a_plain_version(spark):
+def plain_lengths(weights: dict, edges) -> dict:
+    """id -> (length, via) of numbered ids whose edges lead to smaller ones."""
+    best: dict = {}
+    near: dict = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+    for k in sorted(weights):
+        top = max(((best[b][0], -b) for b in near.get(k, ())), default=None)
+        best[k] = (weights[k] + (top[0] if top else 0), -top[1] if top else None)
+    return best
+
+
+@pytest.mark.parametrize("small, levels", [(20_000, 8), (3, 1), (0, 0), (0, 3)])
+def test_longest_paths_match_a_plain_version(spark, monkeypatch, small, levels):
     import random
 
-    rng = random.Random(5)
-    edges = sorted({(b, a) for a, b in ((rng.randint(0, 40), rng.randint(0, 40)) for _ in range(60)) if a < b} | {(k + 1, k) for k in range(41, 60)})
-    weights = {k: rng.randint(0, 4) for k in range(61)}
-    best = {}
-    for k in range(61):
-        before = [(best[b][0], -b) for a, b in edges if a == k and b in best]
-        top = max(before, default=None)
-        best[k] = (weights[k] + (top[0] if top else 0), -top[1] if top else None)
+    monkeypatch.setattr(closure, "SMALL", small)
+    monkeypatch.setattr(closure, "LEVELS", levels)
+    rng = random.Random(small + levels)
+    edges = sorted({(b, a) for a, b in ((rng.randint(0, 40), rng.randint(0, 40)) for _ in range(60)) if a < b} | {(k + 1, k) for k in range(41, 60)} | {(k + 2, k - k % 2 + j) for k in range(60, 78) for j in (0, 1)})
+    weights = {k: rng.randint(0, 4) for k in range(81)}
     found = closure.longest_paths(spark.createDataFrame(list(weights.items()), "id long, weight long"), spark.createDataFrame(edges, "source long, target long"))
-    assert {r.id: (r.length, r.via) for r in found.collect()} == best
+    assert {r.id: (r.length, r.via) for r in found.collect()} == plain_lengths(weights, edges)
+
+
+@pytest.mark.parametrize("small, levels", [(20_000, 8), (0, 0), (0, 2)])
+def test_what_leads_to_cycles(spark, monkeypatch, small, levels):
+    import random
+
+    monkeypatch.setattr(closure, "SMALL", small)
+    monkeypatch.setattr(closure, "LEVELS", levels)
+    rng = random.Random(levels)
+    for n in (20, 45):
+        edges = {(rng.randint(0, 39), rng.randint(0, 39)) for _ in range(n)}
+        left = set(edges)
+        while True:
+            held = {(a, b) for a, b in left if any(b == c for c, _ in left)}
+            if held == left:
+                break
+            left = held
+        frame = spark.createDataFrame(sorted(edges), "source long, target long")
+        assert {tuple(r) for r in closure.cyclic_part(frame).collect()} == left and closure.has_cycle(frame) == bool(left)
+        if left:
+            with pytest.raises(ValueError, match="cycle"):
+                closure.longest_paths(spark.range(40).selectExpr("id", "1L AS weight"), frame).count()
