@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from graphloom.llm.common import map_batches
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z][-\w:]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 _PART = re.compile(r"[a-z]+")
 #: HTML's block elements, elements whose content is no text, elements without content, and what closes what.
@@ -34,9 +34,11 @@ BLOCKS = set(
     "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption nav header footer aside form fieldset figure figcaption "
     "blockquote pre address details summary dialog hgroup search center button select option label".split()
 )
-SILENT = set("script style title textarea noscript template iframe object svg math".split())
+SILENT = set("script style title textarea template iframe svg math select button datalist".split())
 #: Of these, what is text to the end of the page if never closed; and what a slash in the tag closes.
 RAW, SELF_CLOSED = set("script style textarea".split()), set("svg math".split())
+#: And what may hold its like.
+NESTED = set("svg math template".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LISTS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
@@ -59,9 +61,36 @@ _TELLING = set("article main nav aside header footer form dialog".split())
 #: The attribute in which labelled pages say what is content.
 LABEL = "data-content"
 _ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in SILENT}
+_TAGS = {tag: re.compile(rf"<(/?){tag}(?=[\s/>]|\Z)[^>]*", re.I) for tag in NESTED}
+_CODE = re.compile(r"<\?(?:php|=)", re.I)
 _PART_OF = {word: part for part, words in PARTS.items() for word in words.split()}
 
 
+def _end_of(tag: str, html: str, at: int) -> int | None:
+    """Where the element without text that began before `at` ends, its like within it left out; None if it doesn't."""
+    if tag not in NESTED:
+        end = _ENDS[tag].search(html, at)
+        return end.start() if end else None
+    depth = 1
+    for m in _TAGS[tag].finditer(html, at):
+        depth += -1 if m[1] else 0 if m[0].endswith("/") else 1
+        if not depth:
+            return m.start()
+    return None
+
+
+def without_code(html: str) -> str:
+    """A page without <?php ... ?> and <?= ... ?>; what is never closed stays."""
+    kept, at = [], 0
+    while True:
+        begin = _CODE.search(html, at)
+        end = html.find("?>", begin.end()) if begin else -1
+        if end < 0:
+            return "".join(kept) + html[at:] if kept else html
+        kept.append(html[at : begin.start()])
+        at = end + 2
+
+
 class Page:
     """Block elements in page order, and the runs of text directly in them; labels are what the attribute label_name holds, if one is named."""
 
@@ -70,7 +99,7 @@ class Page:
         self.runs: list[tuple[int, str, int]] = []  # element, text, characters of it in links
         self._stack, self._pieces, self._linked, self._link = [0, 1], [], 0, None
         self._opened, self._label_name = Counter(), label_name
-        self._parse(html)
+        self._parse(without_code(html) if "<?" in html else html)
 
     def _parse(self, html: str) -> None:
         at, unclosed = 0, set()
@@ -88,9 +117,9 @@ class Page:
             elif tag in SILENT:
                 if tag in unclosed or (tag in SELF_CLOSED and (m[3] or m[6] or "").endswith("/")):
                     continue
-                end = _ENDS[tag].search(html, at)
-                if end:
-                    at = end.start()
+                end = _end_of(tag, html, at)
+                if end is not None:
+                    at = end
                 elif tag in RAW:
                     at = len(html)
                 else:

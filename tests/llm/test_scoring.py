@@ -242,3 +242,26 @@ def test_pages_table(spark):
     assert len(found) == len(rows) and all(r.n_chars == len(r.text) for r in found)
     assert {r.page_id: r.text for r in found if r.page_id in (8, 9)} == {8: "", 9: ""}
     assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "html, wanted",
+    [
+        ("<p>One two.</p><!--><p>Three four.</p>", ["One two.", "Three four."]),
+        ("<p>One.</p><!---><p>Two.</p><!-- a --!><p>Three.</p><!-- b --><p>Four.</p>", ["One.", "Two.", "Three.", "Four."]),
+        ("<p>One <select><option>Pick me</select> two <button>Click</button> three.</p>", ["One two three."]),
+        ("<object data=x><p>In its place.</p></object><noscript><p>Without scripts.</p></noscript>", ["In its place.", "Without scripts."]),
+        ("<p>A <svg><svg><title>in</title></svg><text>label</text></svg> b <svg/> c</p>", ["A b c"]),
+        ("<p>A <?php if (1 > 0) echo '>' ?> b</p>", ["A b"]),
+        ("<p>A <?php b</p><p>c</p>", ["A", "c"]),
+    ],
+)
+def test_markup_that_holds_no_text(html, wanted):
+    assert [text for _, text, _ in html_extract.Page(html).runs] == wanted
+
+
+@pytest.mark.parametrize("piece", ["<a", "<a ", "<!--", "<svg ", "<svg><svg>", "<?php ", "<a b='", "<select>", "</"])
+def test_a_megabyte_of_markup_takes_little_time(piece):
+    begin = time.process_time()
+    html_extract.Page(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - begin < 5
