@@ -36,8 +36,8 @@ NEGATIONS = "not no never nor isn't aren't wasn't nicht kein keine nie pas jamai
 REPORTS = "said says told called quoted wrote claimed sagte sagt schrieb dit disait écrit dijo dice escribió".split()
 THREATS = dict.fromkeys("kill destroy töten tuer matar".split(), 3.0) | dict.fromkeys("hurt beat burn schlagen frapper golpear".split(), 2.0)
 SEED_INSULTS = "idiot moron stupid trash scum loser worthless pathetic disgusting clown".split()
-#: Letters of a word beginning that may stand for a unit; labelled rows that are learned from; units of a model.
-SHORTEST, LONGEST, TRAIN_ROWS, MOST_UNITS = 4, 8, 6_000, 20_000
+#: Letters of a word beginning that may stand for a unit; labelled rows that are learned from.
+SHORTEST, LONGEST, TRAIN_ROWS = 4, 8, 6_000
 #: A unit needs so many groups of like toxic texts and this log-odds of its occurrences, of which a text counts MOST_TIMES.
 LEAST_GROUPS, LEAST_ODDS, MOST_TIMES = 5, 2.0, 8
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
@@ -253,8 +253,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
     return texts.join(F.broadcast(chosen), ["doc_id", "h"]).drop("h")
 
 
-def learn_units(rows: DataFrame, most_units: int = MOST_UNITS) -> dict[str, float]:
-    """At most most_units units that toxic texts have and others lack, with log-odds; texts alike count once, so copies add nothing."""
+def learn_units(rows: DataFrame) -> dict[str, float]:
+    """Units that toxic texts have and others lack, with log-odds; texts alike count once, so copies add nothing."""
 
     def seen(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: dict[tuple[str, int, int], int] = {}
@@ -275,7 +275,7 @@ def learn_units(rows: DataFrame, most_units: int = MOST_UNITS) -> dict[str, floa
     total = {r.toxic: r.n for r in groups.groupBy("toxic").agg(F.countDistinct("like").alias("n")).collect()}
     odds = F.log((F.col("bad") + 0.5) / (total.get(1, 0) + 1)) - F.log((F.col("good") + 0.5) / (total.get(0, 0) + 1))
     kept = counts.where(F.col("bad_groups") >= LEAST_GROUPS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    return {r.unit: min(r.odds, 8.0) for r in kept.orderBy(F.desc("odds"), "unit").limit(most_units).collect()}
+    return {r.unit: min(r.odds, 8.0) for r in kept.collect()}
 
 
 class Scorer:
@@ -308,14 +308,14 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return slope
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, most_units: int = MOST_UNITS) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Scorer:
     """Learns units on two thirds of the training rows and weighs clauses on the other; at most `most` rows in all.
 
-    What comes to the driver is at most most_units units, the heaviest, and a line of numbers for each row.
+    What comes to the driver is the units that LEAST_GROUPS groups of these rows share, which the rows bound, and a line of numbers for each row.
     """
     rows = checkpointed(training_rows(docs, labels, most))
     part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3))
-    weights = dict.fromkeys(SEED_INSULTS, 4.0) | learn_units(rows.where(part != 0), most_units)
+    weights = dict.fromkeys(SEED_INSULTS, 4.0) | learn_units(rows.where(part != 0))
     grammar: list[Grammar] = []
 
     def measured(batch: pa.RecordBatch) -> pa.RecordBatch:
