@@ -304,8 +304,10 @@ def link(embeddings: DataFrame, threshold: float = 0.9, seed: int = 11) -> DataF
     links = F.col("weight") - 1 + F.coalesce("ball_links", F.lit(0)) + F.coalesce("more", F.lit(0))
     edges = members.select(F.col("id").alias("a"), F.col("ball").alias("b")).union(sure.select("a", "b")).union(found.select("id", "partner"))
     components = smallest_reachable(edges.where("a <> b"))
-    of_class = own.join(components, "id", "left").select("h1", "h2", links.alias("links"), F.coalesce("component", "id").alias("component"))
-    out = rows.select("vec_id", "h1", "h2").join(of_class, ["h1", "h2"], "left")
+    of_class = checkpointed(own.join(components, "id", "left").select("h1", "h2", links.alias("links"), F.coalesce("component", "id").alias("component"), "copies"))
+    # vectors that link with nothing have no class; a class of many copies meets them by broadcast
+    alone = rows.where("NOT usable").select("vec_id", F.lit(None).cast("long").alias("links"), F.lit(None).cast("long").alias("component"))
+    out = join_hot(rows.where("usable").select("vec_id", "h1", "h2"), of_class, ["h1", "h2"], "copies").select("vec_id", "links", "component").unionByName(alone)
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))
     )
