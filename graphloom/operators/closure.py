@@ -134,8 +134,8 @@ def explained(touched: DataFrame, edges: DataFrame) -> DataFrame:
     return seen.join(also, "id", "left").withColumn("also", F.coalesce("also", none))
 
 
-#: Edges of what contraction leaves that one task may settle; rounds of levels that come before contraction.
-SMALL, LEVELS = 100_000, 8
+#: Links that one task may settle.
+SMALL = 100_000
 
 
 class Cyclic(ValueError):
@@ -169,16 +169,12 @@ def _core(links: pd.DataFrame, nodes: pd.DataFrame, mark: bool) -> pd.DataFrame:
 def settled(nodes: DataFrame, links: DataFrame, mark: bool = False) -> DataFrame:
     """id, value of nodes(id, floor) over links(near, far, cost): the most of an id's floor and of value + cost of what is near to it; 0 for an id with neither.
 
-    A few levels are settled from their beginnings. What is left is contracted: each round takes out ids of few links, no two of them neighbours, and links what came before them
-    to what comes after, at the greatest sum of costs; ids taken out are settled from their neighbours once those are, the last first. A deep graph of bounded width so takes
-    rounds in the logarithm of its depth. What contraction leaves goes to one task if it has at most SMALL links, or on by levels where ids have many links each.
-    An id that comes to be linked to itself is on a cycle: with mark it has the value 1 and what it leads to too (costs being 0), without Cyclic is raised.
+    Levels are settled from their beginnings, one a round, until at most SMALL links are left, which one task settles in order.
+    An id that is linked to itself is on a cycle, as is one that no beginning leads to: with mark it has the value 1 and what it leads to too (costs being 0), without Cyclic is raised.
     """
     kind = nodes.schema["id"].dataType.simpleString()
     waiting, links = checkpointed(nodes.select("id", F.col("floor").cast("long").alias("floor"))), links.groupBy("near", "far").agg(F.max(F.col("cost").cast("long")).alias("cost"))
     done: list[DataFrame] = []
-    records: list[tuple[DataFrame, DataFrame]] = []
-    turn, n, levels, contracted = 0, None, LEVELS, False
     while True:
         loops = checkpointed(links)
         looped = loops.where("near = far").select(F.col("near").alias("id"))
@@ -186,42 +182,20 @@ def settled(nodes: DataFrame, links: DataFrame, mark: bool = False) -> DataFrame
             if not mark:
                 raise Cyclic
             waiting = checkpointed(waiting.join(looped.withColumn("loop", F.lit(1).cast("long")), "id", "left").select("id", F.greatest("floor", "loop").alias("floor")))
-        links, before = loops.where("near <> far"), n
-        n = links.count()
-        if n <= SMALL:
+        links = loops.where("near <> far")
+        if links.limit(SMALL + 1).count() <= SMALL:
             break
-        if contracted and n > 0.98 * before:  # too many links an id: levels again
-            levels = max(1, LEVELS)
-        if levels:
-            levels, contracted = levels - 1, False
-            ready = checkpointed(waiting.join(links.select(F.col("far").alias("id")).distinct(), "id", "left_anti").select("id", F.coalesce("floor", F.lit(0)).cast("long").alias("value")))
-            if not ready.limit(1).count():
-                if not mark:
-                    raise Cyclic
-                # everything left comes after something, so all of it is on a cycle or after one
-                return _resubstituted([*done, waiting.select("id", F.lit(1).cast("long").alias("value"))], records)
-            done.append(ready)
-            gone, pushed = ready.select("id"), links.join(ready, links.near == ready.id).select(F.col("far").alias("id"), (F.col("value") + F.col("cost")).alias("more"))
-            links = links.join(gone.withColumnRenamed("id", "near"), "near", "left_anti")
-        else:
-            contracted = True
-            degrees = links.select(F.col("near").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(links.select(F.col("far").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i"))).groupBy("id").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
-            able = checkpointed(degrees.where("i * o <= 2 * (i + o)").select("id", F.xxhash64("id", F.lit(turn)).alias("draw")))
-            of = lambda end: able.select(F.col("id").alias(end), F.struct("draw", "id").alias(f"{end}_draw"))
-            pairs = links.join(of("near"), "near").join(of("far"), "far")
-            losers = pairs.select(F.when(F.col("near_draw") > F.col("far_draw"), F.col("near")).otherwise(F.col("far")).alias("id")).distinct()
-            gone = checkpointed(able.select("id").join(losers, "id", "left_anti"))
-            into, out_of = checkpointed(links.join(gone.withColumnRenamed("id", "far"), "far")), links.join(gone.withColumnRenamed("id", "near"), "near")
-            taken = checkpointed(gone.join(waiting, "id").join(into.select(F.col("far").alias("id"), F.lit(True).alias("fed")).distinct(), "id", "left"))
-            records.append((taken.select("id", "floor"), into))
-            own = F.when(F.col("fed").isNull(), F.coalesce("floor", F.lit(0))).otherwise(F.col("floor"))
-            pushed = out_of.join(taken.select(F.col("id").alias("near"), own.alias("value")), "near").where("value IS NOT NULL").select(F.col("far").alias("id"), (F.col("value") + F.col("cost")).alias("more"))
-            over = into.select(F.col("near").alias("begin"), F.col("far").alias("mid"), F.col("cost").alias("first")).join(out_of.select(F.col("near").alias("mid"), "far", "cost"), "mid")
-            rest = links.join(gone.withColumnRenamed("id", "far"), "far", "left_anti").join(gone.withColumnRenamed("id", "near"), "near", "left_anti")
-            links = rest.select("near", "far", "cost").unionByName(over.select(F.col("begin").alias("near"), "far", (F.col("first") + F.col("cost")).alias("cost"))).groupBy("near", "far").agg(F.max("cost").alias("cost"))
+        ready = checkpointed(waiting.join(links.select(F.col("far").alias("id")).distinct(), "id", "left_anti").select("id", F.coalesce("floor", F.lit(0)).cast("long").alias("value")))
+        if not ready.limit(1).count():
+            if not mark:
+                raise Cyclic
+            # everything left comes after something, so all of it is on a cycle or after one
+            return _together([*done, waiting.select("id", F.lit(1).cast("long").alias("value"))])
+        done.append(ready)
+        gone, pushed = ready.select("id"), links.join(ready, links.near == ready.id).select(F.col("far").alias("id"), (F.col("value") + F.col("cost")).alias("more"))
+        links = links.join(gone.withColumnRenamed("id", "near"), "near", "left_anti")
         best = pushed.groupBy("id").agg(F.max("more").alias("more"))
         waiting = checkpointed(waiting.join(gone, "id", "left_anti").join(best, "id", "left").select("id", F.greatest("floor", "more").alias("floor")))
-        turn += 1
     linked = links.select(F.col("near").alias("id")).union(links.select("far")).distinct()
     done.append(waiting.join(linked, "id", "left_anti").select("id", F.coalesce("floor", F.lit(0)).cast("long").alias("value")))
     inside = waiting.join(linked, "id", "left_semi").groupBy(F.lit(0).alias("one"))
@@ -229,19 +203,14 @@ def settled(nodes: DataFrame, links: DataFrame, mark: bool = False) -> DataFrame
     solved = checkpointed(solved)
     if solved.where("value IS NULL").limit(1).count():
         raise Cyclic
-    return _resubstituted(done + [solved], records)
+    return _together([*done, solved])
 
 
-def _resubstituted(done: list[DataFrame], records: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """The values of done, and of ids taken out in records, the last first, from their neighbours' then."""
+def _together(done: list[DataFrame]) -> DataFrame:
     found = done[0]
     for more in done[1:]:
         found = found.unionByName(more)
-    found = checkpointed(found)
-    for taken, into in reversed(records):
-        best = into.join(found.withColumnRenamed("id", "near"), "near").groupBy(F.col("far").alias("id")).agg(F.max(F.col("value") + F.col("cost")).alias("more"))
-        found = checkpointed(found.unionByName(taken.join(best, "id", "left").select("id", F.coalesce(F.greatest("floor", "more"), F.lit(0)).cast("long").alias("value"))))
-    return found
+    return checkpointed(found)
 
 
 def longest_paths(nodes: DataFrame, edges: DataFrame, dependents: bool = False) -> DataFrame:
@@ -250,7 +219,7 @@ def longest_paths(nodes: DataFrame, edges: DataFrame, dependents: bool = False)
 
     Chains run up the dependencies, or with dependents up what depends on them. Unbranched stretches, where
     each id leads to one other and that one comes from no other, are summed by doubling and stand as one; the
-    rest is contracted as settled() says. A cycle raises ValueError.
+    rest is settled as settled() says. A cycle raises ValueError.
     """
     known = nodes.select("id")
     inside = edges.join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi")
