@@ -8,7 +8,7 @@ from graphloom.operators import findings, locators, tasks
 from graphloom.plans.registry import query
 from graphloom.plans.workspace_plans import parts, text
 from graphloom.sources import views
-from graphloom.streaming import watch
+from graphloom.streaming import output_text, watch
 
 
 def pairs(edges):
@@ -428,10 +428,10 @@ def t4_over(spark, sf_dir):
     SELECT task, greatest(a.seq, b.seq) AS seq FROM a JOIN b USING (task)""",
 )
 def t5(spark, sf_dir):
-    """Texts that may be torn between chunks, colours in between."""
+    """Texts and colours that may be torn between chunks: every chunk ends within a sequence that the next one of its task goes on with."""
     events = views.table(spark, sf_dir, "events")
     n = F.col("event_id") % 5
-    chunk = F.when(n == 0, "\x1b[32mlis\x1b[0mten").when(n == 1, "ing on").otherwise(F.concat(F.lit("x"), (F.col("event_id") % 3).cast("string")))
-    chunks = events.select(F.col("user_id").alias("task"), F.lit("out").alias("stream"), F.col("event_id").alias("seq"), chunk.alias("text"))
+    text = F.when(n == 0, "\x1b[32mlis\x1b[0mten").when(n == 1, "ing on").otherwise(F.concat(F.lit("x"), (F.col("event_id") % 3).cast("string")))
+    chunks = events.select(F.col("user_id").alias("task"), F.lit("out").alias("stream"), F.col("event_id").alias("seq"), F.concat(F.lit("2m"), text, F.lit("\x1b[3")).alias("text"))
     patterns = chunks.select("task").distinct().withColumn("pattern", F.explode(F.array(F.lit("listening"), F.lit("x2"))))
-    return watch.readiness(chunks, patterns)
+    return output_text.readiness(chunks, patterns)

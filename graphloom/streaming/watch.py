@@ -1,6 +1,6 @@
 """Batches of changes while watching: session windows, and a capped debounce with state of its own.
 
-Each has a batch form and a streaming form over the same logic.
+Each has a batch form and a streaming form over the same logic; the streaming forms that keep keyed state are in states.
 """
 
 from __future__ import annotations
@@ -88,21 +88,6 @@ def first_accesses(accesses: DataFrame, budget: int) -> tuple[DataFrame, DataFra
     return kept, over
 
 
-#: Terminal control sequences, which no pattern is looked for in.
-_ESCAPES = "\x1b(?:\\[[^@-~]*[@-~]|[\\]PX^_][^\x07\x1b]*(?:\x07|\x1b\\\\)|.)"
-
-
-def readiness(chunks: DataFrame, patterns: DataFrame) -> DataFrame:
-    """task, seq: the chunk of chunks(task, stream, seq, text) by which each of a task's texts of patterns(task, pattern) has appeared in one of its streams; it may begin in earlier chunks."""
-    keep = max(0, (patterns.agg(F.max(F.length("pattern"))).first()[0] or 1) - 1)
-    order = Window.partitionBy("task", "stream").orderBy("seq").rowsBetween(-keep, 0)  # each chunk before holds a character at least
-    text = F.array_join(F.collect_list(F.regexp_replace("text", _ESCAPES, "")).over(order), "")
-    asked = patterns.select("task", "pattern").distinct()
-    seen = chunks.where("text <> ''").select("task", "seq", text.alias("text")).join(asked, "task").where(F.contains("text", "pattern")).groupBy("task", "pattern").agg(F.min("seq").alias("seq"))
-    wanted = asked.groupBy("task").agg(F.count("*").alias("wanted"))
-    return seen.groupBy("task").agg(F.max("seq").alias("seq"), F.count("*").alias("n")).join(wanted, "task").where("n = wanted").select("task", "seq")
-
-
 def capped_stream(events: DataFrame, gap: int, cap: int, late: str = "0 seconds") -> DataFrame:
     """The same over a stream of events(watcher, path, ts): a batch is put out when a later event or the watermark passes its deadline."""
     importable(events.sparkSession)
