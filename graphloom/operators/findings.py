@@ -98,10 +98,15 @@ def audit(reports: DataFrame, ignored: DataFrame, covered: DataFrame, loaded: Da
     return found.where(stays).unionByName(found.where(~stays).join(cancelled, ["task", "detail"], "left_anti"))
 
 
+def beyond():
+    """Whether a row of findings is more than what is let pass: reads of .git and of installed packages left out of the key, and writes in .git."""
+    return ~F.col("kind").isin("unkeyed-read", "unkeyed-package", "hoisted-package") & ~((F.col("kind") == "stray-write") & in_git("detail"))
+
+
 def audit_summary(findings: DataFrame) -> DataFrame:
     """kind, detail, tasks: how many tasks have each finding of findings(task, kind, detail); undeclared reads and packages that many share (three tasks at
-    least, and a quarter of those with findings) stand once, under "shared", the others by kind alone (detail null), counted as findings."""
-    tasks = findings.agg(F.countDistinct("task").alias("all"))
+    least, and a quarter of those that went beyond) stand once, under "shared", the others by kind alone (detail null), counted as findings."""
+    tasks = findings.agg(F.countDistinct(F.when(beyond(), F.col("task"))).alias("all"))
     counted = findings.groupBy("kind", "detail").agg(F.countDistinct("task").alias("tasks")).join(F.broadcast(tasks))
     may = F.col("kind").isin("unkeyed-package", "hoisted-package") | ((F.col("kind") == "undeclared-read") & ~is_dotenv("detail"))
     shared = may & (F.col("tasks") >= 3) & (F.col("tasks") * 4 >= F.col("all"))

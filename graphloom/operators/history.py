@@ -95,6 +95,30 @@ def top_memory(log: DataFrame, n: int = 3) -> DataFrame:
     return peaks.withColumn("place", place).where(F.col("place") <= n)
 
 
+def slot_waits(records: DataFrame, edges: DataFrame) -> DataFrame:
+    """run, task, ready, started, wait of records(run, task, started, ended, memory_wait): a task is ready when the last of what it needs, edges(src, dst: needed), has
+    ended in its run, or as the run begins; until it starts it waits for a slot, less what it waited for memory."""
+    begun = records.groupBy("run").agg(F.min("started").alias("begun"))
+    ended = edges.select("src", "dst").distinct().join(records.select("run", F.col("task").alias("dst"), "ended"), "dst").groupBy("run", F.col("src").alias("task")).agg(F.max("ended").alias("needed"))
+    rows = records.join(ended, ["run", "task"], "left").join(begun, "run").withColumn("ready", F.coalesce("needed", "begun"))
+    wait = F.greatest(F.col("started") - F.col("ready") - F.coalesce("memory_wait", F.lit(0)), F.lit(0))
+    return rows.select("run", "task", "ready", "started", wait.alias("wait"))
+
+
+def load_while_waiting(samples: DataFrame, waits: DataFrame, width: int = 60_000) -> DataFrame:
+    """run, at, load, waiting of samples(run, at, load): whether a task of the run is within its wait, from ready until started.
+
+    A sweep over beginnings (+1) and ends (-1): sums of a run's ranges of width milliseconds first, then within each range.
+    """
+    mark = lambda at, step: F.struct(F.col(at).cast("long").alias("at"), F.lit(step).alias("step"))
+    marks = waits.where("ready < started").select("run", F.explode(F.array(mark("ready", 1), mark("started", -1))).alias("m")).select("run", "m.at", "m.step", F.lit(None).cast("double").alias("load"), F.lit(False).alias("sample"))
+    rows = marks.unionByName(samples.select("run", F.col("at").cast("long").alias("at"), F.lit(0).alias("step"), "load", F.lit(True).alias("sample"))).withColumn("range", F.floor(F.col("at") / width))
+    earlier = Window.partitionBy("run").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("run", "range").agg(F.sum("step").alias("steps")).select("run", "range", F.coalesce(F.sum("steps").over(earlier), F.lit(0)).alias("before"))
+    here = F.sum("step").over(Window.partitionBy("run", "range").orderBy("at").rangeBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("here", here).join(before, ["run", "range"]).where("sample").select("run", "at", "load", (F.col("before") + F.col("here") > 0).alias("waiting"))
+
+
 def parallel_verdict(waits: DataFrame, walls: DataFrame, load: DataFrame) -> DataFrame:
     """Whether more slots would help each run: waits(run, wait) of the critical path, walls(run, wall), load(run, load, waiting).
 

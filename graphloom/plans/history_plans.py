@@ -97,19 +97,27 @@ def a20(spark, sf_dir):
 
 @query(
     "a22_parallel_verdict",
-    """, w AS (SELECT run, sum(CASE WHEN warm THEN cores * 100 ELSE 0 END) AS waited, max(started + millis) - min(started) AS wall,
-        round(avg(CASE WHEN execution % 4 = 0 THEN CAST(cpu AS DOUBLE) / (1 + 4 * millis) END), 6) AS busy FROM exec_log GROUP BY run)
-    SELECT run, CAST(waited AS BIGINT) AS waited, CASE WHEN waited < 200 OR waited < (wall // 100000) * 0.05 THEN 'no-wait' WHEN busy IS NULL THEN 'waited'
-        WHEN busy >= 0.85 THEN 'machine-bound' ELSE 'more-slots' END AS verdict FROM w""",
+    """, r AS (SELECT run, task, split_part(task, ':', 1) AS kind, CAST(split_part(task, ':', 2) AS INT) AS k, min(started) AS started, max(started + millis) AS ended, max(cores) * 10 AS memory_wait FROM exec_log GROUP BY run, task),
+    m AS (SELECT run, min(started) AS begun, max(ended) - min(started) AS wall FROM r GROUP BY run),
+    w AS (SELECT a.run, a.kind, a.started, coalesce(b.ended, m.begun) AS ready, greatest(a.started - coalesce(b.ended, m.begun) - a.memory_wait, 0) AS wait FROM r a JOIN m USING (run) LEFT JOIN r b ON b.run = a.run AND b.kind = a.kind AND b.k = a.k - 1),
+    p AS (SELECT run, kind FROM (SELECT run, kind, sum(ended - started) AS total FROM r GROUP BY run, kind) QUALIFY row_number() OVER (PARTITION BY run ORDER BY total DESC, kind) = 1),
+    t AS (SELECT run, sum(wait) AS waited FROM w JOIN p USING (run, kind) GROUP BY run),
+    l AS (SELECT run, avg(CAST(cpu AS DOUBLE) / (1 + 4 * millis)) AS busy FROM exec_log s WHERE EXISTS (SELECT 1 FROM w WHERE w.run = s.run AND w.ready <= s.started AND s.started < w.started) GROUP BY run)
+    SELECT run, CAST(waited AS BIGINT) AS waited, CASE WHEN waited < 200 OR waited < wall * 0.05 THEN 'no-wait' WHEN busy IS NULL THEN 'waited' WHEN round(busy, 6) >= 0.85 THEN 'machine-bound' ELSE 'more-slots' END AS verdict FROM m LEFT JOIN t USING (run) LEFT JOIN l USING (run)""",
     "exec_log",
 )
 def a22(spark, sf_dir):
-    """Waits, walls and load samples are stand-ins by key arithmetic."""
+    """A task needs the one before it of its kind, so that a run's critical path is its kind that took longest; load is sampled as executions start."""
     log = views.exec_log(spark, sf_dir)
-    waits = log.select("run", F.when(F.col("warm"), F.col("cores") * 100).otherwise(0).alias("wait"))
-    walls = log.groupBy("run").agg(F.expr("(max(started + millis) - min(started)) div 100000").alias("wall"))
-    load = log.select("run", (F.col("cpu") / (1 + 4 * F.col("millis"))).alias("load"), (F.col("execution") % 4 == 0).alias("waiting"))
-    return history.parallel_verdict(waits, walls, load)
+    kind, k = F.substring_index("task", ":", 1), F.substring_index("task", ":", -1).cast("int")
+    records = log.groupBy("run", "task").agg(F.min("started").alias("started"), F.max(F.col("started") + F.col("millis")).alias("ended"), (F.max("cores") * 10).alias("memory_wait"))
+    edges = records.select("task").distinct().select(F.col("task").alias("src"), F.concat(kind, F.lit(":"), (k - 1).cast("string")).alias("dst")).where(~F.col("dst").endswith(":-1"))
+    totals = records.groupBy("run", kind.alias("kind")).agg(F.sum(F.col("ended") - F.col("started")).alias("total"))
+    path = totals.groupBy("run").agg(F.min_by("kind", F.struct(-F.col("total"), "kind")).alias("kind"))
+    waits = history.slot_waits(records, edges)
+    walls = records.groupBy("run").agg((F.max("ended") - F.min("started")).alias("wall"))
+    load = history.load_while_waiting(log.select("run", F.col("started").alias("at"), (F.col("cpu") / (1 + 4 * F.col("millis"))).alias("load")), waits)
+    return history.parallel_verdict(waits.withColumn("kind", kind).join(path, ["run", "kind"], "left_semi"), walls, load)
 
 
 @query("w2_newest_runs", "SELECT run, min(started) AS started FROM exec_log GROUP BY run ORDER BY min(started) DESC, run DESC LIMIT 50", "exec_log")

@@ -192,7 +192,7 @@ def c2(spark, sf_dir):
     "a24_audit_summary",
     AUDIT
     + """, c AS (SELECT kind, detail, count(DISTINCT task) AS tasks, kind IN ('unkeyed-package', 'hoisted-package') OR (kind = 'undeclared-read' AND detail NOT IN ('.env', 'lib/.env.local')) AS may FROM found GROUP BY kind, detail),
-    m AS (SELECT *, may AND tasks >= 3 AND tasks * 4 >= (SELECT count(DISTINCT task) FROM found) AS shared FROM c)
+    m AS (SELECT *, may AND tasks >= 3 AND tasks * 4 >= (SELECT count(DISTINCT task) FROM found WHERE kind NOT IN ('unkeyed-read', 'unkeyed-package', 'hoisted-package') AND NOT (kind = 'stray-write' AND detail LIKE '.git/%')) AS shared FROM c)
     SELECT 'shared ' || kind AS kind, detail, tasks FROM m WHERE shared UNION ALL SELECT kind, NULL, CAST(sum(tasks) AS BIGINT) FROM m WHERE NOT shared GROUP BY kind""",
 )
 def a24(spark, sf_dir):

@@ -198,3 +198,26 @@ def test_task_plans_look_through_projects_without_the_target(spark):
     tasks, links = affected.plan_tasks(spark.createDataFrame([("app", "build"), ("lib2", "build")], "project string, target string"), has, rules, graph)
     assert sorted(map(tuple, tasks.collect())) == [("app", "build"), ("app", "prepare"), ("lib", "build")]
     assert sorted(map(tuple, links.select("project", "target", "on_project", "on_target").collect())) == [("app", "build", "app", "prepare"), ("app", "build", "lib", "build"), ("lib", "build", "app", "build")]
+
+
+def test_audit_shares_are_of_tasks_that_went_beyond(spark):
+    from graphloom.operators import findings
+
+    rows = [(f"t{k}", "undeclared-read", "src/a.ts") for k in range(3)] + [("t3", "stray-write", ".git/index")]
+    rows += [(f"q{k}", kind, detail) for k, (kind, detail) in enumerate([("unkeyed-read", ".git/HEAD"), ("unkeyed-package", "p"), ("hoisted-package", "q")] * 4)]
+    found = findings.audit_summary(spark.createDataFrame(rows, "task string, kind string, detail string"))
+    wanted = [("shared hoisted-package", "q", 4), ("shared undeclared-read", "src/a.ts", 3), ("shared unkeyed-package", "p", 4), ("stray-write", None, 1), ("unkeyed-read", None, 4)]
+    assert sorted((r.kind, r.detail, r.tasks) for r in found.collect()) == wanted
+
+
+def test_waits_for_slots_and_load_while_tasks_wait(spark):
+    from graphloom.operators import history
+
+    records = spark.createDataFrame([(1, "a", 0, 100, 0), (1, "b", 150, 300, 20), (1, "c", 400, 500, None), (1, "d", 50, 60, 0)], "run long, task string, started long, ended long, memory_wait long")
+    edges = spark.createDataFrame([("b", "a"), ("c", "a"), ("c", "b"), ("c", "gone")], "src string, dst string")
+    waits = history.slot_waits(records, edges)
+    assert sorted(tuple(r) for r in waits.select("task", "ready", "wait").collect()) == [("a", 0, 0), ("b", 100, 30), ("c", 300, 100), ("d", 0, 50)]
+    samples = spark.createDataFrame([(1, t, 0.5) for t in (0, 49, 50, 99, 100, 150, 299, 300, 399, 400)] + [(2, 7, 1.0)], "run long, at long, load double")
+    for width in (1, 64, 1000):
+        marked = history.load_while_waiting(samples, waits, width).collect()
+        assert sorted(r["at"] for r in marked if r.waiting) == [0, 49, 100, 300, 399] and len(marked) == 11
