@@ -108,7 +108,7 @@ def streamed(spark, folder, frame, order, form, parts=2, seconds=None):
             stream = spark.readStream.schema(frame.schema).parquet(source)
             writer = form(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
             query = writer.trigger(processingTime="1 second").start() if seconds else writer.trigger(availableNow=True).start()
-            query.awaitTermination(seconds or 60)
+            query.awaitTermination(seconds or 240)
             query.stop()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
