@@ -1,90 +1,114 @@
-"""Version ranges of the npm kind: '^', '~', x-ranges, hyphen ranges, comparators and '||'.
+"""Version ranges of the npm kind: '^', '~', x-ranges, hyphen ranges, comparators and '||', as column expressions.
 
-Prereleases take part like any version; an invalid version or range satisfies nothing.
+A version is a text that sorts as versions do (version_key); a range is an array of half-open intervals of such texts
+(intervals), so that "satisfies" is containment and can be the condition of a join. Prereleases take part like any
+version; an invalid version or range, or null, satisfies nothing.
+
+A key is three numbers, each its digits behind their count, then the prerelease: '0' and a number or '1' and a word,
+each closed by '!', or '2!' for a release. '!' sorts before and '~' after all that may follow it, so a number's
+successors begin after '~' and nothing lies between a key and the key with END behind it.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_VERSION = re.compile(r"^[v=\s]*(\d+)\.(\d+)\.(\d+)(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?$")
-_PARTIAL = re.compile(r"^([<>]=?|=|\^|~>?)?\s*v?(\d+|[xX*])(?:\.(\d+|[xX*]))?(?:\.(\d+|[xX*])(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?)?$")
-_LAST = ((2, 0, ""),)
-
-
-def _pre(text: str | None) -> tuple:
-    """Sorts before release (which is _LAST); numbers before words."""
-    return tuple((0, int(x), "") if x.isdigit() else (1, 0, x) for x in text.split(".")) if text else _LAST
-
-
-def parse(version: str | None) -> tuple | None:
-    m = _VERSION.match(version.strip()) if version is not None else None
-    return (int(m[1]), int(m[2]), int(m[3]), _pre(m[4])) if m else None
-
-
-def _bounds(part: str) -> list[tuple[str, tuple]] | None:
-    """Comparators (operator, version) that a single range word stands for; None if it is invalid."""
-    m = _PARTIAL.match(part)
-    if not m:
-        return [] if part in ("", "*", "x", "X") else None
-    operator, *numbers = m[1] or "", m[2], m[3], m[4]
-    known = []
-    for x in numbers:
-        if x is None or not x.isdigit():
-            break
-        known.append(int(x))
-    low = (*known, *[0] * (3 - len(known)))
-    pre = _pre(m[5]) if len(known) == 3 else _LAST
-    start = (*low, pre if m[5] and len(known) == 3 else _LAST)
-    first = (*low, ())  # before every prerelease
-    after = lambda k: (*low[: k - 1], low[k - 1] + 1, *[0] * (3 - k), ())
-    if operator in ("", "="):
-        return [("=", start)] if len(known) == 3 else [(">=", first), ("<", after(len(known)))] if known else []
-    if operator in ("~", "~>"):
-        return [(">=", start if len(known) == 3 else first), ("<", after(min(2, len(known))))] if known else []
-    if operator == "^":
-        if not known:
-            return []
-        place = next((k for k in range(len(known)) if known[k]), len(known) - 1)
-        return [(">=", start if len(known) == 3 else first), ("<", after(place + 1))]
-    if not known:
-        return [] if operator in (">=", "<=") else [("<", (0, 0, 0, ()))]
-    if len(known) == 3:
-        return [(operator, start)]
-    return {">": [(">=", after(len(known)))], ">=": [(">=", first)], "<": [("<", first)], "<=": [("<", after(len(known)))]}[operator]
-
-
-def satisfies(version: str | None, wanted: str | None) -> bool:
-    """Whether a version is within a range."""
-    found = parse(version)
-    if found is None or wanted is None:
-        return False
-    for choice in wanted.split("||"):
-        text = choice.strip()
-        hyphen = re.match(r"^(\S+)\s+-\s+(\S+)$", text)
-        words = [f">={hyphen[1]}", f"<={hyphen[2]}"] if hyphen else re.sub(r"([<>]=?|=|\^|~>?)\s+", r"\1", text).split()
-        bounds = [_bounds(word) for word in words]
-        if any(b is None for b in bounds):
-            continue
-        if all(_holds(found, operator, limit) for b in bounds for operator, limit in b):
-            return True
-    return False
-
-
-def _holds(found: tuple, operator: str, limit: tuple) -> bool:
-    return {"=": found == limit, ">": found > limit, ">=": found >= limit, "<": found < limit, "<=": found <= limit}[operator]
+_VERSION = r"^[v=\s]*(\d+)\.(\d+)\.(\d+)(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?\s*$"
+_PARTIAL = r"^([<>]=?|=|\^|~>?)?\s*v?(\d+|[xX*])(?:\.(\d+|[xX*]))?(?:\.(\d+|[xX*])(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?)?$"
+END = "\u0001"
+_LAST = "~"
 
 
-def with_satisfies(pairs: DataFrame, version: str, wanted: str, name: str = "satisfied") -> DataFrame:
-    """pairs with a boolean: each distinct (version, range) is judged once and joined back."""
+def _number(digits: Column) -> Column:
+    plain = F.regexp_replace(digits, "^0+", "")
+    return F.concat(F.lpad(F.length(plain).cast("string"), 4, "0"), plain)
+
+
+def _prerelease(text: Column) -> Column:
+    one = lambda x: F.concat(F.when(x.rlike(r"^\d+$"), F.concat(F.lit("0"), _number(x))).otherwise(F.concat(F.lit("1"), x)), F.lit("!"))
+    return F.when(text == "", "2!").otherwise(F.array_join(F.transform(F.split(text, r"\.", -1), one), ""))
+
+
+def version_key(version: str | Column) -> Column:
+    """The version as a text in the order of versions; null if it is none."""
+    text = F.col(version) if isinstance(version, str) else version
+    part = lambda n: F.regexp_extract(text, _VERSION, n)
+    return F.when(text.rlike(_VERSION), F.concat(*(_number(part(n)) for n in (1, 2, 3)), _prerelease(part(4))))
+
+
+def _words(choice: Column) -> Column:
+    hyphen = r"^(\S+)\s+-\s+(\S+)$"
+    limits = F.array(F.concat(F.lit(">="), F.regexp_extract(choice, hyphen, 1)), F.concat(F.lit("<="), F.regexp_extract(choice, hyphen, 2)))
+    joined = F.regexp_replace(choice, r"([<>]=?|=|\^|~>?)\s+", "$1")
+    return F.when(choice.rlike(hyphen), limits).otherwise(F.filter(F.split(joined, r"\s+", -1), lambda w: w != ""))
 
-    @F.pandas_udf("boolean")
-    def judge(versions: pd.Series, ranges: pd.Series) -> pd.Series:
-        return pd.Series([satisfies(a, b) for a, b in zip(versions, ranges, strict=True)], dtype=bool)
 
-    judged = pairs.select(F.col(version).alias("_v"), F.col(wanted).alias("_r")).distinct().withColumn(name, judge("_v", "_r"))
-    return pairs.join(judged, F.col(version).eqNullSafe(F.col("_v")) & F.col(wanted).eqNullSafe(F.col("_r"))).drop("_v", "_r")
+def _parsed(word: Column) -> Column:
+    """operator, whether each number is nonzero, how many are known, keys up to each of them, and the prerelease; null for no range word."""
+    numbers = [F.regexp_extract(word, _PARTIAL, n) for n in (2, 3, 4)]
+    digits = [n.rlike(r"^\d+$") for n in numbers]
+    known = F.when(~digits[0], 0).when(~digits[1], 1).when(~digits[2], 2).otherwise(3)
+    keys = [F.when(known > n, _number(numbers[n])).otherwise("0000") for n in range(3)]
+    return F.when(
+        word.rlike(_PARTIAL),
+        F.struct(F.regexp_extract(word, _PARTIAL, 1).alias("sign"), known.alias("known"), keys[0].alias("one"), F.concat(*keys[:2]).alias("two"), F.concat(*keys).alias("three"), _prerelease(F.regexp_extract(word, _PARTIAL, 5)).alias("pre")),
+    )
+
+
+def _interval(word: Column) -> Column:
+    """The low end, within, and the high end, beyond, of a parsed word."""
+    sign, known, one, two, three = (word[c] for c in ("sign", "known", "one", "two", "three"))
+    whole = known == 3
+    start = F.when(whole, F.concat(three, word["pre"])).otherwise(three)  # of fewer numbers: before the first prerelease
+    upper = lambda n: F.concat(F.when(n == 1, one).when(n == 2, two).otherwise(three), F.lit(_LAST))
+    beyond = F.when(whole, F.concat(start, F.lit(END))).otherwise(upper(known))
+    fixed = F.when((one != "0000") | (known == 1), 1).when((two != "00000000") & (two != F.concat(one, F.lit("0000"))) | (known == 2), 2).otherwise(3)
+    least, most = F.lit(""), F.lit(_LAST)
+    low = F.when(sign.isin("<", "<="), least).when(sign == ">", beyond).otherwise(start)
+    high = F.when(sign.isin(">", ">="), most).when(sign == "<", start).when(sign == "^", upper(fixed)).when(sign.isin("~", "~>"), upper(F.least(known, F.lit(2)))).otherwise(beyond)
+    none = sign.isin("<", ">")
+    return F.struct(F.when(known == 0, least).otherwise(low).alias("low"), F.when(known == 0, F.when(none, least).otherwise(most)).otherwise(high).alias("high"))
+
+
+def intervals(wanted: str | Column) -> Column:
+    """array<struct<low, high>> of version keys, low within and high beyond, one for each choice of the range that is valid."""
+    text = F.col(wanted) if isinstance(wanted, str) else wanted
+    choices = F.transform(F.split(text, r"\|\|", -1), lambda c: F.regexp_replace(c, r"^\s+|\s+$", ""))
+    parsed = F.transform(choices, lambda c: F.transform(_words(c), _parsed))
+    valid = F.filter(parsed, lambda words: ~F.exists(words, lambda w: w.isNull()))
+    bounds = F.transform(valid, lambda words: F.transform(words, _interval))
+    whole = F.struct(F.lit("").alias("low"), F.lit(_LAST).alias("high"))
+    meet = lambda a, b: F.struct(F.greatest(a["low"], b["low"]).alias("low"), F.least(a["high"], b["high"]).alias("high"))
+    return F.transform(bounds, lambda words: F.aggregate(words, whole, meet))
+
+
+def within(key: Column, ranges: Column) -> Column:
+    """Whether a version key lies in one of the intervals; false for null."""
+    return F.coalesce(F.exists(ranges, lambda r: (r["low"] <= key) & (key < r["high"])), F.lit(False))
+
+
+def with_satisfies(pairs: DataFrame, version: str, wanted: str, name: str = "satisfied") -> DataFrame:
+    """pairs with a boolean: whether the version is within the range."""
+    return pairs.withColumn(name, within(version_key(version), intervals(wanted)))
+
+
+def newest_within(wanted: DataFrame, versions: DataFrame) -> DataFrame:
+    """name, range, version: the newest version of versions(name, version) within each range of wanted(name, range); null where none is.
+
+    An interval holds its newest version if the last key before its high end is not before its low end: keys and high
+    ends are ordered together, so a range meets one version, not all of its name. Keys fall into ranges of one leading
+    number first, whose last keys are carried on, so that a much-released name is many small orders. Of versions that
+    are equal (they differ in build or spelling) the first by text counts.
+    """
+    asked = wanted.select("name", "range").distinct()
+    keyed = versions.select("name", version_key("version").alias("at"), "version").where("at IS NOT NULL").groupBy("name", "at").agg(F.min("version").alias("version"))
+    ends = asked.withColumn("i", F.explode(intervals("range"))).select("name", F.col("i.high").alias("at"), "range", F.col("i.low").alias("low"))
+    rows = keyed.select("name", "at", F.struct("at", "version").alias("found"), F.lit(None).cast("string").alias("range"), F.lit(None).cast("string").alias("low"), F.lit(1).alias("kind")).unionByName(
+        ends.select("name", "at", F.lit(None).cast("struct<at:string,version:string>").alias("found"), "range", "low", F.lit(0).alias("kind"))
+    )
+    from graphloom.operators.asof import last_before
+
+    placed = last_before(rows.withColumn("block", F.substring("at", 1, 12)), ["name"], "block", ["at", "kind"], "found")
+    newest = placed.where("kind = 0 AND last.at >= low").groupBy("name", "range").agg(F.max("last").alias("last"))
+    return asked.join(newest, ["name", "range"], "left").select("name", "range", F.col("last.version").alias("version"))

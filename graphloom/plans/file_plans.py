@@ -246,6 +246,21 @@ def s1(spark, sf_dir):
     return semver.with_satisfies(pairs, "version", "wanted")
 
 
+@query(
+    "s1_newest_within",
+    """, v AS (SELECT DISTINCT p_brand AS name, p_size % 3 AS a, p_partkey % 5 AS b, p_size % 7 AS c FROM part),
+    w AS (SELECT name, range, CASE range WHEN '^1.2.0' THEN a = 1 AND (b, c) >= (2, 0) WHEN '~2.1' THEN a = 2 AND b = 1 WHEN '<2.2.5-rc.1' THEN (a, b, c) < (2, 2, 5) WHEN '<0.1 || 1.0.x' THEN (a = 0 AND b = 0) OR (a = 1 AND b = 0)
+        ELSE false END AS held, a, b, c FROM v, (SELECT unnest(['^1.2.0', '~2.1', '<2.2.5-rc.1', '<0.1 || 1.0.x', 'none of this']) AS range))
+    SELECT name, range, CASE WHEN bool_or(held) THEN max(CASE WHEN held THEN (a, b, c) END)[1] || '.' || max(CASE WHEN held THEN (a, b, c) END)[2] || '.' || max(CASE WHEN held THEN (a, b, c) END)[3] END AS version FROM w GROUP BY name, range""",
+)
+def s1_newest(spark, sf_dir):
+    part = views.table(spark, sf_dir, "part")
+    version = F.concat_ws(".", (F.col("p_size") % 3).cast("string"), (F.col("p_partkey") % 5).cast("string"), (F.col("p_size") % 7).cast("string"))
+    ranges = ["^1.2.0", "~2.1", "<2.2.5-rc.1", "<0.1 || 1.0.x", "none of this"]
+    wanted = part.select(F.col("p_brand").alias("name")).distinct().withColumn("range", F.explode(F.array(*map(F.lit, ranges))))
+    return semver.newest_within(wanted, part.select(F.col("p_brand").alias("name"), version.alias("version")))
+
+
 @query(
     "d1_json_diff",
     """, d AS (SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS t FROM events)

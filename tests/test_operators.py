@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import documents, globs, semver
 from graphloom.operators import accesses, closure, history, locate, schedule, selection, storage
+from graphloom.operators.asof import last_before
 from graphloom.streaming import watch
+from tests import plain_ranges
 
 
 def edges(spark, pairs):
@@ -77,14 +80,46 @@ def test_globs_without_dot_and_prefixes(spark):
     assert globs.literal_prefix("src/app/*.ts") == "src/app/" and globs.literal_prefix("plain") == "plain"
 
 
-@pytest.mark.parametrize(
-    ("version", "wanted", "found"),
-    [("1.2.3", "^1.2.0", True), ("2.0.0", "^1.2.0", False), ("0.2.9", "^0.2.1", True), ("0.3.0", "^0.2.1", False), ("0.0.3", "^0.0.3", True), ("0.0.4", "^0.0.3", False), ("1.2.9", "~1.2", True), ("1.3.0", "~1.2", False),
+def test_semver(spark):
+    cases = [("1.2.3", "^1.2.0", True), ("2.0.0", "^1.2.0", False), ("0.2.9", "^0.2.1", True), ("0.3.0", "^0.2.1", False), ("0.0.3", "^0.0.3", True), ("0.0.4", "^0.0.3", False), ("1.2.9", "~1.2", True), ("1.3.0", "~1.2", False),
      ("1.5.0", "1.x", True), ("2.0.0", "1.x", False), ("1.0.0", "*", True), ("1.0.0", "", True), ("2.3.4", "1.2.3 - 2.3.4", True), ("1.2.3-beta.2", ">=1.2.3-beta.1", True), ("1.2.3-beta.10", ">1.2.3-beta.9", True),
-     ("1.2.3-alpha", "<1.2.3", True), ("3.0.0", "<2 || >=3", True), ("2.5.0", "<2 || >=3", False), ("1.0.0", ">x", False), ("1.0.0", "<*", False), ("bad", "*", False), ("1.0.0", "not-a-range", False), (None, "*", False), ("1.0.0", None, False)],
-)
-def test_semver(version, wanted, found):
-    assert semver.satisfies(version, wanted) is found
+     ("1.2.3-alpha", "<1.2.3", True), ("3.0.0", "<2 || >=3", True), ("2.5.0", "<2 || >=3", False), ("1.0.0", ">x", False), ("1.0.0", "<*", False), ("bad", "*", False), ("1.0.0", "not-a-range", False), (None, "*", False), ("1.0.0", None, False)]
+    found = semver.with_satisfies(spark.createDataFrame(cases, "version string, wanted string, found boolean"), "version", "wanted")
+    assert found.where("found <> satisfied").collect() == [] and found.count() == len(cases)
+    assert "Python" not in found._jdf.queryExecution().toString()
+
+
+def _ranges(seed: int, n: int):
+    draw = random.Random(seed)
+    pick = draw.choice
+    tail = ["", "", "", "-alpha", "-alpha.1", "-alpha.beta", "-1", "-10.a", "-2", "-a-b", "-a..b"]
+    version = lambda: f"{pick(['', 'v', '= '])}{pick([0, 0, 1, 2, 10, '007'])}.{pick([0, 1, 2, 10])}.{pick([0, 3, 12, 10**24])}{pick(tail)}{pick(['', '+b1'])}"
+    part = lambda: pick(["", ">", ">=", "<", "<=", "=", "^", "~", "~>"]) + pick(["", " "]) + ".".join(pick(["0", "1", "2", "10", "x", "*"]) for _ in range(pick([1, 2, 3]))) + pick(tail)
+    whole = lambda: pick([f"{version()} - {version()}", pick(["", "*", "bad", "||", "1 || ", " ^1.2 "]), part(), f"{part()}  {part()}", f"{part()} || {part()}"])
+    return [(pick([version(), version(), version(), "1.2", None]), whole()) for _ in range(n)]
+
+
+def test_semver_is_as_plain_ranges_say(spark):
+    rows = [*_ranges(7, 1500), ("1.0.0", None), (None, None)]
+    found = semver.with_satisfies(spark.createDataFrame(rows, "version string, wanted string"), "version", "wanted").collect()
+    assert [tuple(r) for r in found if r[2] != plain_ranges.satisfies(r[0], r[1])] == []
+
+
+def test_newest_within_ranges(spark):
+    versions = [(name, v) for name, seed, n in (("hot", 8, 400), ("rare", 9, 4)) for v, _ in _ranges(seed, n)] + [("rare", "1.0.0"), ("rare", "v1.0.0"), (None, "1.0.0")]
+    wanted = [(name, r) for name in ("hot", "rare", "none") for _, r in _ranges(10, 60)] + [("rare", "1.0.0"), ("rare", None)]
+    found = semver.newest_within(spark.createDataFrame(wanted, "name string, range string"), spark.createDataFrame(versions, "name string, version string")).collect()
+    parsed = [(name, plain_ranges.parse(v), v) for name, v in versions if plain_ranges.parse(v)]
+    for name, wish in set(wanted):
+        held = [(p, v) for n, p, v in parsed if n == name and plain_ranges.satisfies(v, wish)]
+        best = min((v for p, v in held if p == max(held)[0]), default=None)
+        assert [r.version for r in found if (r.name, r.range) == (name, wish)] == [best]
+
+
+def test_last_before_carries_over_blocks(spark):
+    rows = [(k, n, n if n % 7 == 0 and k else None) for k in ("a", "b", None) for n in range(100)]
+    found = last_before(spark.createDataFrame(rows, "k string, n int, v int").withColumn("block", F.floor(F.col("n") / 3)), ["k"], "block", ["n"], "v").collect()
+    assert {(r.k, r.n): r.last for r in found} == {(k, n): ((n - 1) // 7 * 7 if k and n else None) for k, n, _ in rows}
 
 
 def test_json_documents(spark):
