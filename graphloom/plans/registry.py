@@ -35,4 +35,4 @@ def query(name: str, sql: str | None = None, views: str = "", recursive: bool =
     return put
 
 
-from graphloom.plans import change_plans, file_plans, graph_plans, history_plans, input_plans, lookup_plans, review_plans, storage_plans, task_plans, workspace_plans  # noqa: E402, F401
+from graphloom.plans import change_plans, file_plans, graph_plans, history_plans, input_plans, lookup_plans, review_plans, storage_plans, task_plans, trace_plans, workspace_plans  # noqa: E402, F401
