@@ -54,12 +54,30 @@ def package_moves(changes: DataFrame, direct: DataFrame) -> DataFrame:
     return rows.withColumn("kind", kind).join(named, "key", "left").withColumn("direct", F.coalesce("direct", F.lit(False)))
 
 
-def substituted(changes: DataFrame, claimed: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """changes(path) less those claimed(path), plus the artifacts(path, before, after) that differ."""
+def substituted(changes: DataFrame, claimed: DataFrame, artifacts: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """changes(path) less those claimed(path), plus the artifacts(path, before, after) that differ; if a row of failed tells of a projection that failed, changes as they are."""
+    if failed is not None and failed.limit(1).count():
+        return changes.select("path").distinct()
     moved = artifacts.where(~F.col("before").eqNullSafe(F.col("after"))).select("path")
     return changes.select("path").join(claimed.select("path"), "path", "left_anti").union(moved).distinct()
 
 
+def package_report(changes: DataFrame, direct: DataFrame) -> DataFrame:
+    """name, direct, before, after, kind, rank of changes(key, change), by the package that each key 'name@version(peers)' is of.
+
+    rank puts the most telling first, then by name: 0 moved to other versions, 1 added or removed, 2 of the same versions (other peers
+    or a patch), 3 only what it depends on changed. before and after are its versions that went and came; direct(name) are named by an importer.
+    """
+    bare = F.regexp_replace("key", r"\(.*$", "")
+    versions = lambda change: F.array_sort(F.collect_set(F.when(F.col("change") == change, F.regexp_extract(bare, r"^@?[^@]*@(.*)$", 1))))
+    rows = changes.groupBy(F.regexp_extract(bare, "^(@?[^@]*)", 1).alias("name")).agg(versions("removed").alias("before"), versions("added").alias("after"))
+    came, went = F.size("after") > 0, F.size("before") > 0
+    kind = F.when(~came & ~went, "dependencies").when(~went, "added").when(~came, "removed").when(F.col("before") == F.col("after"), "peers").otherwise("moved")
+    rank = F.element_at(F.create_map(*(F.lit(x) for x in ("moved", 0, "added", 1, "removed", 1, "peers", 2, "dependencies", 3))), F.col("kind"))
+    named = direct.select("name").distinct().withColumn("direct", F.lit(True))
+    return rows.withColumn("kind", kind).join(named, "name", "left").select("name", F.coalesce("direct", F.lit(False)).alias("direct"), "before", "after", "kind", rank.cast("long").alias("rank"))
+
+
 def symmetric_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of one side only, with the side."""
     return left.subtract(right).withColumn("side", F.lit("left")).union(right.subtract(left).withColumn("side", F.lit("right")))

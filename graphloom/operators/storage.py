@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from graphloom.session import checkpointed
 
 
-def references(entry_blobs: DataFrame, blobs: DataFrame) -> DataFrame:
-    """How many entries cite each of blobs(blob, size), 0 included."""
+def references(entry_blobs: DataFrame, blobs: DataFrame, pins: DataFrame | None = None) -> DataFrame:
+    """How many entries cite each of blobs(blob, size), 0 included; with pins(blob) also whether one of them holds it."""
     counts = entry_blobs.groupBy("blob").agg(F.countDistinct("entry").alias("entries"))
-    return blobs.join(counts, "blob", "left").select("blob", "size", F.coalesce("entries", F.lit(0)).alias("entries"))
+    cited = blobs.join(counts, "blob", "left").select("blob", "size", F.coalesce("entries", F.lit(0)).alias("entries"))
+    if pins is None:
+        return cited
+    return cited.join(pins.select("blob", F.lit(True).alias("pinned")).distinct(), "blob", "left").withColumn("pinned", F.coalesce("pinned", F.lit(False)))
 
 
 def ranked(rows: DataFrame, *order: str) -> DataFrame:
@@ -47,15 +50,16 @@ def _running(rows: DataFrame, value: str, name: str, width: int = 4096) -> DataF
     return ranges.withColumn("here", F.sum(value).over(within)).join(before, "range").withColumn(name, F.col("before") + F.col("here")).drop("range", "here", "before")
 
 
-def evictions(entries: DataFrame, entry_blobs: DataFrame, blobs: DataFrame, limit: int, unused_before: int) -> DataFrame:
+def evictions(entries: DataFrame, entry_blobs: DataFrame, blobs: DataFrame, limit: int, unused_before: int, pins: DataFrame | None = None) -> DataFrame:
     """entry, rank, freed of the entries(entry, used, size) to evict, least recently used first.
 
-    A blob's bytes go with the last entry citing it. Over the limit, eviction stops a tenth below it; an
+    A blob's bytes go with the last entry citing it, those of one that pins(blob) holds with none. Over the limit, eviction stops a tenth below it; an
     entry not used since unused_before goes in any case. As entries go in order of use, what goes is a prefix.
     """
     lru = ranked(entries.select("entry", "used", "size"), "used", "entry")
     last = entry_blobs.join(lru.select("entry", "rank"), "entry").groupBy("blob").agg(F.max("rank").alias("rank"))
-    with_last = last.join(blobs, "blob").groupBy("rank").agg(F.sum("size").alias("blob_bytes"))
+    going = last if pins is None else last.join(pins.select("blob"), "blob", "left_anti")
+    with_last = going.join(blobs, "blob").groupBy("rank").agg(F.sum("size").alias("blob_bytes"))
     freeing = lru.join(with_last, "rank", "left").withColumn("freed", F.col("size") + F.coalesce("blob_bytes", F.lit(0)))
     cited = blobs.join(entry_blobs.select("blob").distinct(), "blob", "left_semi")
     total = (entries.agg(F.sum("size")).first()[0] or 0) + (cited.agg(F.sum("size")).first()[0] or 0)

@@ -176,3 +176,38 @@ def key_groups(before: DataFrame, after: DataFrame) -> DataFrame:
     )
     change = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed").otherwise("changed")
     return both.select("key", group.alias("group"), label.alias("name"), change.alias("change"))
+
+
+def import_answers(anchors: DataFrame, changed: DataFrame, imports: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """id, chain, gap, specifier of anchors(id): what an anchor imports, over imports(file, imported).
+
+    chain is a shortest way from one of changed(id) to it. Where none is, an import that nothing placed may hide one: specifier is
+    the nearest of unresolved(file, specifier) that the anchor leads to, the first of its file, and gap the way from that file to
+    the anchor. Anchors without either are left out. The two searches carry a parent a file each, however deep imports go.
+    """
+    reached = checkpointed(import_chains(anchors, changed, imports))
+    first = unresolved.groupBy(F.col("file").alias("_file")).agg(F.min("specifier").alias("specifier"))
+    open_ = import_chains(anchors.select("id").join(reached.select("id"), "id", "left_anti"), first.select(F.col("_file").alias("id")), imports)
+    gaps = open_.select("id", F.col("chain").alias("gap"), F.col("chain")[0].alias("_file")).join(first, "_file")
+    return reached.select("id", "chain", F.lit(None).cast(reached.schema["chain"].dataType).alias("gap"), F.lit(None).cast("string").alias("specifier")).unionByName(
+        gaps.select("id", F.lit(None).cast(reached.schema["chain"].dataType).alias("chain"), "gap", "specifier")
+    )
+
+
+def decided_by_imports(causes: DataFrame, reasons: DataFrame, anchors: DataFrame, cases: DataFrame, answers: DataFrame) -> DataFrame:
+    """task, decision, detail of causes(task, via, by_cases): as `decided`, by import_answers of anchors(task, file) and cases(task, file).
+
+    A task runs whole, too, if its cases, or its anchors where it declares none (by_cases), name no file, and a gap counts as
+    reached: what it hides can't be known. Detail names the first cause: task, reason, nothing named, anchor, gap, or cases of all.
+    """
+    known = answers.select(F.col("id").alias("file"), F.when(F.col("chain").isNotNull(), F.concat(F.lit("anchor:"), F.col("id").cast("string"))).otherwise(F.concat(F.lit("gap:"), F.col("id").cast("string"), F.lit(":"), "specifier")).alias("shown"))
+    seen = lambda rows: rows.select("task", "file").distinct().join(known, "file", "left")
+    kept = reasons.where("NOT carried").groupBy("task").agg(F.min("reason").alias("kept"))
+    anchored = seen(anchors).groupBy("task").agg(F.count("*").alias("anchors"), F.min_by("shown", F.when(F.col("shown").isNotNull(), F.col("file"))).alias("anchor"))
+    counted = seen(cases).groupBy("task").agg(F.count("shown").alias("some"), F.count("*").alias("of"))
+    rows = causes.join(kept, "task", "left").join(anchored, "task", "left").join(counted, "task", "left")
+    unnamed = F.when(F.col("by_cases") & F.col("of").isNull(), "nothing:cases").when(~F.col("by_cases") & F.col("anchors").isNull(), "nothing:anchors")
+    why = F.coalesce(F.concat(F.lit("task:"), "via"), F.concat(F.lit("reason:"), "kept"), unnamed, F.col("anchor"))
+    some = F.col("by_cases") & (F.col("some") > 0)
+    decision = F.when(why.isNotNull(), "whole").when(some, "cases").otherwise("left-out")
+    return rows.select("task", decision.alias("decision"), F.coalesce(why, F.when(some, F.concat(F.col("some").cast("string"), F.lit(" of "), F.col("of").cast("string")))).alias("detail"))

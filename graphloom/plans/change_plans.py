@@ -34,6 +34,24 @@ def a23(spark, sf_dir):
     return locate.package_moves(changes(spark, sf_dir), direct)
 
 
+@query(
+    "a23_package_report",
+    CHANGED
+    + """, k AS (SELECT CASE WHEN key % 2 = 0 THEN '@' ELSE '' END || 'p' || key // 6 AS name, CAST(CASE WHEN key % 3 = 2 THEN 0 ELSE key % 3 END AS VARCHAR) AS version, change FROM changes),
+    g AS (SELECT name, list_sort(list(DISTINCT version) FILTER (WHERE change = 'removed')) AS b, list_sort(list(DISTINCT version) FILTER (WHERE change = 'added')) AS a FROM k GROUP BY name),
+    t AS (SELECT name, coalesce(array_to_string(b, ','), '') AS before, coalesce(array_to_string(a, ','), '') AS after FROM g)
+    SELECT name, name IN (SELECT 'p' || s_suppkey FROM supplier) AS direct, before, after, CASE WHEN before = '' AND after = '' THEN 'dependencies' WHEN before = '' THEN 'added' WHEN after = '' THEN 'removed' WHEN before = after THEN 'peers' ELSE 'moved' END AS kind,
+        CASE WHEN before = '' AND after = '' THEN 3 WHEN before = '' OR after = '' THEN 1 WHEN before = after THEN 2 ELSE 0 END AS rank FROM t""",
+    "installs_before installs_after",
+)
+def a23_report(spark, sf_dir):
+    version = F.when(F.col("key") % 3 == 2, "0(q@2.0.0)(@r/s@1)").otherwise((F.col("key") % 3).cast("string"))
+    key = F.concat(F.when(F.col("key") % 2 == 0, "@").otherwise(""), F.lit("p"), F.expr("cast(key div 6 AS string)"), F.lit("@"), version)
+    direct = views.table(spark, sf_dir, "supplier").select(F.concat(F.lit("p"), F.col("s_suppkey").cast("string")).alias("name"))
+    found = locate.package_report(changes(spark, sf_dir).select(key.alias("key"), "change"), direct)
+    return found.withColumns({c: F.array_join(c, ",") for c in ("before", "after")})
+
+
 @query(
     "u6_substitution",
     CHANGED

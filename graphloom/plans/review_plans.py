@@ -79,6 +79,53 @@ def g20(spark, sf_dir):
     return found.select("id", F.array_join(F.transform("chain", lambda x: x.cast("string")), ">").alias("chain"))
 
 
+IMPORTS = """, gaps AS (SELECT id FROM nodes WHERE id % 61 = 7), chains(id, chain) AS (SELECT id, [id] FROM nodes WHERE id % 397 = 5 UNION ALL SELECT e.source, list_append(chain, e.source) FROM chains c JOIN edges e ON e.target = c.id WHERE e.source % 397 <> 5),
+    best AS (SELECT id, chain FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY len(chain), chain) AS place FROM chains) WHERE place = 1),
+    holes(id, chain) AS (SELECT id, [id] FROM gaps UNION ALL SELECT e.source, list_append(chain, e.source) FROM holes c JOIN edges e ON e.target = c.id WHERE e.source % 61 <> 7),
+    near AS (SELECT id, chain FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY len(chain), chain) AS place FROM holes) WHERE place = 1 AND id NOT IN (SELECT id FROM best)),
+    answers AS (SELECT id, chain, CAST(NULL AS BIGINT[]) AS gap, CAST(NULL AS VARCHAR) AS specifier FROM best UNION ALL SELECT id, NULL, chain, './lost' || chain[1] FROM near)"""
+
+
+def _answers(spark, sf_dir):
+    nodes = views.nodes(spark, sf_dir)
+    imports = views.edges(spark, sf_dir).select(F.col("source").alias("file"), F.col("target").alias("imported"))
+    lost = nodes.where("id % 61 = 7").select(F.col("id").alias("file"), F.explode(F.array(F.lit("./lost"), F.lit("./more"))).alias("name")).select("file", F.concat("name", F.col("file").cast("string")).alias("specifier"))
+    return tasks.import_answers(nodes.select("id"), nodes.where("id % 397 = 5").select("id"), imports, lost)
+
+
+@query(
+    "g20_import_gaps",
+    IMPORTS + " SELECT id, array_to_string(chain, '>') AS chain, array_to_string(gap, '>') AS gap, specifier FROM answers",
+    "nodes edges",
+    recursive=True,
+)
+def g20_gaps(spark, sf_dir):
+    """What every file imports of the changed ones, or the unplaced import that may hide it."""
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ">").alias(c)
+    return _answers(spark, sf_dir).select("id", text("chain"), text("gap"), "specifier")
+
+
+@query(
+    "c9_import_decisions",
+    IMPORTS
+    + """, seen AS (SELECT t.id AS task, t.id + k AS file, k < 2 AS anchor, a.id IS NOT NULL AS hit, CASE WHEN a.chain IS NOT NULL THEN 'anchor:' || a.id ELSE 'gap:' || a.id || ':' || a.specifier END AS shown
+        FROM nodes t, (VALUES (0), (1), (2), (3)) v(k) LEFT JOIN answers a ON a.id = t.id + k WHERE CASE WHEN k < 2 THEN t.id % 12 <> 9 AND t.id % 2 = 1 ELSE t.id % 2 = 0 AND t.id % 10 <> 0 END),
+    c AS (SELECT task, count(*) FILTER (WHERE anchor) AS anchors, arg_min(shown, file) FILTER (WHERE anchor AND hit) AS first, count(*) FILTER (WHERE NOT anchor AND hit) AS hits, count(*) FILTER (WHERE NOT anchor) AS cases FROM seen GROUP BY task),
+    w AS (SELECT id, coalesce(CASE WHEN id % 50 = 1 THEN 'task:' || id // 2 END, CASE WHEN id % 17 = 0 THEN 'reason:settings' END, CASE WHEN id % 2 = 0 AND coalesce(cases, 0) = 0 THEN 'nothing:cases' WHEN id % 2 = 1 AND coalesce(anchors, 0) = 0 THEN 'nothing:anchors' END, first) AS why, hits, cases
+        FROM nodes LEFT JOIN c ON task = id)
+    SELECT id AS task, CASE WHEN why IS NOT NULL THEN 'whole' WHEN hits > 0 THEN 'cases' ELSE 'left-out' END AS decision, coalesce(why, CASE WHEN hits > 0 THEN hits || ' of ' || cases END) AS detail FROM w""",
+    "nodes edges",
+    recursive=True,
+)
+def c9_imports(spark, sf_dir):
+    n = F.col("id")
+    nodes = views.nodes(spark, sf_dir)
+    causes = nodes.select(n.alias("task"), F.when(n % 50 == 1, F.expr("cast(id div 2 AS string)")).alias("via"), (n % 2 == 0).alias("by_cases"))
+    reasons = nodes.select(n.alias("task"), F.lit("settings").alias("reason"), (n % 17 != 0).alias("carried"))
+    files = lambda where, *ahead: nodes.where(where).select(n.alias("task"), F.explode(F.array(*(n + k for k in ahead))).alias("file"))
+    return tasks.decided_by_imports(causes, reasons, files("id % 12 <> 9 AND id % 2 = 1", 0, 1), files("id % 2 = 0 AND id % 10 <> 0", 2, 3), _answers(spark, sf_dir))
+
+
 @query("g21_link_targets", """, reach(path, id) AS (SELECT source, source FROM ring WHERE source % 10 = 1 UNION SELECT r.path, g.target FROM reach r JOIN ring g ON g.source = r.id) SELECT path, id AS target FROM reach WHERE path <> id""", "ring", recursive=True)
 def g21(spark, sf_dir):
     """Links that lead in circles."""

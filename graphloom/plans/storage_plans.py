@@ -19,6 +19,16 @@ def a11(spark, sf_dir):
     return storage.references(views.entry_blobs(spark, sf_dir), views.blobs(spark, sf_dir))
 
 
+@query(
+    "a11_pinned_blobs",
+    """SELECT blob, size, coalesce(entries, 0) AS entries, blob IN (SELECT s_suppkey * 3 FROM supplier) AS pinned FROM blobs LEFT JOIN (SELECT blob, count(DISTINCT entry) AS entries FROM entry_blobs GROUP BY blob) USING (blob)""",
+    "entry_blobs blobs",
+)
+def a11_pinned(spark, sf_dir):
+    pins = views.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 3).alias("blob"))
+    return storage.references(views.entry_blobs(spark, sf_dir), views.blobs(spark, sf_dir), pins)
+
+
 @query(
     "a14_set_digest",
     "SELECT importer, sha256(string_agg(f, chr(10) ORDER BY f)) AS digest FROM (SELECT DISTINCT importer, CAST(key AS VARCHAR) || fingerprint AS f FROM installs_after) GROUP BY importer",

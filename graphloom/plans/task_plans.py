@@ -224,6 +224,29 @@ def f20(spark, sf_dir):
     return part.select(F.col("p_partkey").alias("id"), F.array_join(F.array_sort(F.map_keys(kept)), ",").alias("names"))
 
 
+@query(
+    "f20_task_environment",
+    """, e AS (SELECT p_partkey AS id, ['CI', 'PATH', 'APP_' || p_size, 'SECRET_' || p_type] AS names, 'APP_' || p_size AS app, p_partkey % 3 = 0 AS sets, p_partkey % 5 = 0 AS provides, p_partkey % 4 = 0 AS passes FROM part)
+    SELECT id, array_to_string(list_sort(list_transform(list_distinct(list_concat(list_filter(names, lambda x: x <> 'PATH' AND NOT starts_with(x, 'SECRET_S') AND (passes OR x <> 'CI')), CASE WHEN sets THEN [app] ELSE [] END,
+            CASE WHEN provides THEN ['PATH'] ELSE [] END)), lambda x: x || '=' || CASE WHEN x = app AND sets THEN 'set' WHEN x = 'PATH' THEN '/made' ELSE 'was' END)), ',') AS environment,
+        CASE WHEN sets THEN '' ELSE app END AS keyed, array_to_string(list_sort(list_filter(names, lambda x: x = 'PATH' OR starts_with(x, 'SECRET_S') OR (NOT passes AND x = 'CI'))), ',') AS left_out,
+        CASE WHEN id % 7 = 0 THEN 'both:' || app ELSE '' END AS errors FROM e""",
+)
+def f20_task(spark, sf_dir):
+    n, kind = F.col("p_partkey"), F.col("p_type")
+    app = F.concat(F.lit("APP_"), F.col("p_size").cast("string"))
+    held = F.array(F.lit("CI"), F.lit("PATH"), app, F.concat(F.lit("SECRET_"), kind))
+    secret = F.when(kind.startswith("S"), "none*").otherwise("SECRET_*")
+    found = formats.task_environment(
+        F.map_from_arrays(held, F.array_repeat(F.lit("was"), 4)), F.array(F.lit("APP_*")), F.concat(F.array(secret), F.when(n % 4 == 0, F.array(F.lit("C*I"))).otherwise(F.array().cast("array<string>")), F.when(n % 7 == 0, F.array(F.lit("*APP_*"))).otherwise(F.array().cast("array<string>"))),
+        F.when(n % 3 == 0, F.create_map(app, F.lit("set"))), F.when(n % 5 == 0, F.create_map(F.lit("PATH"), F.lit("/made"))),
+    )
+    listed = lambda c: F.array_join(F.array_sort(c), ",")
+    rows = views.table(spark, sf_dir, "part").select(n.alias("id"), found.alias("e"))
+    pairs = F.transform(F.map_entries("e.environment"), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
+    return rows.select("id", listed(pairs).alias("environment"), listed(F.map_keys("e.keyed")).alias("keyed"), listed(F.col("e.left_out")).alias("left_out"), listed(F.col("e.errors")).alias("errors"))
+
+
 @query(
     "m_size_bytes",
     """SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN CAST(p_size AS BIGINT) WHEN 1 THEN CAST(floor((p_size + 0.5) * 1024) AS BIGINT) WHEN 2 THEN CAST(p_size AS BIGINT) * 1048576 WHEN 3 THEN CAST(floor((p_size + 0.25) * 1073741824) AS BIGINT) END AS bytes FROM part""",

@@ -8,8 +8,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.functions import documents, globs, semver
-from graphloom.operators import accesses, closure, history, locate, schedule, selection, storage
+from graphloom.functions import documents, formats, globs, semver
+from graphloom.operators import accesses, closure, history, locate, schedule, selection, storage, tasks
 from graphloom.operators.asof import last_before
 from graphloom.streaming import watch
 from tests import plain_ranges
@@ -256,3 +256,41 @@ def test_waits_for_slots_and_load_while_tasks_wait(spark):
     for width in (1, 64, 1000):
         marked = history.load_while_waiting(samples, waits, width).collect()
         assert sorted(r["at"] for r in marked if r.waiting) == [0, 49, 100, 300, 399] and len(marked) == 11
+
+
+def test_environment_of_a_task(spark):
+    variables = F.create_map(*(F.lit(x) for x in ("A_1", "1", "B", "2", "Q.E", "3", "PATH", "/bin", "C", "4")))
+    names = lambda *x: F.array(*map(F.lit, x))
+    see = lambda *columns: spark.range(1).select(formats.task_environment(variables, *columns).alias("e")).first().e
+    found = see(names("A_*", "B"), names("*.E"), F.create_map(F.lit("B"), F.lit("set"), F.lit("NEW"), F.lit("x")))
+    assert found.environment == {"A_1": "1", "B": "set", "NEW": "x", "Q.E": "3"} and found.keyed == {"A_1": "1"} and found.left_out == ["C", "PATH"] and found.errors == []
+    none = F.lit(None)
+    clash = see(names("*"), names("B", "qxe"), none.cast("map<string,string>"), F.create_map(F.lit("PATH"), F.lit("/made")))
+    assert clash.errors == ["both:B", "path:PATH"] and clash.environment["PATH"] == "/made"
+    empty = see(none.cast("array<string>"), none.cast("array<string>"), none.cast("map<string,string>"))
+    assert empty.environment == {} and len(empty.left_out) == 5
+
+
+def test_pinned_blobs_stay_and_failed_projections_keep_all(spark):
+    entries = spark.createDataFrame([(1, 1, 10), (2, 2, 10)], "entry long, used long, size long")
+    cites, blobs = spark.createDataFrame([(1, 7), (2, 8)], "entry long, blob long"), spark.createDataFrame([(7, 100), (8, 100)], "blob long, size long")
+    gone = lambda pins: sorted((r.entry, r.freed) for r in storage.evictions(entries, cites, blobs, 10_000, 9, pins).collect())
+    assert gone(None) == [(1, 110), (2, 110)] and gone(spark.createDataFrame([(8,), (8,), (99,)], "blob long")) == [(1, 110), (2, 10)]
+    paths = spark.createDataFrame([("a",), ("b",)], "path string")
+    artifacts, failed = spark.createDataFrame([("made", "1", "2"), ("same", "1", "1")], "path string, before string, after string"), spark.createDataFrame([("r", "no output")], "rule string, why string")
+    left = lambda rows: sorted(r.path for r in locate.substituted(paths, paths.where("path = 'a'"), artifacts, rows).collect())
+    assert left(None) == left(failed.limit(0)) == ["b", "made"] and left(failed) == ["a", "b"]
+
+
+def test_gaps_in_imports_keep_what_they_may_hide(spark):
+    imports = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "e"), ("e", "f"), ("g", "h"), ("h", "g")], "file string, imported string")
+    ids = lambda *names: spark.createDataFrame([(x,) for x in names], "id string")
+    lost = spark.createDataFrame([("b", "./z"), ("e", "./y"), ("e", "./x"), ("f", "./w")], "file string, specifier string")
+    answers = tasks.import_answers(ids("a", "d", "g", "e"), ids("c", "nowhere"), imports, lost)
+    assert {r.id: (r.chain, r.gap, r.specifier) for r in answers.collect()} == {"a": (["c", "b", "a"], None, None), "d": (None, ["e", "d"], "./x"), "e": (None, ["e"], "./x")}
+    causes = spark.createDataFrame([(1, None, False), (2, None, False), (3, None, False), (4, None, True), (5, "p", False), (6, None, True), (7, None, True)], "task long, via string, by_cases boolean")
+    of = lambda *rows: spark.createDataFrame(rows, "task long, file string")
+    found = tasks.decided_by_imports(causes, spark.createDataFrame([(7, "settings", False), (4, "file", True)], "task long, reason string, carried boolean"), of((1, "a"), (2, "d"), (2, "g"), (3, "g")), of((4, "a"), (4, "g"), (4, "e"), (7, "a")), answers)
+    assert {r.task: (r.decision, r.detail) for r in found.collect()} == {
+        1: ("whole", "anchor:a"), 2: ("whole", "gap:d:./x"), 3: ("left-out", None), 4: ("cases", "2 of 3"), 5: ("whole", "task:p"), 6: ("whole", "nothing:cases"), 7: ("whole", "reason:settings"),
+    }
