@@ -114,12 +114,28 @@ def above(pointers: DataFrame, starts: DataFrame) -> DataFrame:
 
 def chains(found: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """id, chain: the ids from the touched one to each of wanted(id), or of all that discovered() found."""
-    starts = found.select("id") if wanted is None else wanted
-    rows = above(found.select("id", "parent"), starts)
+    if wanted is None:
+        return _all_chains(found.select("id", "parent"))
+    rows = above(found.select("id", "parent"), wanted)
     listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("steps")).alias("place"), "id"))), lambda x: x["id"])
     return rows.groupBy("start").agg(listed.alias("chain")).withColumnRenamed("start", "id")
 
 
+def _all_chains(pointers: DataFrame) -> DataFrame:
+    """id, chain of every id of a forest of pointers(id, parent).
+
+    Each round an unfinished piece of a chain takes the piece that ends above it, so pieces double, there are about log2 of the
+    longest chain rounds, and what is finished isn't written again.
+    """
+    pieces = checkpointed(pointers.select("id", F.col("parent").alias("up"), F.array("id").alias("chain")))
+    done, growing = pieces.where("up IS NULL"), pieces.where("up IS NOT NULL")
+    while growing.limit(1).count():
+        tops = done.unionByName(growing).select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("chain").alias("before"))
+        pieces = checkpointed(growing.join(tops, "up").select("id", F.col("further").alias("up"), F.concat("before", "chain").alias("chain")))
+        done, growing = done.unionByName(pieces.where("up IS NULL")), pieces.where("up IS NOT NULL")
+    return done.select("id", "chain")
+
+
 def explained(touched: DataFrame, edges: DataFrame) -> DataFrame:
     """id, depth, parent, first, also, rank: what touched(id) ids affect, breadth first.
 

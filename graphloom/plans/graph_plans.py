@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import closure, history, schedule
 from graphloom.plans.registry import query
+from graphloom.session import checkpointed
 from graphloom.sources import views
 
 UP = """, reach(id) AS (SELECT id FROM nodes WHERE id IN (7, 11) UNION SELECT e.source FROM reach r JOIN edges e ON e.target = r.id)"""
@@ -70,16 +71,18 @@ AFFECTED = f""", chains(id, chain) AS (SELECT id, [id] FROM nodes WHERE {TOUCHED
     AFFECTED
     + """, others AS (SELECT b.id, string_agg(CAST(e.target AS VARCHAR), ',' ORDER BY e.target) AS also FROM best b JOIN edges e ON e.source = b.id
         WHERE len(b.chain) > 1 AND e.target IN (SELECT id FROM best) AND e.target <> b.chain[-2] GROUP BY b.id)
-    SELECT b.id, len(chain) - 1 AS depth, chain[1] AS first, CASE WHEN len(chain) > 1 THEN chain[-2] END AS parent, CASE WHEN len(chain) = 1 THEN 'touched' ELSE 'depends-on' END AS cause, coalesce(also, '') AS also
+    SELECT b.id, array_to_string(chain, '>') AS chain, len(chain) - 1 AS depth, chain[1] AS first, CASE WHEN len(chain) > 1 THEN chain[-2] END AS parent, CASE WHEN len(chain) = 1 THEN 'touched' ELSE 'depends-on' END AS cause, coalesce(also, '') AS also
     FROM best b LEFT JOIN others o ON o.id = b.id""",
     "nodes edges",
     recursive=True,
 )
 def g4(spark, sf_dir):
-    """Every affected node with why: the touched one its way begins at, and whom it is affected through."""
-    found = closure.explained(seeds(spark, sf_dir, TOUCHED), views.edges(spark, sf_dir))
+    """Every affected node with why: its whole way, the touched one that begins at, and whom it is affected through."""
+    found = checkpointed(closure.explained(seeds(spark, sf_dir, TOUCHED), views.edges(spark, sf_dir)))
     cause = F.when(F.col("parent").isNull(), "touched").otherwise("depends-on")
-    return found.select("id", "depth", "first", "parent", cause.alias("cause"), F.array_join(F.transform("also", lambda x: x.cast("string")), ",").alias("also"))
+    join = lambda c, by: F.array_join(F.transform(c, lambda x: x.cast("string")), by)
+    whole = found.join(closure.chains(found), "id")
+    return whole.select("id", join("chain", ">").alias("chain"), "depth", "first", "parent", cause.alias("cause"), join("also", ",").alias("also"))
 
 
 @query("g5_chain", AFFECTED + " SELECT id, array_to_string(chain, '>') AS chain FROM best WHERE id % 13 = 4", "nodes edges", recursive=True)

@@ -48,6 +48,30 @@ def test_explanations_follow_the_queue(spark):
     assert {r.id: r.chain for r in closure.chains(rows, rows.where("id >= 6").select("id")).collect()} == {6: [2, 6], 7: [1, 5, 7]}
 
 
+def test_all_chains_match_a_plain_walk(spark):
+    rng = random.Random(4)
+    parents = {k: None if k % 50 == 0 else rng.randint(k - k % 50, k - 1) for k in range(200)} | {200: 0} | {k: k - 1 for k in range(201, 260)}
+    found = {r.id: r.chain for r in closure.chains(spark.createDataFrame(list(parents.items()), "id long, parent long")).collect()}
+    plain = {k: [k] for k, up in parents.items() if up is None}
+    for k in sorted(parents):
+        plain.setdefault(k, plain.get(parents[k], []) + [k])
+    assert found == plain
+
+
+def test_affected_causes_hold_whole_chains(spark, tmp_path):
+    from graphloom.plans import registry
+
+    spark.range(1, 2001).selectExpr("id AS p_partkey", "1 AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    found = registry.QUERIES["g4_affected_cause"](spark, str(tmp_path)).collect()
+    chains = {r.id: [int(x) for x in r.chain.split(">")] for r in found}
+    for r in found:
+        chain = chains[r.id]
+        assert (chain[0], chain[-1], len(chain) - 1) == (r.first, r.id, r.depth) and chain[0] % 97 == 5
+        assert chain[:-1] == (chains[r.parent] if r.parent is not None else [])
+        assert all(a in (b // 2, b // 3) for a, b in zip(chain, chain[1:]))
+    assert max(map(len, chains.values())) > 5
+
+
 def test_longest_paths_break_ties_by_order(spark):
     nodes = spark.createDataFrame([(1, 5), (2, 5), (3, 2), (4, 0), (9, 0)], "id long, weight long")
     graph = edges(spark, [(3, 2), (3, 1), (4, 3), (3, 77)])
