@@ -100,6 +100,16 @@ def test_contamination_matches_brute_force(spark, block):
     assert decontaminate.find_contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_contamination_counts_words_where_it_scans_them(spark):
+    docs = spark.createDataFrame([(1, "A b, c"), (2, None), (3, "é x")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "b c")], "item_id long, text string")
+    found = decontaminate.find_contamination(docs, bench)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan.lower()
+    assert {r.doc_id: (r.n_words, r.n_hit) for r in found.collect()} == {1: (3, 2), 2: (0, 0), 3: (2, 0)}
+    assert {r.doc_id: r.n_words for r in decontaminate.find_contamination(docs, bench.limit(0)).collect()} == {1: 3, 2: 0, 3: 2}
+
+
 def test_licences_match_brute_force(spark):
     rng = random.Random(9)
     notices = [t for _, t in license_scan.TEMPLATES] + ["Under the MIT License, under the MIT licence; under the MIT license", "CC BY NC", "cc-by-nc cc by", "Apache License Version 2 version 2"]
