@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from graphloom.llm import common, embedding_links, superminhash
+from graphloom.llm import common, components, embedding_links, superminhash
 from graphloom.llm.components import smallest_reachable
+from graphloom.session import checkpointed
 from tests.llm.fixtures import documents, empty, text
 
 
@@ -101,6 +102,24 @@ def test_components(spark):
     assert smallest_reachable(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_of_few_ids_take_a_shuffle_a_round(spark, monkeypatch, few):
+    shuffles = []
+
+    def counted(df):
+        shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return checkpointed(df)
+
+    monkeypatch.setattr(components, "checkpointed", counted)
+    monkeypatch.setattr(components, "FEW", few)
+    rng = random.Random(few)
+    links = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(60)] + [(k, k + 1) for k in range(100, 180)] + [(90, k) for k in range(300, 400)]
+    found = {r.id: r.component for r in smallest_reachable(spark.createDataFrame(links, "a long, b long")).collect()}
+    wanted = smallest(sorted({x for p in links for x in p}), links)
+    assert found == {k: wanted[k] for p in links if p[0] != p[1] for k in p}
+    assert not few or len(shuffles) > 5 and sum(shuffles) <= len(shuffles)
+
+
 def test_without_copies_keeps_one_of_each_group(spark):
     docs = documents(spark)
     wanted = brute_groups([(r.doc_id, r.text) for r in docs.collect()])
