@@ -288,9 +288,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         rest = checkpointed(with_few(rest, crowded, ["component"]))
         few = checkpointed(rest.where("crowded IS NULL").select(F.col("x").alias("a"), F.explode("others").alias("b")).distinct())
         ids = few.select(F.col("a").alias("id")).union(few.select("b")).distinct()
-        more = confirm(restricted(docs, ids), few, percent).union(confirm_blocks(docs, rest.where("crowded").drop("crowded"), known, percent))
-        components = smallest_reachable(links.union(checkpointed(more)))
-    of_class = classes.join(components, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("class_component"), "copies")
+        of_few = checkpointed(confirm(restricted(docs, ids), few, percent))
+        of_crowded = checkpointed(confirm_blocks(docs, rest.where("crowded").drop("crowded"), known, percent))
+        components = smallest_reachable(links.union(of_few).union(of_crowded))
+    of_class = checkpointed(classes.join(components, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("class_component"), "copies"))
     some = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     found = join_hot(described.where(some).select("doc_id", "n", "d1", "d2"), of_class, ["d1", "d2"], "copies").select("doc_id", "n", F.col("class_component").alias("component_id"))
     lone = described.where(~some).select("doc_id", "n", F.col("doc_id").alias("component_id"))
@@ -307,12 +308,12 @@ def without_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
     if not repeated:
-        extra = near_duplicates(docs, percent).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+        extra = checkpointed(near_duplicates(docs, percent).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct())
         return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
     keys = ["doc_id", "h1", "h2"]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.where("doc_id IS NOT NULL").select(F.struct("*").alias("row"), "doc_id", F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2"))
     rows = checkpointed(rows.groupBy(keys).agg(F.min_by("row", F.struct(F.xxhash64(F.to_json("row")), F.to_json("row"))).alias("row")))
     numbered = checkpointed(rows.join(ranked(rows.select(keys), *keys), keys).select(F.col("rank").alias("number"), "row"))
-    kept = near_duplicates(numbered.select(F.col("number").alias("doc_id"), "row.text"), percent).where("kept").select(F.col("doc_id").alias("number"))
+    kept = checkpointed(near_duplicates(numbered.select(F.col("number").alias("doc_id"), "row.text"), percent).where("kept").select(F.col("doc_id").alias("number")))
     return numbered.join(kept, "number", "left_semi").select("row.*").unionByName(docs.where("doc_id IS NULL"))

@@ -139,6 +139,16 @@ def test_without_copies_keeps_every_text_of_a_repeated_id(spark):
         assert kept == sorted([(0, one), (0, one), (1, one), (1, two), (1, three), (3, "")])
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_without_copies_leaves_the_search_out_of_its_answer(spark, repeated):
+    docs = documents(spark)
+    docs = docs.union(docs) if repeated else docs.dropDuplicates(["doc_id"])
+    wanted = brute_groups([(r.doc_id, r.text) for r in docs.dropDuplicates(["doc_id"]).collect()])
+    found = superminhash.without_copies(checkpointed(docs))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
+    assert sorted(r.doc_id for r in found.where("doc_id IS NOT NULL").collect()) == sorted(k for k, (_, c) in wanted.items() if k == c)
+
+
 def vectors(rng: np.random.Generator) -> list[tuple]:
     rows, dim = [], 16
     for k in range(60):
