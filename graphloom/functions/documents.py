@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from copy import deepcopy
 
 import pandas as pd
 from pyspark.sql import Column
@@ -112,17 +113,16 @@ def keyed_definition(text: str | Column, own: list[str] = ()) -> Column:
     return without_fields(text, ["metadata", *own])
 
 
-def projection(path: str, text: str, fields: list[str] | None, exclude: list[str]) -> str | None:
-    """Some dotted fields of a JSON or YAML text as canonical JSON, less excluded ones; null if it can't be read."""
-    try:
-        if path.endswith((".yaml", ".yml")):
-            import yaml
+def _read(path: str, text: str) -> object:
+    """What a JSON or YAML text holds, whatever its parser raises where it isn't its own."""
+    if path.endswith((".yaml", ".yml")):
+        import yaml
 
-            value = yaml.safe_load(text)
-        else:
-            value = json.loads(plain_json(text))
-    except Exception:  # whatever a parser raises on a text that isn't its own
-        return None
+        return yaml.load(text, getattr(yaml, "CSafeLoader", yaml.SafeLoader))
+    return json.loads(plain_json(text))
+
+
+def _projection(value: object, fields: list[str] | None, exclude: list[str]) -> str:
     if fields is not None:
         kept: dict = {}
         for field in fields:
@@ -150,6 +150,15 @@ def projection(path: str, text: str, fields: list[str] | None, exclude: list[str
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str)
 
 
+def projection(path: str, text: str, fields: list[str] | None, exclude: list[str]) -> str | None:
+    """Some dotted fields of a JSON or YAML text as canonical JSON, less excluded ones; null if it can't be read."""
+    try:
+        value = _read(path, text)
+    except Exception:  # whatever a parser raises on a text that isn't its own
+        return None
+    return _projection(value, fields, exclude)
+
+
 def projected(path: str | Column, text: str | Column, fields: list[str] | None = None, exclude: list[str] = ()) -> Column:
     """As projection, of columns, in Arrow batches."""
     exclude = list(exclude)
@@ -161,6 +170,25 @@ def projected(path: str | Column, text: str | Column, fields: list[str] | None =
     return run(path, text)
 
 
+def projections(path: str | Column, text: str | Column, *wanted: tuple[list[str] | None, list[str]]) -> Column:
+    """An array of what projection gives for each (fields, exclude) wanted; a text is parsed once. Null for a null text."""
+
+    def each(path: str, text: str | None) -> list[str | None] | None:
+        if text is None:
+            return None
+        try:
+            value = _read(path, text)
+        except Exception:  # as above
+            return [None] * len(wanted)
+        return [_projection(deepcopy(value) if exclude else value, fields, list(exclude)) for fields, exclude in wanted]
+
+    @F.pandas_udf("array<string>")
+    def run(paths: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([each(p or "", t) for p, t in zip(paths, texts, strict=True)], dtype=object)
+
+    return run(path, text)
+
+
 def tsconfig_parts(text: str | Column) -> Column:
     """A tsconfig as a struct: rest (canonical JSON), paths (mapping to targets) and references (normalised); references that aren't all plain paths stay in rest."""
     from graphloom.functions.names import posix_join
