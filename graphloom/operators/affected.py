@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.closure import explained, reachable
 from graphloom.operators.locate import owners
-from graphloom.session import checkpointed
+from graphloom.session import FEW, checkpointed
 
 
 def nearest_with_target(starts: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
     """start, target, project: for each of starts(start, target), the nearest dependencies that have the target, looking
     through those of targets(project, target) that lack it."""
     has = targets.select("project", "target").distinct()
-    steps = edges.select(F.col("source").alias("at"), F.col("target").alias("project")).distinct()
+    steps = checkpointed(edges.select(F.col("source").alias("at"), F.col("target").alias("project")).distinct())
     frontier = checkpointed(starts.select("start", "target", F.col("start").alias("at")).distinct())
     found = seen = None
-    while frontier.limit(1).count():
-        ahead = checkpointed(frontier.join(steps, "at").select("start", "target", "project").distinct())
+    while n := frontier.limit(FEW + 1).count():
+        ahead = checkpointed((F.broadcast(frontier) if n <= FEW else frontier).join(steps, "at").select("start", "target", "project").distinct())
         here = checkpointed(ahead.join(has, ["project", "target"], "left_semi").select("start", "target", "project"))
         through = ahead.join(has, ["project", "target"], "left_anti").select("start", "target", F.col("project").alias("at"))
         through = through if seen is None else through.join(seen, ["start", "target", "at"], "left_anti")
@@ -45,8 +45,8 @@ def plan_tasks(requests: DataFrame, targets: DataFrame, rules: DataFrame, edges:
     links = own.select("project", "target", "on_project", "on_target").union(beyond)
     links = checkpointed(links.where("project <> on_project OR target <> on_target").distinct())
     tasks = frontier = checkpointed(requests.select("project", "target").distinct().join(has, ["project", "target"], "left_semi"))
-    while frontier.limit(1).count():
-        ahead = frontier.join(links, ["project", "target"]).select(F.col("on_project").alias("project"), F.col("on_target").alias("target")).distinct()
+    while n := frontier.limit(FEW + 1).count():
+        ahead = (F.broadcast(frontier) if n <= FEW else frontier).join(links, ["project", "target"]).select(F.col("on_project").alias("project"), F.col("on_target").alias("target")).distinct()
         frontier = checkpointed(ahead.join(tasks, ["project", "target"], "left_anti"))
         tasks = checkpointed(tasks.union(frontier))
     return tasks, links.join(tasks, ["project", "target"], "left_semi")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.storage import ranked
-from graphloom.session import checkpointed
+from graphloom.session import FEW, checkpointed
 
 
 def _steps(edges: DataFrame, dependents: bool) -> DataFrame:
@@ -19,14 +19,19 @@ def _steps(edges: DataFrame, dependents: bool) -> DataFrame:
     return edges.select(F.col(near).alias("at"), F.col(far).alias("next")).distinct()
 
 
+def _near(frontier: DataFrame, n: int) -> DataFrame:
+    """A frontier, n rows of which were counted, for a join with steps: few are broadcast, so that no round deals all steps out."""
+    return F.broadcast(frontier) if n <= FEW else frontier
+
+
 def reachable(seeds: DataFrame, edges: DataFrame, dependents: bool = True) -> DataFrame:
     """id, depth of the seeds(id) and all they reach, with the fewest steps; cycles are safe."""
     steps = checkpointed(_steps(edges, dependents))
     seen = frontier = checkpointed(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     level = 0
-    while frontier.limit(1).count():
+    while n := frontier.limit(FEW + 1).count():
         level += 1
-        ahead = frontier.join(steps, frontier.id == steps["at"]).select(F.col("next").alias("id")).distinct()
+        ahead = _near(frontier, n).join(steps, frontier.id == steps["at"]).select(F.col("next").alias("id")).distinct()
         frontier = checkpointed(ahead.join(seen, "id", "left_anti").withColumn("depth", F.lit(level)))
         seen = checkpointed(seen.union(frontier)) if level % 4 == 0 else seen.union(frontier)
     return seen
@@ -59,17 +64,13 @@ def reachable_pairs(seeds: DataFrame, edges: DataFrame, dependents: bool = False
     """group, id reached within each group of seeds(group, id), seeds included."""
     steps = checkpointed(_steps(edges, dependents))
     seen = frontier = checkpointed(seeds.select("group", "id").distinct())
-    while frontier.limit(1).count():
-        ahead = frontier.join(steps, frontier.id == steps["at"]).select("group", F.col("next").alias("id")).distinct()
+    while n := frontier.limit(FEW + 1).count():
+        ahead = _near(frontier, n).join(steps, frontier.id == steps["at"]).select("group", F.col("next").alias("id")).distinct()
         frontier = checkpointed(ahead.join(seen, ["group", "id"], "left_anti"))
         seen = checkpointed(seen.union(frontier))
     return seen
 
 
-#: Rows of three numbers that one task may order.
-FEW = 100_000
-
-
 def discovered(touched: DataFrame, edges: DataFrame) -> DataFrame:
     """id, depth, parent, first, rank: what touched(id) ids affect, breadth first, with each id's first discoverer and the touched id where that way begins.
 
@@ -80,9 +81,9 @@ def discovered(touched: DataFrame, edges: DataFrame) -> DataFrame:
     start = ranked(touched.select("id").distinct(), "id")
     seen = frontier = checkpointed(start.select("id", F.lit(0).alias("depth"), F.lit(None).cast(start.schema["id"].dataType).alias("parent"), F.col("id").alias("first"), "rank"))
     depth = 0
-    while frontier.limit(1).count():
+    while n := frontier.limit(FEW + 1).count():
         depth += 1
-        ahead = frontier.join(steps, frontier.id == steps["at"]).groupBy(F.col("next").alias("id")).agg(F.min(F.struct("rank", F.col("at").alias("parent"), "first")).alias("via"))
+        ahead = _near(frontier, n).join(steps, frontier.id == steps["at"]).groupBy(F.col("next").alias("id")).agg(F.min(F.struct("rank", F.col("at").alias("parent"), "first")).alias("via"))
         found = checkpointed(ahead.join(seen, "id", "left_anti").select("id", F.lit(depth).alias("depth"), "via.parent", "via.first", F.col("via.rank").alias("before")))
         if found.limit(FEW + 1).count() <= FEW:  # few enough for one task to order
             frontier = found.withColumn("rank", F.row_number().over(Window.orderBy("before", "id")).cast("long"))

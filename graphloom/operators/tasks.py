@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.paths import ancestors
 from graphloom.operators.closure import above, discovered, reachable, reachable_pairs
-from graphloom.session import checkpointed
+from graphloom.session import checkpointed, met
 
 
 def propagated(touched: DataFrame, producers: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
@@ -188,7 +188,7 @@ def import_answers(anchors: DataFrame, changed: DataFrame, imports: DataFrame, u
     reached = checkpointed(import_chains(anchors, changed, imports))
     first = unresolved.groupBy(F.col("file").alias("_file")).agg(F.min("specifier").alias("specifier"))
     open_ = import_chains(anchors.select("id").join(reached.select("id"), "id", "left_anti"), first.select(F.col("_file").alias("id")), imports)
-    gaps = open_.select("id", F.col("chain").alias("gap"), F.col("chain")[0].alias("_file")).join(first, "_file")
+    gaps = open_.select("id", F.col("chain").alias("gap"), F.col("chain")[0].alias("_file")).join(met(first), "_file")
     return reached.select("id", "chain", F.lit(None).cast(reached.schema["chain"].dataType).alias("gap"), F.lit(None).cast("string").alias("specifier")).unionByName(
         gaps.select("id", F.lit(None).cast(reached.schema["chain"].dataType).alias("chain"), "gap", "specifier")
     )
@@ -201,11 +201,11 @@ def decided_by_imports(causes: DataFrame, reasons: DataFrame, anchors: DataFrame
     reached: what it hides can't be known. Detail names the first cause: task, reason, nothing named, anchor, gap, or cases of all.
     """
     known = answers.select(F.col("id").alias("file"), F.when(F.col("chain").isNotNull(), F.concat(F.lit("anchor:"), F.col("id").cast("string"))).otherwise(F.concat(F.lit("gap:"), F.col("id").cast("string"), F.lit(":"), "specifier")).alias("shown"))
-    seen = lambda rows: rows.select("task", "file").distinct().join(known, "file", "left")
-    kept = reasons.where("NOT carried").groupBy("task").agg(F.min("reason").alias("kept"))
+    seen = lambda rows: rows.select("task", "file").distinct().join(known.hint("merge"), "file", "left")
+    kept = reasons.where("NOT carried").groupBy("task").agg(F.min("reason").alias("kept")).hint("merge")
     anchored = seen(anchors).groupBy("task").agg(F.count("*").alias("anchors"), F.min_by("shown", F.when(F.col("shown").isNotNull(), F.col("file"))).alias("anchor"))
     counted = seen(cases).groupBy("task").agg(F.count("shown").alias("some"), F.count("*").alias("of"))
-    rows = causes.join(kept, "task", "left").join(anchored, "task", "left").join(counted, "task", "left")
+    rows = causes.join(kept, "task", "left").join(anchored.hint("merge"), "task", "left").join(counted.hint("merge"), "task", "left")
     unnamed = F.when(F.col("by_cases") & F.col("of").isNull(), "nothing:cases").when(~F.col("by_cases") & F.col("anchors").isNull(), "nothing:anchors")
     why = F.coalesce(F.concat(F.lit("task:"), "via"), F.concat(F.lit("reason:"), "kept"), unnamed, F.col("anchor"))
     some = F.col("by_cases") & (F.col("some") > 0)

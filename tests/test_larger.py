@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import documents
 from graphloom.plans import registry
+from graphloom.session import FEW, checkpointed
 
 
 def equal(spark, folder, name, **tables):
@@ -57,3 +58,21 @@ def test_yaml_takes_no_slow_parser(spark):
     rows = spark.createDataFrame([(text,), ("a: [",), (None,)], "t string").coalesce(1)
     found = [r[0] for r in rows.select(documents.projections(F.lit("a.yaml"), "t", (["b"], ["b.c"]), (None, ["list"]))).collect()]
     assert found == [['{"b":{"d":[1,2]}}', '{"a":1,"b":{"c":"x","d":[1,2]}}'], [None, None], None]
+
+
+def plan(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString() + frame._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_many_rows_of_a_small_file_are_not_broadcast(spark, tmp_path):
+    """A file of few bytes says little of how many rows it holds once they are exploded."""
+    pq.write_table(pa.table({"id": list(range(FEW // 50 + 1))}), tmp_path / "few.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/few.parquet").select(F.explode(F.sequence(F.col("id") * 50, F.col("id") * 50 + 49)).alias("id"))
+    other = spark.range(10_000_000).withColumnRenamed("id", "n")
+    assert "BroadcastHashJoin" in plan(other.join(rows, other.n == rows.id))  # as planned by the file's size
+    many = checkpointed(rows)
+    assert many.count() > FEW
+    assert "BroadcastHashJoin" not in plan(other.join(many, other.n == many.id))
+    assert "BroadcastHashJoin" not in plan(other.join(many.select("id").distinct(), other.n == many.id, "left_anti"))
+    few = checkpointed(rows.where("id < 10"))
+    assert "BroadcastHashJoin" in plan(other.join(few, other.n == few.id))
