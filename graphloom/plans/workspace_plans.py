@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import documents, globs, names
 from graphloom.operators import outputs, selection
 from graphloom.plans.registry import query
+from graphloom.session import checkpointed
 from graphloom.sources import history_store, lockfile, views, workspace
 
 K = "CAST(p_partkey AS VARCHAR)"
@@ -143,13 +144,17 @@ def s7(spark, sf_dir):
 
 
 def lock(spark, sf_dir):
-    """One lockfile: an importer for each part, seven packages of three versions that depend on each other, an alias and an environment document."""
-    importers = parts(spark, sf_dir).select("k", text("  packages/p{k}:\n    dependencies:\n      dep{k % 7}:\n        specifier: ^1.0.0\n        version: 1.0.{k % 3}\n").alias("t"))
-    listed = importers.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]), "").alias("t"))
+    """The entries of one lockfile, given as lines: an importer for each part, seven packages of three versions that depend on each other, an alias and an environment document."""
     versions = [(i, j) for i in range(7) for j in range(3)]
     snapshots = "".join(f"  dep{i}@1.0.{j}:\n" + (f"    dependencies:\n      dep{i + 1}: 1.0.{j}\n" if i < 6 else "    optionalDependencies:\n      other: dep0@1.0.0(peer@2.0.0)\n") for i, j in versions)
-    head = "importers:\n  .:\n    configDependencies: {}\n---\nlockfileVersion: '9.0'\nimporters:\n  .:\n    dependencies:\n      linked:\n        specifier: workspace:*\n        version: link:packages/p1\n"
-    return listed.select(F.lit("pnpm-lock.yaml").alias("path"), F.concat(F.lit(head), "t", F.lit("snapshots:\n" + snapshots + "  dep0@1.0.0(peer@2.0.0): {}\n")).alias("text"))
+    head = "importers:\n  .:\n    configDependencies: {}\n---\nlockfileVersion: '9.0'\nimporters:\n  .:\n    dependencies:\n      linked:\n        specifier: workspace:*\n        version: link:packages/p1"
+    tail = "snapshots:\n" + snapshots + "  dep0@1.0.0(peer@2.0.0): {}"
+    importers = parts(spark, sf_dir).select(F.col("k").alias("at"), text("  packages/p{k}:\n    dependencies:\n      dep{k % 7}:\n        specifier: ^1.0.0\n        version: 1.0.{k % 3}").alias("t"))
+    ends = spark.createDataFrame([(-1, head), (2**40, tail)], "at long, t string")
+    lines = importers.union(ends).select("at", F.posexplode(F.split("t", "\n")).alias("place", "value"))
+    # a number for each line, in order: 16 are kept for an importer, and as many as the head and the snapshots have for those
+    numbered = lines.select(F.lit("pnpm-lock.yaml").alias("path"), (F.col("at") * 16 + F.col("place")).alias("n"), "value")
+    return checkpointed(lockfile.scan(lockfile.cut(numbered)))
 
 
 LOCK = """, v AS (SELECT i, j FROM range(7) a(i), range(3) b(j)),
@@ -164,7 +169,7 @@ LOCK = """, v AS (SELECT i, j FROM range(7) a(i), range(3) b(j)),
     UNION ALL SELECT 'depends', 'dep' || i || '@1.0.' || j, CASE WHEN i < 6 THEN 'dep' || (i + 1) ELSE 'other' END, CASE WHEN i < 6 THEN '1.0.' || j ELSE 'dep0@1.0.0(peer@2.0.0)' END FROM v""",
 )
 def s8(spark, sf_dir):
-    return lockfile.scan(lock(spark, sf_dir)).where("kind IN ('direct', 'depends')").select("kind", "owner", "name", "reference")
+    return lock(spark, sf_dir).where("kind IN ('direct', 'depends')").select("kind", "owner", "name", "reference")
 
 
 @query(
@@ -173,29 +178,29 @@ def s8(spark, sf_dir):
     recursive=True,
 )
 def s8_installed(spark, sf_dir):
-    return lockfile.installed(lockfile.scan(lock(spark, sf_dir)))
+    return lockfile.installed(lock(spark, sf_dir))
 
 
 @query("g13_alias", "SELECT 'other' AS name, 'dep0@1.0.0(peer@2.0.0)' AS key UNION ALL SELECT 'dep0', 'dep0@1.0.0(peer@2.0.0)' UNION ALL SELECT 'dep0', 'dep0@1.0.' || j FROM range(3) r(j)")
 def g13(spark, sf_dir):
     names_ = spark.createDataFrame([("other",), ("dep0",), ("absent",)], "name string")
-    return lockfile.installed_as(lockfile.scan(lock(spark, sf_dir)), names_)
+    return lockfile.installed_as(lock(spark, sf_dir), names_)
 
 
 @query("f25_covered", LOCK + ", reach(key) AS (SELECT key FROM direct WHERE importer = 'packages/p2' UNION SELECT 'dep5@1.0.' || j FROM range(3) r(j) UNION SELECT d.target FROM reach r JOIN depends d ON d.source = r.key) SELECT key FROM reach", recursive=True)
 def f25(spark, sf_dir):
     importers, named = spark.createDataFrame([("packages/p2",)], "importer string"), spark.createDataFrame([("dep5",)], "name string")
-    return lockfile.covered(lockfile.scan(lock(spark, sf_dir)), importers, named)
+    return lockfile.covered(lock(spark, sf_dir), importers, named)
 
 
 @query("s23_external_nodes", LOCK + " SELECT 'npm:dep' || i || '@1.0.' || j AS name, 'dep' || i AS package, '1.0.' || j AS version FROM v UNION ALL SELECT 'npm:dep0@1.0.0(peer@2.0.0)', 'dep0', '1.0.0'")
 def s23(spark, sf_dir):
-    return lockfile.external_nodes(lockfile.scan(lock(spark, sf_dir)))[0]
+    return lockfile.external_nodes(lock(spark, sf_dir))[0]
 
 
 @query("s23_external_edges", LOCK + " SELECT importer AS source, 'npm:' || key AS target FROM direct UNION SELECT 'npm:' || source, 'npm:' || target FROM depends")
 def s23_edges(spark, sf_dir):
-    return lockfile.external_nodes(lockfile.scan(lock(spark, sf_dir)))[1]
+    return lockfile.external_nodes(lock(spark, sf_dir))[1]
 
 
 TREE = """, tree AS (SELECT p_partkey AS k, p_partkey % 5 AS d, p_partkey % 3 AS e, ['log', 'tmp', 'txt'][p_size % 3 + 1] AS ext, CASE WHEN p_partkey % 4 = 0 THEN 'keep' ELSE 'f' END || p_partkey AS name FROM part),

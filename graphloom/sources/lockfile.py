@@ -6,19 +6,41 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.formats import package_of
 from graphloom.operators.closure import reachable, reachable_pairs
+from graphloom.session import checkpointed, met
 
 SCHEMA = "path string, kind string, owner string, name string, reference string"
 
 
-def _rows(text: str) -> Iterator[tuple[str, str | None, str | None, str | None]]:
-    """(kind, owner, name, reference) of everything a lockfile holds; ValueError if it isn't one of version 9."""
+Row = tuple[str, str | None, str | None, str | None]
+
+
+def _entries(main: dict) -> Iterator[Row]:
+    """(kind, owner, name, reference) of what the sections of a workspace document hold."""
+    for importer, sections in (main.get("importers") or {}).items():
+        yield "importer", importer, None, None
+        merged = {name: str(x["version"]) for s in ("dependencies", "devDependencies", "optionalDependencies") for name, x in ((sections or {}).get(s) or {}).items()}
+        for name, reference in merged.items():
+            yield "direct", importer, name, reference
+    for key, snapshot in (main.get("snapshots") or {}).items():
+        yield "snapshot", key, None, None
+        for name, reference in (((snapshot or {}).get("dependencies") or {}) | ((snapshot or {}).get("optionalDependencies") or {})).items():
+            yield "depends", key, name, str(reference)
+    for key, package in (main.get("packages") or {}).items():
+        yield "resolution", key, None, json.dumps((package or {}).get("resolution"), sort_keys=True, separators=(",", ":"))
+
+
+def _rows(text: str, part: bool = False) -> Iterator[Row]:
+    """(kind, owner, name, reference) of everything a lockfile holds; ValueError if it isn't one of version 9. Of a part of one, what its section holds."""
     import yaml
 
+    if part:
+        yield from _entries(yaml.load(text, getattr(yaml, "CSafeLoader", yaml.SafeLoader)) or {})
+        return
     main = None
     for document in yaml.load_all(text, getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
         importers = (document or {}).get("importers") or {}
@@ -33,28 +55,55 @@ def _rows(text: str) -> Iterator[tuple[str, str | None, str | None, str | None]]
         raise ValueError(f"lockfile of version {version or 'unknown'}, this code reads 9")
     yield "version", None, None, version
     yield "settings", None, None, json.dumps(main.get("settings"), sort_keys=True, separators=(",", ":"))
-    for importer, sections in (main.get("importers") or {}).items():
-        yield "importer", importer, None, None
-        merged = {name: str(x["version"]) for s in ("dependencies", "devDependencies", "optionalDependencies") for name, x in ((sections or {}).get(s) or {}).items()}
-        for name, reference in merged.items():
-            yield "direct", importer, name, reference
-    for key, snapshot in (main.get("snapshots") or {}).items():
-        yield "snapshot", key, None, None
-        for name, reference in (((snapshot or {}).get("dependencies") or {}) | ((snapshot or {}).get("optionalDependencies") or {})).items():
-            yield "depends", key, name, str(reference)
-    for key, package in (main.get("packages") or {}).items():
-        yield "resolution", key, None, json.dumps((package or {}).get("resolution"), sort_keys=True, separators=(",", ":"))
+    yield from _entries(main)
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """path, kind, owner, name, reference of every entry of lockfiles of files(path, text); a lockfile is one row of files and one text to parse."""
+    """path, kind, owner, name, reference of every entry of lockfiles of files(path, text); a lockfile is one row of files and one text to parse.
+
+    With a column part, rows of which it is true hold some entries of one section.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, text in zip(frame["path"], frame["text"], strict=True):
-                yield pd.DataFrame([(path, *row) for row in _rows(text)], columns=["path", "kind", "owner", "name", "reference"], dtype=object)
-
-    return files.select("path", "text").mapInPandas(run, SCHEMA)
+            for path, text, part in zip(frame["path"], frame["text"], frame["part"], strict=True):
+                yield pd.DataFrame([(path, *row) for row in _rows(text, part)], columns=["path", "kind", "owner", "name", "reference"], dtype=object)
+
+    part = F.col("part") if "part" in files.columns else F.lit(False)
+    return files.select("path", "text", part.alias("part")).mapInPandas(run, SCHEMA)
+
+
+#: Lines of a section that are parsed together, and more only where one entry has more.
+LINES = 4096
+
+
+def cut(lines: DataFrame, width: int = LINES) -> DataFrame:
+    """path, text, part for scan of lockfiles given as lines(path, n, value), n numbering a file's lines, so that no task or row holds a whole one.
+
+    The importers, packages and snapshots of workspace documents are cut between entries, which are keys at two spaces as the package
+    manager writes them; what is written in another way stays in one text, as do other sections and documents of an environment.
+    """
+    n, value = F.col("n"), F.col("value")
+    document = F.when(value.rlike(r"^---(\s|$)"), n)
+    top = F.when(value.rlike("^[^ #\t\r]"), F.struct(n, F.regexp_extract("value", r"^(importers|packages|snapshots):\s*$", 1).alias("name")))
+    rows = lines.select("path", "n", "value", F.floor(n / width).alias("block"), document.alias("document"), top.alias("top"), F.when(value.rlike("^  [^ #:]"), n).alias("head"))
+    marks = ["document", "top", "head"]
+    here = Window.partitionBy("path", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("path", "block").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), n)).alias(c) for c in marks))
+    carried = ends.select("path", "block", *(F.last(c, ignorenulls=True).over(earlier).alias(f"_{c}") for c in marks))
+    placed = rows.select("path", "n", "value", "block", *(F.last(c, ignorenulls=True).over(here).alias(c) for c in marks)).join(carried, ["path", "block"])
+    placed = placed.select("path", "n", "value", F.coalesce("document", "_document", F.lit(-1)).alias("document"), F.coalesce("top", "_top").alias("top"), F.coalesce("head", "_head").alias("head"))
+    placed = checkpointed(placed.withColumn("head", F.when(F.col("head") > F.col("top.n"), F.col("head"))))
+    # a document all of whose importers are an environment's is one text
+    inside = F.col("top.name") == "importers"
+    counts = placed.where(inside).groupBy("path", "document").agg(F.count_if(n == F.col("head")).alias("all"), F.count_if(value.rlike("^    (configDependencies|packageManagerDependencies):")).alias("own"))
+    rest = met(counts.where("own > 0 AND own >= all").select("path", "document", F.lit(True).alias("environment")))
+    known = placed.join(rest, ["path", "document"], "left").withColumn("section", F.when(F.col("environment").isNull() & (F.col("top.name") != ""), F.col("top.name")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: x["value"]), "\n").alias("text")
+    parts = known.where((F.col("section") != "") & (n != F.col("top.n"))).groupBy("path", "section", F.col("top.n").alias("at"), F.floor(F.col("head") / width).alias("block")).agg(text)
+    whole = known.where("section IS NULL").groupBy("path").agg(text)
+    return whole.select("path", "text", F.lit(False).alias("part")).unionByName(parts.select("path", F.concat("section", F.lit(":\n"), "text").alias("text"), F.lit(True).alias("part")))
 
 
 def snapshot_key(name: str | Column, reference: str | Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import documents
 from graphloom.plans import registry
 from graphloom.session import FEW, checkpointed
+from graphloom.sources import lockfile
 
 
 def equal(spark, folder, name, **tables):
@@ -76,3 +77,18 @@ def test_many_rows_of_a_small_file_are_not_broadcast(spark, tmp_path):
     assert "BroadcastHashJoin" not in plan(other.join(many.select("id").distinct(), other.n == many.id, "left_anti"))
     few = checkpointed(rows.where("id < 10"))
     assert "BroadcastHashJoin" in plan(other.join(few, other.n == few.id))
+
+
+def test_lockfile_in_pieces(spark):
+    """What lockfiles cut between entries hold is what they hold whole; no piece is a whole section."""
+    entries = "".join(f"  packages/p{k}:\n    dependencies:\n      'a':\n        specifier: ^1\n        version: 1.0.{k}\n    devDependencies:\n      a:\n        version: 2.0.{k}\n" for k in range(40))
+    text = (
+        "importers:\n  .:\n    configDependencies: {}\n---\n# of a workspace\nlockfileVersion: '9.0'\n\nsettings:\n  autoInstallPeers: true\n\nimporters:\n\n  .: {}\n\n" + entries
+        + "packages:\n\n  a@1.0.0:\n    resolution: {integrity: x}\n    deprecated: |-\n      says:\n\n      no\n\n  ? 'b@1.0.0'\n  : resolution: {integrity: y}\n\nsnapshots:\n\n  a@1.0.0: {}\n\n  b@1.0.0:\n    dependencies:\n      a: 1.0.0\n"
+    )
+    other = "lockfileVersion: '9.0'\nimporters: {}\nsnapshots:\n    c@1.0.0:\n        dependencies: {a: 1.0.0}\n    d@1.0.0: {}\n"
+    files = spark.createDataFrame([("one", text), ("two", other)], "path string, text string")
+    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("n", "value"))
+    pieces = checkpointed(lockfile.cut(lines, width=16))
+    assert pieces.where("path = 'one' AND part").count() > 20
+    assert sorted(map(repr, lockfile.scan(pieces).collect())) == sorted(map(repr, lockfile.scan(files).collect()))
