@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.session import FEW
+
 KEPT = 8  # path sets tried for a weak key
 SPREAD = 16  # tasks that one path's rows are joined in
 _SET = ["weak", "place", "pos"]
@@ -24,23 +26,33 @@ def _leaf(*parts: Column) -> Column:
     return F.sha2(F.concat(*sized), 256)
 
 
-def _root(leaves: DataFrame, keys: list[str], *columns: str) -> DataFrame:
-    """keys and, of each column of leaf digests, the digest of the distinct ones in order: within 65,536 buckets by leaf, then 256, then all."""
-    joined = lambda c: F.sha2(F.concat_ws("", F.array_sort(F.collect_set(c))), 256).alias(c)
-    low = leaves.groupBy(*keys, F.substring("leaf", 1, 4).alias("_b")).agg(*map(joined, columns))
-    middle = low.groupBy(*keys, F.substring("_b", 1, 2).alias("_b")).agg(*map(joined, columns))
-    return middle.groupBy(*keys).agg(*map(joined, columns))
+def _root(leaves: DataFrame, keys: list[str], columns: list[str], flag: str) -> DataFrame:
+    """keys and, of each column of leaf digests, the digest of the distinct ones in order: within 65,536 buckets by leaf, then 256, then all; and whether flag is true anywhere.
+
+    Digests travel as bytes, which sort as their digits do and take half the room.
+    """
+    digits = lambda x: F.lower(F.hex(x))
+    joined = lambda c: F.unhex(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_set(c)), digits)), 256)).alias(c)
+    held = F.bool_or(flag).alias(flag)
+    packed = leaves.select(*keys, flag, F.substring(digits(F.col("leaf")), 1, 4).alias("_b"), *columns)
+    low = packed.groupBy(*keys, "_b").agg(*map(joined, columns), held)
+    middle = low.groupBy(*keys, F.substring("_b", 1, 2).alias("_b")).agg(*map(joined, columns), held)
+    return middle.groupBy(*keys).agg(*map(joined, columns), held).select(*keys, flag, *(digits(F.col(c)).alias(c) for c in columns))
 
 
 def strong_keys(sets: DataFrame, values: DataFrame) -> DataFrame:
     """weak, place, pos, digest, strong of each path set: the digest of its paths, and the key with how they are now; a set with a path that can't be keyed has no key."""
     now = values.where("path IS NOT NULL").groupBy("path").agg(F.min("value").alias("value"), F.bool_or(F.col("value").isNull()).alias("unkeyed"))
-    spread = now.withColumn("_s", F.explode(F.array(*map(F.lit, range(SPREAD)))))
-    rows = sets.where("path IS NOT NULL").select(*_SET, "kind", "path", F.pmod(F.xxhash64(*_SET), F.lit(SPREAD)).cast("int").alias("_s")).join(spread, ["path", "_s"], "left")
+    rows = sets.where("path IS NOT NULL").select(*_SET, "kind", "path")
+    if now.limit(FEW + 1).count() <= FEW:
+        rows = rows.join(F.broadcast(now), "path", "left")
+    else:  # merged, as a plan takes values repeated SPREAD times for no more than the file they are from
+        spread = now.withColumn("_s", F.explode(F.array(*map(F.lit, range(SPREAD))))).hint("merge")
+        rows = rows.withColumn("_s", F.pmod(F.xxhash64(*_SET), F.lit(SPREAD)).cast("int")).join(spread, ["path", "_s"], "left")
     seen = F.when(F.col("unkeyed").isNull(), "missing").when(F.col("unkeyed"), "unkeyed").otherwise(F.concat(F.lit("="), F.col("value")))
-    leaves = rows.select(*_SET, _leaf(F.col("kind"), F.col("path")).alias("leaf"), _leaf(F.col("kind"), F.col("path"), seen).alias("state"), F.coalesce("unkeyed", F.lit(False)).alias("unkeyed"))
-    keyable = leaves.groupBy(*_SET).agg(F.bool_or("unkeyed").alias("unkeyed"))
-    found = _root(leaves, _SET, "leaf", "state").join(keyable, _SET)
+    leaf, state = _leaf(F.col("kind"), F.col("path")), _leaf(F.col("kind"), F.col("path"), seen)
+    leaves = rows.select(*_SET, F.unhex(leaf).alias("leaf"), F.unhex(state).alias("state"), F.coalesce("unkeyed", F.lit(False)).alias("unkeyed"))
+    found = _root(leaves, _SET, ["leaf", "state"], "unkeyed")
     strong = F.when(~F.col("unkeyed"), _leaf(F.col("weak"), F.col("leaf"), F.col("state")))
     return found.select(*_SET, F.col("leaf").alias("digest"), strong.alias("strong"))
 

@@ -10,6 +10,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from graphloom.functions import documents
+from graphloom.operators import pathsets
 from graphloom.plans import registry
 from graphloom.session import FEW, checkpointed
 from graphloom.sources import lockfile
@@ -92,3 +93,17 @@ def test_lockfile_in_pieces(spark):
     pieces = checkpointed(lockfile.cut(lines, width=16))
     assert pieces.where("path = 'one' AND part").count() > 20
     assert sorted(map(repr, lockfile.scan(pieces).collect())) == sorted(map(repr, lockfile.scan(files).collect()))
+
+
+def test_values_of_many_paths_are_not_broadcast(spark, tmp_path):
+    """Values that are few by their file's size and many by their number, as each is repeated."""
+    n = FEW + 1
+    pq.write_table(pa.table({"path": [str(k) for k in range(n)], "value": ["v"] * n}), tmp_path / "values.parquet")
+    values = spark.read.parquet(f"{tmp_path}/values.parquet")
+    sets = spark.range(n).select(F.concat(F.lit("w"), F.col("id") % 1000).alias("weak"), F.lit("here").alias("place"), F.lit(1).alias("pos"), F.lit("read").alias("kind"), F.col("id").cast("string").alias("path"))
+    found = pathsets.strong_keys(sets, values)
+    assert "BroadcastHashJoin" not in plan(found)
+    few = pathsets.strong_keys(sets, values.where("path < '5'").limit(10))
+    assert "BroadcastHashJoin" in plan(few)
+    assert found.select("strong").distinct().count() == few.count() == 1000
+    assert found.join(few, "weak").where(found.digest == few.digest).count() == 1000
