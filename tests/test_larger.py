@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from graphloom.functions import documents
-from graphloom.operators import pathsets
+from graphloom.operators import closure, pathsets
 from graphloom.plans import registry
 from graphloom.session import FEW, checkpointed
 from graphloom.sources import lockfile
@@ -107,3 +107,21 @@ def test_values_of_many_paths_are_not_broadcast(spark, tmp_path):
     assert "BroadcastHashJoin" in plan(few)
     assert found.select("strong").distinct().count() == few.count() == 1000
     assert found.join(few, "weak").where(found.digest == few.digest).count() == 1000
+
+
+def test_pairs_stand_as_bits(spark, monkeypatch):
+    """1,300 groups, some null or negative, over a circle with a tail: every pair of them, in rows of many groups while it goes on."""
+    edges = spark.createDataFrame([(k, (k + 1) % 9) for k in range(9)] + [(3, 20), (20, 21), (30, 31)], "source long, target long")
+    starts = [(g, g % 9) for g in range(-650, 649)] + [(None, 20), (5, 30)]
+    kept = []
+
+    def counting(rows):
+        kept.append(checkpointed(rows).count())
+        return checkpointed(rows)
+
+    monkeypatch.setattr(closure, "checkpointed", counting)
+    found = [tuple(r) for r in closure.reachable_pairs(spark.createDataFrame(starts, "group long, id long"), edges).select("group", "id").collect()]
+    everything = [*range(9), 20, 21]
+    wanted = [(g, k) for g in range(-650, 649) for k in everything] + [(None, 20), (None, 21), (5, 30), (5, 31)]
+    assert sorted(found, key=repr) == sorted(wanted, key=repr)
+    assert max(kept) < 2000  # pairs are 14,293
