@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.closure import explained, reachable
 from graphloom.operators.locate import owners
-from graphloom.session import FEW, checkpointed
+from graphloom.session import FEW
+from graphloom.session import counted as checkpointed
 
 
 def nearest_with_target(starts: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:

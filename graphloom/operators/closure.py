@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.storage import ranked
-from graphloom.session import FEW, checkpointed, met
+from graphloom.session import FEW, met
+from graphloom.session import counted as checkpointed
 
 
 def _steps(edges: DataFrame, dependents: bool) -> DataFrame:

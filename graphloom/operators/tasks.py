@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.paths import ancestors
 from graphloom.operators.closure import above, discovered, reachable, reachable_pairs
-from graphloom.session import checkpointed, met
+from graphloom.session import counted as checkpointed
+from graphloom.session import met
 
 
 def propagated(touched: DataFrame, producers: DataFrame, skipped: DataFrame | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import documents, globs, names
 from graphloom.operators import outputs, selection
 from graphloom.plans.registry import query
-from graphloom.session import checkpointed
+from graphloom.session import counted as checkpointed
 from graphloom.sources import history_store, lockfile, views, workspace
 
 K = "CAST(p_partkey AS VARCHAR)"

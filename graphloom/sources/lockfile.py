@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.formats import package_of
 from graphloom.operators.closure import reachable, reachable_pairs
-from graphloom.session import checkpointed, met
+from graphloom.session import counted as checkpointed
+from graphloom.session import met
 
 SCHEMA = "path string, kind string, owner string, name string, reference string"
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from graphloom.functions import documents
 from graphloom.operators import closure, pathsets
 from graphloom.plans import registry
-from graphloom.session import FEW, checkpointed
+from graphloom.session import FEW
+from graphloom.session import counted as checkpointed
 from graphloom.sources import lockfile
 
 
